@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kernelloom.llm import neardup
+from kernelloom.llm import ann, mixing, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,22 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.do
 """
 
 
+def op2_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by cosine of every vector whose id is divisible by 50."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of sources by weights 1, 2, 3 takes."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    each = plan.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op2_anisotropic_ann": op2_anisotropic_ann,
+    "op3_entropy_mixing": op3_entropy_mixing,
 }
 
 ORACLES: dict[str, str] = {
