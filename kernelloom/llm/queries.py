@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelloom.llm import ann, mixing, neardup
+from kernelloom.llm import ann, decontam, mixing, neardup, notices, pseudonyms, quality, ransfile, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +50,80 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other parameters."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    return ransfile.token_file_index(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: The key of the registered query; a real run keeps its own secret.
+PSEUDONYM_KEY = "kernelloom-example-key"
+
+
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced: doc_id, text, n_private, private_kinds."""
+    made = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return made.select("doc_id", "text", "n_private", "private_kinds")
+
+
+def op7_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return notices.digest(notices.scan_notices(table(spark, sf_dir, "documents")))
+
+
+def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back by the salvaging reader."""
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_anisotropic_ann": op2_anisotropic_ann,
     "op3_entropy_mixing": op3_entropy_mixing,
+    "op4_template_decontamination": op4_template_decontamination,
+    "op5_rans_token_files": op5_rans_token_files,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
+    "op7_fuzzy_notices": op7_fuzzy_notices,
+    "op8_random_indexing_quality": op8_random_indexing_quality,
+    "op9_url_verdicts": op9_url_verdicts,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN t ON t.payload_digest = p.payload_digest AND payload_bytes >= 1000
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op10_warc_round_trip": OP10_SQL,
     "op1_minhash_neardup": OP1_SQL,
 }
