@@ -11,8 +11,9 @@
 
 Pairs of a large bucket aren't all listed.  First every class is compared with its buckets' smallest
 member; links found there already join most true groups.  Only pairs that these links leave in
-different components are then compared, in blocks of bounded size, so no link between components
-is missed (but for ``miss`` and the bands' own miss, ``(1 - t**rows)**bands``: 3e-7 at t = 0.75).
+different components are then compared, in blocks of bounded size and with further batches of
+one-byte hashes, so no link between components is missed (but for ``miss`` and the bands' own miss,
+``(1 - t**rows)**bands``: 3e-7 at t = 0.75).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from kernelloom.llm.words import mix, shingle_sets
 
 #: Rows of a large bucket that one task compares with as many others.
 BLOCK = 1024
+#: Further one-byte hashes for pairs within a bucket, and how many make a batch.
+LONG, LONG_BATCH = 1024, 256
 
 
 def hash_family(n: int, seed: int = 20240501) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +204,7 @@ def near_duplicates(
         edges = edges.unionByName(more)
         labels = components(edges, scratch, "cc-2")
     # within the buckets that still hold several components
-    left = _across(labelled(members.select("key", "node"), labels, "node", "label"), cand, scratch, steps, total)
+    left = _across(labelled(members.select("key", "node"), labels, "node", "label"), cand, scratch, steps, total, share, miss)
     last = scratch.write(linked(left), "edges-3")
     if not last.isEmpty():
         labels = components(edges.unionByName(last), scratch, "cc-3")
@@ -225,23 +228,34 @@ def _survivors(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np
     return live
 
 
-def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[tuple[int, int]], total: int) -> DataFrame:
+def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[tuple[int, int]], total: int, share: float, miss: float) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and pass the batches' bounds.
 
     In each bucket, its most frequent component forms the main part and all others the rest; every
     pair in question has a member in the rest.  The bucket is cut into blocks of the whole and blocks
     of the rest, and each pair of such blocks is one group: at most ``2 * BLOCK`` signatures.
     """
+    family = hash_family(LONG, seed=20240502)
+    # two different minima share their low byte once in 256
+    more = least_matches(LONG_BATCH, LONG, share + (1 - share) / 256, miss)
+
+    def lengthen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [signature(np.frombuffer(s, np.uint64), *family).astype(np.uint8).tobytes() for s in part["shingles"]]
+            yield pd.DataFrame({"node": part["node"], "sig": part["sig"], "long": rows})
+
     per = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("n").alias("top"))
     mixed = scratch.write(members.join(per.where("labels > 1"), "key").drop("labels"), "mixed")
+    nodes = mixed.select("node").distinct().join(cand, "node").select("node", "sig", "shingles")
+    nodes = scratch.write(nodes.mapInPandas(lengthen, "node long, sig binary, long binary"), "long")
     block = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     row = F.xxhash64("node")
     mixed = mixed.withColumns({"blocks": block(F.col("n")), "rests": block(F.col("n") - F.col("top"))})
     mine = mixed.withColumns({"x": F.pmod(row, "blocks").cast("int"), "y": F.pmod(row, "rests").cast("int")})
     whole = mine.select("key", "node", "label", "x", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("y"), F.lit(0).alias("side"))
     rest = mine.where("label <> main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(1).alias("side"))
-    sides = whole.unionByName(rest).join(cand.select("node", "sig"), "node")
+    sides = whole.unionByName(rest).join(nodes, "node")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["side"] == 0], part[part["side"] == 1]
@@ -249,11 +263,14 @@ def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[t
         if len(left) and len(right):
             x = np.frombuffer(b"".join(left["sig"]), "<u4").reshape(len(left), total)
             y = np.frombuffer(b"".join(right["sig"]), "<u4").reshape(len(right), total)
+            u = np.frombuffer(b"".join(left["long"]), np.uint8).reshape(len(left), LONG)
+            v = np.frombuffer(b"".join(right["long"]), np.uint8).reshape(len(right), LONG)
             xn, yn = left["node"].to_numpy(), right["node"].to_numpy()
             xl, yl = left["label"].to_numpy(), right["label"].to_numpy()
             for i in range(len(y)):
                 at = np.flatnonzero(xl != yl[i])
                 live = at[_survivors(x[at], np.broadcast_to(y[i], (len(at), total)), steps)]
+                live = live[_survivors(u[live], np.broadcast_to(v[i], (len(live), LONG)), more)]
                 found += [(max(n, yn[i]), min(n, yn[i])) for n in xn[live]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
