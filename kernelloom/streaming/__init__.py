@@ -1,0 +1 @@
+"""Histories built from event streams."""
