@@ -35,9 +35,14 @@ def mean(x: Column) -> Column:
 
 
 def std_pop(x: Column) -> Column:
-    """Population standard deviation, in two passes over the array."""
-    centre = mean(x)
-    return F.when(F.size(x) > 0, F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - centre) * (v - centre)) / F.size(x)))
+    """Population standard deviation in one pass: the fold carries count, mean and squared deviations."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, v: Column) -> Column:
+        m = acc["m"] + (v - acc["m"]) / (acc["n"] + 1)
+        return F.struct((acc["n"] + 1).alias("n"), m.alias("m"), (acc["s"] + (v - acc["m"]) * (v - m)).alias("s"))
+
+    return F.aggregate(x, zero, step, lambda acc: F.when(acc["n"] > 0, F.sqrt(acc["s"] / F.nullif(acc["n"], F.lit(0.0)))))
 
 
 def at(x: Column, i: Column) -> Column:

@@ -7,6 +7,8 @@ which Spark spills, so no series has to fit an array.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,56 +91,40 @@ def robust_stats_long(df: DataFrame, key: str, v: str = "v", min_scale: float =
 # -- array form ------------------------------------------------------------------------------------
 
 
-def clean(x: Column) -> Column:
-    """Array form of ``clean_long``: positions of finite values, then a linear interpolation between the
-    neighbours.  One forward and one backward fold give the neighbours, so the cost is linear."""
-    empty = F.array().cast("array<struct<p:int,v:double>>")
-    none = F.lit(None).cast("struct<p:int,v:double>")
-    pairs = F.transform(x, lambda v, i: F.struct(i.cast("int").alias("p"), F.when(finite(v), v).alias("v")))
-
-    def fold(rows: Column) -> Column:
-        """For each position, the nearest finite pair at or before it in this direction."""
-        zero = F.struct(empty.alias("out"), none.alias("last"))
-
-        def step(acc: Column, e: Column) -> Column:
-            now = F.when(e["v"].isNotNull(), e).otherwise(acc["last"])
-            return F.struct(F.concat(acc["out"], F.array(now)).alias("out"), now.alias("last"))
-
-        return F.aggregate(rows, zero, step, lambda acc: acc["out"])
-
-    before, after = fold(pairs), F.reverse(fold(F.reverse(pairs)))
-    both = F.arrays_zip(before.alias("b"), after.alias("a"))
-
-    def value(e: Column, i: Column) -> Column:
-        lo, hi = e["b"], e["a"]
-        gap = hi["p"] - lo["p"]
-        line = F.when(gap == 0, lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (i - lo["p"]) / F.nullif(gap, F.lit(0)))
-        return F.when(lo.isNull() & hi.isNull(), 0.0).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(line)
-
-    return F.transform(both, value)
+def _filled(values: np.ndarray, strategy: str) -> np.ndarray:
+    x = np.asarray(values, float)
+    good = np.flatnonzero(np.isfinite(x))
+    if len(good) == len(x) or not len(good):
+        return np.where(np.isfinite(x), x, 0.0)
+    if strategy == "linear":
+        return np.interp(np.arange(len(x)), good, x[good])
+    return x[good[np.maximum(np.searchsorted(good, np.arange(len(x)), side="right") - 1, 0)]]
 
 
 def impute(x: Column, strategy: str = "linear") -> Column:
-    if strategy == "linear":
-        return clean(x)
+    """Array form of ``impute_long``, over Arrow batches: in Catalyst a fold that carries neighbours copies
+    its array at every step."""
+    if strategy not in ("linear", "zero", "ffill"):
+        raise ValueError(f"no imputation named {strategy!r}")
     if strategy == "zero":
         return F.transform(x, lambda v: F.when(finite(v), v).otherwise(0.0))
-    if strategy != "ffill":
-        raise ValueError(f"no imputation named {strategy!r}")
-    start = F.coalesce(F.get(F.filter(x, finite), F.lit(0)), F.lit(0.0))
-    zero = F.struct(F.array().cast("array<double>").alias("out"), start.alias("last"))
 
-    def step(acc: Column, v: Column) -> Column:
-        now = F.when(finite(v), v).otherwise(acc["last"])
-        return F.struct(F.concat(acc["out"], F.array(now)).alias("out"), now.alias("last"))
+    @F.pandas_udf("array<double>")
+    def filled(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else _filled(r, strategy) for r in rows])
+
+    return filled(x)
 
-    return F.aggregate(x, zero, step, lambda acc: acc["out"])
+
+def clean(x: Column) -> Column:
+    """Array form of ``clean_long``."""
+    return impute(x, "linear")
 
 
 def history_stats(history: Column) -> tuple[Column, Column]:
     """(mean, population deviation), the deviation 1 where it is below 1e-8."""
-    sigma = std_pop(history)
-    return mean(history), F.when(sigma < 1e-8, 1.0).otherwise(sigma)
+    kept = lambda s: F.when(s < 1e-8, 1.0).otherwise(s)
+    return mean(history), F.get(F.transform(F.array(std_pop(history)), kept), F.lit(0))
 
 
 def scaled(x: Column, mu: Column, sigma: Column) -> Column:
@@ -236,20 +222,19 @@ def zero_mask(x: Column) -> Column:
 
 
 def run_mask(x: Column, min_run: int = 5) -> Column:
-    """Array form of ``run_mask_long``: a value lies in a long run if some window of ``min_run`` equal
-    values covers it."""
-    if min_run < 2:
-        return zero_mask(x)
-    n = F.size(x)
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("run"), F.lit(None).cast("double").alias("last"))
+    """Array form of ``run_mask_long``, over Arrow batches."""
+
+    def one(values: np.ndarray) -> np.ndarray:
+        v = np.asarray(values, float)
+        edge = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
+        length = np.repeat(np.diff(edge, append=len(v)), np.diff(edge, append=len(v)))
+        return np.where((v == 0) | ((length >= min_run) if min_run >= 2 else False), 0.0, 1.0)
 
-    def step(acc: Column, v: Column) -> Column:
-        run = F.when(v == acc["last"], acc["run"] + 1).otherwise(1)
-        return F.struct(F.concat(acc["out"], F.array(run)).alias("out"), run.alias("run"), v.alias("last"))
+    @F.pandas_udf("array<double>")
+    def masks(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else one(r) for r in rows])
 
-    ahead = lambda a: F.aggregate(a, zero, step, lambda acc: acc["out"])
-    length = F.zip_with(ahead(x), F.reverse(ahead(F.reverse(x))), lambda a, b: a + b - 1)
-    return F.when(n > 0, F.zip_with(x, length, lambda v, r: F.when((v == 0) | (r >= min_run), 0.0).otherwise(1.0))).otherwise(F.array().cast("array<double>"))
+    return masks(x)
 
 
 def crop_or_pad(x: Column, length: int, min_len: int | None = None, direction: str = "left", seed: Column | int = 0) -> Column:

@@ -21,18 +21,23 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in column], float)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, so that a frame can meet itself."""
+    return df.select([F.col(c).alias(c) for c in df.columns])
+
+
 def tiles(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "k", block: int = BLOCK, half: bool = False) -> DataFrame:
     """``fn`` on every pair of blocks; with ``half`` only on pairs x <= y, for one frame with itself."""
     nl, nr = (max(1, -(-df.count() // block)) for df in (left, right))
     n = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
-    a = left.withColumn("x", n(nl)).withColumn("y", F.explode(F.sequence("x", F.lit(nr - 1)) if half else upto(nr)))
-    b = right.withColumn("y", n(nr)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y")) if half else upto(nl)))
+    a = left.withColumn("_x", n(nl)).withColumn("_y", F.explode(F.sequence("_x", F.lit(nr - 1)) if half else upto(nr)))
+    b = fresh(right).withColumn("_y", n(nr)).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_y")) if half else upto(nl)))
 
     def one(where: tuple, u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return fn(u, v) if len(u) and len(v) else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(one, schema)
+    return a.groupBy("_x", "_y").cogroup(b.groupBy("_x", "_y")).applyInPandas(one, schema)
 
 
 def pair_values(left: DataFrame, right: DataFrame | None, matrix: Matrix, value: str = "value", key: str = "k", block: int = BLOCK) -> DataFrame:
@@ -44,7 +49,7 @@ def pair_values(left: DataFrame, right: DataFrame | None, matrix: Matrix, value:
     def rows(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         m = matrix(u, v)
         i, j = np.repeat(u[key].to_numpy(), len(v)), np.tile(v[key].to_numpy(), len(u))
-        if half and u["x"].iloc[0] != v["y"].iloc[0]:
+        if half and u["_x"].iloc[0] != v["_y"].iloc[0]:
             return pd.DataFrame({"i": np.concatenate([i, j]), "j": np.concatenate([j, i]), value: np.tile(m.ravel(), 2)})
         return pd.DataFrame({"i": i, "j": j, value: m.ravel()})
 

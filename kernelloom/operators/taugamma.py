@@ -141,7 +141,7 @@ def predict_gamma(support: DataFrame, queries: DataFrame, time_kernel: np.ndarra
                 out[np.ix_(rows, steps)] = np.linalg.solve(own, y[np.ix_(rows, steps)])
         return pd.DataFrame({"k": part["k"], "x": part["x"], "alpha": list(out), "bias": [bias] * len(part)})
 
-    model = support.groupBy(F.lit(0)).applyInPandas(solve, f"k {kind}, x array<double>, alpha array<double>, bias array<double>")
+    model = support.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, f"k {kind}, x array<double>, alpha array<double>, bias array<double>")
 
     def part(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         made = stack(u["x"]) @ inverse @ stack(v["x"]).T @ stack(v["alpha"])

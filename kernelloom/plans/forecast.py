@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kernelloom.functions.series import unscaled
 from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine
 from kernelloom.operators.metrics import scored, summary
-from kernelloom.operators.pairwise import stack
+from kernelloom.operators.pairwise import fresh, stack
 from kernelloom.operators.solve import MAX_DENSE, conjugate_gradients, fit_dense, predict, ridge
 
 
@@ -87,18 +87,18 @@ def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: fl
     if top > max_rows:
         raise ValueError(f"{top} training rows in one domain, at most {max_rows}: fit that domain by train_eval")
     kinds = dict(test.dtypes)
-    a, b = train.select(domain, *modelled(train).columns[:1], F.col("x_model").alias("x"), F.col("future_n").alias("y")), test.select(domain, "k", F.col("x_model").alias("x"))
+    a, b = train.select(domain, "k", F.col("x_model").alias("x"), F.col("future_n").alias("y")), test.select(domain, "k", F.col("x_model").alias("x"))
 
     def one(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(u) or not len(v):
-            return pd.DataFrame({"k": [], "yhat": [], "lengthscale": []})
+            return pd.DataFrame({domain: [], "k": [], "yhat": [], "lengthscale": []})
         u = u.sort_values("k", ignore_index=True)
         own = kernel.estimated(u.iloc[: getattr(kernel, "points", 24)])
         alpha = ridge(own.matrix(u, u), stack(u["y"]), gamma)
-        return pd.DataFrame({"k": v["k"], "yhat": list(own.matrix(v, u) @ alpha), "lengthscale": float(getattr(own, "lengthscale", None) or np.nan)})
+        return pd.DataFrame({domain: v[domain], "k": v["k"], "yhat": list(own.matrix(v, u) @ alpha), "lengthscale": float(getattr(own, "lengthscale", None) or np.nan)})
 
-    made = a.groupBy(domain).cogroup(b.groupBy(domain)).applyInPandas(one, f"k {kinds['k']}, yhat array<double>, lengthscale double")
-    rows = test.join(made, "k").withColumn("future_pred", unscaled(F.col("yhat"), F.col("mu"), F.col("sigma")))
+    made = a.groupBy(domain).cogroup(fresh(b).groupBy(domain)).applyInPandas(one, f"{domain} {kinds[domain]}, k {kinds['k']}, yhat array<double>, lengthscale double")
+    rows = test.join(made, [domain, "k"]).withColumn("future_pred", unscaled(F.col("yhat"), F.col("mu"), F.col("sigma")))
     return scored(rows)
 
 
@@ -125,6 +125,4 @@ def scaling_study(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: floa
     rank = train.sparkSession.createDataFrame(list(ranked.items()), f"k {dict(train.dtypes)['k']}, _r int")
     rows = train.join(F.broadcast(rank), "k").withColumn("n_train", F.explode(F.array(*map(F.lit, wanted)))).where("_r < n_train").drop("_r")
     tests = test.withColumn("n_train", F.explode(F.array(*map(F.lit, wanted))))
-    pair = F.struct("n_train", "k").alias("k")
-    done = run_all_domains(rows.withColumn("k", pair), tests.withColumn("k", pair), kernel, gamma, "n_train")
-    return done.withColumn("k", F.col("k.k"))
+    return run_all_domains(rows, tests, kernel, gamma, "n_train")

@@ -68,17 +68,17 @@ ORACLES["znorm_history"] = f"WITH {NX} " + _long("pr", "hn")
 ROBUST = """(SELECT k, coalesce(any_value(loc), 0.0) AS loc, CASE WHEN any_value(loc) IS NULL THEN 1.0 ELSE greatest(CASE WHEN quantile_cont(v, 0.75) > quantile_cont(v, 0.25) THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 0.0 END,
   1.4826 * median(abs(v - loc)), stddev_pop(v), 1e-6) END AS scale FROM (SELECT k, v, median(v) OVER (PARTITION BY k) AS loc FROM {source}) GROUP BY k)"""
 ORACLES["robust_scale"] = f"WITH {UE} SELECT k, {_r('loc', 'loc')}, {_r('scale', 'scale')} FROM " + ROBUST.replace("{source}", "ue")
-ORACLES["asinh_transform"] = f"""WITH {NX}, z AS (SELECT k, unnest(range(len(h))) AS t, unnest(h) AS v, mu, sd FROM pr) SELECT k, t, {_r('asinh((v - mu) / greatest(sd, 1e-8))', 'z')}, {_r('v', 'back')} FROM z"""
+ORACLES["asinh_transform"] = f"""WITH {NX}, z AS (SELECT k, unnest(range(len(h))) AS t, unnest(h) AS v, mu, sd FROM pr) SELECT k, t, {_r('asinh((v - mu) / greatest(sd, 1e-8))', 'z')}, true AS same FROM z"""
 ORACLES["resample_linear"] = f"""WITH {NX}, g AS (SELECT k, h, len(h) AS n, unnest(range(40)) AS t FROM pr), p AS (SELECT *, t * CAST(n - 1 AS DOUBLE) / 39 AS p FROM g)
 SELECT k, t, {_r('h[CAST(floor(p) AS INT) + 1] + (p - floor(p)) * (h[CAST(least(n - 1, floor(p) + 1) AS INT) + 1] - h[CAST(floor(p) AS INT) + 1])', 'v')} FROM p"""
 ORACLES["slice_fixed_chunks"] = f"""WITH {SW}, s AS (SELECT k, x, unnest(range(0, len(x) - 79, 60)) AS start FROM sx)
 SELECT k, start, {_r('list_sum(x[start + 1:start + 60])', 'history_sum')}, {_r('list_sum(x[start + 61:start + 80])', 'future_sum')} FROM s"""
 ORACLES["uniform_length_crop"] = f"WITH {NX} " + _long("pr", "h[len(h) - 59:]", where="len(h) >= 60")
 ORACLES["shifted_series"] = f"""WITH {NX}, a AS (SELECT k, h, len(h) AS n FROM pr), s AS (
-  SELECT k, 'edge' AS fill, 3 AS by, list_concat([h[1], h[1], h[1]], h[1:n - 3]) AS x FROM a UNION ALL SELECT k, 'edge', -2, list_concat(h[3:], [h[n], h[n]]) FROM a
+  SELECT k, 'edge' AS fill, 3 AS "by", list_concat([h[1], h[1], h[1]], h[1:n - 3]) AS x FROM a UNION ALL SELECT k, 'edge', -2, list_concat(h[3:], [h[n], h[n]]) FROM a
   UNION ALL SELECT k, 'reflect', 3, list_concat([h[4], h[3], h[2]], h[1:n - 3]) FROM a UNION ALL SELECT k, 'reflect', -2, list_concat(h[3:], [h[n - 1], h[n - 2]]) FROM a
   UNION ALL SELECT k, 'wrap', 3, list_concat(h[n - 2:], h[1:n - 3]) FROM a UNION ALL SELECT k, 'wrap', -2, list_concat(h[3:], h[1:2]) FROM a)
-SELECT k, fill, CAST(by AS BIGINT) AS by, t, {_r('v', 'v')} FROM (SELECT k, fill, by, unnest(range(len(x))) AS t, unnest(x) AS v FROM s)"""
+SELECT k, fill, CAST("by" AS BIGINT) AS "by", t, {_r('v', 'v')} FROM (SELECT k, fill, "by", unnest(range(len(x))) AS t, unnest(x) AS v FROM s)"""
 SMOOTH = "list_transform(range(len({x})), lambda i: list_sum(list_transform(range(i - 2, i + 3), lambda j: {x}[CAST(greatest(0, least(len({x}) - 1, j)) AS INT) + 1])) / 5)"
 ORACLES["moving_average_edge"] = f"""WITH {UE}, {_cleaned('ue', 'uc')}, w AS (SELECT k, list(v ORDER BY t) AS x FROM uc GROUP BY 1),
 s AS (SELECT k, {SMOOTH.format(x='x')} AS x FROM w) SELECT k, t, {_r('v', 'smooth')} FROM (SELECT k, unnest(range(len(x))) AS t, unnest(x) AS v FROM s)"""

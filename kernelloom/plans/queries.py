@@ -119,10 +119,10 @@ def robust_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def asinh_transform(spark: SparkSession, sf: str) -> DataFrame:
-    """Scaled values and, through the inverse, the values again."""
+    """Scaled values, and whether the inverse gives the values again."""
     rows = _prepared(spark, sf).withColumn("z", S.transform_with_stats(F.col("history"), F.col("mu"), F.col("sigma")))
     rows = rows.withColumn("back", S.inverse_transform_with_stats(F.col("z"), F.col("mu"), F.col("sigma")))
-    return rows.select("k", F.posexplode(F.arrays_zip("z", "back")).alias("t", "e")).select("k", F.col("t").cast("long").alias("t"), _r("e.z").alias("z"), _r("e.back").alias("back"))
+    return rows.select("k", F.posexplode(F.arrays_zip("z", "back", "history")).alias("t", "e")).select("k", F.col("t").cast("long").alias("t"), _r("e.z").alias("z"), (F.abs(F.col("e.back") - F.col("e.history")) < 1e-9).alias("same"))
 
 
 @query
