@@ -49,12 +49,13 @@ def predict(model: DataFrame, query: DataFrame, kernel: Kernel, block: int = 102
     return array_sums(tiles(query, model, part, f"k {kind}, yhat array<double>", block=block), "yhat", "k")
 
 
-def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, tolerance: float = 1e-10, rounds: int = 200, block: int = 1024) -> DataFrame:
+def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, tolerance: float = 1e-9, rounds: int = 200, block: int = 1024) -> DataFrame:
     """``train`` (k, x, y) with alpha, without any task holding more than a tile of the system.
 
     All right-hand sides advance together, each with its own step length; only those few numbers come to
     the driver.  The state is cut each round, so a lost executor repeats one round at most.
     """
+    train = cut(train)
     size = train.select(F.max(F.size("y"))).first()[0]
     zip_ = lambda a, b, s: F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.array(*map(F.lit, s)).alias("s")), lambda e: e["a"] + e["s"] * e["b"])
 

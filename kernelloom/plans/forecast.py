@@ -91,7 +91,7 @@ def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: fl
 
     def one(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(u) or not len(v):
-            return pd.DataFrame({domain: [], "k": [], "yhat": [], "lengthscale": []})
+            return pd.DataFrame(columns=[domain, "k", "yhat", "lengthscale"], dtype=object)
         u = u.sort_values("k", ignore_index=True)
         own = kernel.estimated(u.iloc[: getattr(kernel, "points", 24)])
         alpha = ridge(own.matrix(u, u), stack(u["y"]), gamma)

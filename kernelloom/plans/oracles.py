@@ -166,7 +166,7 @@ ORACLES["krr_conjugate_gradients"] = _krr(_TRAIN) + " " + _long("al", "alpha[1:2
 ORACLES["krr_rbf_forecast"] = _scored() + f" SELECT name, domain, {_S3} FROM sc"
 _SUMMARY = ", ".join(_r(e, n) for e, n in (("avg(rmse)", "mean_rmse"), ("avg(relative_rmse)", "mean_rel_rmse"), ("median(relative_rmse)", "median_rel_rmse"), ("avg(mase)", "mean_mase"), ("median(mase)", "median_mase")))
 ORACLES["krr_summary"] = _scored() + f" SELECT count(*) AS n_test, {_SUMMARY} FROM sc"
-ORACLES["run_all_domains"] = _scored(group="domain", on="a.domain = b.gr") + f" SELECT name, domain, {_S3} FROM sc"
+ORACLES["run_all_domains"] = _scored("SELECT * FROM pr WHERE k < 20", "domain", "SELECT * FROM pr WHERE k >= 20", "a.domain = b.gr") + f" SELECT name, domain, {_S3} FROM sc"
 ORACLES["scaling_study"] = _scored("SELECT * FROM (SELECT pr.*, row_number() OVER (ORDER BY k) AS rk FROM pr WHERE k % 5 <> 0) JOIN (SELECT unnest([5, 10, 20]) AS n) ON rk <= n", "n") + f" SELECT CAST(gr AS BIGINT) AS n_train, {_r('avg(rmse)', 'mean_rmse')}, {_r('avg(mase)', 'mean_mase')} FROM sc GROUP BY 1"
 
 NAIVE = NX + """,
