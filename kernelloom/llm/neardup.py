@@ -12,8 +12,9 @@
 Pairs of a large bucket aren't all listed.  First every class is compared with its buckets' smallest
 member; links found there already join most true groups.  Only pairs that these links leave in
 different components are then compared, in blocks of bounded size and with further batches of
-one-byte hashes, so no link between components is missed (but for ``miss`` and the bands' own miss,
-``(1 - t**rows)**bands``: 3e-7 at t = 0.75).
+one-byte hashes.  A block names a spanning forest of its likeliest pairs, round after round, so a
+group of n near copies costs some n verifications, not n squared.  No link between components is
+missed (but for ``miss`` and the bands' own miss, ``(1 - t**rows)**bands``: 3e-7 at t = 0.75).
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from kernelloom.llm.words import mix, shingle_sets
 BLOCK = 1024
 #: Further one-byte hashes for pairs within a bucket, and how many make a batch.
 LONG, LONG_BATCH = 1024, 256
+#: Rounds in which blocks name forests of pairs; whatever is left then is named whole.
+FOREST_ROUNDS = 4
 
 
 def hash_family(n: int, seed: int = 20240501) -> tuple[np.ndarray, np.ndarray]:
@@ -203,11 +206,26 @@ def near_duplicates(
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges, scratch, "cc-2")
-    # within the buckets that still hold several components
-    left = _across(labelled(members.select("key", "node"), labels, "node", "label"), cand, scratch, steps, total, share, miss)
-    last = scratch.write(linked(left), "edges-3")
-    if not last.isEmpty():
-        labels = components(edges.unionByName(last), scratch, "cc-3")
+    # within the buckets that still hold several components, in rounds: a block names a forest of its
+    # likeliest pairs; what verification refutes isn't named again; a block that names none is done
+    blocks = _blocks(labelled(members.select("key", "node"), labels, "node", "label"), cand, scratch)
+    refuted = None
+    for turn in range(FOREST_ROUNDS + 1):
+        sides = blocks if turn == 0 else labelled(blocks.drop("label"), labels, "node", "label")
+        named = scratch.write(_across(sides, refuted, steps, total, share, miss, whole=turn == FOREST_ROUNDS), f"named-{turn}")
+        if named.isEmpty():
+            break
+        good = scratch.write(linked(named.select("a", "b").distinct()), f"edges-3-{turn}")
+        edges = edges.unionByName(good)
+        if turn == FOREST_ROUNDS:
+            break
+        new = named.join(good, ["a", "b"], "left_anti")
+        refuted = scratch.write(new if refuted is None else refuted.unionByName(new), f"refuted-{turn}")
+        # only blocks that named pairs can name more
+        blocks = scratch.write(sides.join(named.select("key", "x", "y").distinct(), ["key", "x", "y"], "left_semi"), f"blocks-{turn}")
+        if not good.isEmpty():
+            labels = components(edges, scratch, f"cc-3-{turn}")
+    labels = components(edges, scratch, "cc-4")
 
     smallest = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     smallest = labelled(smallest, labels, "node", "component_id").select("digest", "component_id")
@@ -228,16 +246,14 @@ def _survivors(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np
     return live
 
 
-def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[tuple[int, int]], total: int, share: float, miss: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and pass the batches' bounds.
+def _blocks(members: DataFrame, cand: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, x, y, side, node, label, sig, long) of the buckets that hold several components.
 
     In each bucket, its most frequent component forms the main part and all others the rest; every
     pair in question has a member in the rest.  The bucket is cut into blocks of the whole and blocks
     of the rest, and each pair of such blocks is one group: at most ``2 * BLOCK`` signatures.
     """
     family = hash_family(LONG, seed=20240502)
-    # two different minima share their low byte once in 256
-    more = least_matches(LONG_BATCH, LONG, share + (1 - share) / 256, miss)
 
     def lengthen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -255,11 +271,38 @@ def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[t
     mine = mixed.withColumns({"x": F.pmod(row, "blocks").cast("int"), "y": F.pmod(row, "rests").cast("int")})
     whole = mine.select("key", "node", "label", "x", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("y"), F.lit(0).alias("side"))
     rest = mine.where("label <> main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(1).alias("side"))
-    sides = whole.unionByName(rest).join(nodes, "node")
+    return whole.unionByName(rest).join(nodes, "node")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+
+def _forest(found: list[tuple[int, int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
+    """Of pairs (equal hashes, a, b), the likeliest first, those that join components not yet joined."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = root[v]
+        return v
+
+    out = []
+    for _, a, b in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+        u, v = top(label[a]), top(label[b])
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((a, b))
+    return out
+
+
+def _across(sides: DataFrame, refuted: DataFrame | None, steps: list[tuple[int, int]], total: int, share: float, miss: float, whole: bool) -> DataFrame:
+    """(key, x, y, a, b): pairs of different components that pass the batches' bounds and aren't refuted;
+    all of them with ``whole``, else a spanning forest of each block's."""
+    # two different minima share their low byte once in 256
+    more = least_matches(LONG_BATCH, LONG, share + (1 - share) / 256, miss)
+    schema = "key long, x int, y int, a long, b long"
+
+    def compare(where: tuple, part: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["side"] == 0], part[part["side"] == 1]
-        found = []
+        found, known = [], set(zip(gone["a"], gone["b"]))
         if len(left) and len(right):
             x = np.frombuffer(b"".join(left["sig"]), "<u4").reshape(len(left), total)
             y = np.frombuffer(b"".join(right["sig"]), "<u4").reshape(len(right), total)
@@ -271,7 +314,12 @@ def _across(members: DataFrame, cand: DataFrame, scratch: Scratch, steps: list[t
                 at = np.flatnonzero(xl != yl[i])
                 live = at[_survivors(x[at], np.broadcast_to(y[i], (len(at), total)), steps)]
                 live = live[_survivors(u[live], np.broadcast_to(v[i], (len(live), LONG)), more)]
-                found += [(max(n, yn[i]), min(n, yn[i])) for n in xn[live]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return sides.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+                hits = (u[live] == v[i]).sum(axis=1)
+                found += [(int(h), max(n, yn[i]), min(n, yn[i])) for h, n in zip(hits, xn[live])]
+        found = [f for f in set(found) if f[1:] not in known]
+        pairs = [f[1:] for f in found] if whole else _forest(found, dict(zip(part["node"], part["label"])))
+        return pd.DataFrame([(*where, *p) for p in pairs], columns=["key", "x", "y", "a", "b"])
+
+    if refuted is None:
+        refuted = sides.sparkSession.createDataFrame([], schema)
+    return sides.groupBy("key", "x", "y").cogroup(refuted.groupBy("key", "x", "y")).applyInPandas(compare, schema)
