@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     rows.unpersist()
     y = table["y"].to_numpy(np.float64) if len(table) else np.zeros(0)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         flat = np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1)) if len(y) else 0.0
         return Model(index, context, np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), float(flat), 1.0)
     x = np.array(table["x"].tolist(), np.float64)
