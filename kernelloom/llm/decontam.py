@@ -47,24 +47,25 @@ def template(toks: Column) -> Column:
 
 
 def _windows(df: DataFrame, widths: list[int], width: int, literals: int) -> DataFrame:
-    """Adds ``window``: structs (p, w, h, slots) of all windows of the given widths."""
-    df = df.withColumn("_tpl", template(F.col("_tok"))).withColumn("_any", F.exists("_tok", _is_slot))
+    """All windows of the given widths: the columns of ``df`` but ``_tok``, and p, w, h, slots.
 
-    def of(w: int) -> Column:
-        least = literals * w // width
-
-        def one(i: Column) -> Column:
-            loose = F.col("_any") & (F.size(F.filter(F.slice("_tok", i, w), lambda t: ~_is_slot(t))) < least)
-            return F.struct(
-                i.alias("p"), F.lit(w).alias("w"),
-                F.when(loose, F.xxhash64(F.lit("own"), F.slice("_tok", i, w))).otherwise(F.xxhash64(F.lit(w), F.slice("_tpl", i, w))).alias("h"),
-                F.when(F.col("_any"), F.filter(F.slice("_tok", i, w), _is_slot)).alias("slots"),
-            )
-
-        return F.when(F.size("_tok") >= w, F.transform(F.sequence(F.lit(1), F.size("_tok") - (w - 1)), one)).otherwise(F.array().cast("array<struct<p:int,w:int,h:bigint,slots:array<string>>>"))
-
-    parts = [of(w) for w in widths]
-    return df.withColumn("window", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0])).drop("_tok", "_tpl", "_any")
+    Functions of lambdas run once a text; what runs once a window is code that Spark generates.
+    """
+    df = df.withColumns({
+        "_tpl": F.transform(template(F.col("_tok")), lambda t: F.xxhash64(t)),
+        "_own": F.transform("_tok", lambda t: F.xxhash64(t)),
+        "_slot": F.when(F.exists("_tok", _is_slot), F.transform("_tok", lambda t: F.when(_is_slot(t), t).otherwise(""))),
+    }).drop("_tok")
+    df = df.withColumn("w", F.explode(F.array(*map(F.lit, widths))) if len(widths) > 1 else F.lit(widths[0]))
+    last = F.size("_tpl") - F.col("w") + 1
+    # the outer form spares a filter on sizes, which would split the texts twice
+    df = df.withColumn("p", F.explode_outer(F.when(last >= 1, F.sequence(F.lit(1), last)))).where("p is not null")
+    at = lambda tokens_: F.slice(tokens_, F.col("p"), F.col("w"))
+    slots = F.array_remove(at("_slot"), "")
+    # a text without slots has null ones: none of its windows is loose
+    loose = F.coalesce(F.size(slots) > F.col("w") - F.floor(F.col("w") * literals / width), F.lit(False))
+    h = F.when(loose, F.xxhash64(F.lit("own"), at("_own"))).otherwise(F.xxhash64("w", at("_tpl")))
+    return df.withColumns({"h": h, "slots": slots}).drop("_tpl", "_own", "_slot")
 
 
 def contaminated(
@@ -86,16 +87,16 @@ def contaminated(
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, share double, reworded boolean")
     if not widths:
         return empty
-    own = F.col("window.w") == F.col("_w")
+    own = F.col("w") == F.col("_w")
     bench = _windows(items.withColumn("_w", F.least(F.size("_tok"), F.lit(width))), widths, width, literals).where(own)
-    bench = bench.select("item_id", F.col("window.p").alias("q"), F.col("window.h").alias("h"), F.col("window.slots").alias("item_slots"))
+    bench = bench.select("item_id", F.col("p").alias("q"), "h", F.col("slots").alias("item_slots"))
     bench = bench.withColumn("q", F.struct("q", "h"))
     sizes = bench.groupBy("item_id").agg(F.count_distinct("q").cast("long").alias("item_windows"))
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("_tok")).where(F.col("_tok").isNotNull())
-    rows = _windows(rows, widths, width, literals).select("doc_id", F.col("window.p").alias("p"), F.col("window.h").alias("h"), F.col("window.slots").alias("doc_slots"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("_tok"))
+    rows = _windows(rows, widths, width, literals).select("doc_id", "p", "h", F.col("slots").alias("doc_slots"))
     nothing = F.array().cast("array<string>")
     pairs = F.arrays_zip(F.coalesce("item_slots", nothing).alias("a"), F.coalesce("doc_slots", nothing).alias("b"))
     met = rows.join(bench, "h").select("doc_id", "item_id", (F.col("p") - F.col("q.q")).alias("at"), "q", pairs.alias("pairs"))
