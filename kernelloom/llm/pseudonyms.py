@@ -18,6 +18,8 @@ their characters are replaced by a keyed digest's, of the same length and alphab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +81,21 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return F.when(n < 2, digits).otherwise(both[0])
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def refill(text: Column, digits: Column) -> Column:
     """``text`` with its digits replaced by ``digits``, in order."""
-    def at(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        return F.when(c.between("0", "9"), F.substr(digits, F.length(_digits(F.substr(text, F.lit(1), i))), F.lit(1))).otherwise(c)
+    def fill(new: Column) -> Column:
+        def at(i: Column) -> Column:
+            c = F.substr(text, i, F.lit(1))
+            return F.when(c.between("0", "9"), F.substr(new, F.length(_digits(F.substr(text, F.lit(1), i))), F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), at), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), at), "")
+
+    return let(digits, fill)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -112,8 +122,8 @@ def remainder97(text: Column) -> Column:
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     digits = _digits(m)
     payload = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (F.lit(10) - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10
-    return luhn_sum(digits) % 10 == 0, refill(m, F.concat(payload, check.cast("string")))
+    check = lambda p: (F.lit(10) - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10
+    return luhn_sum(digits) % 10 == 0, refill(m, let(payload, lambda p: F.concat(p, check(p).cast("string"))))
 
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
@@ -121,8 +131,8 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
     valid = remainder97(F.concat(account, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1
     new = refill(account, permute_digits(_digits(account), key, "iban"))
-    check = F.lpad((F.lit(98) - remainder97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return valid, refill(m, F.concat(check, _digits(new)))
+    check = lambda n: F.lpad((F.lit(98) - remainder97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0")
+    return valid, refill(m, let(new, lambda n: F.concat(check(n), _digits(n))))
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
