@@ -11,9 +11,9 @@
 
 Pairs of a large bucket aren't all listed.  First every class is compared with its buckets' smallest
 member; links found there already join most true groups.  Only pairs that these links leave in
-different components are then compared, in blocks of bounded size and with further batches of
-one-byte hashes.  A block names a spanning forest of its likeliest pairs, round after round, so a
-group of n near copies costs some n verifications, not n squared.  No link between components is
+different components are then compared, in blocks of bounded rows and bytes, with further batches of
+one-byte hashes and, where these leave a pair standing, on the full sets.  A block returns a spanning
+forest of its links, so no pair is ever a row unless it links.  No link between components is
 missed (but for ``miss`` and the bands' own miss, ``(1 - t**rows)**bands``: 3e-7 at t = 0.75).
 """
 
@@ -35,8 +35,8 @@ from kernelloom.llm.words import mix, shingle_sets
 BLOCK = 1024
 #: Further one-byte hashes for pairs within a bucket, and how many make a batch.
 LONG, LONG_BATCH = 1024, 256
-#: Rounds in which blocks name forests of pairs; whatever is left then is named whole.
-FOREST_ROUNDS = 4
+#: Bytes of shingle sets that a large bucket's block holds of each side, about.
+BLOCK_BYTES = 16 << 20
 
 
 def hash_family(n: int, seed: int = 20240501) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +82,40 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(node, component) of the nodes in ``edges`` (a, b): alternating large-star and small-star
-    steps, each a grouped minimum and a join, until the edge set no longer changes."""
+    """(node, component) of the nodes in ``edges`` (a, b) but the components' smallest: large-star and
+    small-star steps, each a grouped minimum and a join, until every node has one edge, to a root."""
     edges = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{tag}-0")
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    old, step = state(edges), 0
-    while True:
+    step = 0
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = scratch.write(large.where("a <> b"), f"{tag}-{2 * step + 1}")
+        large = both.join(low, "a").where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select("b", "low").where("b <> low").toDF("a", "b").unionByName(low.toDF("a", "b")).distinct()
-        edges = scratch.write(small, f"{tag}-{2 * step + 2}")
-        scratch.drop(f"{tag}-{2 * step}", f"{tag}-{2 * step + 1}")
-        new, step = state(edges), step + 1
-        if new == old:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        old = new
+        edges = scratch.write(small, f"{tag}-{step + 1}")
+        scratch.drop(f"{tag}-{step}")
+        step += 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node with an edge to a smaller one has one only, to a node that has none."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count() == 0
+
+
+def labelled(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
+    """``rows`` with each node's component; a node without a label is its own."""
+    named = labels.select(F.col("node").alias(col), F.col("component").alias(name))
+    return rows.join(named, col, "left").withColumn(name, F.coalesce(name, col))
+
+
+def merged(labels: DataFrame, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """``labels`` after further edges: only the components that these join are walked again."""
+    between = labelled(labelled(edges.select("a", "b"), labels, "a", "la"), labels, "b", "lb")
+    roots = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch, tag)
+    moved = labelled(labels, roots.toDF("component", "root").select(F.col("component").alias("node"), F.col("root").alias("component")), "component", "root")
+    return scratch.write(moved.select("node", F.col("root").alias("component")).unionByName(roots), f"{tag}-labels")
 
 
 def near_duplicates(
@@ -140,7 +156,7 @@ def near_duplicates(
 
     base = scratch.write(source.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, sig binary"), "base")
     full = base.where("digest is not null and doc_id is not null")
-    classes = scratch.write(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = scratch.write(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size")), "classes")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -151,13 +167,13 @@ def near_duplicates(
             key = np.broadcast_to(salt, sig.shape[:2]).copy()
             for k in range(rows):
                 key = mix(key ^ sig[:, :, k])
-            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "node": np.repeat(part["node"].to_numpy(), bands)})
+            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "node": np.repeat(part["node"].to_numpy(), bands), "size": np.repeat(part["size"].to_numpy(), bands)})
 
     by_key = Window.partitionBy("key")
     members = (
-        classes.select("node", "sig").mapInPandas(cut, "key long, node long")
+        classes.select("node", "sig", "size").mapInPandas(cut, "key long, node long, size long")
         .withColumns({"pivot": F.min("node").over(by_key), "n": F.count("*").over(by_key)})
-        .where("n > 1").select("key", "node", "pivot")
+        .where("n > 1").select("key", "node", "size", "pivot")
     )
     members = scratch.write(members, "members")
 
@@ -167,7 +183,7 @@ def near_duplicates(
             good = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(d) for s, d in zip(sets, part["digest"])]
             yield pd.DataFrame({"node": part["node"], "digest": part["digest"], "sig": part["sig"], "shingles": [s.tobytes() for s in sets]})[good]
 
-    wanted = members.select("node").distinct().join(classes, "node")
+    wanted = members.select("node").distinct().join(classes.drop("size"), "node")
     cand = (
         wanted.join(source, wanted.node == source.doc_id).select("node", "digest", "sig", "text")
         .mapInPandas(with_sets, "node long, digest binary, sig binary, shingles binary")
@@ -192,40 +208,19 @@ def near_duplicates(
         right = cand.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("shingles_b"))
         return pairs.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long")
 
-    def labelled(rows_: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
-        named = labels.select(F.col("node").alias(col), F.col("component").alias(name))
-        return rows_.join(named, col, "left").withColumn(name, F.coalesce(name, col))
-
     # each class against the smallest of its buckets' smallest members
     first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).withColumnRenamed("node", "a")
-    edges = scratch.write(linked(first), "edges-1")
-    labels = components(edges, scratch, "cc-1")
+    labels = components(scratch.write(linked(first), "edges-1"), scratch, "cc-1")
     # against the other buckets' smallest members, where that would join components
     rest = labelled(labelled(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), labels, "a", "la"), labels, "b", "lb")
     more = scratch.write(linked(rest.where("la <> lb").select("a", "b").join(first, ["a", "b"], "left_anti")), "edges-2")
     if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = components(edges, scratch, "cc-2")
-    # within the buckets that still hold several components, in rounds: a block names a forest of its
-    # likeliest pairs; what verification refutes isn't named again; a block that names none is done
-    blocks = _blocks(labelled(members.select("key", "node"), labels, "node", "label"), cand, scratch)
-    refuted = None
-    for turn in range(FOREST_ROUNDS + 1):
-        sides = blocks if turn == 0 else labelled(blocks.drop("label"), labels, "node", "label")
-        named = scratch.write(_across(sides, refuted, steps, total, share, miss, whole=turn == FOREST_ROUNDS), f"named-{turn}")
-        if named.isEmpty():
-            break
-        good = scratch.write(linked(named.select("a", "b").distinct()), f"edges-3-{turn}")
-        edges = edges.unionByName(good)
-        if turn == FOREST_ROUNDS:
-            break
-        new = named.join(good, ["a", "b"], "left_anti")
-        refuted = scratch.write(new if refuted is None else refuted.unionByName(new), f"refuted-{turn}")
-        # only blocks that named pairs can name more
-        blocks = scratch.write(sides.join(named.select("key", "x", "y").distinct(), ["key", "x", "y"], "left_semi"), f"blocks-{turn}")
-        if not good.isEmpty():
-            labels = components(edges, scratch, f"cc-3-{turn}")
-    labels = components(edges, scratch, "cc-4")
+        labels = merged(labels, more, scratch, "cc-2")
+    # within the buckets that still hold several components
+    sides = _blocks(labelled(members.select("key", "node", "size"), labels, "node", "label"), cand, scratch)
+    good = scratch.write(_across(sides, steps, total, percent, miss).distinct(), "edges-3")
+    if not good.isEmpty():
+        labels = merged(labels, good, scratch, "cc-3")
 
     smallest = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     smallest = labelled(smallest, labels, "node", "component_id").select("digest", "component_id")
@@ -247,79 +242,76 @@ def _survivors(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np
 
 
 def _blocks(members: DataFrame, cand: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, y, side, node, label, sig, long) of the buckets that hold several components.
+    """(key, x, y, side, node, label, sig, long, shingles) of the buckets that hold several components.
 
     In each bucket, its most frequent component forms the main part and all others the rest; every
     pair in question has a member in the rest.  The bucket is cut into blocks of the whole and blocks
-    of the rest, and each pair of such blocks is one group: at most ``2 * BLOCK`` signatures.
+    of the rest, and each pair of such blocks is one group: of about ``2 * BLOCK`` rows or
+    ``2 * BLOCK_BYTES``, whichever is less.
     """
     family = hash_family(LONG, seed=20240502)
 
     def lengthen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [signature(np.frombuffer(s, np.uint64), *family).astype(np.uint8).tobytes() for s in part["shingles"]]
-            yield pd.DataFrame({"node": part["node"], "sig": part["sig"], "long": rows})
+            yield part.assign(long=rows)
 
-    per = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    per = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("n").alias("top"))
-    mixed = scratch.write(members.join(per.where("labels > 1"), "key").drop("labels"), "mixed")
+    per = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
+    per = per.groupBy("key").agg(
+        F.max_by(F.struct("label", "n", "sizes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("sizes").alias("sizes"), F.count("*").alias("labels")
+    )
+    mixed = scratch.write(members.drop("size").join(per.where("labels > 1").drop("labels"), "key"), "mixed")
     nodes = mixed.select("node").distinct().join(cand, "node").select("node", "sig", "shingles")
-    nodes = scratch.write(nodes.mapInPandas(lengthen, "node long, sig binary, long binary"), "long")
-    block = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    row = F.xxhash64("node")
-    mixed = mixed.withColumns({"blocks": block(F.col("n")), "rests": block(F.col("n") - F.col("top"))})
+    nodes = scratch.write(nodes.mapInPandas(lengthen, "node long, sig binary, shingles binary, long binary"), "long")
+    block = lambda n, sizes: F.ceil(F.greatest(n / F.lit(float(BLOCK)), sizes * 8 / F.lit(float(BLOCK_BYTES)))).cast("int")
+    row, main = F.xxhash64("node"), F.col("main")
+    mixed = mixed.withColumns({"blocks": block(F.col("n"), F.col("sizes")), "rests": block(F.col("n") - main["n"], F.col("sizes") - main["sizes"])})
     mine = mixed.withColumns({"x": F.pmod(row, "blocks").cast("int"), "y": F.pmod(row, "rests").cast("int")})
     whole = mine.select("key", "node", "label", "x", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("y"), F.lit(0).alias("side"))
-    rest = mine.where("label <> main").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(1).alias("side"))
+    rest = mine.where(F.col("label") != main["label"]).select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", F.lit(1).alias("side"))
     return whole.unionByName(rest).join(nodes, "node")
 
 
-def _forest(found: list[tuple[int, int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
-    """Of pairs (equal hashes, a, b), the likeliest first, those that join components not yet joined."""
-    root: dict[int, int] = {}
-
-    def top(v: int) -> int:
-        while (up := root.get(v, v)) != v:
-            root[v] = root.get(up, up)
-            v = root[v]
-        return v
-
-    out = []
-    for _, a, b in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-        u, v = top(label[a]), top(label[b])
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((a, b))
-    return out
+def _shared(sets: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """How many elements each of ``sets`` shares with ``one``; all are sorted, distinct and not empty."""
+    ends = np.cumsum([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate(([0], ends[:-1])))
 
 
-def _across(sides: DataFrame, refuted: DataFrame | None, steps: list[tuple[int, int]], total: int, share: float, miss: float, whole: bool) -> DataFrame:
-    """(key, x, y, a, b): pairs of different components that pass the batches' bounds and aren't refuted;
-    all of them with ``whole``, else a spanning forest of each block's."""
+def _across(sides: DataFrame, steps: list[tuple[int, int]], total: int, percent: int, miss: float) -> DataFrame:
+    """(a, b): of each block's links between different components, a spanning forest."""
     # two different minima share their low byte once in 256
+    share = percent / 100
     more = least_matches(LONG_BATCH, LONG, share + (1 - share) / 256, miss)
-    schema = "key long, x int, y int, a long, b long"
 
-    def compare(where: tuple, part: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["side"] == 0], part[part["side"] == 1]
-        found, known = [], set(zip(gone["a"], gone["b"]))
+        links = []
         if len(left) and len(right):
             x = np.frombuffer(b"".join(left["sig"]), "<u4").reshape(len(left), total)
             y = np.frombuffer(b"".join(right["sig"]), "<u4").reshape(len(right), total)
             u = np.frombuffer(b"".join(left["long"]), np.uint8).reshape(len(left), LONG)
             v = np.frombuffer(b"".join(right["long"]), np.uint8).reshape(len(right), LONG)
+            sets, others = ([np.frombuffer(s, np.uint64) for s in half["shingles"]] for half in (left, right))
+            size = np.array([len(s) for s in sets])
             xn, yn = left["node"].to_numpy(), right["node"].to_numpy()
-            xl, yl = left["label"].to_numpy(), right["label"].to_numpy()
+            xl, yl = left["label"].to_numpy().copy(), right["label"].to_numpy().copy()
             for i in range(len(y)):
-                at = np.flatnonzero(xl != yl[i])
+                n = len(others[i])
+                at = np.flatnonzero((xl != yl[i]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
                 live = at[_survivors(x[at], np.broadcast_to(y[i], (len(at), total)), steps)]
                 live = live[_survivors(u[live], np.broadcast_to(v[i], (len(live), LONG)), more)]
-                hits = (u[live] == v[i]).sum(axis=1)
-                found += [(int(h), max(n, yn[i]), min(n, yn[i])) for h, n in zip(hits, xn[live])]
-        found = [f for f in set(found) if f[1:] not in known]
-        pairs = [f[1:] for f in found] if whole else _forest(found, dict(zip(part["node"], part["label"])))
-        return pd.DataFrame([(*where, *p) for p in pairs], columns=["key", "x", "y", "a", "b"])
-
-    if refuted is None:
-        refuted = sides.sparkSession.createDataFrame([], schema)
-    return sides.groupBy("key", "x", "y").cogroup(refuted.groupBy("key", "x", "y")).applyInPandas(compare, schema)
+                if not len(live):
+                    continue
+                both = _shared([sets[k] for k in live], others[i])
+                for k in live[100 * both >= percent * (size[live] + n - both)]:
+                    old, new = xl[k], yl[i]
+                    if old != new:
+                        links.append((max(xn[k], yn[i]), min(xn[k], yn[i])))
+                        xl[xl == old] = new
+                        yl[yl == old] = new
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return sides.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")

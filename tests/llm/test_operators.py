@@ -47,6 +47,7 @@ def test_near_duplicates(spark, monkeypatch):
         docs.append((10 + i, " ".join(text)))
     docs += [(200 + i, " ".join(rng.choice(words, 40))) for i in range(40)] + [(300, "z " * 30_000)]
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 10_000)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
     want = classes(docs)
@@ -54,9 +55,9 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_forest_names_no_pair_twice_over():
-    label = {i: i for i in range(5)}
-    assert neardup._forest([(9, 1, 0), (8, 2, 1), (7, 2, 0), (6, 4, 3)], label) == [(1, 0), (2, 1), (4, 3)]
+def test_shared_counts_of_sets():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [9], [2, 7, 2**63])]
+    assert neardup._shared(sets, np.array([2, 3, 2**63], np.uint64)).tolist() == [2, 0, 2]
 
 
 def test_nearest_neighbours(spark, sf):
