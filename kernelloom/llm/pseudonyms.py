@@ -215,6 +215,43 @@ def _alone(pattern: str) -> str:
     return cut[: cut.rindex("(?!")] if "(?!" in cut else cut
 
 
+#: A card's or an IBAN's span ends where its next character isn't a letter or digit.
+SPAN_END = "^[A-Za-z0-9](?:[^A-Za-z0-9]|$)"
+#: Characters in which the longest card fits: 19 digits, 18 blanks or hyphens, and the one behind them.
+CARD_WINDOW = 38
+
+
+def _shorter(m: Column, window: Column, key: str) -> Column:
+    """A struct (kind, old, new) of the longest valid card or IBAN at the start of an invalid match, or null.
+
+    ``window`` is the text from that start, of which ``m`` may hold less than a card.
+    """
+    def spans(head: Column) -> Column:
+        ends = F.filter(F.sequence(F.length(head), F.lit(12), F.lit(-1)), lambda n: F.substr(head, n, F.lit(2)).rlike(SPAN_END))
+        return F.transform(F.when(F.length(head) >= 12, ends), lambda n: F.substr(head, F.lit(1), n))
+
+    def longest(kind: str, head: Column) -> Column:
+        fits = f"^(?:{_alone(PATTERNS[kind])})$"
+        span = let(head, lambda h: F.get(F.filter(spans(h), lambda s: s.rlike(fits) & FORMATS[kind](s, key)[0]), F.lit(0)))
+        return let(span, lambda s: F.when(s.isNotNull(), F.struct(F.lit(kind).alias("kind"), s.alias("old"), FORMATS[kind](s, key)[1].alias("new"))))
+
+    card = F.regexp_extract(window, f"^{_alone(PATTERNS['card'])}(?![0-9])", 0)
+    return F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), longest("iban", m)).when(m.rlike("^[0-9]"), longest("card", card))
+
+
+def _found(text: Column, starts: Column, matches: Column, key: str) -> Column:
+    """The valid matches, an array of structs (kind, old, new, at, end): at each start the first format's
+    longest span that is valid; starts in turn, without those inside a match already taken."""
+    def judge(m: Column, at: Column) -> Column:
+        whole = let(pseudonym(m, key), lambda p: F.when(p["kind"].isNotNull(), F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
+        best = F.coalesce(whole, _shorter(m, F.substr(text, at, F.lit(CARD_WINDOW)), key))
+        return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["kind"].alias("kind"), b["old"].alias("old"), b["new"].alias("new"), at.alias("at"), (at + F.length(b["old"])).alias("end"))))
+
+    valid = F.filter(F.zip_with(matches, starts, judge), lambda m: m.isNotNull())
+    none = F.array().cast("array<struct<kind:string,old:string,new:string,at:int,end:int>>")
+    return F.aggregate(valid, none, lambda kept, m: F.when(m["at"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)), F.concat(kept, F.array(m))).otherwise(kept))
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with new texts and three more columns: n_private, private_kinds (sorted, comma-joined)
     and private_places (array of kind, at: the match's place in the original text, from 1).
@@ -224,15 +261,21 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.col(text_col).cast("string")
     rows = docs.drop("n_private", "private_kinds", "private_places").withColumn("_hit", F.coalesce(text.rlike(ANY), F.lit(False)))
-    rows = rows.withColumn("_parts", F.when(F.col("_hit"), F.split(text, ANY, -1))).withColumn("_found", F.when(F.col("_hit"), F.regexp_extract_all(text, F.lit(ANY), 0)))
-    rows = rows.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("_parts", 1, F.size("_found")), "_new", lambda p, m: F.concat(p, m["new"])), ""), F.element_at("_parts", -1))
-    ends = F.transform("_found", lambda m, i: F.aggregate(F.slice("_parts", 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice("_found", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + 1)
-    valid = F.filter(F.zip_with("_new", ends, lambda m, e: F.struct(m["kind"].alias("kind"), e.alias("at"))), lambda m: m["kind"].isNotNull())
-    rows = rows.withColumn("private_places", F.coalesce(F.when(F.col("_hit"), valid), F.array().cast("array<struct<kind:string,at:int>>")))
+    # with a line end before it, no text starts with a match, so each part but the first does; starts
+    # inside a match are starts as well, for the case that it isn't valid
+    rows = rows.withColumn("_text", F.when(F.col("_hit"), F.concat(F.lit("\n"), text)))
+    rows = rows.withColumn("_starts", F.transform(F.split("_text", f"(?={ANY})", -1), lambda p: F.length(p)))
+    rows = rows.withColumn("_matches", F.regexp_extract_all("_text", F.lit(f"(?=({ANY}))"), F.lit(1)))
+    starts = F.aggregate(F.slice("_starts", 1, F.size("_starts") - 1), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1)) + n)))
+    rows = rows.withColumn("_starts", starts).withColumn("_found", _found(F.col("_text"), F.col("_starts"), F.col("_matches"), key))
+    before = lambda i: F.when(i > 0, F.get("_found", i - 1)["end"]).otherwise(2)
+    parts = F.transform("_found", lambda m, i: F.concat(F.substr("_text", before(i), m["at"] - before(i)), m["new"]))
+    joined = F.concat(F.array_join(parts, ""), F.substr(F.col("_text"), F.try_element_at("_found", F.lit(-1))["end"]))
+    places = F.transform("_found", lambda m: F.struct(m["kind"].alias("kind"), (m["at"] - 1).alias("at")))
+    rows = rows.withColumn("private_places", F.coalesce(places, F.array().cast("array<struct<kind:string,at:int>>")))
     out = {
         text_col: F.when(F.size("private_places") > 0, joined).otherwise(text),
         "n_private": F.size("private_places").cast("long"),
         "private_kinds": F.array_join(F.array_sort(F.array_distinct(F.transform("private_places", lambda m: m["kind"]))), ","),
     }
-    return rows.withColumns(out).drop("_hit", "_parts", "_found", "_new")
+    return rows.withColumns(out).drop("_hit", "_text", "_starts", "_matches", "_found")

@@ -127,6 +127,30 @@ def test_pseudonyms(spark):
     assert len(cards) == 3 and len(set(cards)) == 1
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = {
+        f"{card} 12/26": [("card", card)], "4111111111111111 123": [("card", "4111111111111111")], f"12 {card}": [("card", card)],
+        "room 123 555-123-4567": [("phone", "555-123-4567")], "42 2021-03-04 12345": [("date", "2021-03-04")], f"{iban} BIC": [("iban", iban)],
+        f"é {card} 555-123-4567 AB12 {iban} CAIXESBB, 12 {card} end": [("card", card), ("phone", "555-123-4567"), ("iban", iban), ("card", card)],
+        "2021-99-99 1234 5678 9012": [], "4111 1111 1111 1112 12/26": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "key").collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        places, end = [], 0
+        for kind, old in want:
+            end = text.index(old, end)
+            places.append((kind, end + 1))
+            end += len(old)
+        assert [tuple(p) for p in got[i].private_places] == places, text
+        rest = list(text)
+        for (_, at), (_, old) in zip(places, want):
+            assert got[i].text[at - 1 : at - 1 + len(old)] != old
+            rest[at - 1 : at - 1 + len(old)] = got[i].text[at - 1 : at - 1 + len(old)]
+        assert "".join(rest) == got[i].text
+
+
 def test_notices(spark):
     texts = ["Under the MIT License and the MIT license", "the apache license, v2", "nothing", None, "general public  license " + "pad " * 5000]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
