@@ -6,7 +6,8 @@ one alignment of a document with an item, each slot value of the item must alway
 in the document; otherwise the match is a coincidence of form, and goes.
 
 A window in which more than ``width - literals`` tokens are placeholders says too little by its form;
-such a window is compared by its own tokens.
+such a window is compared by its own tokens.  So is every window as well, without the marks of names:
+exact text is found whatever its case and blanks.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Marks a name; from the private-use area, so no text's own letter.
 NAME = "\ue000"
-#: A capitalised word after a lower-case letter, a comma or a semicolon and one blank is a name.
-NAME_PATTERN = r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)"
+#: A capitalised word after a lower-case letter, a comma or a semicolon and white space is a name.
+NAME_PATTERN = r"(?<=[\p{Ll},;])([\s\p{Z}]+)(\p{Lu}\p{Ll}+)"
 TOKEN_PATTERN = NAME + r"?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 #: Unit words that aren't ordinary words as well.
 UNITS = (
@@ -31,7 +32,7 @@ BROADCAST_WINDOWS = 600_000
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; a name bears its mark."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, NAME_PATTERN, NAME + "$1")), F.lit(TOKEN_PATTERN), 0)
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, NAME_PATTERN, "$1" + NAME + "$2")), F.lit(TOKEN_PATTERN), 0)
 
 
 def _is_number(t: Column) -> Column:
@@ -47,13 +48,15 @@ def template(toks: Column) -> Column:
 
 
 def _windows(df: DataFrame, widths: list[int], width: int, literals: int) -> DataFrame:
-    """All windows of the given widths: the columns of ``df`` but ``_tok``, and p, w, h, slots.
+    """All windows of the given widths: the columns of ``df`` but ``_tok``, and p, w, own, form, slots.
+
+    ``own`` hashes the window's plain tokens and ``form`` its template, which is null if it says too little.
 
     Functions of lambdas run once a text; what runs once a window is code that Spark generates.
     """
     df = df.withColumns({
         "_tpl": F.transform(template(F.col("_tok")), lambda t: F.xxhash64(t)),
-        "_own": F.transform("_tok", lambda t: F.xxhash64(t)),
+        "_own": F.transform("_tok", lambda t: F.xxhash64(F.when(t.startswith(NAME), F.substr(t, F.lit(2))).otherwise(t))),
         "_slot": F.when(F.exists("_tok", _is_slot), F.transform("_tok", lambda t: F.when(_is_slot(t), t).otherwise(""))),
     }).drop("_tok")
     df = df.withColumn("w", F.explode(F.array(*map(F.lit, widths))) if len(widths) > 1 else F.lit(widths[0]))
@@ -64,8 +67,14 @@ def _windows(df: DataFrame, widths: list[int], width: int, literals: int) -> Dat
     slots = F.array_remove(at("_slot"), "")
     # a text without slots has null ones: none of its windows is loose
     loose = F.coalesce(F.size(slots) > F.col("w") - F.floor(F.col("w") * literals / width), F.lit(False))
-    h = F.when(loose, F.xxhash64(F.lit("own"), at("_own"))).otherwise(F.xxhash64("w", at("_tpl")))
-    return df.withColumns({"h": h, "slots": slots}).drop("_tpl", "_own", "_slot")
+    made = {"own": F.xxhash64(F.lit("own"), at("_own")), "form": F.when(~loose, F.xxhash64("w", at("_tpl"))), "slots": slots}
+    return df.withColumns(made).drop("_tpl", "_own", "_slot")
+
+
+def _hashes() -> Column:
+    """The hashes that a window is found by: (h, exact)."""
+    own, form = (F.struct(F.col(n).alias("h"), F.lit(n == "own").alias("exact")) for n in ("own", "form"))
+    return F.when(F.col("form").isNull(), F.array(own)).otherwise(F.array(own, form))
 
 
 def contaminated(
@@ -89,16 +98,18 @@ def contaminated(
         return empty
     own = F.col("w") == F.col("_w")
     bench = _windows(items.withColumn("_w", F.least(F.size("_tok"), F.lit(width))), widths, width, literals).where(own)
-    bench = bench.select("item_id", F.col("p").alias("q"), "h", F.col("slots").alias("item_slots"))
-    bench = bench.withColumn("q", F.struct("q", "h"))
+    bench = bench.select("item_id", F.struct(F.col("p").alias("q"), F.coalesce("form", "own").alias("h")).alias("q"), "own", "form", F.col("slots").alias("item_slots"))
     sizes = bench.groupBy("item_id").agg(F.count_distinct("q").cast("long").alias("item_windows"))
+    bench = bench.select("item_id", "q", "item_slots", F.explode(_hashes()).alias("hit")).select("item_id", "q", "item_slots", "hit.h", "hit.exact")
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("_tok"))
-    rows = _windows(rows, widths, width, literals).select("doc_id", "p", "h", F.col("slots").alias("doc_slots"))
+    rows = _windows(rows, widths, width, literals).select("doc_id", "p", F.col("slots").alias("doc_slots"), F.explode(_hashes()["h"]).alias("h"))
     nothing = F.array().cast("array<string>")
-    pairs = F.arrays_zip(F.coalesce("item_slots", nothing).alias("a"), F.coalesce("doc_slots", nothing).alias("b"))
+    # equal text has equal values, also where the document's blanks or case hide a name
+    values = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("doc_slots"))
+    pairs = F.arrays_zip(F.coalesce("item_slots", nothing).alias("a"), F.coalesce(values, nothing).alias("b"))
     met = rows.join(bench, "h").select("doc_id", "item_id", (F.col("p") - F.col("q.q")).alias("at"), "q", pairs.alias("pairs"))
     # an alignment has each of the item's windows once, so these sets are as small as the item
     along = met.groupBy("doc_id", "item_id", "at").agg(F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -104,6 +104,16 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_whatever_case_and_blanks(spark):
+    item = "On Monday in Kent a farmer met Alice near Dover and then in York she paid Bob for apples from Wales while Carol of Leeds saw it"
+    short = "What is the largest planet of all"
+    docs = [item.lower(), item.upper(), item.replace(" ", "\n"), item.replace(" ", "  "), "everybody asks " + short, item.replace(" ", "  ").replace("Kent", "Devon"), "nothing of the kind"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.share, r.reworded) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {i: (7, 1.0, False) for i in range(4)} | {4: (8, 1.0, False), 5: (7, 1.0, True)}
+
+
 def test_token_files(spark, sf):
     from tokenizers import Tokenizer
 
