@@ -3,7 +3,9 @@
 Texts become tokens; numbers, names and units become typed placeholders, so a benchmark question with
 other parameters has the same template.  Windows of ``width`` template tokens are hash-joined.  Along
 one alignment of a document with an item, each slot value of the item must always meet the same value
-in the document; otherwise the match is a coincidence of form, and goes.
+in the document; windows by form that hold a value which meets several are coincidences, and go.
+
+An item is found by a share of its windows, or by a run of them whatever the item's length.
 
 A window in which more than ``width - literals`` tokens are placeholders says too little by its form;
 such a window is compared by its own tokens.  So is every window as well, without the marks of names:
@@ -47,10 +49,11 @@ def template(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.when(_is_number(t), F.lit("<num>")).when(t.startswith(NAME), F.lit("<name>")).when(t.isin(UNITS), F.lit("<unit>")).otherwise(t))
 
 
-def _windows(df: DataFrame, widths: list[int], width: int, literals: int) -> DataFrame:
+def _windows(df: DataFrame, widths: list[int], width: int, literals: int, counted: bool = False) -> DataFrame:
     """All windows of the given widths: the columns of ``df`` but ``_tok``, and p, w, own, form, slots.
 
     ``own`` hashes the window's plain tokens and ``form`` its template, which is null if it says too little.
+    If ``counted``, also lo and hi: how many tokens before the window, and to its end, aren't slots.
 
     Functions of lambdas run once a text; what runs once a window is code that Spark generates.
     """
@@ -68,6 +71,10 @@ def _windows(df: DataFrame, widths: list[int], width: int, literals: int) -> Dat
     # a text without slots has null ones: none of its windows is loose
     loose = F.coalesce(F.size(slots) > F.col("w") - F.floor(F.col("w") * literals / width), F.lit(False))
     made = {"own": F.xxhash64(F.lit("own"), at("_own")), "form": F.when(~loose, F.xxhash64("w", at("_tpl"))), "slots": slots}
+    if counted:
+        lo, end = F.col("p") - 1, F.col("p") + F.col("w") - 1
+        literal = lambda n: n - F.coalesce(F.size(F.array_remove(F.slice("_slot", F.lit(1), n), "")), F.lit(0))
+        made |= {"lo": literal(lo), "hi": literal(end)}
     return df.withColumns(made).drop("_tpl", "_own", "_slot")
 
 
@@ -77,14 +84,26 @@ def _hashes() -> Column:
     return F.when(F.col("form").isNull(), F.array(own)).otherwise(F.array(own, form))
 
 
+def _longest(spans: Column) -> Column:
+    """The most tokens, hi - lo, in a run of consecutive windows, structs (q, lo, hi); 0 without windows."""
+    def add(run: Column, s: Column) -> Column:
+        lo = F.when(s["q"] <= run["q"] + 1, run["lo"]).otherwise(s["lo"])
+        return F.struct(s["q"].alias("q"), lo.alias("lo"), F.greatest(run["best"], s["hi"] - lo).alias("best"))
+
+    start = F.struct(F.lit(-9).alias("q"), F.lit(0).alias("lo"), F.lit(0).alias("best"))
+    return F.aggregate(F.array_sort(spans), start, add)["best"]
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    width: int = 8, literals: int = 5, shortest: int = 5, share: float = 0.5,
+    width: int = 8, literals: int = 5, shortest: int = 5, share: float = 0.5, run: int = 13,
 ) -> DataFrame:
     """One row a document and item found in it: doc_id, item_id, n_windows (of the item's, matched),
     item_windows, share, reworded (a slot has another value).  Clean documents have no row.
 
-    An item is found if at least ``share`` of its windows are matched consistently.  An item of fewer
+    An item is found if at least ``share`` of its windows are matched consistently, or if consecutive
+    ones along one alignment hold ``run`` equal tokens: all tokens of windows with equal text, those that
+    aren't slots of windows by form.  An item of fewer
     than ``width`` tokens is one window; one of fewer than ``shortest`` is no evidence and isn't
     searched.  Null ids take no part; null and empty texts match nothing; rows with one id count as one
     document, items with one id as one item; repeated rows change nothing; other columns are ignored.
@@ -97,10 +116,10 @@ def contaminated(
     if not widths:
         return empty
     own = F.col("w") == F.col("_w")
-    bench = _windows(items.withColumn("_w", F.least(F.size("_tok"), F.lit(width))), widths, width, literals).where(own)
-    bench = bench.select("item_id", F.struct(F.col("p").alias("q"), F.coalesce("form", "own").alias("h")).alias("q"), "own", "form", F.col("slots").alias("item_slots"))
+    bench = _windows(items.withColumn("_w", F.least(F.size("_tok"), F.lit(width))), widths, width, literals, counted=True).where(own)
+    bench = bench.select("item_id", F.struct(F.col("p").alias("q"), F.coalesce("form", "own").alias("h")).alias("q"), "own", "form", F.col("slots").alias("item_slots"), "lo", "hi")
     sizes = bench.groupBy("item_id").agg(F.count_distinct("q").cast("long").alias("item_windows"))
-    bench = bench.select("item_id", "q", "item_slots", F.explode(_hashes()).alias("hit")).select("item_id", "q", "item_slots", "hit.h", "hit.exact")
+    bench = bench.select("item_id", "q", "item_slots", "lo", "hi", F.explode(_hashes()).alias("hit")).select("item_id", "q", "item_slots", "lo", "hi", "hit.h", "hit.exact")
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
 
@@ -110,14 +129,20 @@ def contaminated(
     # equal text has equal values, also where the document's blanks or case hide a name
     values = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("doc_slots"))
     pairs = F.arrays_zip(F.coalesce("item_slots", nothing).alias("a"), F.coalesce(values, nothing).alias("b"))
-    met = rows.join(bench, "h").select("doc_id", "item_id", (F.col("p") - F.col("q.q")).alias("at"), "q", pairs.alias("pairs"))
-    # an alignment has each of the item's windows once, so these sets are as small as the item
-    along = met.groupBy("doc_id", "item_id", "at").agg(F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    along = along.where(consistent).withColumn("reworded", F.exists("pairs", lambda x: x["a"] != x["b"]))
-    found = along.select("doc_id", "item_id", "reworded", F.explode("q").alias("q")).groupBy("doc_id", "item_id").agg(F.count_distinct("q").cast("long").alias("n_windows"), F.bool_or("reworded").alias("reworded"))
+    met = rows.join(bench, "h").select("doc_id", "item_id", (F.col("p") - F.col("q.q")).alias("at"), F.struct("q", "exact", "lo", "hi", pairs.alias("pairs")).alias("hit"))
+    # an alignment has each of the item's windows twice at most, so these sets are as small as the item
+    along = met.groupBy("doc_id", "item_id", "at").agg(F.collect_set("hit").alias("hits"))
+    along = along.withColumn("pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))))
+    values = F.transform("pairs", lambda x: x["a"])
+    along = along.withColumn("several", F.when(F.size("pairs") > F.size(F.array_distinct(values)), F.array_distinct(F.filter(values, lambda a, i: F.array_position(values, a) != i + 1))).otherwise(nothing))
+    along = along.withColumn("hits", F.filter("hits", lambda h: h["exact"] | ~F.exists(h["pairs"], lambda x: F.array_contains(F.col("several"), x["a"])))).where(F.size("hits") > 0)
+    by_form = F.transform("hits", lambda h: F.struct(h["q"]["q"].alias("q"), h["lo"].alias("lo"), h["hi"].alias("hi")))
+    in_full = F.transform(F.filter("hits", lambda h: h["exact"]), lambda h: F.struct(h["q"]["q"].alias("q"), h["q"]["q"].alias("lo"), (h["q"]["q"] + width).alias("hi")))
+    along = along.withColumn("long_run", F.greatest(_longest(by_form), _longest(in_full)) >= run).withColumn("reworded", F.exists("pairs", lambda x: x["a"] != x["b"]))
+    along = along.select("doc_id", "item_id", "reworded", "long_run", F.explode(F.transform("hits", lambda h: h["q"])).alias("q"))
+    found = along.groupBy("doc_id", "item_id").agg(F.count_distinct("q").cast("long").alias("n_windows"), F.bool_or("reworded").alias("reworded"), F.bool_or("long_run").alias("long_run"))
     found = found.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_WINDOWS else sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("item_windows"))
-    return found.where(F.col("share") >= share).select("doc_id", "item_id", "n_windows", "item_windows", "share", "reworded")
+    return found.where((F.col("share") >= share) | F.col("long_run")).select("doc_id", "item_id", "n_windows", "item_windows", "share", "reworded")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -114,6 +114,22 @@ def test_decontamination_whatever_case_and_blanks(spark):
     assert got == {i: (7, 1.0, False) for i in range(4)} | {4: (8, 1.0, False), 5: (7, 1.0, True)}
 
 
+def test_decontamination_by_runs_and_inconsistent_slots(spark):
+    words = [f"{a}{b}" for a in "barn cold dusk fern gold hawk iris jade".split() for b in "el or us an ix um ay ock".split()]
+    item, rest = " ".join(words[:59]), " nothing else of it"
+    slots = f"she had 2 apples and {' '.join(words[30:44])} for 2 days {' '.join(words[44:58])} until 9 came"
+    docs = {
+        1: "intro " + " ".join(words[5:37]) + rest, 2: "intro " + " ".join(words[5:18]) + rest, 3: "intro " + " ".join(words[5:17]) + rest,
+        4: slots.replace("2 apples", "3 apples").replace("2 days", "5 days"), 5: slots.replace("2 days", "4 days"), 6: slots.replace("2 ", "6 "),
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, slots)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.reworded) for r in decontam.contaminated(df, bench).collect()}
+    # items share words 30 to 58, so passages of one may be passages of the other
+    assert {(1, 7): (25, False), (2, 7): (6, False)}.items() <= got.items() and not any(d == 3 for d, _ in got)
+    assert all(got[(d, 8)][1] for d in (4, 5, 6)) and got[(4, 8)][0] < got[(5, 8)][0] < got[(6, 8)][0]
+
+
 def test_token_files(spark, sf):
     from tokenizers import Tokenizer
 
