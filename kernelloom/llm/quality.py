@@ -1,8 +1,8 @@
 """Document quality from random-indexing word vectors and a two-layer network.
 
 Random indexing: each word has a sparse ternary index vector drawn from its hash, and its context
-vector is the sum of the index vectors of the words around it, over the training documents.  Words
-share ``SLOTS`` hashed rows, so the two tables have a fixed size.  A document's vector pools its
+vector is the sum of the index vectors of the words around it, over all documents.  Words share
+``SLOTS`` hashed rows, so the two tables have a fixed size.  A document's vector pools its
 words' index and context vectors (mean), the context vectors' spread, and a few moments.  Each word
 counts twice: by its letters, and by its shape (capitals, digits, marks, repeats of one character).
 
@@ -41,12 +41,16 @@ def index_table(seed: int = 7) -> np.ndarray:
     return table / np.float32(np.sqrt(2 * ONES))
 
 
+def _letter_slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (mix(word_hashes(_LOWER[buf], starts, ends)) & np.uint64(SLOTS // 2 - 1)).astype(np.int64)
+
+
 def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slot by letters, slot by shape, first word of each text and the end)."""
     buf, starts, ends, first = spans(texts)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), first
-    letters = mix(word_hashes(_LOWER[buf], starts, ends)) & np.uint64(SLOTS // 2 - 1)
+    letters = _letter_slots(buf, starts, ends)
     kinds = np.add.reduceat(np.eye(5, dtype=np.int32)[_LETTER[buf]], np.stack([starts, ends], 1).ravel())[0::2]
     size = ends - starts
     last = buf[ends - 1].astype(np.uint64)
@@ -60,26 +64,32 @@ def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(len(starts), np.uint64)
     again[1:] = letters[1:] == letters[:-1]
     shape = mix(shape * np.uint64(2) + again) & np.uint64(SLOTS // 2 - 1)
-    return letters.astype(np.int64), shape.astype(np.int64) + SLOTS // 2, first
+    return letters, shape.astype(np.int64) + SLOTS // 2, first
 
 
-def context_sums(texts: list, index: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors within ``WINDOW`` words, by slot, over the texts."""
-    total = np.zeros((SLOTS, DIM), np.float32)
+def context_sums(texts: list, signs: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors' signs within ``WINDOW`` words, by letters' slot, over the texts.
+
+    Whole numbers, so that sums don't depend on their order.
+    """
+    total = np.zeros((SLOTS // 2, DIM), np.int64)
     for a, b in chunks(texts):
-        letters, shape, first = word_slots([utf8(t) for t in texts[a:b]])
+        buf, starts, ends, first = spans([utf8(t) for t in texts[a:b]])
+        if not len(starts):
+            continue
+        letters = _letter_slots(buf, starts, ends)
         doc = np.repeat(np.arange(b - a), np.diff(first))
+        own, near = signs[letters], np.zeros((len(letters), DIM), np.int8)
         for step in range(1, WINDOW + 1):
-            near = np.flatnonzero(doc[step:] == doc[:-step])
-            for x, y in ((near, near + step), (near + step, near)):
-                for slots in (letters, shape):
-                    # sums by slot through sorting: np.add.at is far slower
-                    order = np.argsort(slots[x], kind="stable")
-                    key = slots[x][order]
-                    if not len(key):
-                        continue
-                    cut = np.flatnonzero(np.diff(key, prepend=-1))
-                    total[key[cut]] += np.add.reduceat(index[letters[y][order]], cut, axis=0)
+            same = (doc[step:] == doc[:-step]).astype(np.int8)[:, None]
+            near[step:] += own[:-step] * same
+            near[:-step] += own[step:] * same
+        # sums by slot through sorting: np.add.at is far slower
+        key = letters.astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cut = np.flatnonzero(np.diff(key.astype(np.int32), prepend=-1))
+        total[key[cut]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int32)
     return total
 
 
@@ -172,10 +182,37 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def context_table(texts: DataFrame, index: np.ndarray) -> np.ndarray:
+    """Context vectors of unit length, by slot, over all rows of ``texts`` (text).
+
+    A task sends one table of a fixed size, summed by slot; the driver gets one such table.  A slot
+    seen nowhere keeps its index vector, as do the shapes', whose context nothing reads.
+    """
+    signs = np.sign(index).astype(np.int8)
+    names = [f"c{i}" for i in range(DIM)]
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((SLOTS // 2, DIM), np.int64)
+        for p in parts:
+            total += context_sums(p["text"].tolist(), signs)
+        seen = np.flatnonzero(total.any(1))
+        out = pd.DataFrame(total[seen], columns=names)
+        out.insert(0, "slot", seen)
+        yield out
+
+    by_slot = texts.mapInPandas(sums, "slot long, " + ", ".join(f"{n} long" for n in names)).groupBy("slot").agg(*[F.sum(n).alias(n) for n in names])
+    table = by_slot.toPandas()
+    context = np.zeros((SLOTS, DIM))
+    context[table["slot"].to_numpy(np.int64)] = table[names].to_numpy(np.float64)
+    norm = np.sqrt((context**2).sum(1, keepdims=True))
+    return np.where(norm > 0, context / np.maximum(norm, 1e-9), index).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000) -> Model:
     """A model from at most ``sample`` labelled rows that satisfy ``train``, those of the smallest hash.
 
-    Of them, every fifth calibrates the temperature; the others train the network and the vectors.
+    Of them, every fifth calibrates the temperature; the others train the network.  Context vectors need
+    no labels and are summed over all of ``docs``.
     Rows without id, or whose label isn't 0 or 1, are left out; of several labels of one id, the
     smallest counts.  Without rows of both labels the model gives their share, 0.5 without any.
     """
@@ -185,19 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
     index = index_table()
 
-    @F.pandas_udf("binary")
-    def sums(part: pd.Series) -> bytes:
-        return context_sums(part.tolist(), index).tobytes()
-
     small_batches(docs.sparkSession)
+    context = context_table(texts.select("text"), index)
     rows = rows.repartition(8, "doc_id").persist()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(5))
-    # eight partial tables of a fixed size (SLOTS x DIM x 4 bytes)
-    tables = rows.where(part != 0).groupBy(F.pmod(F.xxhash64(F.lit("t"), "doc_id"), F.lit(8))).agg(sums("text").alias("sums")).toPandas()
-    context = sum((np.frombuffer(bytes(t), np.float32).reshape(SLOTS, DIM) for t in tables["sums"]), np.zeros((SLOTS, DIM), np.float32))
-    norm = np.sqrt((context**2).sum(1, keepdims=True))
-    # a word seen nowhere in training keeps its index vector
-    context = np.where(norm > 0, context / np.maximum(norm, 1e-9), index).astype(np.float32)
 
     def featurise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

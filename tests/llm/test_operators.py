@@ -196,6 +196,24 @@ def test_quality(spark):
     assert quality.score(docs.limit(3), flat).count() == 3
 
 
+def test_context_of_all_documents(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gamma", "delta"], rng.integers(0, 9))) for _ in range(50)] + [None, "unlabelled zeta word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model, index = quality.fit(docs, labels, F.lit(True), sample=10), quality.index_table()
+    slot = lambda w: quality.word_slots([w.lower().encode()])[0][0]
+    want = {}
+    for text in texts:
+        words = (text or "").split()
+        for i, w in enumerate(words):
+            near = [index[slot(words[j])] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
+            want[slot(w)] = want.get(slot(w), 0) + sum(near, np.zeros(quality.DIM))
+    for at, v in want.items():
+        assert model.context[at] == pytest.approx(v / np.linalg.norm(v), abs=1e-5)
+    assert slot("zeta") in want and not np.allclose(model.context[slot("zeta")], index[slot("zeta")])
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://a.NET/x", "https://example.net/en/1?q", "http://www.example.com/de/9#f", "http://x.org/fr/", "http://x.org", "http://notnet/de/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
