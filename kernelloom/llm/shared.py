@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="kernelloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
@@ -61,19 +64,48 @@ class Scratch:
         return f"{self.path}/{name}"
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Write a whole file from a task: under another name first, so that a lost or repeated
-    attempt never leaves half a file under the final name."""
+def _store(path: str):
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+
+
+def write_file(path: str, data: bytes) -> None:
+    """Write a whole file from a task.  Its name must be the attempt's own (``attempt_name``), so that no
+    attempt ever writes to another's file; a manifest that Spark commits says which attempt's counts."""
+    store, at = _store(path)
     store.create_dir(os.path.dirname(at), recursive=True)
-    part = f"{os.path.dirname(at)}/_{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(at) as out:
         out.write(data)
-    store.move(part, at)
 
 
-def small_batches(spark: SparkSession, megabytes: int = 32) -> None:
+def read_file(path: str) -> bytes:
+    store, at = _store(path)
+    with store.open_input_file(at) as source:
+        return source.read()
+
+
+def attempt_name(kind: str, suffix: str, n: int = 0) -> str:
+    """A file name that no other task and no other attempt of this one uses."""
+    task = TaskContext.get()
+    return f"{kind}-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId():x}-{uuid.uuid4().hex[:8]}.{suffix}"
+
+
+#: Bytes of an Arrow batch, about; every operator here needs the same bound, so no call undoes another's.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
