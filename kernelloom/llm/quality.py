@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernelloom.llm.shared import small_batches
-from kernelloom.llm.words import chunks, mix, spans, utf8, word_hashes
+from kernelloom.llm.words import blocks, chunks, mix, spans, utf8, word_hashes
 
 SLOTS, DIM, ONES, WINDOW = 1 << 14, 48, 4, 2
 _LETTER = np.zeros(256, np.uint8)
@@ -42,29 +42,34 @@ def index_table(seed: int = 7) -> np.ndarray:
 
 
 def _letter_slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return (mix(word_hashes(_LOWER[buf], starts, ends)) & np.uint64(SLOTS // 2 - 1)).astype(np.int64)
+    return (mix(word_hashes(_LOWER[buf], starts, ends)) & np.uint64(SLOTS // 2 - 1)).astype(np.int32)
 
 
-def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot by letters, slot by shape, first word of each text and the end)."""
-    buf, starts, ends, first = spans(texts)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), first
-    letters = _letter_slots(buf, starts, ends)
-    kinds = np.add.reduceat(np.eye(5, dtype=np.int32)[_LETTER[buf]], np.stack([starts, ends], 1).ravel())[0::2]
-    size = ends - starts
-    last = buf[ends - 1].astype(np.uint64)
+def _shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word's shape: of each kind of character none, one, some or all, and the last byte."""
+    lo = int(starts[0])
+    kinds, edges = _LETTER[buf[lo : int(ends[-1])]], np.stack([starts, ends], 1).ravel()[:-1] - lo
+    size, last = ends - starts, buf[ends - 1].astype(np.uint64)
     shape = np.zeros(len(starts), np.uint64)
     for k in range(5):
-        part = np.where(kinds[:, k] == 0, 0, np.where(kinds[:, k] == 1, 1, np.where(kinds[:, k] < size, 2, 3)))
+        n = np.add.reduceat(kinds == k, edges, dtype=np.int32)[0::2]
+        part = np.where(n == 0, 0, np.where(n == 1, 1, np.where(n < size, 2, 3)))
         shape = shape * np.uint64(4) + part.astype(np.uint64)
     # the last byte tells marks apart; a letter there says nothing more
-    shape = shape * np.uint64(257) + np.where(_LETTER[buf[ends - 1]] == 0, last, np.uint64(256))
-    # the same word again
-    again = np.zeros(len(starts), np.uint64)
-    again[1:] = letters[1:] == letters[:-1]
-    shape = mix(shape * np.uint64(2) + again) & np.uint64(SLOTS // 2 - 1)
-    return letters, shape.astype(np.int64) + SLOTS // 2, first
+    return shape * np.uint64(257) + np.where(_LETTER[buf[ends - 1]] == 0, last, np.uint64(256))
+
+
+def word_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot by letters, slot by shape, first word of each text and the end)."""
+    buf, starts, ends, first = spans(texts)
+    letters, shape = _letter_slots(buf, starts, ends), np.empty(len(starts), np.int32)
+    for i, j in blocks(starts, ends):
+        # whether the word is the same again
+        again = np.zeros(j - i, np.uint64)
+        again[1:] = letters[i + 1 : j] == letters[i : j - 1]
+        again[0] = i > 0 and letters[i] == letters[i - 1]
+        shape[i:j] = mix(_shapes(buf, starts[i:j], ends[i:j]) * np.uint64(2) + again) & np.uint64(SLOTS // 2 - 1)
+    return letters, shape + SLOTS // 2, first
 
 
 def context_sums(texts: list, signs: np.ndarray) -> np.ndarray:
@@ -75,31 +80,42 @@ def context_sums(texts: list, signs: np.ndarray) -> np.ndarray:
     total = np.zeros((SLOTS // 2, DIM), np.int64)
     for a, b in chunks(texts):
         buf, starts, ends, first = spans([utf8(t) for t in texts[a:b]])
-        if not len(starts):
-            continue
-        letters = _letter_slots(buf, starts, ends)
-        doc = np.repeat(np.arange(b - a), np.diff(first))
-        own, near = signs[letters], np.zeros((len(letters), DIM), np.int8)
-        for step in range(1, WINDOW + 1):
-            same = (doc[step:] == doc[:-step]).astype(np.int8)[:, None]
-            near[step:] += own[:-step] * same
-            near[:-step] += own[step:] * same
-        # sums by slot through sorting: np.add.at is far slower
-        key = letters.astype(np.uint16)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        cut = np.flatnonzero(np.diff(key.astype(np.int32), prepend=-1))
-        total[key[cut]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int32)
+        all_letters, all_docs = _letter_slots(buf, starts, ends), np.repeat(np.arange(b - a), np.diff(first))
+        for i, j in blocks(starts, ends):
+            # the words on both sides of the block serve as neighbours only
+            lo, hi = max(0, i - WINDOW), min(len(starts), j + WINDOW)
+            letters, doc = all_letters[lo:hi], all_docs[lo:hi]
+            own, near = signs[letters], np.zeros((len(letters), DIM), np.int8)
+            for step in range(1, WINDOW + 1):
+                same = (doc[step:] == doc[:-step]).astype(np.int8)[:, None]
+                near[step:] += own[:-step] * same
+                near[:-step] += own[step:] * same
+            # sums by slot through sorting: np.add.at is far slower
+            key, near = letters[i - lo : j - lo].astype(np.uint16), near[i - lo : j - lo]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            cut = np.flatnonzero(np.diff(key.astype(np.int32), prepend=-1))
+            total[key[cut]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int32)
     return total
 
 
 FEATURES = 3 * DIM + 5
 
 
+def _sums(table: np.ndarray, slots: np.ndarray, first: np.ndarray, size: int = 1 << 14) -> np.ndarray:
+    """Sums of the table's rows over each text's words; texts without words have zeros."""
+    out = np.zeros((len(first) - 1, DIM))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for i in range(0, len(slots), size):
+        own = text[i : i + size]
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[cut]] += np.add.reduceat(table[slots[i : i + size]], cut, axis=0)
+    return out
+
+
 def pool(texts: list, index: np.ndarray, context: np.ndarray) -> np.ndarray:
     """(texts, FEATURES): means of index and context vectors, and moments; zeros for no words."""
     out = np.zeros((len(texts), FEATURES), np.float32)
-    both = np.concatenate([index, context], axis=1)
     for a, b in chunks(texts):
         raw = [utf8(t) for t in texts[a:b]]
         letters, shape, first = word_slots(raw)
@@ -107,21 +123,15 @@ def pool(texts: list, index: np.ndarray, context: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(n)
         if not len(some):
             continue
-        at = first[some]
-        count = n[some, None].astype(np.float32)
-        by_letter = np.add.reduceat(both[letters], at, axis=0) / count
-        by_shape = np.add.reduceat(index[shape], at, axis=0) / count
-        doc = np.repeat(np.arange(len(some)), n[some])
-        distinct = np.bincount(np.unique(doc * SLOTS + letters) // SLOTS, minlength=len(some))
+        count = n[some]
+        means = [_sums(table, slots, first)[some] / count[:, None] for table, slots in ((index, letters), (context, letters), (index, shape))]
+        text = np.repeat(np.arange(len(n)), n)
+        distinct = np.bincount(np.unique(text * SLOTS + letters) // SLOTS, minlength=len(n))[some]
+        same = (letters[1:] == letters[:-1]) & (text[1:] == text[:-1])
+        again = np.bincount(text[1:][same], minlength=len(n))[some]
         size = np.array([len(raw[i]) for i in some])
-        again = np.zeros(len(letters))
-        again[1:] = letters[1:] == letters[:-1]
-        again[at] = 0
-        moments = np.stack([
-            np.log1p(n[some]) / 5, size / n[some] / 10, distinct / n[some],
-            np.add.reduceat(again, at) / n[some], np.sqrt((by_letter[:, :DIM] ** 2).sum(1)),
-        ], axis=1)
-        out[a + some] = np.concatenate([by_letter, by_shape, moments], axis=1)
+        moments = np.stack([np.log1p(count) / 5, size / count / 10, distinct / count, again / count, np.sqrt((means[0] ** 2).sum(1))], axis=1)
+        out[a + some] = np.concatenate([*means, moments], axis=1)
     return out
 
 
@@ -213,13 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     Of them, every fifth calibrates the temperature; the others train the network.  Context vectors need
     no labels and are summed over all of ``docs``.
-    Rows without id, or whose label isn't 0 or 1, are left out; of several labels of one id, the
-    smallest counts.  Without rows of both labels the model gives their share, 0.5 without any.
+    Rows without id, or whose label isn't 0 or 1, are left out; of several labels of one id the smallest
+    counts, and of several texts the least.  Without rows of both labels the model gives their share, 0.5
+    without any.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & train).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     index = index_table()
 
     small_batches(docs.sparkSession)
@@ -249,10 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column, ``quality_score``: 0 to 1, for null and empty texts too.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out: str = "quality_score") -> DataFrame:
+    """``docs`` with one more column, ``out``: 0 to 1, for null and empty texts too.
 
-    A column of that name is replaced; repeated rows repeat.
+    Whole texts count, however long.  A column of that name is replaced; repeated rows repeat; an empty
+    table stays empty.
     """
     small_batches(docs.sparkSession)
     # tables of a fixed size
@@ -262,7 +274,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series(shipped.value.scores(texts.tolist()))
 
-    return docs.withColumn("quality_score", scores(F.col(text_col).cast("string")))
+    return docs.withColumn(out, scores(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

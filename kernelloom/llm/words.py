@@ -21,11 +21,11 @@ _IS_WORD[list(BLANKS)] = False
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = max(1 << 18, 1 << int(n).bit_length())
         table = np.full(size, base, np.uint64)
         table[0] = 1
         table = np.multiply.accumulate(table)
-        if size <= 1 << 24:
+        if size <= 1 << 20:
             _powers[base] = table
     return table
 
@@ -41,7 +41,7 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def chunks(texts: list, size: int = 1 << 20):
+def chunks(texts: list, size: int = 1 << 17):
     """Ranges of texts of about ``size`` characters, a longer text alone."""
     first, total = 0, 0
     for i, text in enumerate(texts):
@@ -65,13 +65,27 @@ def spans(texts: list[bytes], is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarra
     return buf, starts, ends, np.searchsorted(starts, at)
 
 
+def blocks(starts: np.ndarray, ends: np.ndarray, size: int = 1 << 17):
+    """Ranges of words that span about ``size`` bytes, a longer word alone: what is made for each byte or
+    word is made for one range at a time, so a very long text needs no more memory than many short ones."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + size, side="right")))
+        yield i, j
+        i = j
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power_table(_PRIME, n)[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.empty(len(starts), np.uint64)
+    for i, j in blocks(starts, ends):
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _power_table(_PRIME, hi - lo)[: hi - lo], out=sums[1:])
+        h = (sums[b] - sums[a]) * _power_table(_INVERSE, hi - lo)[a]
+        out[i:j] = mix(h + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
