@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelloom.llm.shared import Scratch, small_batches
@@ -129,12 +129,15 @@ def near_duplicates(
     batch: int = 32,
     miss: float = 1e-7,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_key, group for every row of ``docs``.
+
+    ``text_key`` is a hash of the text, which tells rows of one id apart; ``group`` numbers the component,
+    null without shingles or id.  Two components have one component_id if two texts of that id head them.
 
     Null text, empty text and text of blanks only have an empty set: they are linked with nothing.
     Repeated rows get equal answers; rows that share a doc_id but not a text are linked by their own
-    texts.  A null doc_id takes no part: component_id null, kept true.  An empty table gives an
-    empty result; other columns are ignored.
+    texts.  A null doc_id takes no part: component_id null, kept true.  Whole texts count, however long.  An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -142,21 +145,28 @@ def near_duplicates(
     total, share = rows * bands, percent / 100
     a, b = hash_family(total)
     steps = least_matches(batch, total, share, miss)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sets = shingle_sets(part["text"].tolist(), width)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"],
+                "doc_id": part["doc_id"].astype("Int64"),
+                "text_key": part["text_key"],
                 "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "sig": [signature(s, a, b).tobytes() if len(s) else None for s in sets],
             })
 
-    base = scratch.write(source.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, sig binary"), "base")
+    base = scratch.write(source.mapInPandas(sign, "doc_id long, text_key long, n_shingles long, digest binary, sig binary"), "base")
     full = base.where("digest is not null and doc_id is not null")
-    classes = scratch.write(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size")), "classes")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size"))
+    classes = scratch.write(classes.withColumn("node", F.col("doc")), "classes")
+    if not classes.groupBy("node").count().where("count > 1").isEmpty():
+        # an id with several texts heads several classes: number these in the order of their ids
+        numbered = classes.repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest").withColumn("node", F.monotonically_increasing_id())
+        classes = scratch.write(numbered, "numbered")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -169,13 +179,12 @@ def near_duplicates(
                 key = mix(key ^ sig[:, :, k])
             yield pd.DataFrame({"key": key.view(np.int64).ravel(), "node": np.repeat(part["node"].to_numpy(), bands), "size": np.repeat(part["size"].to_numpy(), bands)})
 
-    by_key = Window.partitionBy("key")
-    members = (
-        classes.select("node", "sig", "size").mapInPandas(cut, "key long, node long, size long")
-        .withColumns({"pivot": F.min("node").over(by_key), "n": F.count("*").over(by_key)})
-        .where("n > 1").select("key", "node", "size", "pivot")
-    )
-    members = scratch.write(members, "members")
+    # a bucket's smallest member and size are one partial aggregate, and the join back has no more to do in
+    # its stage, so Spark may split a bucket of any size
+    buckets = classes.select("node", "sig", "size").mapInPandas(cut, "key long, node long, size long")
+    shared = scratch.write(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "shared")
+    members = scratch.write(buckets.join(shared, "key").select("key", "node", "size", "pivot"), "members")
+    scratch.drop("shared")
 
     def with_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -185,12 +194,11 @@ def near_duplicates(
 
     wanted = members.select("node").distinct().join(classes.drop("size"), "node")
     cand = (
-        wanted.join(source, wanted.node == source.doc_id).select("node", "digest", "sig", "text")
+        wanted.join(source, wanted.doc == source.doc_id).select("node", "digest", "sig", "text")
         .mapInPandas(with_sets, "node long, digest binary, sig binary, shingles binary")
         .dropDuplicates(["node", "digest"]).drop("digest")
     )
     cand = scratch.write(cand, "cand")
-    scratch.drop("classes")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -222,11 +230,13 @@ def near_duplicates(
     if not good.isEmpty():
         labels = merged(labels, good, scratch, "cc-3")
 
-    smallest = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    smallest = labelled(smallest, labels, "node", "component_id").select("digest", "component_id")
-    joined = full.select("doc_id", "n_shingles", "digest").join(smallest, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = base.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    heads = classes.select(F.col("node").alias("group"), F.col("doc").alias("component_id"))
+    named = labelled(classes.select("node", "digest"), labels, "node", "group").join(heads, "group").select("digest", "group", "component_id")
+    named = scratch.write(named, "named")
+    joined = full.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest").drop("digest")
+    alone = base.where("digest is null or doc_id is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return joined.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", "group")
 
 
 def _survivors(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -260,7 +270,8 @@ def _blocks(members: DataFrame, cand: DataFrame, scratch: Scratch) -> DataFrame:
     per = per.groupBy("key").agg(
         F.max_by(F.struct("label", "n", "sizes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("sizes").alias("sizes"), F.count("*").alias("labels")
     )
-    mixed = scratch.write(members.drop("size").join(per.where("labels > 1").drop("labels"), "key"), "mixed")
+    per = scratch.write(per.where("labels > 1").drop("labels"), "per")
+    mixed = scratch.write(members.drop("size").join(per, "key"), "mixed")
     nodes = mixed.select("node").distinct().join(cand, "node").select("node", "sig", "shingles")
     nodes = scratch.write(nodes.mapInPandas(lengthen, "node long, sig binary, shingles binary, long binary"), "long")
     block = lambda n, sizes: F.ceil(F.greatest(n / F.lit(float(BLOCK)), sizes * 8 / F.lit(float(BLOCK_BYTES)))).cast("int")
