@@ -7,7 +7,8 @@ sources at once are grouped sums over the sources' histograms of sizes, kept ins
 
 Rates become whole copies by error diffusion in blocks of bounded size: documents go from the
 longest to the shortest, each takes floor or ceiling so that the running error stays least, and at
-most two documents then change by one copy to bring the block's words nearest its target.
+most two documents then change by one copy to bring the block's words nearest its target.  Documents that
+agree in id, source and text are one group in a block, but get their copies each.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernelloom.llm.shared import Scratch, small_batches
+from kernelloom.llm.shared import Scratch, free_names, small_batches
 from kernelloom.llm.words import word_counts
 
 #: Documents that one task rounds together.
@@ -50,8 +51,12 @@ def capped_shares(weighted: DataFrame, total: float, repeats: float) -> DataFram
     return weighted.withColumn("target", F.least(cap, F.col("weight") * level))
 
 
-def tilted_rates(hist: DataFrame, targets: DataFrame, repeats: float, scratch: Scratch, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
-    """(source, scale, lam) solving each source's dual; lam is infinite where the cap binds everywhere."""
+def tilted_rates(hist: DataFrame, targets: DataFrame, repeats: float, scratch: Scratch, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(source, scale, lam) solving each source's dual; lam is infinite where the cap binds everywhere.
+
+    A source is done when its words are within ``tolerance`` of its target, or when no number is left
+    between its bracket's ends.  RuntimeError if one isn't done after ``rounds``: bisection alone ends sooner.
+    """
     hist = hist.where("size > 0")
     state = targets.where("source_size > 0").select(
         "source", "target", (F.col("source_size") / F.col("docs")).alias("scale"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
@@ -72,31 +77,38 @@ def tilted_rates(hist: DataFrame, targets: DataFrame, repeats: float, scratch: S
         newton = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         inside = newton.isNotNull() & (F.col("lo").isNull() | (newton > F.col("lo"))) & (F.col("hi").isNull() | (newton < F.col("hi"))) & (F.abs(newton - F.col("lam")) <= 4)
         wide = F.when(F.col("lo").isNull(), F.col("hi") * 2 - 1).when(F.col("hi").isNull(), F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        new = new.withColumn("done", F.col("full") | F.col("done") | F.coalesce(F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0)), F.lit(False)))
+        near = F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))
+        narrow = F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.abs("hi"), F.abs("lo"))
+        new = new.withColumn("done", F.col("full") | F.col("done") | F.coalesce(near, F.lit(False)) | F.coalesce(narrow, F.lit(False)))
         new = new.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(wide))
         state = scratch.write(new.drop("got", "slope"), f"dual-{step}")
         scratch.drop(f"dual-{step - 1}")
         if state.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the sources' rates haven't converged after {rounds} rounds")
     return state.select("source", "scale", F.when(F.col("full"), F.lit(float("inf"))).otherwise(F.col("lam")).alias("lam"))
 
 
-def diffuse(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Copies floor(r) or ceil(r) of documents in the given order, least running error of words."""
-    out, error = np.floor(rates).astype(np.int64), 0.0
-    part = (rates - out) * sizes
+def diffuse(sizes: np.ndarray, counts: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Copies of groups of ``counts`` equal documents in the given order, in all of a group's documents:
+    each document gets floor or ceiling of its rate, and the running error of words stays least."""
+    low = np.floor(rates).astype(np.int64)
+    out, error = low * counts, 0.0
+    part = (rates - low) * sizes * counts
     for i in np.flatnonzero(part > 0):
         error += part[i]
-        if 2 * error >= sizes[i]:
-            out[i] += 1
-            error -= sizes[i]
+        more = min(int(counts[i]), max(0, int(np.floor(error / sizes[i] + 0.5))))
+        out[i] += more
+        error -= more * sizes[i]
     return out
 
 
-def settle(copies: np.ndarray, sizes: np.ndarray, want: float, repeats: int) -> np.ndarray:
-    """Changes at most two documents' copies by one (one up, one down, or both) to come nearest ``want``."""
+def settle(copies: np.ndarray, sizes: np.ndarray, want: float, most: np.ndarray) -> np.ndarray:
+    """Changes at most two groups' copies by one (one up, one down, or both), between 0 and ``most``, to come
+    nearest ``want``."""
     error = want - float((copies * sizes).sum())
-    up, down = np.flatnonzero((copies < repeats) & (sizes > 0)), np.flatnonzero((copies > 0) & (sizes > 0))
+    up, down = np.flatnonzero((copies < most) & (sizes > 0)), np.flatnonzero((copies > 0) & (sizes > 0))
     # a change of nothing stands for "no document"
     gain, loss = np.append(sizes[up], 0.0), np.append(sizes[down], 0.0)
     order = np.argsort(loss, kind="stable")
@@ -117,11 +129,12 @@ def settle(copies: np.ndarray, sizes: np.ndarray, want: float, repeats: int) ->
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3, cycle: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """id, source, digest, n, size, source_size, target, copies: one row for all ``n`` documents that
-    agree in id, source and text (their digest).  They get as many copies each.
+    """id, source, digest, n, size, source_size, target, copies, more: one row for all ``n`` documents that
+    agree in id, source and text (their digest).  ``more`` of them get a copy more than ``copies``.
 
     A null or empty text has size 0 and no copies.  A null source is a source of its own.  Reruns on
-    the same rows agree.  An empty table gives an empty result; other columns are ignored.
+    the same rows agree.  A very long text is one document like any other.  An empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -151,11 +164,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         rate = np.zeros(len(part))
         some = size > 0
         rate[some] = np.minimum(repeats, np.exp(np.minimum(lam[some] * size[some] / scale[some], 50.0)))
-        size = size * part["n"].to_numpy()
-        part["copies"] = settle(diffuse(size, rate), size, float((rate * size).sum()), repeats)
-        return part[["id", "source", "digest", "n", "size", "source_size", "target", "copies"]]
+        n = part["n"].to_numpy()
+        copies = settle(diffuse(size, n, rate), size, float((rate * size * n).sum()), repeats * n)
+        part["copies"], part["more"] = copies // n, copies % n
+        return part[["id", "source", "digest", "n", "size", "source_size", "target", "copies", "more"]]
 
-    return rows.groupBy("source", "block").applyInPandas(to_copies, "id long, source string, digest long, n long, size long, source_size long, target double, copies long")
+    return rows.groupBy("source", "block").applyInPandas(to_copies, "id long, source string, digest long, n long, size long, source_size long, target double, copies long, more long")
 
 
 def _key(id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -163,9 +177,29 @@ def _key(id_col: str, text_col: str, source_col: str) -> list[Column]:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3, cycle: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """``docs`` as the mix takes it: each row as often as its copies, none for 0.  Edge cases: ``mix_plan``."""
-    plan = mix_plan(docs, id_col, text_col, source_col, repeats, cycle).where("copies > 0").select("id", "source", "digest", F.col("copies").alias("_copies"))
-    plan = plan.withColumnsRenamed({c: f"_k_{c}" for c in ("id", "source", "digest")})
-    keyed = docs.select("*", *[c.alias(f"_d_{n}") for c, n in zip(_key(id_col, text_col, source_col), ("id", "source", "digest"))])
-    joined = keyed.join(plan, [keyed[f"_d_{c}"].eqNullSafe(plan[f"_k_{c}"]) for c in ("id", "source", "digest")])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` as the mix takes it: each row as often as its copies, none for 0.  Edge cases: ``mix_plan``.
+
+    Of rows that agree in id, source and text but differ elsewhere, which get the copy more depends on the
+    table's partitions; how many do doesn't.
+    """
+    names = ("id", "source", "digest")
+    ours, theirs = free_names(docs, *names), free_names(docs, *[f"plan_{n}" for n in names])
+    copies, more, part, place, before, copy = free_names(docs, "copies", "more", "part", "place", "before", "copy")
+    scratch = Scratch(docs.sparkSession, "mixed")
+    plan = scratch.write(mix_plan(docs, id_col, text_col, source_col, repeats, cycle).where("copies > 0 or more > 0"), "plan")
+    uneven = not plan.where("more > 0").isEmpty()
+    plan = plan.select(*[F.col(n).alias(t) for n, t in zip(names, theirs)], F.col("copies").alias(copies), F.when(F.col("more") > 0, F.col("more")).alias(more))
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(_key(id_col, text_col, source_col), ours)], F.spark_partition_id().alias(part))
+    taken = keyed.join(plan, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(ours, theirs)]).drop(*theirs)
+    if uneven:
+        # equal rows, some of which get a copy more, are numbered by partition, and the partitions' counts added up
+        alike = scratch.write(taken.where(F.col(more).isNotNull()), "alike")
+        by = Window.partitionBy(*ours)
+        counts = alike.groupBy(*ours, part).agg(F.count("*").alias(place)).withColumn(before, F.sum(place).over(by.orderBy(part)) - F.col(place))
+        counts = counts.select(*[F.col(o).alias(t) for o, t in zip(ours, theirs)], F.col(part).alias(copy), before)
+        numbered = alike.withColumn(place, F.row_number().over(Window.partitionBy(*ours, part).orderBy(F.lit(0))))
+        numbered = numbered.join(counts, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip([*ours, part], [*theirs, copy])])
+        own = F.col(copies) + (F.col(place) + F.col(before) <= F.col(more)).cast("int")
+        kept = [F.col(f"`{c}`") for c in docs.columns]
+        taken = taken.where(F.col(more).isNull()).select(*kept, copies).unionByName(numbered.select(*kept, own.alias(copies)).where(F.col(copies) > 0))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

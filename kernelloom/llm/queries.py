@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: doc_id, n_shingles, component_id, kept."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""
@@ -47,6 +47,7 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of sources by weights 1, 2, 3 takes."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     each = plan.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    each = each.withColumn("copies", F.col("copies") + (F.col("i") <= F.col("more")).cast("long"))
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
