@@ -17,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernelloom.llm.shared import free_names
+
 #: Marks a name; from the private-use area, so no text's own letter.
 NAME = "\ue000"
 #: A capitalised word after a lower-case letter, a comma or a semicolon and white space is a name.
 NAME_PATTERN = r"(?<=[\p{Ll},;])([\s\p{Z}]+)(\p{Lu}\p{Ll}+)"
-TOKEN_PATTERN = NAME + r"?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
+#: Possessive, so that the JVM's matcher loops instead of recursing: a number may be a whole table of them.
+TOKEN_PATTERN = NAME + r"?\p{L}++|[0-9]++(?:[.,][0-9]++)*+"
 #: Unit words that aren't ordinary words as well.
 UNITS = (
     "kg mg cm mm km ml mph kmh kwh mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms "
@@ -107,6 +110,7 @@ def contaminated(
     than ``width`` tokens is one window; one of fewer than ``shortest`` is no evidence and isn't
     searched.  Null ids take no part; null and empty texts match nothing; rows with one id count as one
     document, items with one id as one item; repeated rows change nothing; other columns are ignored.
+    Empty tables give an empty result.  Whole texts are searched, however long.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("_tok"))
     items = items.where(F.col("item_id").isNotNull() & (F.size("_tok") >= shortest)).distinct()
@@ -146,6 +150,9 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated documents, columns unchanged."""
-    found = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_found"), "left_anti")
+    """``docs`` without the contaminated documents, columns unchanged, whatever their names.
+
+    Rows without an id stay; of rows that share one, all go if any is contaminated."""
+    (found_id,) = free_names(docs, "found_id")
+    found = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias(found_id)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(found_id), "left_anti")
