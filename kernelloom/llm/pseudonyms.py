@@ -2,18 +2,28 @@
 
 Validated numbers and dates go through a keyed Feistel permutation of their own format's values: a
 card number stays a card number with a right check digit, a date stays a date, a phone number keeps
-its country code and punctuation.  A permutation keeps different values different, and equal values
-stay linked across documents under one key.
-
-    format      validated by                    permuted
-    card        Luhn's check                    all digits but the last, which is computed
-    iban        remainder 97                    the account's digits; both check digits are computed
-    date        the calendar                    the day, within 400 years from 1800
-    ip          four numbers to 255             32 bits
-    phone, ssn  their punctuation               the national digits; nine digits
-
-E-mail names and secrets (access keys, hexadecimal passwords and tokens) have no such arithmetic form:
-their characters are replaced by a keyed digest's, of the same length and alphabet.
+its country code and punctuation.  A permutation keeps different values of a format different, and equal
+values stay linked across documents under one key.
+
+    format   validated by                              permuted
+    card     Luhn's check                              all digits but the last, which is computed
+    iban     remainder 97                              the account's digits; both check digits are computed
+    date     the calendar                              the day, within 400 years from 1800
+    ip       four numbers to 255, no version's mark    32 bits
+    phone    area code from 2, not N11                 the ten national digits
+    intl     8 to 15 digits behind +                   the digits behind the country code
+    trunk    0, area code and number in two groups     the digits behind the first two
+    ssn      area not 000, 666 or above 899, no group  nine digits
+             or serial of zeros
+    email    its punctuation                           the name's letters and digits
+    key      AKIA and 16 capitals or digits            the 16 characters
+    hex      16 to 64 digits behind = " ' or :         all characters
+
+Letters and digits are permuted within their own kind, so a text's pattern of letters and digits stays.
+Where not every value of that many digits is valid, the permutation is applied again until a valid value
+comes (cycle walking), which permutes the valid values alone.  A date written day/month/year is read as
+month/day where that is a date; the others, with days above 12, are permuted among themselves, so no
+output of one reading is one of the other.
 """
 
 from __future__ import annotations
@@ -23,23 +33,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernelloom.llm.shared import free_names
+
 ROUNDS = 10
+#: Steps of a cycle walk; a step fails less than half the time, so a walk of so many never ends short.
+WALK = 64
 #: 400 Gregorian years from this day are 146097 = 27 * 5411 days.
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)
 
-#: Each format's pattern, in the order in which they are tried at a place.
+#: Each format's pattern, in the order in which they are tried at a place: what must stand before it, its
+#: own, and what mustn't follow.  Unbounded loops are possessive, so the JVM's matcher doesn't recurse.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex": r"(?<=[=\"':])(?=[0-9]{0,63}[a-f])[0-9a-f]{16,64}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ""),
+    "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+    "key": (r"(?<![A-Za-z0-9])", r"AKIA[0-9A-Z]{16}", r"(?![A-Za-z0-9])"),
+    "hex": (r"(?<=[=\"':])", r"(?=[0-9]{0,63}[a-f])[0-9a-f]{16,64}", r"(?![A-Za-z0-9])"),
+    "date": (r"(?<![0-9./-])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})", r"(?![0-9/-])"),
+    "ip": (r"(?<![0-9A-Za-z.])(?<![Vv]ersion |[Vv]ersion: |[Rr]elease )", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?![0-9]|\.[0-9])"),
+    "phone": (r"(?<![0-9A-Za-z+])", r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", r"(?![0-9])"),
+    "intl": (r"(?<![0-9A-Za-z+])", r"\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}", r"(?![0-9])"),
+    "trunk": (r"(?<![0-9A-Za-z+])", r"0[1-9][0-9]{1,4}[ /-][0-9]{5,8}", r"(?![0-9])"),
+    "ssn": (r"(?<![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9-])"),
+    "card": (r"(?<![0-9])", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![0-9])"),
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = "|".join(f"(?:{''.join(p)})" for p in PATTERNS.values())
 
 
 def _digits(text: Column) -> Column:
@@ -135,20 +152,33 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
     return valid, refill(m, let(new, lambda n: F.concat(check(n), _digits(n))))
 
 
+def walk(value: Column, permute: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
+    """``permute`` applied once, and again until the value fits; of values that fit, it permutes these."""
+    def step(s: Column, _: Column) -> Column:
+        again = let(permute(s["v"]), lambda v: F.struct(v.alias("v"), fits(v).alias("done")))
+        return F.when(s["done"], s).otherwise(again)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(value.alias("v"), F.lit(False).alias("done")), step)["v"]
+
+
+def permute_day(n: Column, key: str) -> Column:
+    """Another of the days since the first, a number."""
+    half = feistel((n / DAYS[1]).cast("int"), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))
+    return let(half, lambda h: (h["a"] * DAYS[1] + h["b"]).cast("int"))
+
+
 def _date(m: Column, key: str) -> tuple[Column, Column]:
-    """Years first, or day or month first with ``/`` (month first if that is a date) or ``.``."""
+    """Years first; month or day first with ``/`` (month first if that is a date); or day first with ``.``."""
     sep, iso = F.substr(m, F.lit(3), F.lit(1)), F.substr(m, F.lit(5), F.lit(1)) == "-"
     forms = [(iso, "yyyy-MM-dd"), (sep == "/", "MM/dd/yyyy"), (sep == "/", "dd/MM/yyyy"), (sep == ".", "dd.MM.yyyy")]
     first = F.lit(FIRST_DAY).cast("date")
     new, valid = F.lit(None).cast("string"), F.lit(False)
     for fits, form in reversed(forms):
-        day = F.to_date(F.try_to_timestamp(m, F.lit(form)))
-        n = F.datediff(day, first)
+        n = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(form))), first)
         good = F.coalesce(fits & n.between(0, DAYS[0] * DAYS[1] - 1), F.lit(False))
-        # the order of day and month tweaks the permutation, so each written form is permuted alone
-        half = feistel((n / DAYS[1]).cast("int"), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))
-        moved = F.date_add(first, (half["a"] * DAYS[1] + half["b"]).cast("int"))
-        new, valid = F.when(good, F.date_format(moved, form)).otherwise(new), good | valid
+        late = lambda v: F.dayofmonth(F.date_add(first, v)) > 12
+        moved = walk(n, lambda v: permute_day(v, key), late) if form == "dd/MM/yyyy" else permute_day(n, key)
+        new, valid = F.when(good, F.date_format(F.date_add(first, moved), form)).otherwise(new), good | valid
     return valid, new
 
 
@@ -159,41 +189,83 @@ def _ip(m: Column, key: str) -> tuple[Column, Column]:
     return ~F.exists(part, lambda x: x > 255), new
 
 
-def _phone(m: Column, key: str) -> tuple[Column, Column]:
-    """The country code stays: whatever precedes the last ten digits."""
+def _behind(m: Column, n: Column, new: Callable[[Column], Column]) -> Column:
+    """``m`` with its first n digits as they are and ``new`` of the others."""
     digits = _digits(m)
-    code = F.length(digits) - 10
-    return F.lit(True), refill(m, F.concat(F.substr(digits, F.lit(1), code), permute_digits(F.substr(digits, code + 1), key, "phone")))
+    return refill(m, F.concat(F.substr(digits, F.lit(1), n), new(F.substr(digits, n + 1))))
+
+
+def _area(ten: Column) -> Column:
+    """Whether ten digits begin with an area code."""
+    return ten.rlike("^[2-9](?!11)")
+
+
+def _phone(m: Column, key: str) -> tuple[Column, Column]:
+    code = F.length(_digits(m)) - 10
+    ten = F.substr(_digits(m), code + 1)
+    return _area(ten), _behind(m, code, lambda d: walk(d, lambda v: permute_digits(v, key, "phone"), _area))
+
+
+def _intl(m: Column, key: str) -> tuple[Column, Column]:
+    """The country code is what stands before the first blank or mark, if that is 1 to 3 digits, else two digits."""
+    run = F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))
+    return F.lit(True), _behind(m, F.when(run <= 3, run).otherwise(2), lambda d: permute_digits(d, key, "intl"))
+
+
+def _trunk(m: Column, key: str) -> tuple[Column, Column]:
+    return F.lit(True), _behind(m, F.lit(2), lambda d: permute_digits(d, key, "trunk"))
 
 
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
-    return F.lit(True), refill(m, permute_digits(_digits(m), key, "ssn"))
+    fits = lambda d: d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)")
+    return fits(_digits(m)), refill(m, walk(_digits(m), lambda v: permute_digits(v, key, "ssn"), fits))
 
 
-def _drawn(text: Column, key: str, kind: str, alphabet: str) -> Column:
-    """As many characters of ``alphabet``, from keyed digests of the whole text, 32 a digest."""
-    def at(i: Column) -> Column:
-        seen = F.concat_ws("|", F.lit(key), F.lit(kind), ((i - 1) / 32).cast("int").cast("string"), text)
-        byte = F.conv(F.substr(F.sha2(seen.cast("binary"), 256), ((i - 1) % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substr(F.lit(alphabet), byte % len(alphabet) + 1, F.lit(1))
+def permute_text(text: Column, key: str, kind: str, letters: int = 26) -> Column:
+    """Each digit another digit and each of the first ``letters`` letters another of its case, as a Feistel
+    permutation of all texts with that pattern: rounds in turn shift the characters of one half by a keyed
+    digest of the other."""
+    n = F.length(text)
+    u = (n / 2).cast("int")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), at), "")
+    def shifted(half: Column, other: Column, i: Column) -> Column:
+        size = F.length(half)
+        draw = lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), i.cast("string"), b.cast("string"), other).cast("binary"), 256)
+        # four digits of a digest a character
+        drawn = F.array_join(F.transform(F.sequence(F.lit(0), ((size - 1) / 16).cast("int")), draw), "")
+
+        def move(d: Column) -> Column:
+            def at(p: Column) -> Column:
+                c, by = F.ascii(F.substr(half, p, F.lit(1))), F.conv(F.substr(d, p * 4 - 3, F.lit(4)), 16, 10).cast("int")
+                turn = lambda first, m: F.char(first + (c - first + by) % m)
+                return F.when(c.between(48, 57), turn(48, 10)).when(c.between(97, 96 + letters), turn(97, letters)).when(c.between(65, 64 + letters), turn(65, letters)).otherwise(F.substr(half, p, F.lit(1)))
+
+            return F.array_join(F.transform(F.sequence(F.lit(1), size), at), "")
+
+        return F.when(size > 0, let(drawn, move)).otherwise(half)
+
+    def step(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, shifted(s["a"], s["b"], i)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(shifted(s["b"], s["a"], i)).alias("b"))
+
+    start = F.struct(F.substr(text, F.lit(1), u).alias("a"), F.substr(text, u + 1).alias("b"))
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda h: F.concat(h["a"], h["b"]))
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    return F.lit(True), F.concat(_drawn(name, key, "email", "abcdefghijklmnopqrstuvwxyz234567"), F.lit("@"), host)
+    return F.lit(True), F.concat(permute_text(name, key, "email"), F.lit("@"), host)
 
 
 def _key(m: Column, key: str) -> tuple[Column, Column]:
-    return F.lit(True), F.concat(F.lit("AKIA"), _drawn(F.substr(m, F.lit(5)), key, "key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+    return F.lit(True), F.concat(F.lit("AKIA"), permute_text(F.substr(m, F.lit(5)), key, "key"))
 
 
 def _hex(m: Column, key: str) -> tuple[Column, Column]:
-    return F.lit(True), _drawn(m, key, "hex", "0123456789abcdef")
+    return F.lit(True), permute_text(m, key, "hex", 6)
 
 
-FORMATS = {"email": _email, "iban": _iban, "key": _key, "hex": _hex, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
+FORMATS = {"email": _email, "iban": _iban, "key": _key, "hex": _hex, "date": _date, "ip": _ip, "phone": _phone, "intl": _intl, "trunk": _trunk, "ssn": _ssn, "card": _card}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -202,19 +274,11 @@ def pseudonym(m: Column, key: str) -> Column:
     for name in reversed(FORMATS):
         valid, made = FORMATS[name](m, key)
         # the formats' first characters and lengths are cheap to tell apart by their own patterns
-        hit = m.rlike(f"^(?:{_alone(PATTERNS[name])})$") & valid
+        hit = m.rlike(f"^(?:{PATTERNS[name][1]})$") & valid
         kind, new = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, made).otherwise(new)
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def _alone(pattern: str) -> str:
-    """A pattern for a match taken out of its text: without what it asks of the text around it."""
-    cut = pattern
-    if cut.startswith("(?<"):
-        cut = cut[cut.index("]") + 2 :]
-    return cut[: cut.rindex("(?!")] if "(?!" in cut else cut
-
-
 #: A card's or an IBAN's span ends where its next character isn't a letter or digit.
 SPAN_END = "^[A-Za-z0-9](?:[^A-Za-z0-9]|$)"
 #: Characters in which the longest card fits: 19 digits, 18 blanks or hyphens, and the one behind them.
@@ -231,11 +295,11 @@ def _shorter(m: Column, window: Column, key: str) -> Column:
         return F.transform(F.when(F.length(head) >= 12, ends), lambda n: F.substr(head, F.lit(1), n))
 
     def longest(kind: str, head: Column) -> Column:
-        fits = f"^(?:{_alone(PATTERNS[kind])})$"
+        fits = f"^(?:{PATTERNS[kind][1]})$"
         span = let(head, lambda h: F.get(F.filter(spans(h), lambda s: s.rlike(fits) & FORMATS[kind](s, key)[0]), F.lit(0)))
         return let(span, lambda s: F.when(s.isNotNull(), F.struct(F.lit(kind).alias("kind"), s.alias("old"), FORMATS[kind](s, key)[1].alias("new"))))
 
-    card = F.regexp_extract(window, f"^{_alone(PATTERNS['card'])}(?![0-9])", 0)
+    card = F.regexp_extract(window, f"^{PATTERNS['card'][1]}(?![0-9])", 0)
     return F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), longest("iban", m)).when(m.rlike("^[0-9]"), longest("card", card))
 
 
@@ -256,26 +320,29 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """``docs`` with new texts and three more columns: n_private, private_kinds (sorted, comma-joined)
     and private_places (array of kind, at: the match's place in the original text, from 1).
 
-    Texts without valid matches are unchanged; null stays null; repeated rows get equal results;
-    columns of those names are replaced.
+    Texts without valid matches are unchanged; null stays null and empty stays empty; very long texts are
+    searched whole; repeated rows get equal results; an empty table stays empty.  Columns of those three
+    names are replaced, all others stay as they are.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.drop("n_private", "private_kinds", "private_places").withColumn("_hit", F.coalesce(text.rlike(ANY), F.lit(False)))
+    rows = docs.drop("n_private", "private_kinds", "private_places")
+    hit, whole, starts, matches, found = free_names(rows, "hit", "whole", "starts", "matches", "found")
+    text, made = F.col(f"`{text_col}`").cast("string"), F.col(found)
+    rows = rows.withColumn(hit, F.coalesce(text.rlike(ANY), F.lit(False)))
     # with a line end before it, no text starts with a match, so each part but the first does; starts
     # inside a match are starts as well, for the case that it isn't valid
-    rows = rows.withColumn("_text", F.when(F.col("_hit"), F.concat(F.lit("\n"), text)))
-    rows = rows.withColumn("_starts", F.transform(F.split("_text", f"(?={ANY})", -1), lambda p: F.length(p)))
-    rows = rows.withColumn("_matches", F.regexp_extract_all("_text", F.lit(f"(?=({ANY}))"), F.lit(1)))
-    starts = F.aggregate(F.slice("_starts", 1, F.size("_starts") - 1), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1)) + n)))
-    rows = rows.withColumn("_starts", starts).withColumn("_found", _found(F.col("_text"), F.col("_starts"), F.col("_matches"), key))
-    before = lambda i: F.when(i > 0, F.get("_found", i - 1)["end"]).otherwise(2)
-    parts = F.transform("_found", lambda m, i: F.concat(F.substr("_text", before(i), m["at"] - before(i)), m["new"]))
-    joined = F.concat(F.array_join(parts, ""), F.substr(F.col("_text"), F.try_element_at("_found", F.lit(-1))["end"]))
-    places = F.transform("_found", lambda m: F.struct(m["kind"].alias("kind"), (m["at"] - 1).alias("at")))
+    rows = rows.withColumn(whole, F.when(F.col(hit), F.concat(F.lit("\n"), text)))
+    rows = rows.withColumn(starts, F.transform(F.split(whole, f"(?={ANY})", -1), lambda p: F.length(p)))
+    rows = rows.withColumn(matches, F.regexp_extract_all(whole, F.lit(f"(?=({ANY}))"), F.lit(1)))
+    sums = F.aggregate(F.slice(starts, 1, F.size(starts) - 1), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1)) + n)))
+    rows = rows.withColumn(starts, sums).withColumn(found, _found(F.col(whole), F.col(starts), F.col(matches), key))
+    before = lambda i: F.when(i > 0, F.get(made, i - 1)["end"]).otherwise(2)
+    parts = F.transform(made, lambda m, i: F.concat(F.substr(F.col(whole), before(i), m["at"] - before(i)), m["new"]))
+    joined = F.concat(F.array_join(parts, ""), F.substr(F.col(whole), F.try_element_at(made, F.lit(-1))["end"]))
+    places = F.transform(made, lambda m: F.struct(m["kind"].alias("kind"), (m["at"] - 1).alias("at")))
     rows = rows.withColumn("private_places", F.coalesce(places, F.array().cast("array<struct<kind:string,at:int>>")))
     out = {
         text_col: F.when(F.size("private_places") > 0, joined).otherwise(text),
         "n_private": F.size("private_places").cast("long"),
         "private_kinds": F.array_join(F.array_sort(F.array_distinct(F.transform("private_places", lambda m: m["kind"]))), ","),
     }
-    return rows.withColumns(out).drop("_hit", "_text", "_starts", "_matches", "_found")
+    return rows.withColumns(out).drop(hit, whole, starts, matches, found)
