@@ -6,13 +6,15 @@ words joined by single blanks.
 1.  Base phrases must occur as they are: their words stand consecutively.
 2.  A notice may differ by up to k edits (inserted, deleted or replaced characters).  Split into k + 1
     parts, it keeps at least one part unchanged (pigeonhole), so the parts are exact seeds.  A window
-    around each seed goes to the regex library's bounded-error matching, which verifies the edits and
-    gives the span.
+    around each seed, as long as the notice and its edits, goes to the regex library's bounded-error
+    matching, which verifies the edits and gives the best span.  Of spans of one notice that overlap, those
+    of fewer edits stay, then the earlier ones; a window is never merged with another, so no match hides
+    behind a better one beside it.
 """
 
 from __future__ import annotations
 
-import re
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,27 +89,27 @@ class Scanner:
         self.seeds.make_automaton()
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of notices in a normal form; of overlapping matches of one
-        notice, the first found with the fewest edits."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits) of notices in a normal form, without overlaps within one notice."""
+        windows: set[tuple[int, int]] = set()
         for last, (length, owners) in self.seeds.iter(text):
             for k, at in owners:
-                notice = self.notices[k]
-                a = max(0, last + 1 - length - at - notice.edits)
-                b = a + len(notice.text) + 2 * notice.edits
-                mine = windows.setdefault(k, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], b)
-                    mine[-1][2].add(at)
-                else:
-                    mine.append([a, b, {at}])
-        found = []
-        for k, mine in windows.items():
+                windows.add((k, last + 1 - length - at - self.notices[k].edits))
+        spans: dict[int, set[tuple[int, int, int]]] = {}
+        for k, a in windows:
             notice = self.notices[k]
-            for a, b, _ in mine:
-                for m in self.patterns[k].finditer(text, a, min(len(text), b)):
-                    found.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(set(found), key=lambda f: (f[1], f[2], f[0]))
+            m = self.patterns[k].search(text, max(0, a), min(len(text), a + len(notice.text) + 2 * notice.edits))
+            if m:
+                spans.setdefault(k, set()).add((sum(m.fuzzy_counts), m.start(), m.end()))
+        found = set()
+        for k, mine in spans.items():
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(mine):
+                # the taken spans don't overlap, so only the neighbours can
+                i = bisect.bisect(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+                    found.add((self.notices[k].label, a, b, edits))
+        return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
 def places(words: list[bytes], phrase: tuple[bytes, ...], joined: bytes) -> list[int]:
@@ -126,8 +128,9 @@ def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first_word, last_word, edits, start, end, score).
 
     start and end are places in the words joined by single blanks.  A score is 1 - edits / (allowed
-    edits + 1).  Null and empty texts have no words and no matches; repeated rows repeat; a null id
-    stays null; other columns are ignored.
+    edits + 1).  Null and empty texts have no words and no matches; very long texts are searched whole;
+    repeated rows repeat; a null id stays null; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     phrases = [(tuple(p.encode() for p in phrase.split()), label) for phrase, label in base]
@@ -167,9 +170,3 @@ def digest(scanned: DataFrame) -> DataFrame:
         join(names("base")).alias("base_labels"), join(F.concat(names("base"), names("fuzzy"))).alias("labels"),
         F.when(n > 0, F.lit(1.0)).otherwise(near).alias("score"), "fuzzy",
     )
-
-
-def words_of(text: str | None) -> list[str]:
-    """The contract's words, for tests."""
-    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
