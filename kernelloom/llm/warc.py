@@ -14,27 +14,44 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelloom.llm.shared import Scratch, small_batches, write_file
+from kernelloom.llm.shared import Scratch, attempt_name, read_file, small_batches, write_file
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 _PAGE = "urn:page:"
 
 
+# -- a url on a header line: characters that a line can't keep, and their codes; the percent sign last --
+_CODES = {"\n": "%0A", "\r": "%0D", " ": "%20", "\t": "%09", "%": "%25"}
+
+
+def _line(url: str) -> str:
+    text = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    core = text.strip(" \t")
+    at = text.index(core) if core else len(text)
+    blanks = lambda part: "".join(_CODES[c] for c in part)
+    return blanks(text[:at]) + core + blanks(text[at + len(core) :])
+
+
+def _url(line: str) -> str:
+    for char, code in _CODES.items():
+        line = line.replace(code, char)
+    return line
+
+
 # -- one record ------------------------------------------------------------------------------------
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, record_type: str, refers_to: int | None, digest: str, payload_bytes: int) -> bytes:
     """A record as plain bytes.  A revisit has no block; the full payload's length and digest are in
-    its header.  Line breaks within a url are percent-encoded."""
+    its header.  Line breaks within a url, and blanks at its ends, are percent-encoded."""
     name = lambda n: f"<{_PAGE}{'' if n is None else n}>"
     head = [
         VERSION.decode(), f"WARC-Type: {record_type}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {(url or '').replace('%', '%25').replace(chr(13), '%0D').replace(chr(10), '%0A')}", "Content-Type: text/html; charset=utf-8",
+        f"WARC-Target-URI: {_line(url or '')}", "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {payload_bytes}",
     ]
     block = payload if record_type == "response" else b""
@@ -61,7 +78,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         key, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("a header line without a colon")
-        fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "surrogateescape").strip()
+        fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "surrogateescape").strip(" \t")
     if not fields.get("content-length", "").isdigit():
         raise ValueError("no length")
     end = cut + 4 + int(fields["content-length"])
@@ -76,7 +93,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     number = lambda v: int(v) if v else None
     named = lambda key: number(fields[key].strip("<>").removeprefix(_PAGE)) if _PAGE in fields.get(key, "") else None
     return {
-        "record_type": kind, "page_id": named("warc-record-id"), "refers_to": named("warc-refers-to"), "url": fields.get("warc-target-uri", "").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+        "record_type": kind, "page_id": named("warc-record-id"), "refers_to": named("warc-refers-to"), "url": _url(fields.get("warc-target-uri", "")),
         "payload_digest": digest, "payload_bytes": int(fields.get("x-payload-length") or len(block)), "payload": block,
     }, end + 4
 
@@ -130,17 +147,31 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
 # -- tables ----------------------------------------------------------------------------------------
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
+#: Payloads that recur, at about 100 bytes each, whose digests may be broadcast: 20 MB.
+BROADCAST_DIGESTS = 200_000
+
+
+def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     Of records with equal payloads of at least ``least`` bytes, that with the largest page_id is the
     response.  Rows that share that largest id are all responses, as are rows without an id.
+
+    Digests that recur are found first, by a partial aggregate without payloads.  Up to ``broadcast`` of them
+    go to the rows, so no payload is shuffled; beyond that the rows of large payloads go to them.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    top = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(top, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    top = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    top = scratch.write(top.where("n > 1").drop("n"), "recurring")
+    few = top.count() <= broadcast
+    same = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b"))
+    if few:
+        joined = rows.join(F.broadcast(top), same, "left")
+    else:
+        small = rows.where(F.col("payload_bytes") < least).withColumn("top", F.lit(None).cast("long"))
+        joined = rows.where(F.col("payload_bytes") >= least).join(top, same, "left").drop("d", "b").unionByName(small)
     again = F.coalesce(F.col("page_id") < F.col("top"), F.lit(False))
     return joined.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -148,19 +179,22 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_archives(records: DataFrame, folder: str, scratch: Scratch, limit: int = 32 << 20) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, limit: int = 32 << 20) -> DataFrame:
     """Write the planned records to ``folder`` as gzip archives of about ``limit`` bytes; returns the
-    manifest (file, records, bytes)."""
-    small_batches(records.sparkSession)
+    manifest (file, records, bytes), which is a Parquet table in ``folder`` as well.
+
+    Each attempt of a task writes files of its own, and the manifest names those of the attempts that Spark
+    committed, so a lost or repeated attempt neither loses nor doubles a record."""
+    spark = records.sparkSession
+    small_batches(spark)
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId()
         held, size, n, done = [], 0, 0, []
 
         def flush() -> None:
             nonlocal held, size, n
             if held:
-                name = f"part-{task:06d}-{len(done):04d}.warc.gz"
+                name = attempt_name("part", "warc.gz", len(done))
                 write_file(f"{folder}/{name}", b"".join(held))
                 done.append((name, n, size))
                 held, size, n = [], 0, 0
@@ -176,29 +210,34 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, limit: int
         flush()
         yield pd.DataFrame(done, columns=["file", "records", "bytes"])
 
-    return scratch.write(records.mapInPandas(write, "file string, records long, bytes long"), "manifest")
+    records.mapInPandas(write, "file string, records long, bytes long").write.parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
+
+
+RECORDS = "kind string, file string, start long, end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_archives(spark: SparkSession, folder: str, glob: str = "*.warc.gz") -> DataFrame:
-    """Records and gaps of all archives: kind ("record" or "gap"), file, start, end, reason (of gaps),
-    page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
+def read_archives(files: DataFrame, folder: str) -> DataFrame:
+    """Records and gaps of the archives that ``files`` (file) names in ``folder``: kind ("record" or "gap"),
+    file, start, end, reason (of gaps), page_id, url, record_type, refers_to, payload_bytes,
+    payload_digest, payload.  Without files it gives no rows."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, data in zip(part["path"], part["content"]):
+            for file in part["file"]:
                 rows, size = [], 0
-                for kind, start, end, what in salvage(bytes(data)):
+                for kind, start, end, what in salvage(read_file(f"{folder}/{file}")):
                     own = what if kind == "record" else {}
-                    rows.append([kind, path.rpartition("/")[2], start, end, what if kind == "gap" else None, *[own.get(n) for n in names]])
+                    rows.append([kind, file, start, end, what if kind == "gap" else None, *[own.get(n) for n in names]])
                     size += len(own.get("payload") or b"")
                     if size > 8 << 20:
                         yield _frame(rows, names)
                         rows, size = [], 0
                 yield _frame(rows, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-    return files.mapInPandas(read, "kind string, file string, start long, end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    dealt = files.select("file").repartitionByRange(max(1, files.count()), "file")
+    return dealt.mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[list], names: list[str]) -> pd.DataFrame:
@@ -208,11 +247,10 @@ def _frame(rows: list[list], names: list[str]) -> pd.DataFrame:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: the reader's rows.
 
-    A null html is an empty payload; a null url an empty one.  An empty table gives no rows."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
+    A null html is an empty payload; a null url an empty one, which comes back empty.  Rows that share an id
+    are records of one record id; repeated rows are records each, but revisits if a larger id has their
+    payload.  Very long payloads are one record.  An empty table gives no rows.  Columns but the three named
+    aren't read, whatever their names."""
+    scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.folder("archives")
-    manifest = write_archives(plan_records(pages, id_col, url_col, html_col), folder, scratch)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "kind string, file string, start long, end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
-    return read_archives(spark, folder)
+    return read_archives(write_archives(plan_records(pages, scratch, id_col, url_col, html_col), folder), folder)
