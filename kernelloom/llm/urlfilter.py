@@ -1,7 +1,7 @@
 """URL verdicts: longest-match rules, and logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small labelled table of host and path patterns (``LABELLED``)
-and has a fixed number of weights, so it travels with the tasks.
+The model is trained on the driver from a small labelled table of urls (``UNWANTED`` and ``WANTED``), by a
+fixed number of steps, and has a fixed number of weights, so it travels with the tasks.
 """
 
 from __future__ import annotations
@@ -16,13 +16,158 @@ from pyspark.sql import functions as F
 
 WEIGHTS, SIZES = 1 << 13, (3, 4, 5)
 
-#: Hosts and paths of unwanted (1) and wanted (0) kinds of pages.
-LABELLED: tuple[tuple[str, str, int], ...] = tuple(
-    [(f"{name}.example.{top}", path, 1) for name in ("spam-farm", "casino-bonus", "cheap-pills", "free-porn", "hot-dating", "payday-loan", "replica-watches", "poker-win", "warez-crack", "lottery-prize", "clickbait-ads", "seo-links") for top, path in (("org", "/en/728"), ("com", "/buy-now/1.html"))]
-    + [(host, path, 1) for host, path in (("shop.example.com", "/casino/free-bonus"), ("www.example.org", "/viagra-cheap-pills"), ("m.example.com", "/xxx/adult-video"), ("example.org", "/click/ads/redirect"), ("blog.example.com", "/porn-free-download"))]
-    + [(f"{name}.example.{top}", path, 0) for name in ("www", "blog", "m", "news", "docs", "library", "university", "museum", "science", "weather", "history", "recipes") for top, path in (("org", "/en/728"), ("com", "/fr/53/"), ("org", "/de/117.html"), ("com", "/es/19"))]
-    + [(host, path, 0) for host, path in (("example.org", "/articles/2021/report.html"), ("www.example.com", "/about/contact"), ("docs.example.org", "/guide/install"), ("example.com", "/en/4/"), ("thther.example.org", "/en/685"), ("blog.example.org", "/posts/garden"))]
-)
+#: Urls of unwanted pages and of wanted ones, the model's whole training table.
+UNWANTED = """
+casino-bonus.example.org/en/welcome
+online-casino.example.com/free-spins
+poker-win.example.net/tables/high-stakes
+slots-jackpot.example.com/play-now.html
+bet-today.example.org/odds/football
+sports-betting.example.net/bonus-code
+lottery-prize.example.com/claim/winner
+roulette-king.example.org/deposit
+bingo-cash.example.com/sign-up-bonus
+cheap-pills.example.com/viagra
+cheap-meds.example.org/buy-cialis-online
+pills-shop.example.net/no-prescription
+diet-pills.example.com/lose-weight-fast
+pharmacy-deals.example.org/discount/xanax
+free-porn.example.com/videos/1
+porn-tube.example.net/watch/8813
+adult-video.example.org/xxx/amateur
+xxx-cams.example.com/live
+hot-dating.example.org/singles-near-you
+sexy-girls.example.net/gallery/22
+escort-city.example.com/book
+nude-pics.example.org/album/7
+payday-loan.example.com/apply-now
+fast-cash-loan.example.org/no-credit-check
+debt-relief.example.net/free-quote
+get-rich-quick.example.com/secret-system
+make-money-fast.example.org/work-from-home
+crypto-doubler.example.net/send-btc
+free-bitcoin.example.com/claim
+forex-signals.example.org/join-vip
+replica-watches.example.com/rolex
+fake-handbags.example.net/luxury/sale
+cheap-sneakers.example.org/buy-now
+discount-software.example.com/oem-download
+warez-crack.example.net/keygen.exe
+serial-keys.example.org/download/crack.zip
+free-movies-hd.example.com/stream/full-movie
+torrent-pirate.example.net/get/4411
+spam-farm.example.org/en/728
+link-farm.example.com/page/90210
+seo-links.example.org/buy-backlinks
+clickbait-ads.example.net/you-wont-believe
+doorway-page.example.com/redirect.php
+ad-tracker.example.org/click/ads/redirect
+popup-ads.example.net/serve/banner
+free-iphone.example.com/you-are-a-winner
+win-gift-card.example.org/survey/claim-prize
+account-verify.example.net/login/secure-update
+bank-login.example.com.verify.example.org/confirm
+paypal-support.example.net/unlock-account
+virus-alert.example.com/your-pc-is-infected
+free-ringtones.example.org/download-now
+essay-writers.example.com/buy-essay-cheap
+instagram-followers.example.net/buy-likes
+miracle-cure.example.org/doctors-hate-this
+hair-loss-cure.example.com/order-today
+psychic-hotline.example.net/call-now
+shop.example.com/casino/free-bonus
+www.example.org/viagra-cheap-pills
+m.example.com/xxx/adult-video
+blog.example.com/porn-free-download
+example.net/payday-loan/apply-now
+news.example.org/click/ads/redirect?win-prize
+cdn.example.com/popup/casino-bonus.html
+"""
+WANTED = """
+www.example.org/en/685
+blog.example.com/fr/53/
+m.example.org/de/117.html
+example.com/es/19
+news.example.org/articles/2021/report.html
+news.example.com/world/elections
+docs.example.org/guide/install
+docs.example.com/api/reference
+library.example.org/catalogue/maps
+university.example.com/courses/physics
+museum.example.org/exhibits/bronze-age
+science.example.net/journals/biology/volume-7
+weather.example.org/forecast/coast
+history.example.com/timeline/1848
+recipes.example.org/bread/sourdough
+garden.example.net/roses/pruning
+travel.example.com/guides/lisbon
+hiking.example.org/trails/north-ridge
+cycling.example.net/repairs/brakes
+railway.example.com/timetable
+city.example.org/council/minutes/2019
+school.example.net/term-dates
+health.example.org/advice/vaccination
+hospital.example.com/departments/cardiology
+law.example.org/statutes/tenancy
+courts.example.net/decisions/2020/114
+economics.example.com/papers/inflation
+statistics.example.org/tables/population
+astronomy.example.net/observatory/log
+chemistry.example.com/lab/safety
+mathematics.example.org/proofs/primes
+poetry.example.net/sonnets/18
+novels.example.com/reviews/winter
+music.example.org/scores/quartet
+theatre.example.net/programme/spring
+film.example.com/festival/2018
+art.example.org/watercolour/lessons
+photography.example.net/lenses/macro
+kitchen.example.com/soups/lentil
+farm.example.org/dairy/cheese
+wildlife.example.net/birds/heron
+fishing.example.com/rivers/trout
+sailing.example.org/knots
+chess.example.net/openings/caro-kann
+football.example.com/league/results
+tennis.example.org/clubs/juniors
+software.example.net/releases/changelog
+forum.example.com/threads/4182
+wiki.example.org/index/granite
+dictionary.example.net/words/heath
+radio.example.com/schedule/morning
+archive.example.org/letters/1911
+jobs.example.net/teacher/vacancies
+charity.example.com/volunteers
+parish.example.org/newsletter/june
+thther.example.org/en/676
+ththre.example.com/fr/825
+blog.theres.example.com/es/533/
+m.ththan.example.net/en/25
+www.ththhe.example.com/en/474.html
+ouanti.example.org/de/960
+stenter.example.net/fr/12/
+example.org/about/contact
+blog.example.org/posts/garden
+"""
+
+
+def labelled(unwanted: str = UNWANTED, wanted: str = WANTED) -> tuple[tuple[str, str, int], ...]:
+    """(host, path, 1 for unwanted) of each line."""
+    made = []
+    for lines, label in ((unwanted, 1), (wanted, 0)):
+        for line in lines.split():
+            host, slash, path = line.partition("/")
+            made.append((host, slash + path.partition("?")[0], label))
+    return tuple(made)
+
+
+LABELLED = labelled()
+
+
+def held_out(table: tuple[tuple[str, str, int], ...]) -> tuple[list, list]:
+    """(four fifths, the rest) by the urls' crc32, to measure a model on what it hasn't seen."""
+    rest = [r for r in table if zlib.crc32((r[0] + r[1]).encode()) % 5 == 0]
+    return [r for r in table if r not in rest], rest
 
 
 @dataclass(frozen=True)
@@ -85,8 +230,10 @@ def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Col
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, table: tuple[tuple[str, str, int], ...] = LABELLED, cut: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the model's, from 0 to 1; higher: unwanted).
 
-    A null or malformed url has an empty host and path, no rule, and is allowed.  Repeated rows repeat;
-    a null id stays null; other columns are ignored.
+    A null or malformed url has an empty host and path, no rule, and is allowed.  A very long url is judged
+    whole.  Of rules that fit, the longest counts, and of equally long ones the last by its text.  Repeated
+    rows repeat; a null id stays null; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     w, b = train(table)
     w = w.astype(np.float32)
