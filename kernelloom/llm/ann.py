@@ -2,20 +2,25 @@
 
 Unit vectors are cut into two-dimensional subspaces of 16 centres each, so a code is four bits.  The
 codebooks and codes minimise ``h * |r_par|^2 + |r_orth|^2`` of the residual r: an error parallel to
-the vector changes the largest inner products most, so it weighs ``h > 1`` times as much.  Queries
-scan the codes through per-query tables, and the best of each block are scored again exactly.
+the vector changes the largest inner products most, so it weighs ``h > 1`` times as much.
 
-The codebooks are fitted on a bounded sample (``sample`` vectors, those of the smallest hash); every
-row is coded and scanned.  Queries and candidates meet in pairs of bounded blocks.
+The codebooks are fitted on a bounded sample (``sample`` vectors, those of the smallest hash).  Every row
+is coded once, and only its codes, a sixteenth of its bytes at 64 floats, travel to the scans: blocks of queries meet
+blocks of codes, and queries scan them through tables of their own.  The best of each block go on; of
+these the best of all blocks are joined to their vectors and scored again exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernelloom.llm.shared import Scratch
+
 CENTRES = 16
 
 
@@ -89,6 +94,27 @@ def _usable(vec: Column, dim: int) -> Column:
     return (F.size(vec) == dim) & ~F.exists(vec, bad) & F.exists(vec, lambda v: v != 0)
 
 
+def code_bytes(unit: np.ndarray, books: np.ndarray, h: float) -> np.ndarray:
+    """Codes of unit vectors (n, dim), two of four bits to a byte."""
+    subs, _, width = books.shape
+    parts = unit.reshape(len(unit), subs, width)
+    codes = np.concatenate([encode(parts[i : i + 2048], books, h) for i in range(0, len(parts), 2048)])
+    codes = np.pad(codes, ((0, 0), (0, subs % 2)))
+    return codes[:, 0::2] * CENTRES + codes[:, 1::2]
+
+
+def query_tables(unit: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """(queries, bytes, 256): each byte's share of the inner product with each query."""
+    subs, _, width = books.shape
+    each = np.einsum("qsw,scw->qsc", unit.reshape(len(unit), subs, width), books).astype(np.float32)
+    each = np.pad(each, ((0, 0), (0, subs % 2), (0, 0)))
+    return (each[:, 0::2, :, None] + each[:, 1::2, None, :]).reshape(len(unit), -1, CENTRES * CENTRES)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in column], float)
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
@@ -97,18 +123,24 @@ def nearest_neighbours(
     k: int = 5,
     threshold: float = 0.2,
     sample: int = 8192,
-    rerank: int = 48,
-    block: int = 8192,
+    rerank: int = 128,
+    query_block: int = 2048,
+    code_block: int = 1 << 18,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest by cosine, ties to smaller ids.
 
     ``is_query`` picks the query rows; candidates are all rows with another id.  Rows with a null id,
     a null, empty or zero vector, a null or non-finite component, or a length other than the most
     frequent one (the smaller on a tie) take no part.  Of equal vectors only the ``k + 1`` smallest
-    ids can appear in any answer, so only these are scanned.  Fewer candidates give fewer rows; a
-    table without usable rows gives none.
+    ids can appear in any answer, so only these are scanned.  Repeated rows count once.  Fewer candidates
+    give fewer rows; a table without usable rows gives none.  Columns but the two named and those that
+    ``is_query`` reads are ignored, whatever their names.
+
+    Of each block of codes the ``rerank`` best by the tables go on, and whatever ties with the last of them;
+    of all blocks' the ``rerank`` best, by the tables and then by id, are scored exactly.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "ann")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     lengths = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -116,59 +148,67 @@ def nearest_neighbours(
         return spark.createDataFrame([], schema)
     dim = lengths[0]["d"]
     rows = rows.where(_usable(F.col("v"), dim))
-
-    # equal vectors meet after a local cut to k + 1 a partition, so a hot vector isn't gathered
-    ranked = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
-    cands = rows.select("id", "v", F.xxhash64("v").alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    cands = ranked(ranked(cands, "h", "v", "salt").drop("salt"), "h", "v")
-    queries = rows.where("q").select("id", "v").distinct()
     picked = rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(sample).select("v").toPandas()
     if not len(picked):
         return spark.createDataFrame([], schema)
-    x = np.array(picked["v"].tolist())
+    x = _matrix(picked["v"])
     books, h = fit_codebooks(x / np.linalg.norm(x, axis=1)[:, None], threshold)
-    subs, _, width = books.shape
 
-    n_queries, n_rows = queries.count(), rows.count()
-    nq, nc = max(1, -(-n_queries // block)), max(1, -(-n_rows // block))
+    # equal vectors meet after a local cut to k + 1 a partition, so a hot vector isn't gathered
+    ranked = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+    cands = rows.select("id", "v", F.xxhash64("v").alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    cands = scratch.write(ranked(ranked(cands, "h", "v", "salt").drop("salt"), "h", "v").select("id", "v"), "candidates")
+    queries = scratch.write(rows.where("q").select("id", "v").distinct(), "queries")
+
+    def code(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                v = _matrix(part["v"])
+                made = code_bytes(v / np.sqrt((v * v).sum(1))[:, None], books, h)
+                yield pd.DataFrame({"id": part["id"], "code": [c.tobytes() for c in made]})
+
+    codes = scratch.write(cands.mapInPandas(code, "id long, code binary"), "codes")
+    nq, nc = max(1, -(-queries.count() // query_block)), max(1, -(-codes.count() // code_block))
+    # enough blocks of queries to keep the cores of a small cluster busy
+    nq = max(nq, min(64, -(-spark.sparkContext.defaultParallelism // nc)))
     cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "v", cell(nq).alias("x"), every(nc).alias("y"))
-    right = cands.select("id", "v", cell(nc).alias("y"), every(nq).alias("x"))
+    right = codes.select("id", "code", cell(nc).alias("y"), every(nq).alias("x"))
 
-    def scan(key: tuple, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+    def scan(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "near": []}
         if len(qs) and len(cs):
-            cs = cs.sort_values("id", ignore_index=True)
-            cv, qv = np.array(cs["v"].tolist()), np.array(qs["v"].tolist())
-            cid, qid = cs["id"].to_numpy(), qs["id"].to_numpy()
-            cn, qn = np.sqrt((cv * cv).sum(1)), np.sqrt((qv * qv).sum(1))
-            unit = (cv / cn[:, None]).reshape(len(cv), subs, width)
-            codes = np.concatenate([encode(unit[i : i + 2048], books, h) for i in range(0, len(unit), 2048)])
-            tables = np.einsum("qsw,scw->qsc", (qv / qn[:, None]).reshape(len(qv), subs, width), books).astype(np.float32)
-            # two four-bit codes make one byte, and their two tables one of 256 sums
-            if subs % 2:
-                codes = np.pad(codes, ((0, 0), (0, 1)))
-                tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-            pair = np.ascontiguousarray((codes[:, 0::2] * CENTRES + codes[:, 1::2]).T)
-            most = min(len(cid), rerank)
-            for i in range(len(qid)):
-                table = (tables[i, 0::2, :, None] + tables[i, 1::2, None, :]).reshape(-1, CENTRES * CENTRES)
-                approx = table[0][pair[0]]
-                for s in range(1, len(pair)):
-                    approx += table[s][pair[s]]
-                best = np.argpartition(-approx, most - 1)[:most]
-                # whatever ties with the last of them is scored as well
-                best = np.flatnonzero(approx >= approx[best].min())
-                best = best[cid[best] != qid[i]]
-                score = (cv[best] * qv[i]).sum(1) / (cn[best] * qn[i])
-                top = np.lexsort((cid[best], -score))[:k]
-                out["query_id"] += [qid[i]] * len(top)
-                out["vec_id"] += cid[best[top]].tolist()
-                out["score"] += score[top].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(scan, "query_id long, vec_id long, score double")
+            cid = cs["id"].to_numpy()
+            table = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1).T.copy()
+            most = min(len(cid), rerank + 1)
+            for i in range(0, len(qs), 64):
+                v = _matrix(qs["v"].iloc[i : i + 64])
+                tables = query_tables(v / np.sqrt((v * v).sum(1))[:, None], books)
+                for own, qid in zip(tables, qs["id"].iloc[i : i + 64]):
+                    near = own[0][table[0]]
+                    for s in range(1, len(table)):
+                        near += own[s][table[s]]
+                    best = np.flatnonzero(near >= -np.partition(-near, most - 1)[most - 1])
+                    best = best[cid[best] != qid]
+                    found["query_id"].append(np.full(len(best), qid))
+                    found["vec_id"].append(cid[best])
+                    found["near"].append(near[best].astype(np.float64))
+        return pd.DataFrame({n: np.concatenate(p) if p else np.zeros(0, np.float64 if n == "near" else np.int64) for n, p in found.items()})
+
+    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(scan, "query_id long, vec_id long, near double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    met = met.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vec_id")
+    met = met.join(cands.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id").join(queries.select(F.col("id").alias("query_id"), "v"), "query_id")
+
+    def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                a, b = _matrix(part["v"]), _matrix(part["c"])
+                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+                yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "score": score})
+
+    # an id with several vectors, as a query or as a candidate, counts by its best
+    scored = met.mapInPandas(exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
