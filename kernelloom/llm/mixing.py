@@ -7,7 +7,8 @@ sources at once are grouped sums over the sources' histograms of sizes, kept ins
 
 Rates become whole copies by error diffusion in blocks of bounded size: documents go from the
 longest to the shortest, each takes floor or ceiling so that the running error stays least, and at
-most two documents then change by one copy to bring the block's words nearest its target.  Documents that
+most two documents then change by one copy to bring the block's words nearest its target.  A document that
+is large for its block is rounded first, and the others' rates make good what that leaves.  Documents that
 agree in id, source and text are one group in a block, but get their copies each.
 """
 
@@ -104,6 +105,27 @@ def diffuse(sizes: np.ndarray, counts: np.ndarray, rates: np.ndarray) -> np.ndar
     return out
 
 
+def rounded(sizes: np.ndarray, counts: np.ndarray, rates: np.ndarray, repeats: int, large: float = 0.01) -> np.ndarray:
+    """Copies of groups in descending order of size, in all of a group's documents.
+
+    What the copies of a large document, of over ``large`` of all words wanted, leave of its share or exceed
+    it by is more than its neighbours' rounding could make good: it is shared among all smaller documents
+    in proportion to their rates.  The others are diffused and settled."""
+    want, rates = float((rates * sizes * counts).sum()), rates.copy()
+    most, out = repeats * counts, np.zeros(len(sizes), np.int64)
+    i = 0
+    while i < len(sizes) and sizes[i] > large * want > 0:
+        out[i] = min(int(most[i]), int(np.floor(rates[i] * counts[i] + 0.5)))
+        i += 1
+        left = want - float((out[:i] * sizes[:i]).sum())
+        for _ in range(8):
+            rest = float((rates[i:] * sizes[i:] * counts[i:]).sum())
+            if rest > 0:
+                rates[i:] = np.minimum(repeats, rates[i:] * (max(left, 0.0) / rest))
+    out[i:] = diffuse(sizes[i:], counts[i:], rates[i:])
+    return settle(out, sizes, want, most)
+
+
 def settle(copies: np.ndarray, sizes: np.ndarray, want: float, most: np.ndarray) -> np.ndarray:
     """Changes at most two groups' copies by one (one up, one down, or both), between 0 and ``most``, to come
     nearest ``want``."""
@@ -165,7 +187,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         some = size > 0
         rate[some] = np.minimum(repeats, np.exp(np.minimum(lam[some] * size[some] / scale[some], 50.0)))
         n = part["n"].to_numpy()
-        copies = settle(diffuse(size, n, rate), size, float((rate * size * n).sum()), repeats * n)
+        copies = rounded(size, n, rate, repeats)
         part["copies"], part["more"] = copies // n, copies % n
         return part[["id", "source", "digest", "n", "size", "source_size", "target", "copies", "more"]]
 
