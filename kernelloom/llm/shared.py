@@ -75,7 +75,7 @@ def write_file(path: str, data: bytes) -> None:
     attempt ever writes to another's file; a manifest that Spark commits says which attempt's counts."""
     store, at = _store(path)
     store.create_dir(os.path.dirname(at), recursive=True)
-    with store.open_output_stream(at) as out:
+    with store.open_output_stream(at, compression=None) as out:
         out.write(data)
 
 
