@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelloom.functions.arrays import at, finite, indices, mean, std_pop, tail, tile_to
+from kernelloom.functions.draws import drawn
 
 # -- long form -------------------------------------------------------------------------------------
 
@@ -248,7 +249,7 @@ def crop_or_pad(x: Column, length: int, min_len: int | None = None, direction: s
     n, least = F.size(x), length // 2 if min_len is None else min_len
     seed = F.lit(seed) if isinstance(seed, int) else seed
     missing = F.lit(length) - n
-    start = F.pmod(F.xxhash64(seed, n), F.greatest(n - missing, F.lit(0)) + 1).cast("int")
+    start = F.pmod(drawn(seed, n), F.greatest(n - missing, F.lit(0)) + 1).cast("int")
     piece = F.slice(tile_to(x, n + missing), start + 1, F.greatest(missing, F.lit(0)))
     cut = tail(x, length) if direction == "left" else F.slice(x, F.lit(1), F.lit(length))
     padded = F.concat(piece, x) if direction == "left" else F.concat(x, piece)

@@ -202,6 +202,24 @@ class Wavelet(Kernel):
         return replace(self, sigma=positive_median(_upper(self._distances(sample, sample))))
 
 
+def _turned(self, outer: np.ndarray, count: int):
+    """The kernel whose projection is the gradients' mean outer product, with the round's own length scale."""
+    m = outer / count
+    norm = np.linalg.norm(m)
+    return replace(self, projection=tuple(map(tuple, m / norm if self.normalize and norm > 0 else m)))
+
+
+def _learnt(self, train: pd.DataFrame, y: np.ndarray, gamma: float):
+    """A projection learnt within one task: each round estimates the length scale anew, solves, and turns."""
+    kernel = self.started(train)
+    for _ in range(self.rounds):
+        kernel = kernel.estimated(train.iloc[: self.points])
+        g = kernel.matrix(train, train)
+        a = np.linalg.solve(g + gamma * np.eye(len(g)), y).sum(1)
+        kernel = kernel.turned(*kernel.gradient_outer(kernel.gradient_parts(train, train, a), train))
+    return kernel
+
+
 @dataclass(frozen=True)
 class FeatureMachine(Kernel):
     """An RBF on M x, where M is learnt from the fit's own gradients (a recursive feature machine)."""
@@ -223,24 +241,23 @@ class FeatureMachine(Kernel):
         x = self._project(sample)
         return replace(self, lengthscale=positive_median(np.sqrt(_upper(squared_distances(x, x)))))
 
-    def learnt(self, train: pd.DataFrame, y: np.ndarray, gamma: float) -> "FeatureMachine":
-        """Each round estimates the length scale anew, solves, and takes M from the mean outer product of
-        the gradients; the last kernel has the new M with the round's own length scale.
-
-        With W_ij = G_ji sum_c alpha_jc, the sum over j of W_ij (x_j - x_i) is (W X)_i - (W 1)_i x_i.
-        """
-        x, kernel = stack(train["x"]), self
-        m = np.eye(x.shape[1])
-        for _ in range(self.rounds):
-            kernel = replace(kernel, projection=tuple(map(tuple, m))).estimated(train.iloc[: self.points])
-            g = kernel.matrix(train, train)
-            alpha = np.linalg.solve(g + gamma * np.eye(len(g)), y)
-            w = g.T * alpha.sum(1)[None]
-            grad = (w @ x - w.sum(1)[:, None] * x) @ (m.T @ m).T / (2 * kernel.lengthscale**2)
-            m = grad.T @ grad / len(x)
-            norm = np.linalg.norm(m)
-            m = m / norm if self.normalize and norm > 0 else m
-        return replace(kernel, projection=tuple(map(tuple, m)))
+    def started(self, sample: pd.DataFrame) -> "FeatureMachine":
+        return replace(self, projection=tuple(map(tuple, np.eye(len(sample["x"].iloc[0])))))
+
+    def gradient_parts(self, u: pd.DataFrame, v: pd.DataFrame, a: np.ndarray) -> list[np.ndarray]:
+        """For each row of u, what v's rows with summed coefficients a add to its gradient: with
+        W_ij = G_ij a_j, (W X)_i and (W 1)_i, since the sum of W_ij (x_j - x_i) is (W X)_i - (W 1)_i x_i."""
+        w = self.matrix(u, v) * a[None]
+        return list(np.hstack([w @ stack(v["x"]), w.sum(1)[:, None]]))
+
+    def gradient_outer(self, parts: list[np.ndarray], rows: pd.DataFrame) -> tuple[np.ndarray, int]:
+        """(sum of the gradients' outer products, their number)."""
+        p, m = stack(parts), np.array(self.projection)
+        grad = (p[:, :-1] - p[:, -1:] * stack(rows["x"])) @ (m.T @ m).T / (2 * self.lengthscale**2)
+        return grad.T @ grad, len(grad)
+
+    turned = _turned
+    learnt = _learnt
 
 
 @dataclass(frozen=True)
@@ -276,21 +293,29 @@ class PatchMachine(Kernel):
                 found.append(np.sqrt(((d if m is None else d @ m.T) ** 2).sum(1)))
         return replace(self, lengthscale=positive_median(np.concatenate(found) if found else np.zeros(0)))
 
-    def learnt(self, train: pd.DataFrame, y: np.ndarray, gamma: float) -> "PatchMachine":
-        """As ``FeatureMachine.learnt``, with gradients of patches and no factor of the length scale."""
-        own, kernel, m = self._patches(train), self, np.eye(self.q)
-        for _ in range(self.rounds):
-            kernel = replace(kernel, projection=tuple(map(tuple, m))).estimated(train)
-            g = kernel.matrix(train, train)
-            a = np.linalg.solve(g + gamma * np.eye(len(g)), y).sum(1)
-            new, count = np.zeros((self.q, self.q)), 0
-            for u in range(max(map(len, own))):
-                rows = [i for i, p in enumerate(own) if len(p) > u]
-                p = np.stack([own[i][u] for i in rows]) @ m.T
-                w = np.exp(-squared_distances(p, p) / (2 * kernel.lengthscale**2)) * a[rows][None]
-                grad = (w @ p - w.sum(1)[:, None] * p) @ m
-                new += grad.T @ grad
-                count += len(rows)
-            norm = np.linalg.norm(new / count)
-            m = new / count / (norm if self.normalize and norm > 0 else 1.0)
-        return replace(kernel, projection=tuple(map(tuple, m)))
+    def started(self, sample: pd.DataFrame) -> "PatchMachine":
+        return replace(self, projection=tuple(map(tuple, np.eye(self.q))))
+
+    def gradient_parts(self, u: pd.DataFrame, v: pd.DataFrame, a: np.ndarray) -> list[np.ndarray]:
+        """As ``FeatureMachine.gradient_parts``, for each of a row's projected patches in turn."""
+        m, left, right = self._m(), self._patches(u), self._patches(v)
+        out = [np.zeros((len(p), self.q + 1)) for p in left]
+        for at in range(max(map(len, left), default=0)):
+            i, j = ([r for r, p in enumerate(side) if len(p) > at] for side in (left, right))
+            if not i or not j:
+                continue
+            p, q = (np.stack([side[r][at] for r in own]) @ m.T for side, own in ((left, i), (right, j)))
+            w = np.exp(-squared_distances(p, q) / (2 * self.lengthscale**2)) * a[j][None]
+            for r, row in zip(i, np.hstack([w @ q, w.sum(1)[:, None]])):
+                out[r][at] = row
+        return [o.ravel() for o in out]
+
+    def gradient_outer(self, parts: list[np.ndarray], rows: pd.DataFrame) -> tuple[np.ndarray, int]:
+        """The gradients have no factor of the length scale."""
+        m = self._m()
+        p = np.concatenate([np.asarray(x, float).reshape(-1, self.q + 1) for x in parts])
+        grad = (p[:, :-1] - p[:, -1:] * (np.concatenate(self._patches(rows)) @ m.T)) @ m
+        return grad.T @ grad, len(grad)
+
+    turned = _turned
+    learnt = _learnt

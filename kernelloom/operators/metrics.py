@@ -40,3 +40,9 @@ def summary(scores: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("n_test"), F.avg("rmse").alias("mean_rmse"), F.avg("relative_rmse").alias("mean_rel_rmse"), F.median("relative_rmse").alias("median_rel_rmse"),
         F.avg("mase").alias("mean_mase"), F.median("mase").alias("median_mase"),
     )
+
+
+def model_summary(scores: DataFrame, *by: str) -> DataFrame:
+    """``summary`` with what the models were: kernel, n_train, lengthscale, gamma, of rows by ``run_all_domains``."""
+    models = scores.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("kernel", "n_train", "lengthscale", "gamma")])
+    return models.join(summary(scores, *by), list(by)) if by else models.join(summary(scores))

@@ -26,9 +26,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).alias(c) for c in df.columns])
 
 
-def tiles(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "k", block: int = BLOCK, half: bool = False) -> DataFrame:
-    """``fn`` on every pair of blocks; with ``half`` only on pairs x <= y, for one frame with itself."""
-    nl, nr = (max(1, -(-df.count() // block)) for df in (left, right))
+def tiles(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "k", block: int = BLOCK, half: bool = False, rows: tuple[int, int] | None = None) -> DataFrame:
+    """``fn`` on every pair of blocks; with ``half`` only on pairs x <= y, for one frame with itself.
+
+    ``rows`` are the two sides' numbers of rows where the caller knows them, else they are counted."""
+    nl, nr = (max(1, -(-n // block)) for n in rows or (left.count(), right.count()))
     n = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
     a = left.withColumn("_x", n(nl)).withColumn("_y", F.explode(F.sequence("_x", F.lit(nr - 1)) if half else upto(nr)))

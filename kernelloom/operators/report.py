@@ -15,6 +15,23 @@ def series_plot(df: DataFrame, key: str = "k", context: int = 240) -> DataFrame:
     return past.unionByName(df.select(key, F.posexplode("future").alias("t", "v")).select(key, "t", F.lit("future").alias("part"), "v"))
 
 
+def series_grid(df: DataFrame, indices: list[int], key: str = "k", context: int = 240) -> DataFrame:
+    """``series_plot`` of the given keys; IndexError if one isn't there."""
+    rows = df.where(F.col(key).isin(indices))
+    if rows.select(key).distinct().count() < len(set(indices)):
+        raise IndexError("a series to plot isn't there")
+    return series_plot(rows, key, context)
+
+
+def predictions_plot(predictions: DataFrame, key: str = "k", context: int = 60) -> DataFrame:
+    """key, label, t, part, v: the history's tail, the actual and the predicted future; the label has the score."""
+    label = F.concat(F.lit("rRMSE "), F.format_number("relative_rmse", 3))
+    rows = predictions.withColumn("label", label)
+    actual = series_plot(rows, key, context).withColumn("part", F.when(F.col("part") == "future", "actual").otherwise(F.col("part")))
+    made = rows.select(key, F.posexplode("future_pred").alias("t", "v")).select(key, "t", F.lit("predicted").alias("part"), "v")
+    return actual.unionByName(made).join(rows.select(key, "label"), key).select(key, "label", "t", "part", "v")
+
+
 def histogram(df: DataFrame, col: str = "v", bins: int = 50) -> DataFrame:
     """bin, lo, hi, n: equal widths between the least and the greatest finite value; the last bin holds
     the greatest.  Empty bins have n = 0."""

@@ -53,10 +53,11 @@ def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, toleranc
     """``train`` (k, x, y) with alpha, without any task holding more than a tile of the system.
 
     All right-hand sides advance together, each with its own step length; only those few numbers come to
-    the driver.  The state is cut each round, so a lost executor repeats one round at most.
+    the driver.  The state is cut each round, so a lost executor repeats one round at most.  A system that
+    isn't solved to ``tolerance`` after ``rounds`` raises RuntimeError.
     """
     train = cut(train)
-    size = train.select(F.max(F.size("y"))).first()[0]
+    n, size = train.agg(F.count("*"), F.max(F.size("y"))).first()
     zip_ = lambda a, b, s: F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.array(*map(F.lit, s)).alias("s")), lambda e: e["a"] + e["s"] * e["b"])
 
     def products(df: DataFrame, a: str, b: str) -> np.ndarray:
@@ -75,7 +76,7 @@ def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, toleranc
         if (rr <= tolerance**2 * start).all():
             break
         rows = inputs.join(state.select("k", "p"), "k")
-        q = array_sums(tiles(rows.drop("p"), rows, apply, f"k {kind}, q array<double>", block=block), "q", "k")
+        q = array_sums(tiles(rows.drop("p"), rows, apply, f"k {kind}, q array<double>", block=block, rows=(n, n)), "q", "k")
         both = cut(state.join(q, "k").withColumn("q", zip_("q", "p", [float(gamma)] * size)))
         pq = products(both, "p", "q")
         step = np.where(rr > tolerance**2 * start, rr / np.where(pq > 0, pq, 1.0), 0.0)
@@ -84,4 +85,7 @@ def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, toleranc
         beta = np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0)
         state = cut(both.withColumn("p", zip_("r", "p", beta.tolist())).select("k", "alpha", "r", "p"))
         rr = new
+    else:
+        if (rr > tolerance**2 * start).any():
+            raise RuntimeError(f"residuals of {np.sqrt((rr / start).max()):.1e} after {rounds} rounds")
     return train.join(state.select("k", "alpha"), "k")

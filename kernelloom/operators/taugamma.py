@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from kernelloom.functions.arrays import finite, observed, tail
 from kernelloom.functions.series import impute, robust_stats_long, transform_with_stats
 from kernelloom.operators.pairwise import array_sums, stack, tiles
-from kernelloom.operators.slicing import look_back
+from kernelloom.staging import cut
 
 
 def common_context(bank: DataFrame, horizon: int = 0, requested: int | None = None, power_of_two: bool = False, col: str = "train") -> int:
@@ -37,6 +39,17 @@ def prepare_bank(bank: DataFrame, context: int, transform: str = "asinh", strate
     return rows.withColumns({"context_missing_pct": missing("context"), "future_missing_pct": missing("future"), "transform": F.lit(transform)})
 
 
+def support_bank(series: DataFrame, horizon: int, requested: int | None = None, power_of_two: bool = False, unseen: tuple[str, int] | None = None, transform: str = "asinh", strategy: str = "linear") -> tuple[DataFrame, int]:
+    """(bank, context) of series (dataset, series_index, train, future): every series prepared with one common
+    context, named ``dataset#seriesN``, with its key ``k`` the name; ``unseen`` marks the series that
+    isn't to be learnt from.  Futures are cut to the horizon."""
+    context = common_context(series, horizon, requested, power_of_two)
+    name = F.concat("dataset", F.lit("#series"), F.col("series_index").cast("string"))
+    apart = (F.col("dataset") == unseen[0]) & (F.col("series_index") == unseen[1]) if unseen else F.lit(False)
+    rows = series.select("dataset", "series_index", name.alias("k"), name.alias("name"), apart.alias("unseen"), "train", F.slice("future", 1, horizon).alias("future"))
+    return prepare_bank(rows, context, transform, strategy), context
+
+
 def summarize_bank(bank: DataFrame) -> DataFrame:
     return bank.select("name", F.size("context").cast("long").alias("context_length"), F.size("future").cast("long").alias("horizon_length"), "context_missing_pct", "future_missing_pct", "loc", "scale")
 
@@ -62,20 +75,39 @@ def tau_weights(tau: Column, most: Column, context: int, alpha: float = 1.0, ome
     return F.transform(F.sequence(F.lit(0), F.lit(context - 1)), lambda p: F.exp(-alpha * omega**2 * F.pow(p / F.lit(context - 1) - place, F.lit(2.0))))
 
 
+def _window_products(x: np.ndarray, taus: np.ndarray, context: int, alpha: float, omega: float, block: int = 1024) -> np.ndarray:
+    """The mean over the look-backs of the outer product of the weighted windows, in blocks of windows."""
+    start = len(x) - context - taus
+    most, start, taus = max(1, int(taus.max())), start[(start >= 0) & (taus >= 0)], taus[(start >= 0) & (taus >= 0)]
+    places, total = np.linspace(0, 1, context) if context > 1 else np.zeros(1), np.zeros((context, context))
+    for i in range(0, len(taus), block):
+        windows = x[start[i : i + block, None] + np.arange(context)]
+        at = np.clip(taus[i : i + block] / most, 0, 1)
+        w = windows * (np.exp(-alpha * omega**2 * (places[None] - at[:, None]) ** 2) if context > 1 else 1.0)
+        total += w.T @ w
+    return total / max(1, len(taus))
+
+
 def time_kernels(bank: DataFrame, context: int, alpha: float = 1.0, omega: float = 1.0, max_taus: int | None = None, key: str = "k", taus: DataFrame | None = None) -> DataFrame:
     """(key, r, c, value): each series' kernel over window places, the mean over its look-backs of the
     outer product of the weighted window.  ``taus`` (key, taus) overrides the look-backs of some series.
 
-    A window times itself is ``context``^2 rows; they are summed by (key, r, c) before the shuffle.
+    One product of matrices a series, over blocks of its windows; a series without a window has no row.
     """
     rows = bank.withColumn("taus", tau_array(F.size("train_filled"), context, max_taus))
     if taus is not None:
         rows = rows.join(taus.withColumnRenamed("taus", "_own"), key, "left").withColumn("taus", F.coalesce("_own", "taus")).drop("_own")
-    rows = rows.withColumn("most", F.array_max("taus")).select(key, "train_filled", "most", F.explode("taus").alias("tau"))
-    rows = rows.withColumn("w", look_back(F.col("train_filled"), context, F.col("tau"))).where("w is not null")
-    rows = rows.select(key, F.zip_with("w", tau_weights(F.col("tau"), F.col("most"), context, alpha, omega), lambda a, b: a * b).alias("w"))
-    cells = rows.select(key, F.posexplode("w").alias("r", "a"), "w").select(key, "r", "a", F.posexplode("w").alias("c", "b"))
-    return cells.groupBy(key, "r", "c").agg((F.sum(F.col("a") * F.col("b")) / F.count("*")).alias("value"))
+    r, c = (g.ravel() for g in np.indices((context, context)))
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k, x, own in part.itertuples(index=False):
+                own = np.asarray(own, np.int64)
+                if len(own) and (len(x) - context - own >= 0).any():
+                    value = _window_products(np.asarray(x, float), own, context, alpha, omega)
+                    yield pd.DataFrame({key: k, "r": r, "c": c, "value": value.ravel()})
+
+    return rows.select(key, "train_filled", "taus").mapInPandas(products, f"{key} {dict(bank.dtypes)[key]}, r int, c int, value double")
 
 
 def mean_time_kernel(kernels: DataFrame) -> DataFrame:
@@ -142,9 +174,11 @@ def predict_gamma(support: DataFrame, queries: DataFrame, time_kernel: np.ndarra
         return pd.DataFrame({"k": part["k"], "x": part["x"], "alpha": list(out), "bias": [bias] * len(part)})
 
     model = support.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, f"k {kind}, x array<double>, alpha array<double>, bias array<double>")
+    # tiles may read it several times
+    model = cut(model)
 
     def part(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         made = stack(u["x"]) @ inverse @ stack(v["x"]).T @ stack(v["alpha"])
         return pd.DataFrame({"k": u["k"], "yhat": list(made + stack(v["bias"])[0] * len(v) / n)})
 
-    return array_sums(tiles(queries, model, part, f"k {dict(queries.dtypes)['k']}, yhat array<double>"), "yhat", "k")
+    return array_sums(tiles(queries, model, part, f"k {dict(queries.dtypes)['k']}, yhat array<double>", rows=(queries.count(), n)), "yhat", "k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,11 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelloom.functions.draws import drawn as draw
 from kernelloom.functions.series import unscaled
-from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine
+from kernelloom.operators.augment import prepare_examples, uniform_length
+from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine, drawn
 from kernelloom.operators.metrics import scored, summary
-from kernelloom.operators.pairwise import fresh, stack
+from kernelloom.operators.pairwise import array_sums, fresh, stack, tiles
 from kernelloom.operators.solve import MAX_DENSE, conjugate_gradients, fit_dense, predict, ridge
+from kernelloom.staging import cut
+
+#: Kernels that learn a projection from the fit.
+LEARNT = (FeatureMachine, PatchMachine)
 
 
 @dataclass(frozen=True)
@@ -30,16 +37,59 @@ class Result:
 def fit(train: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0) -> tuple[DataFrame, Kernel]:
     """(train with alpha, the fitted kernel): dense up to ``MAX_DENSE`` rows, else conjugate gradients.
 
-    Feature machines learn their projection from a bounded sample of the training rows.
+    The model is cut, so it is solved once however often it is read.
     """
-    kernel = kernel.fitted(train, seed)
     n = train.count()
-    if isinstance(kernel, (FeatureMachine, PatchMachine)):
-        from kernelloom.operators.kernels import drawn
+    kernel = learn(train, n, kernel, gamma, seed) if isinstance(kernel, LEARNT) else kernel.fitted(train, seed)
+    return solved(train, n, kernel, gamma), kernel
+
+
+def solved(train: DataFrame, n: int, kernel: Kernel, gamma: float) -> DataFrame:
+    return cut((fit_dense if n <= MAX_DENSE else conjugate_gradients)(train, kernel, gamma))
+
+
+def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma: float, seed: int = 0) -> FeatureMachine | PatchMachine:
+    """A feature machine's projection from all training rows: each round's solve is a task's or goes by
+    conjugate gradients, the gradients are summed over tiles, and only their outer products' sum, of the
+    projection's size, comes to the driver.  Length scales are estimated on ``points`` rows, as by other kernels."""
+    kind = dict(train.dtypes)["k"]
+    sample = drawn(train, kernel.points, seed)
+    kernel = kernel.started(sample)
+    for _ in range(kernel.rounds):
+        kernel = kernel.estimated(sample)
+        model = solved(train, n, kernel, gamma)
+
+        def parts(u: pd.DataFrame, v: pd.DataFrame, now: Kernel = kernel) -> pd.DataFrame:
+            return pd.DataFrame({"k": u["k"], "g": now.gradient_parts(u, v, stack(v["alpha"]).sum(1))})
+
+        def outer(batches: Iterator[pd.DataFrame], now: Kernel = kernel) -> Iterator[pd.DataFrame]:
+            total, count = 0.0, 0
+            for batch in batches:
+                if len(batch):
+                    m, c = now.gradient_outer(list(batch["g"]), batch)
+                    total, count = total + m, count + c
+            if count:
+                yield pd.DataFrame({"one": [0], "m": [np.append(total.ravel(), count)]})
 
-        sample = drawn(train, MAX_DENSE, seed)
-        kernel = kernel.learnt(sample, stack(sample["y"]), gamma)
-    return (fit_dense if n <= MAX_DENSE else conjugate_gradients)(train, kernel, gamma), kernel
+        sums = array_sums(tiles(train.select("k", "x"), model.select("k", "x", "alpha"), parts, f"k {kind}, g array<double>", rows=(n, n)), "g", "k")
+        made = array_sums(train.select("k", "x").join(sums, "k").mapInPandas(outer, "one int, m array<double>"), "m", "one").first()["m"]
+        size = int(np.sqrt(len(made) - 1))
+        kernel = kernel.turned(np.array(made[:-1]).reshape(size, size), int(made[-1]))
+    return kernel
+
+
+def masks_or_zeros(examples: DataFrame) -> DataFrame:
+    """``examples`` without the column ``mask`` unless all rows have one: a kernel with masks then goes by the
+    non-zero positions."""
+    if "mask" not in examples.columns:
+        return examples
+    return examples if examples.where("mask is null").isEmpty() else examples.drop("mask")
+
+
+def mask_sparsity(examples: DataFrame, *by: str) -> DataFrame:
+    """all_masked, and the share of positions that the masks hide (null without any)."""
+    long = examples.select(*by, F.col("mask").isNotNull().alias("_has"), F.explode_outer("mask").alias("_m"))
+    return long.groupBy(*by).agg(F.bool_and("_has").alias("all_masked"), (1 - F.avg("_m")).alias("sparsity"))
 
 
 def modelled(prepared: DataFrame, x: str = "x_model") -> DataFrame:
@@ -49,7 +99,9 @@ def modelled(prepared: DataFrame, x: str = "x_model") -> DataFrame:
 
 
 def train_eval(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0) -> Result:
-    """Fit on ``train``, predict ``test`` in one cross-kernel, score on the original scale."""
+    """Fit on ``train``, predict ``test`` in one cross-kernel, score on the original scale.  Both sides are
+    read several times, so they are cut first."""
+    train, test = cut(train), cut(test)
     model, kernel = fit(modelled(train), kernel, gamma, seed)
     yhat = predict(model, modelled(test).drop("y"), kernel)
     rows = test.join(yhat, "k").withColumn("future_pred", unscaled(F.col("yhat"), F.col("mu"), F.col("sigma")))
@@ -57,11 +109,11 @@ def train_eval(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float =
 
 
 def split_random(examples: DataFrame, n_test: int, seed: int = 0, key: str = "k") -> tuple[DataFrame, DataFrame]:
-    """(train, test): the ``n_test`` rows of the smallest hash are the test set."""
+    """(train, test): the ``n_test`` rows of the smallest draw by seed and key are the test set."""
     n = examples.count()
     if n <= n_test:
         raise ValueError(f"{n} examples leave none to train on after {n_test} test rows")
-    test = examples.select(key).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n_test)
+    test = examples.select(key).orderBy(draw(F.lit(seed), F.col(key)), key).limit(n_test)
     return examples.join(test, key, "left_anti"), examples.join(test, key, "left_semi")
 
 
@@ -77,29 +129,52 @@ def split_by_keys(examples: DataFrame, test: DataFrame | None = None, train: Dat
     return rest(test) if train is None else pick(train), rest(train) if test is None else pick(test)
 
 
-def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", max_rows: int = MAX_DENSE) -> DataFrame:
-    """Test rows with future_pred and scores, one independent model a domain, all fitted in parallel.
+def pretrain_eval(chunks: DataFrame, examples: DataFrame, kernel: Kernel, gamma: float = 1e-2, length: int = 512, future_len: int = 64, seed: int = 0) -> Result:
+    """A model trained on chunks of pretraining series (sample_idx, history, future) and scored on examples of
+    another collection: both cropped or padded to one length, prepared alike, then ``train_eval``."""
+    ready = lambda df: prepare_examples(uniform_length(df, length, future_len, seed=seed)).withColumn("k", F.col("sample_idx"))
+    return train_eval(ready(chunks), ready(examples), kernel, gamma, seed)
+
+
+def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", max_rows: int = MAX_DENSE, length: int | None = None, future_len: int | None = None, seed: int = 0) -> DataFrame:
+    """Test rows with future_pred, scores, and their model's kernel, n_train, lengthscale and gamma: one
+    independent model a domain, all fitted in parallel.
 
-    A domain without training or test rows is skipped.  Each domain estimates its own parameters.  More
-    than ``max_rows`` training rows in one domain raise before any task gathers them.
+    A domain without training or test rows, or whose system can't be solved, has no rows and leaves the others
+    alone.  Each domain estimates its own parameters on its ``points`` rows of the smallest hash, and
+    feature machines learn its projection.  Masks count as in ``masks_or_zeros``.  With ``length``,
+    prepared rows are cropped or padded to it first.  More than ``max_rows`` training rows in one domain
+    raise before any task gathers them.
     """
+    if length is not None:
+        train, test = (prepare_examples(uniform_length(df, length, future_len, seed=seed)) for df in (train, test))
     top = train.groupBy(domain).count().agg(F.max("count")).first()[0] or 0
     if top > max_rows:
         raise ValueError(f"{top} training rows in one domain, at most {max_rows}: fit that domain by train_eval")
     kinds = dict(test.dtypes)
-    a, b = train.select(domain, "k", F.col("x_model").alias("x"), F.col("future_n").alias("y")), test.select(domain, "k", F.col("x_model").alias("x"))
+    masked = all("mask" in masks_or_zeros(df).columns for df in (train, test))
+    extra = ["mask"] if masked else []
+    a = train.select(domain, "k", F.col("x_model").alias("x"), F.col("future_n").alias("y"), F.xxhash64("k", F.lit(seed)).alias("_h"), *extra)
+    b = test.select(domain, "k", F.col("x_model").alias("x"), *extra)
+    columns = [domain, "k", "yhat", "n_train", "lengthscale"]
 
     def one(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(u) or not len(v):
-            return pd.DataFrame(columns=[domain, "k", "yhat", "lengthscale"], dtype=object)
-        u = u.sort_values("k", ignore_index=True)
-        own = kernel.estimated(u.iloc[: getattr(kernel, "points", 24)])
-        alpha = ridge(own.matrix(u, u), stack(u["y"]), gamma)
-        return pd.DataFrame({domain: v[domain], "k": v["k"], "yhat": list(own.matrix(v, u) @ alpha), "lengthscale": float(getattr(own, "lengthscale", None) or np.nan)})
-
-    made = a.groupBy(domain).cogroup(fresh(b).groupBy(domain)).applyInPandas(one, f"{domain} {kinds[domain]}, k {kinds['k']}, yhat array<double>, lengthscale double")
+        if len(u) and len(v):
+            try:
+                # the rows that parameters are estimated on come first
+                u = u.sort_values(["_h", "k"], ignore_index=True)
+                first, y = u.iloc[: getattr(kernel, "points", 24)], stack(u["y"])
+                own = kernel.learnt(u, y, gamma) if isinstance(kernel, LEARNT) else kernel.estimated(first)
+                yhat = own.matrix(v, u) @ ridge(own.matrix(u, u), y, gamma)
+                size = next((float(s) for n in ("lengthscale", "sigma") if (s := getattr(own, n, None))), None)
+                return pd.DataFrame({domain: v[domain], "k": v["k"], "yhat": list(yhat), "n_train": len(u), "lengthscale": size})
+            except (np.linalg.LinAlgError, ValueError):
+                pass
+        return pd.DataFrame(columns=columns, dtype=object)
+
+    made = a.groupBy(domain).cogroup(fresh(b).groupBy(domain)).applyInPandas(one, f"{domain} {kinds[domain]}, k {kinds['k']}, yhat array<double>, n_train long, lengthscale double")
     rows = test.join(made, [domain, "k"]).withColumn("future_pred", unscaled(F.col("yhat"), F.col("mu"), F.col("sigma")))
-    return scored(rows)
+    return scored(rows).withColumns({"kernel": F.lit(type(kernel).__name__), "gamma": F.lit(float(gamma))})
 
 
 def study_sizes(most: int, sizes: list[int] | None = None, least: int = 5, count: int = 8, max_gram: int | None = 500_000) -> list[int]:
@@ -120,9 +195,10 @@ def scaling_study(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: floa
     if not wanted:
         raise ValueError("no training size is left")
     # only the rows of the largest size take part, a bounded number
-    first = train.orderBy(order).limit(wanted[-1]).toPandas()
+    first = train.select("k").orderBy(order).limit(wanted[-1]).toPandas()
     ranked = {k: i for i, k in enumerate(first["k"])}
     rank = train.sparkSession.createDataFrame(list(ranked.items()), f"k {dict(train.dtypes)['k']}, _r int")
     rows = train.join(F.broadcast(rank), "k").withColumn("n_train", F.explode(F.array(*map(F.lit, wanted)))).where("_r < n_train").drop("_r")
     tests = test.withColumn("n_train", F.explode(F.array(*map(F.lit, wanted))))
-    return run_all_domains(rows, tests, kernel, gamma, "n_train")
+    rows, tests = (df.withColumnRenamed("n_train", "n_wanted") for df in (rows, tests))
+    return run_all_domains(rows, tests, kernel, gamma, "n_wanted").drop("n_wanted")

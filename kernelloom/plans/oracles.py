@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from kernelloom.catalog import catalog_rows
-
 ORACLES: dict[str, str] = {}
 
-
-def _values() -> str:
-    text = lambda v: "NULL" if v is None else f"'{v}'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in catalog_rows()) + ") AS c(source, config, domain, base, freq, term)"
-
-
-ORACLES["catalog_by_domain"] = f"SELECT source, domain, count(*) AS n, min(config) AS first_config, max(config) AS last_config FROM {_values()} GROUP BY 1, 2"
-ORACLES["catalog_by_freq"] = f"SELECT freq, count(*) AS n FROM {_values()} WHERE source = 'eval' AND contains(config, '_' || freq || '_') GROUP BY 1"
+#: How many configurations each domain and frequency has, and the first and last of them.
+ORACLES["catalog_by_domain"] = """SELECT * FROM (VALUES
+  ('eval', 'Econ/Finance', 10::BIGINT, 'm4_daily_D_short', 'm_dense_H_short'),
+  ('eval', 'Energy', 32, 'electricity_15T_long', 'solar_W_short'),
+  ('eval', 'Healthcare', 2, 'covid_deaths_D_short', 'hospital_M_short'),
+  ('eval', 'Nature', 18, 'jena_weather_10T_long', 'us_births_W_short'),
+  ('eval', 'Sales', 4, 'car_parts_M_short', 'restaurant_D_short'),
+  ('eval', 'Transport', 11, 'loop_seattle_5T_long', 'sz_taxi_H_short'),
+  ('eval', 'Web/CloudOps', 20, 'bitbrains_fast_storage_5T_long', 'bizitobs_service_10S_short'),
+  ('pretrain', 'Benchmarks', 14, 'cif_2016_12', 'tourism_yearly'),
+  ('pretrain', 'Buildings', 5, 'bdg-2_bear', 'buildings_900k'),
+  ('pretrain', 'Climate', 63, 'cmip6_1850', 'era5_2018'),
+  ('pretrain', 'Econ/Finance', 5, 'bitcoin_with_missing', 'ideal'),
+  ('pretrain', 'Energy', 19, 'australian_electricity_demand', 'wind_power'),
+  ('pretrain', 'Healthcare', 4, 'cdc_fluview_ilinet', 'project_tycho'),
+  ('pretrain', 'Nature/Weather', 9, 'beijing_air_quality', 'sunspot_with_missing'),
+  ('pretrain', 'Other', 4, 'kdd2022', 'temperature_rain_D_short'),
+  ('pretrain', 'Sales', 4, 'cockatoo', 'm5'),
+  ('pretrain', 'Transport', 18, 'BEIJING_SUBWAY_30MIN', 'vehicle_trips_with_missing'),
+  ('pretrain', 'Web/CloudOps', 7, 'alibaba_cluster_trace_2018', 'wiki-rolling_nips')
+) AS c(source, domain, n, first_config, last_config)"""
+ORACLES["catalog_by_freq"] = """SELECT * FROM (VALUES ('10S', 6::BIGINT), ('10T', 6), ('15T', 12), ('5T', 12), ('A', 1), ('D', 15), ('H', 31), ('M', 5), ('Q', 1), ('W', 8)) AS c(freq, n)"""
+ORACLES["resolve_names"] = """SELECT * FROM (VALUES ('Energy', 'electricity_H_long'), ('Solar', 'solar_H_long'), ('Cloud', 'bitbrains_fast_storage_5T_long'), ('Traffic', 'loop_seattle_H_long'),
+  ('hospital_M_short', 'hospital_M_short'), ('', '')) AS c(name, config)"""
 
 
 def _cleaned(source: str, out: str, rest: str = "") -> str:
@@ -68,7 +82,7 @@ ORACLES["znorm_history"] = f"WITH {NX} " + _long("pr", "hn")
 ROBUST = """(SELECT k, coalesce(any_value(loc), 0.0) AS loc, CASE WHEN any_value(loc) IS NULL THEN 1.0 ELSE greatest(CASE WHEN quantile_cont(v, 0.75) > quantile_cont(v, 0.25) THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 ELSE 0.0 END,
   1.4826 * median(abs(v - loc)), stddev_pop(v), 1e-6) END AS scale FROM (SELECT k, v, median(v) OVER (PARTITION BY k) AS loc FROM {source}) GROUP BY k)"""
 ORACLES["robust_scale"] = f"WITH {UE} SELECT k, {_r('loc', 'loc')}, {_r('scale', 'scale')} FROM " + ROBUST.replace("{source}", "ue")
-ORACLES["asinh_transform"] = f"""WITH {NX}, z AS (SELECT k, unnest(range(len(h))) AS t, unnest(h) AS v, mu, sd FROM pr) SELECT k, t, {_r('asinh((v - mu) / greatest(sd, 1e-8))', 'z')}, true AS same FROM z"""
+ORACLES["asinh_transform"] = f"""WITH {NX}, z AS (SELECT k, unnest(range(len(h))) AS t, unnest(h) AS v, mu, sd FROM pr) SELECT k, t, {_r('asinh((v - mu) / greatest(sd, 1e-8))', 'z')}, abs(mu + sd * sinh(asinh((v - mu) / greatest(sd, 1e-8))) - v) < 1e-9 AS same FROM z"""
 ORACLES["resample_linear"] = f"""WITH {NX}, g AS (SELECT k, h, len(h) AS n, unnest(range(40)) AS t FROM pr), p AS (SELECT *, t * CAST(n - 1 AS DOUBLE) / 39 AS p FROM g)
 SELECT k, t, {_r('h[CAST(floor(p) AS INT) + 1] + (p - floor(p)) * (h[CAST(least(n - 1, floor(p) + 1) AS INT) + 1] - h[CAST(floor(p) AS INT) + 1])', 'v')} FROM p"""
 ORACLES["slice_fixed_chunks"] = f"""WITH {SW}, s AS (SELECT k, x, unnest(range(0, len(x) - 79, 60)) AS start FROM sx)
@@ -109,6 +123,7 @@ _LINEAR, _GEOM = "1.0::DOUBLE, 5.0::DOUBLE/3, 7.0::DOUBLE/3, 3.0::DOUBLE", "1.0:
 ORACLES["cwt_energy"] = _cwt(_LINEAR, "h") + f" SELECT k, {_r('s', 'scale')}, {_r('e', 'energy')} FROM en"
 ORACLES["cwt_topk"] = _cwt(_LINEAR, "h") + f" SELECT k, {_r('s', 'scale')}, {_r('e', 'energy')} FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY e DESC, s) AS r FROM en) WHERE r <= 2"
 ORACLES["gram_wavelet_energy"] = _cwt(_GEOM, "hn") + f" SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, {_r('exp(-sum(pow(a.e - b.e, 2)) / 5000)', 'value')} FROM en a JOIN en b ON a.s = b.s GROUP BY 1, 2"
+ORACLES["gram_wavelet_coeffs"] = _cwt(_GEOM, "hn") + f" SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, {_r('exp(-sum(pow(a.c - b.c, 2)) / 800)', 'value')} FROM co a JOIN co b ON a.s = b.s AND a.t = b.t GROUP BY 1, 2"
 ORACLES["gram_wavelet_inner"] = _cwt(_GEOM, "hn") + f""", ip AS (SELECT a.k AS i, b.k AS j, sum(a.c * b.c) AS p FROM co a JOIN co b ON a.s = b.s AND a.t = b.t GROUP BY 1, 2)
 SELECT CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j, {_r('p.p / sqrt(u.p) / sqrt(v.p)', 'value')} FROM ip p JOIN ip u ON u.i = p.i AND u.j = p.i JOIN ip v ON v.i = p.j AND v.j = p.j"""
 
@@ -128,47 +143,72 @@ ORACLES["gram_masked_rbf"] = f"""WITH {NL}, z AS (SELECT k, t, coalesce(v, 0.0)
 d AS (SELECT a.k AS i, b.k AS j, count(*) AS d, sum(CASE WHEN a.v <> 0 AND b.v <> 0 THEN 1 ELSE 0 END) AS r, sum(CASE WHEN a.v <> 0 AND b.v <> 0 THEN pow(a.v - b.v, 2) ELSE 0 END) AS d2 FROM z a JOIN z b ON a.t = b.t GROUP BY 1, 2)
 SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r('CASE WHEN r > 0 THEN exp(-(d2 / (2 * r) + 0.01 * (d - r))) ELSE 0 END', 'value')} FROM d"""
 ORACLES["median_lengthscale"] = f"WITH {NX} SELECT {_r('median(list_distance(a.hn, b.hn))', 'lengthscale')} FROM pr a JOIN pr b ON a.k < b.k WHERE list_distance(a.hn, b.hn) > 0"
-ORACLES["gram_dtw"] = f"""WITH RECURSIVE {NX}, w AS (SELECT k, hn[len(hn) - 23:] AS x FROM pr), pp AS (SELECT a.k AS i, b.k AS j, a.x AS x, b.x AS y FROM w a, w b),
+ORACLES["gram_dtw"] = f"""WITH RECURSIVE {NX}, pp AS (SELECT a.k AS i, b.k AS j, a.hn AS x, b.hn AS y FROM pr a, pr b),
 dt(i, j, x, y, s, prev) AS (SELECT i, j, x, y, 0, list_concat([0.0::DOUBLE], list_transform(y, lambda v: 'inf'::DOUBLE)) FROM pp
-  UNION ALL SELECT i, j, x, y, s + 1, list_reduce(list_transform(range(1, 25), lambda q: [CASE WHEN abs(q - 1 - s) <= 6 THEN pow(x[s + 1] - y[q], 2) ELSE 'inf'::DOUBLE END, least(prev[q], prev[q + 1])]),
-    lambda acc, e: list_append(acc, e[1] + least(e[2], acc[len(acc)])), ['inf'::DOUBLE]) FROM dt WHERE s < 24)
-SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r('exp(-prev[25] / 200)', 'value')} FROM dt WHERE s = 24"""
+  UNION ALL SELECT i, j, x, y, s + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [pow(x[s + 1] - y[q], 2), least(prev[q], prev[q + 1])]),
+    lambda acc, e: list_append(acc, e[1] + least(e[2], acc[len(acc)])), ['inf'::DOUBLE]) FROM dt WHERE s < len(x))
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r('exp(-prev[len(prev)] / 200)', 'value')} FROM dt WHERE s = len(x)"""
 ORACLES["gram_patches"] = f"""WITH {NX}, pa AS (SELECT k, u, hn[u * 2 + 1:u * 2 + 8] AS p FROM (SELECT k, hn, unnest(range((len(hn) - 8) // 2 + 1)) AS u FROM pr))
 SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, {_r('sum(exp(-pow(list_distance(a.p, b.p), 2) / 18))', 'value')} FROM pa a JOIN pa b ON a.u = b.u GROUP BY 1, 2"""
 
 
-def _krr(train: str, group: str = "0", kernel: str = "exp(-pow(list_distance(a.hn, b.hn), 2) / 200)") -> str:
-    """CTEs up to ``al`` (gr, k, hn, alpha): Gauss-Jordan elimination of [G + gamma I | Y] by group."""
-    return f"""WITH RECURSIVE {NX}, tr AS ({train}), ti AS (SELECT {group} AS gr, row_number() OVER (PARTITION BY {group} ORDER BY k) AS i, k, hn, fn FROM tr),
+_RBF = "exp(-pow(list_distance(a.hn, b.hn), 2) / 200)"
+
+
+def _krr(train: str, group: str = "0", kernel: str = _RBF, source: str = NX) -> str:
+    """CTEs up to ``al`` (gr, k, hn, ms, alpha): Gauss-Jordan elimination of [G + gamma I | Y] by group."""
+    return f"""WITH RECURSIVE {source}, tr AS ({train}), ti AS (SELECT {group} AS gr, row_number() OVER (PARTITION BY {group} ORDER BY k) AS i, * FROM tr),
 gm AS (SELECT a.gr, a.i, list({kernel} + CASE WHEN a.i = b.i THEN 0.01 ELSE 0 END ORDER BY b.i) AS r FROM ti a JOIN ti b ON a.gr = b.gr GROUP BY 1, 2),
 m0 AS (SELECT gr, list(list_concat(r, fn) ORDER BY i) AS m FROM gm JOIN ti USING (gr, i) GROUP BY 1),
 gj(gr, s, m) AS (SELECT gr, 1, m FROM m0 UNION ALL SELECT gr, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda v: v / r[s]) ELSE list_transform(r, lambda v, j: v - r[s] * m[s][j] / m[s][s]) END)
   FROM gj WHERE s <= len(m)),
-al AS (SELECT ti.gr, ti.k, ti.hn, m[ti.i][len(m) + 1:] AS alpha FROM gj JOIN ti USING (gr) WHERE s = len(m) + 1)"""
+al AS (SELECT ti.*, m[ti.i][len(m) + 1:] AS alpha FROM gj JOIN ti USING (gr) WHERE s = len(m) + 1)"""
 
 
 _TRAIN = "SELECT * FROM pr WHERE k % 5 <> 0"
 _SCORES = """,
-cr AS (SELECT b.gr, a.k, p, sum(exp(-pow(list_distance(a.hn, b.hn), 2) / 200) * b.alpha[p]) AS yn FROM te a JOIN (SELECT *, unnest(range(1, 13)) AS p FROM al) b ON {on} GROUP BY 1, 2, 3),
+cr AS (SELECT b.gr, a.k, p, sum({kernel} * b.alpha[p]) AS yn FROM te a JOIN (SELECT *, unnest(range(1, 13)) AS p FROM al) b ON {on} GROUP BY 1, 2, 3),
 ye AS (SELECT gr, k, list(mu + sd * yn ORDER BY p) AS y FROM cr JOIN pr USING (k) GROUP BY 1, 2),
 sr AS (SELECT ye.gr, pr.k, name, domain, sqrt(list_avg(list_transform(list_zip(f, y), lambda e: pow(e[1] - e[2], 2)))) AS rmse, sqrt(list_avg(list_transform(f, lambda v: v * v))) AS size,
   list_avg(list_transform(list_zip(f, y), lambda e: abs(e[1] - e[2]))) AS mae, list_avg(list_transform(range(2, len(h) + 1), lambda i: abs(h[i] - h[i - 1]))) AS step FROM ye JOIN pr USING (k)),
 sc AS (SELECT *, CASE WHEN size > 1e-12 THEN rmse / size ELSE 0 END AS relative_rmse, CASE WHEN step > 1e-12 THEN mae / step ELSE 0 END AS mase FROM sr)"""
 
 
-def _scored(train: str = _TRAIN, group: str = "0", te: str = "SELECT * FROM pr WHERE k % 5 = 0", on: str = "true") -> str:
-    return _krr(train, group) + f", te AS ({te})" + _SCORES.replace("{on}", on)
+def _scored(train: str = _TRAIN, group: str = "0", te: str = "SELECT * FROM pr WHERE k % 5 = 0", on: str = "true", kernel: str = _RBF, source: str = NX) -> str:
+    return _krr(train, group, kernel, source) + f", te AS ({te})" + _SCORES.replace("{on}", on).replace("{kernel}", kernel)
 
 
 _S3 = ", ".join(_r(c, c) for c in ("rmse", "relative_rmse", "mase"))
 ORACLES["krr_fit_alpha"] = _krr(_TRAIN) + " " + _long("al", "alpha")
-ORACLES["krr_conjugate_gradients"] = _krr(_TRAIN) + " " + _long("al", "alpha[1:2]")
+ORACLES["krr_conjugate_gradients"] = _krr(_TRAIN) + " " + _long("al", "alpha")
 ORACLES["krr_rbf_forecast"] = _scored() + f" SELECT name, domain, {_S3} FROM sc"
 _SUMMARY = ", ".join(_r(e, n) for e, n in (("avg(rmse)", "mean_rmse"), ("avg(relative_rmse)", "mean_rel_rmse"), ("median(relative_rmse)", "median_rel_rmse"), ("avg(mase)", "mean_mase"), ("median(mase)", "median_mase")))
 ORACLES["krr_summary"] = _scored() + f" SELECT count(*) AS n_test, {_SUMMARY} FROM sc"
 ORACLES["run_all_domains"] = _scored("SELECT * FROM pr WHERE k < 20", "domain", "SELECT * FROM pr WHERE k >= 20", "a.domain = b.gr") + f" SELECT name, domain, {_S3} FROM sc"
 ORACLES["scaling_study"] = _scored("SELECT * FROM (SELECT pr.*, row_number() OVER (ORDER BY k) AS rk FROM pr WHERE k % 5 <> 0) JOIN (SELECT unnest([5, 10, 20]) AS n) ON rk <= n", "n") + f" SELECT CAST(gr AS BIGINT) AS n_train, {_r('avg(rmse)', 'mean_rmse')}, {_r('avg(mase)', 'mean_mase')} FROM sc GROUP BY 1"
 
+#: Kernels by masks ``ms``: of all pairs of places, those that both sides observe.
+_D2 = "list_sum(list_transform(range(1, len(a.hn) + 1), lambda p: a.ms[p] * b.ms[p] * pow(a.hn[p] - b.hn[p], 2)))"
+_SEEN = "list_inner_product(a.ms, b.ms)"
+_MASKED = f"CASE WHEN {_SEEN} > 0 THEN exp(-({_D2} / (2 * greatest({_SEEN}, 1)) + 0.01 * (len(a.hn) - {_SEEN}))) ELSE 0 END"
+_WITH_MASKS = NX.replace("pr AS (SELECT *,", "p0 AS (SELECT *,") + ", ob AS (SELECT k, list(CASE WHEN v IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY t) AS ms FROM hl GROUP BY 1), pr AS (SELECT p0.*, ms FROM p0 JOIN ob USING (k))"
+ORACLES["masked_domains"] = _scored("SELECT * FROM pr WHERE k < 20", "domain", "SELECT * FROM pr WHERE k >= 20", "a.domain = b.gr", _MASKED, _WITH_MASKS) + f" SELECT name, domain, {_S3} FROM sc"
+#: zeros and constant runs of five or more of the cleaned history
+_RUNS = NX.replace("pr AS (SELECT *,", "p0 AS (SELECT *,") + """, rn AS (SELECT k, t, v, sum(c) OVER (PARTITION BY k ORDER BY t) AS r FROM (SELECT k, t, v, CASE WHEN v <> lag(v) OVER (PARTITION BY k ORDER BY t) THEN 1 ELSE 0 END AS c FROM hc)),
+ob AS (SELECT k, list(CASE WHEN v = 0 OR n >= 5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY t) AS ms FROM (SELECT *, count(*) OVER (PARTITION BY k, r) AS n FROM rn) GROUP BY 1), pr AS (SELECT p0.*, ms FROM p0 JOIN ob USING (k))"""
+ORACLES["krr_masked_forecast"] = _scored(kernel=_MASKED, source=_RUNS) + f" SELECT name, {_S3} FROM sc"
+_MEDIANS = NX.replace("pr AS (SELECT *,", "p0 AS (SELECT *,") + """, md AS (SELECT a.domain, median(list_distance(a.hn, b.hn)) AS ell FROM p0 a JOIN p0 b ON a.domain = b.domain AND a.k < b.k AND a.k < 20 AND b.k < 20 WHERE list_distance(a.hn, b.hn) > 0 GROUP BY 1),
+pr AS (SELECT p0.*, ell FROM p0 JOIN md USING (domain))"""
+ORACLES["domain_models"] = _scored("SELECT * FROM pr WHERE k < 20", "domain", "SELECT * FROM pr WHERE k >= 20", "a.domain = b.gr", "exp(-pow(list_distance(a.hn, b.hn), 2) / (2 * a.ell * a.ell))", _MEDIANS) + f""" SELECT sc.domain, 'nation_month' AS config, 'RBF' AS kernel,
+  any_value(t.n) AS n_train, {_r('any_value(t.ell)', 'lengthscale')}, {_r('0.01', 'gamma')}, count(*) AS n_test, {_SUMMARY} FROM sc JOIN (SELECT domain, count(*) AS n, any_value(ell) AS ell FROM tr GROUP BY 1) t USING (domain) GROUP BY 1"""
+#: suppliers' chunks of 300 weeks and 12, their last 60 for training; nations' last 60 months
+_PRETRAIN = f"""{NX.replace('st AS (SELECT *,', 's0 AS (SELECT *,').replace('FROM ex),', 'FROM (SELECT k, name, domain, h[len(h) - 59:] AS h, f, h_nans, f_nans FROM ex)),').replace('pr AS (SELECT *,', 'p0 AS (SELECT *,').replace('FROM st)', 'FROM s0)')}, {SW.replace('sc AS', 'wc AS').replace('FROM sc', 'FROM wc').replace('JOIN sc', 'JOIN wc').replace('sc.', 'wc.')},
+c0 AS (SELECT k, x, unnest(range(0, len(x) - 311, 300)) AS start FROM sx), c1 AS (SELECT k, x[start + 241:start + 300] AS h, x[start + 301:start + 312] AS f FROM c0),
+c2 AS (SELECT *, list_avg(h) AS mu, CASE WHEN list_stddev_pop(h) < 1e-8 THEN 1.0 ELSE list_stddev_pop(h) END AS sd FROM c1),
+pt AS (SELECT k, list_transform(h, lambda v: (v - mu) / sd) AS hn, list_transform(f, lambda v: (v - mu) / sd) AS fn FROM c2),
+pr AS (SELECT * FROM p0)"""
+ORACLES["pretrain_eval"] = _scored("SELECT * FROM pt", te="SELECT * FROM pr", source=_PRETRAIN) + f" SELECT name, {_S3} FROM sc"
+
 NAIVE = NX + """,
 nv AS (SELECT k, name, domain, h, f, h[len(h)] AS y FROM pr),
 sr AS (SELECT *, sqrt(list_avg(list_transform(f, lambda v: pow(v - y, 2)))) AS rmse, sqrt(list_avg(list_transform(f, lambda v: v * v))) AS size,
@@ -217,3 +257,47 @@ sj(p, s, m) AS (SELECT p, 1, m FROM s0 UNION ALL {_JORDAN.replace('{keep}', 'p,
 sa AS (SELECT p, so.k, so.u, m[so.i][len(m) + 1] AS alpha FROM sj JOIN so USING (p) WHERE s = len(m) + 1),
 gp AS (SELECT q.k, st.p, coalesce(sum(list_inner_product(q.x, sa.u) * sa.alpha), 0.0) AS z FROM ux q JOIN st ON q.k % 5 = 0 LEFT JOIN sa ON sa.p = st.p GROUP BY 1, 2)
 SELECT k, p - 1 AS t, {_r('loc + scale * sinh(z)', 'v')} FROM gp JOIN lo USING (k)"""
+
+# -- draws by md5, and the smaller reports --
+
+
+def _draw(*names: str) -> str:
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(names) + ")), 1, 8))::BIGINT"
+
+
+ORACLES["split_random"] = f"SELECT k, CASE WHEN r <= 5 THEN 0.0::DOUBLE ELSE 0.35::DOUBLE END AS level FROM (SELECT n_nationkey AS k, row_number() OVER (ORDER BY {_draw('1', 'n_nationkey')}, n_nationkey) AS r FROM nation)"
+_UNIFORM = lambda salt: "((" + _draw("concat_ws('|', k, '1 0 False 0')", "i - 1", salt) + " + 0.5) / 4294967296.0::DOUBLE)"
+ORACLES["jitter_noise"] = f"""WITH {NX}, a AS (SELECT k, hn, CASE WHEN list_stddev_pop(hn) * 0.05 < 1e-12 THEN 0.05 ELSE list_stddev_pop(hn) * 0.05 END AS s, unnest(range(1, len(hn) + 1)) AS i FROM pr),
+b AS (SELECT k, list(hn[i] + s * sqrt(-2 * ln({_UNIFORM('1')})) * cos(6.283185307179586 * {_UNIFORM('2')}) ORDER BY i) AS h FROM a GROUP BY 1),
+c AS (SELECT k, h, list_avg(h) AS m, CASE WHEN list_stddev_pop(h) < 1e-8 THEN 1.0 ELSE list_stddev_pop(h) END AS d FROM b)
+""" + _long("c", "list_transform(h, lambda v: (v - m) / d)")
+
+
+def _chunks(source: str, *names: str) -> str:
+    """Recursive CTE ``sp`` (k, sub, n, i, pos, h) over ``source`` (k, n, sub): steps of drawn histories from 60 to 120."""
+    draw = lambda i, pos: f"60 + {_draw(*names, 'k', i)} % (greatest(60, least(120, n - ({pos}) - 12)) + 1 - 60)"
+    return f"""sp(k, sub, n, i, pos, h) AS (SELECT k, sub, n, 0, 0, {draw('0', '0')} FROM {source} WHERE n >= 72
+  UNION ALL SELECT k, sub, n, i + 1, pos + h, {draw('i + 1', 'pos + h')} FROM sp WHERE n - (pos + h) >= 72)"""
+
+
+ORACLES["slice_seeded_chunks"] = f"""WITH RECURSIVE {SW}, so AS (SELECT k, len(x) AS n, '' AS sub FROM sx), {_chunks('so', '0')}
+SELECT k, i AS chunk, CAST(pos AS INT) AS start, CAST(h AS INT) AS history_len, CAST(least(20, n - pos - h) AS INT) AS future_len FROM sp"""
+ORACLES["slice_subsets"] = f"""WITH RECURSIVE {SW}, so AS (SELECT k, n, sub FROM (SELECT k, len(x) AS n, 'part' || (k % 3) AS sub, row_number() OVER (PARTITION BY k % 3 ORDER BY k) AS r FROM sx WHERE k % 3 IN (0, 2)) WHERE r <= 9), {_chunks('so', '5', 'sub')},
+per AS (SELECT sub, k, count(*) AS n FROM sp GROUP BY 1, 2) SELECT coalesce(sub, 'TOTAL') AS subset, count(*) AS n_series, CAST(sum(n) AS BIGINT) AS n_chunks FROM per GROUP BY ROLLUP (sub)"""
+_PIECE = lambda x, missing, seed: f"list_transform(range({missing}), lambda j: {x}[CAST((({_draw(f"concat_ws('|', k, '{seed}')", f'len({x})')} % (greatest(len({x}) - ({missing}), 0) + 1)) + j) % len({x}) AS INT) + 1])"
+ORACLES["uniform_length_pad"] = f"WITH {NX}, a AS (SELECT k, list_concat({_PIECE('h', '80 - len(h)', 0)}, h) AS h, list_concat(f, {_PIECE('f', '20 - len(f)', 1)}) AS f FROM pr) " + _long("a", "list_concat(h, f)")
+ORACLES["length_report"] = f"""WITH {SW}, o AS (SELECT s_suppkey AS k, count(sc.v) AS n FROM supplier LEFT JOIN sc ON sc.k = s_suppkey GROUP BY 1)
+SELECT k % 4 AS part, count(*) AS n_before, count(*) FILTER (n >= 290) AS n_kept, count(*) FILTER (n < 290) AS n_dropped FROM o GROUP BY 1"""
+ORACLES["load_range"] = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey >= 10 AND c_custkey < 210"
+ORACLES["train_future"] = f"WITH {NL} SELECT k, CAST(t - (n - 12) AS BIGINT) AS t, {_r('coalesce(v, 0.0)', 'v')} FROM nl WHERE t >= n - 12"
+ORACLES["mask_sparsity"] = f"""WITH {NL}, z AS (SELECT k, domain, t, coalesce(v, 0.0) AS v FROM nl WHERE t < n - 12),
+r AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY t) AS r FROM (SELECT *, CASE WHEN v <> lag(v) OVER (PARTITION BY k ORDER BY t) THEN 1 ELSE 0 END AS c FROM z)),
+m AS (SELECT k, domain, CASE WHEN v = 0 OR count(*) OVER (PARTITION BY k, r) >= 2 THEN 0 ELSE 1 END AS m FROM r)
+SELECT domain, bool_and(k <> 7) AS all_masked, {_r('1 - avg(m) FILTER (k <> 7)', 'sparsity')} FROM m GROUP BY 1"""
+ORACLES["series_grid"] = ORACLES["series_plot"] + " WHERE k IN (3, 7, 11)"
+ORACLES["predictions_plot"] = f"""WITH {NAIVE}, la AS (SELECT k, h, f, y, 'rRMSE ' || format('{{:.3f}}', relative_rmse) AS label FROM sc)
+SELECT k, label, t, part, {_r('v', 'v')} FROM (SELECT k, label, unnest(range(-24, 0)) AS t, 'history' AS part, unnest(h[len(h) - 23:]) AS v FROM la UNION ALL SELECT k, label, unnest(range(len(f))), 'actual', unnest(f) FROM la
+  UNION ALL SELECT k, label, unnest(range(12)), 'predicted', y FROM la)"""
+ORACLES["support_bank"] = f"""WITH {NL}, tl AS (SELECT k, name, domain, t, v, n - 12 AS n FROM nl WHERE t < n - 12), cn AS (SELECT CAST(pow(2, floor(log2(max(n) - 6))) AS BIGINT) AS c FROM tl), cx AS (SELECT k, v FROM tl, cn WHERE t >= n - c),
+lo AS {ROBUST.replace("{source}", "cx")}, nm AS (SELECT k, domain, row_number() OVER (PARTITION BY domain ORDER BY k) - 1 AS s FROM (SELECT DISTINCT k, domain FROM tl))
+SELECT domain || '#series' || s AS name, domain = 'ASIA' AND s = 0 AS unseen, c AS context, c AS context_length, CAST(6 AS BIGINT) AS horizon_length, {_r('loc', 'loc')}, {_r('scale', 'scale')} FROM nm JOIN lo USING (k), cn"""

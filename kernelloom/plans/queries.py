@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kernelloom import catalog
@@ -16,10 +16,13 @@ from kernelloom.operators.solve import conjugate_gradients
 from kernelloom.plans import forecast
 from kernelloom.sources import readers
 from kernelloom.sources.tables import HORIZON, nation_month, supplier_week, user_events, vectors
+from kernelloom.staging import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 GAMMA, CONTEXT, PLACES = 1e-2, 12, 6
+#: Behind the last ordinal of any table.
+EVERY = 1 << 62
 
 
 def query(f: Query) -> Query:
@@ -47,7 +50,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = readers.build_examples(_samples(spark, sf), extra_keys=("name", "domain"))
+    rows = readers.build_examples(_samples(spark, sf), stop=EVERY, extra_keys=("name", "domain"))
     return augment.prepare_examples(rows.withColumn("k", F.col("sample_idx").cast("int")))
 
 
@@ -273,7 +276,7 @@ def median_lengthscale(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def gram_dtw(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(DTW(10.0, window=6).gram(_nations(spark, sf).withColumn("x", tail(F.col("x"), 24))))
+    return _pairs(DTW(10.0).gram(_nations(spark, sf)))
 
 
 @query
@@ -305,7 +308,7 @@ def krr_fit_alpha(spark: SparkSession, sf: str) -> DataFrame:
 def krr_conjugate_gradients(spark: SparkSession, sf: str) -> DataFrame:
     """The same system without a dense solve."""
     train, _ = _split(_prepared(spark, sf))
-    return _long(conjugate_gradients(forecast.modelled(train).withColumn("y", F.slice("y", 1, 2)), RBF(10.0), GAMMA), "alpha")
+    return _long(conjugate_gradients(forecast.modelled(train), RBF(10.0), GAMMA), "alpha")
 
 
 @query
@@ -396,6 +399,119 @@ def series_plot(spark: SparkSession, sf: str) -> DataFrame:
     return report.series_plot(_prepared(spark, sf), context=24).select("k", F.col("t").cast("long").alias("t"), "part", _r("v").alias("v"))
 
 
+@query
+def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases and plain names of data sets."""
+    names = spark.createDataFrame([("Energy",), ("Solar",), ("Cloud",), ("Traffic",), ("hospital_M_short",), ("",)], "name string")
+    return catalog.resolve(names)
+
+
+@query
+def load_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a split by their stored ordinal, the range pushed down to the scan."""
+    rows = readers.load_rows(spark, f"{sf.rstrip('/')}/customer.parquet", "train[10:500]", 200, ordinal="c_custkey")
+    return rows.select("c_custkey", "c_name", "c_nationkey")
+
+
+@query
+def train_future(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a nation's validation series goes on behind its training series."""
+    rows = nation_month(spark, sf).select(F.col("domain").alias("dataset"), F.col("k").alias("series_index"), S.impute(F.col("x"), "zero").alias("x"))
+    train = rows.withColumn("target", F.slice("x", F.lit(1), F.size("x") - HORIZON))
+    joined = readers.train_future(train, rows.withColumnRenamed("x", "target"))
+    return _long(joined.select(F.col("series_index").alias("k"), "future"), "future")
+
+
+@query
+def uniform_length_pad(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories padded in front to 80 steps and futures behind to 20, by pieces of themselves."""
+    made = augment.uniform_length(_prepared(spark, sf).select("k", "sample_idx", "history", "future"), 80, 20, min_len=1)
+    return _long(made.select("k", F.concat("history", "future").alias("x")), "x")
+
+
+@query
+def length_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers kept and dropped by a least number of observed weeks."""
+    rows = supplier_week(spark, sf).select(F.col("k").alias("sample_idx"), F.filter("x", lambda v: v.isNotNull()).alias("history"), (F.col("k") % 4).alias("part"))
+    return augment.length_report(rows, augment.uniform_length(rows, 290, min_len=290), "part")
+
+
+@query
+def slice_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the suppliers' series by subset: one subset is skipped by its prefix, one can't be loaded, and
+    of the others the first nine series are cut."""
+    series = supplier_week(spark, sf).select("k", S.impute(F.col("x"), "zero").alias("x"))
+
+    def load(name: str) -> DataFrame:
+        if name == "absent":
+            raise FileNotFoundError(name)
+        return series.where(F.col("k") % 3 == int(name[-1]))
+
+    chunks, failed = slicing.slice_subsets(load, ["part0", "absent", "skip1", "part2"], slicing.Cut(20, 60, 120, 12, 40), 5, ("skip",), 9)
+    if list(failed) != ["absent"]:
+        raise ValueError(failed)
+    return slicing.counts(chunks)
+
+
+@query
+def mask_sparsity(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each region's histories, whether all have a mask of their constant runs, and how much it hides."""
+    zero = S.impute(F.col("history_value"), "zero")
+    rows = _samples(spark, sf).withColumn("mask", F.when(F.col("sample_idx") != 7, S.run_mask(zero, 2)))
+    return _rounded(forecast.mask_sparsity(rows, "domain"), "domain", "all_masked")
+
+
+@query
+def domain_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The models of ``run_all_domains`` and their scores by region, in twelve columns."""
+    rows = _prepared(spark, sf)
+    scores = forecast.run_all_domains(rows.where("k < 20"), rows.where("k >= 20"), RBF(), GAMMA)
+    return _rounded(metrics.model_summary(scores.withColumn("config", F.lit("nation_month")), "domain", "config"), "domain", "config", "kernel", "n_train", "n_test")
+
+
+@query
+def masked_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions' models by observed months only: a month without orders takes no part."""
+    rows = _prepared(spark, sf).join(_observed(spark, sf), "k")
+    return _scores(forecast.run_all_domains(rows.where("k < 20"), rows.where("k >= 20"), MaskedRBF(1.0), GAMMA), "name", "domain")
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    mask = F.transform("history_value", lambda v: F.when(v.isNotNull(), 1.0).otherwise(0.0))
+    return _samples(spark, sf).select(F.col("sample_idx").cast("int").alias("k"), mask.alias("mask"))
+
+
+@query
+def learnt_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions' models by learnt features."""
+    rows = _prepared(spark, sf)
+    return _scores(forecast.run_all_domains(rows.where("k < 20"), rows.where("k >= 20"), FeatureMachine(2), GAMMA), "name", "domain")
+
+
+@query
+def pretrain_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Pretraining on chunks of the suppliers' weeks, evaluation on the nations' months."""
+    weeks = supplier_week(spark, sf).select("k", F.explode(slicing.fixed_slices(S.impute(F.col("x"), "zero"), 300, HORIZON)).alias("c"))
+    chunks = weeks.select(F.col("k").alias("sample_idx"), "c.history", "c.future")
+    made = forecast.pretrain_eval(chunks, _prepared(spark, sf).select("sample_idx", "name", "history", "future"), RBF(10.0), GAMMA, 60, HORIZON)
+    return _scores(made.predictions, "name")
+
+
+@query
+def gram_wavelet_coeffs(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(Wavelet("coeffs", 20.0, 4, 1.0, 3.0).gram(_nations(spark, sf)))
+
+
+@query
+def series_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return report.series_grid(_prepared(spark, sf), [3, 7, 11], context=24).select("k", F.col("t").cast("long").alias("t"), "part", _r("v").alias("v"))
+
+
+@query
+def predictions_plot(spark: SparkSession, sf: str) -> DataFrame:
+    return report.predictions_plot(_naive(spark, sf), context=24).select("k", "label", F.col("t").cast("long").alias("t"), "part", _r("v").alias("v"))
+
+
 # -- time kernels ----------------------------------------------------------------------------------
 
 
@@ -405,6 +521,16 @@ def _bank(spark: SparkSession, sf: str) -> DataFrame:
     return taugamma.prepare_bank(rows, CONTEXT)
 
 
+@query
+def support_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """A bank of all nations with one common context, the first of Asia unseen."""
+    x, n = F.col("x"), F.size("x")
+    at = F.row_number().over(Window.partitionBy("domain").orderBy("k")) - 1
+    rows = nation_month(spark, sf).select(F.col("domain").alias("dataset"), at.alias("series_index"), F.slice(x, F.lit(1), n - HORIZON).alias("train"), tail(x, HORIZON).alias("future"))
+    bank, context = taugamma.support_bank(rows, 6, power_of_two=True, unseen=("ASIA", 0))
+    return _rounded(bank.select("name", "unseen", F.lit(context).cast("long").alias("context"), F.size("context_filled").cast("long").alias("context_length"), F.size("future_filled").cast("long").alias("horizon_length"), "loc", "scale"), "name", "unseen", "context", "context_length", "horizon_length")
+
+
 @query
 def support_bank_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(taugamma.summarize_bank(_bank(spark, sf)), "name", "context_length", "horizon_length")
@@ -429,8 +555,9 @@ def mama_kernel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gamma(spark: SparkSession, sf: str):
-    bank = _bank(spark, sf)
-    own = taugamma.time_kernels(bank, CONTEXT)
+    # both are read several times
+    bank = cut(_bank(spark, sf))
+    own = cut(taugamma.time_kernels(bank, CONTEXT))
     return bank, own, taugamma.dense(taugamma.mean_time_kernel(own), CONTEXT)
 
 

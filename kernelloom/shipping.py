@@ -14,10 +14,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once an application, unless their path has it already."""
-    app = spark.sparkContext.applicationId
+    """Send the package to the workers, once an application.  In local mode their path is the driver's, and may
+    have it already; elsewhere the driver's path says nothing about theirs."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
     paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    if app in _shipped or str(ROOT) in paths:
+    if app in _shipped or local and str(ROOT) in paths:
         return
     _shipped.add(app)
     archive = os.path.join(tempfile.mkdtemp(prefix="kernelloom-"), "kernelloom.zip")

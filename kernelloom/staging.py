@@ -12,6 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     own serves only where that is unset, as in tests."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not named and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kernelloom-"))
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kernelloom.operators import pairwise, taugamma
 from kernelloom.operators.kernels import DTW, NTK, RBF, FeatureMachine, Linear, MaskedRBF, PatchMachine, Wavelet
@@ -93,3 +94,61 @@ def test_splits_and_sizes(rows):
     with pytest.raises(IndexError):
         forecast.split_by_keys(rows, rows.selectExpr("k + 100 AS k"))
     assert forecast.study_sizes(40) == sorted(set(forecast.study_sizes(40))) and forecast.study_sizes(2000)[-1] <= 707
+
+
+@pytest.mark.parametrize("kernel", [FeatureMachine(2), PatchMachine(6, 3, 2)])
+def test_learning_over_tiles_equals_one_task(rows, kernel):
+    made = forecast.learn(rows, 30, kernel, 0.1)
+    own = frame().sort_values("k", key=lambda k: k)
+    sample = {int(k) for k in forecast.drawn(rows, kernel.points)["k"]}
+    own = pd.concat([own[own["k"].isin(sample)], own[~own["k"].isin(sample)]], ignore_index=True)
+    want = kernel.learnt(own, np.array(own["y"].tolist()), 0.1)
+    assert np.array(made.projection) == pytest.approx(np.array(want.projection)) and made.lengthscale == pytest.approx(want.lengthscale)
+    # brute force of one round's patch gradients
+    one = PatchMachine(6, 3, 1).learnt(frame(), Y, 0.1)
+    if isinstance(kernel, PatchMachine):
+        p = np.array([[x[u : u + 6] for u in range(0, 19, 3)] for x in X])
+        plain = PatchMachine(6, 3, lengthscale=one.lengthscale)
+        a = np.linalg.solve(plain.matrix(frame(), frame()) + 0.1 * np.eye(30), Y).sum(1)
+        m = np.zeros((6, 6))
+        for i in range(30):
+            for u in range(p.shape[1]):
+                g = sum(a[j] * np.exp(-((p[i, u] - p[j, u]) ** 2).sum() / (2 * one.lengthscale**2)) * (p[j, u] - p[i, u]) for j in range(30))
+                m += np.outer(g, g)
+        assert np.array(one.projection) == pytest.approx(m / np.linalg.norm(m))
+
+
+def test_domains_learn_and_mask(spark):
+    from kernelloom.operators.augment import prepare_examples
+
+    data = [(i, "ab"[i % 2], X[i].tolist(), Y[i].tolist(), (RNG.random(24) > 0.3).astype(float).tolist()) for i in range(30)]
+    made = prepare_examples(spark.createDataFrame(data, "k int, domain string, history array<double>, future array<double>, mask array<double>"))
+    train, test = made.where("k < 24"), made.where("k >= 24")
+    for kernel in (FeatureMachine(2), MaskedRBF(), RBF()):
+        got = {r.k: r for r in forecast.run_all_domains(train, test, kernel, 0.1).collect()}
+        for domain in "ab":
+            own = forecast.train_eval(train.where(f"domain = '{domain}'"), test.where(f"domain = '{domain}'"), kernel, 0.1)
+            for r in own.predictions.collect():
+                assert got[r.k].future_pred == pytest.approx(r.future_pred) and got[r.k].n_train == 12 and got[r.k].kernel == type(kernel).__name__
+    # a domain whose series differ in length can't be solved, and leaves the other alone
+    odd = train.withColumn("x_model", F.when((F.col("domain") == "b") & (F.col("k") < 5), F.array(F.lit(1.0))).otherwise(F.col("x_model")))
+    assert {r.domain for r in forecast.run_all_domains(odd, test, RBF(3.0), 0.1).collect()} == {"a"}
+    assert forecast.masks_or_zeros(made).columns == made.columns
+    assert "mask" not in forecast.masks_or_zeros(made.withColumn("mask", F.when(F.col("k") > 3, F.col("mask")))).columns
+
+
+def test_unsolved_gradients_raise(rows):
+    with pytest.raises(RuntimeError):
+        conjugate_gradients(rows, RBF(3.0), 1e-6, 1e-12, rounds=1)
+
+
+def test_time_kernels_with_own_lookbacks(spark):
+    x = RNG.normal(size=50)
+    bank = spark.createDataFrame([(1, x.tolist()), (2, x[:3].tolist())], "k int, train_filled array<double>")
+    taus = spark.createDataFrame([(1, [0, 3, 99])], "k int, taus array<int>")
+    got = taugamma.dense(taugamma.time_kernels(bank, 5, taus=taus).where("k = 1"), 5)
+    want = np.zeros((5, 5))
+    for tau in (0, 3):
+        w = x[45 - tau : 50 - tau] * np.exp(-((np.linspace(0, 1, 5) - min(1, tau / 99)) ** 2))
+        want += np.outer(w, w) / 2
+    assert got == pytest.approx(want) and taugamma.time_kernels(bank, 5).where("k = 2").count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kernelloom import catalog
 from kernelloom.functions import series as S
+from kernelloom.functions.draws import drawn_number
 from kernelloom.operators import augment, decompose, metrics, slicing
 from kernelloom.sources.readers import parse_split
 
@@ -58,7 +59,7 @@ def test_shapes(spark):
 
 def test_slices_and_metrics(spark):
     cut = slicing.Cut(20, 60, 120, 12, 40)
-    spans = list(cut.spans(357, np.random.default_rng(0)))
+    spans = list(cut.spans(357, lambda i: drawn_number(0, i)))
     assert spans and all(60 <= h <= 120 and 12 <= f <= 20 and a + h + f <= 357 for a, h, f in spans)
     assert all(b[0] >= a[0] + a[1] for a, b in zip(spans, spans[1:]))
     row = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 4.0], [0.0, 0.0])], "y array<double>, p array<double>, h array<double>, z array<double>").select(
