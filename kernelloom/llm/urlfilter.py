@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 WEIGHTS, SIZES = 1 << 13, (3, 4, 5)
 
-#: Urls of unwanted pages and of wanted ones, the model's whole training table.
+#: Urls of unwanted pages and of wanted ones, written by hand, the model's whole training table.
 UNWANTED = """
 casino-bonus.example.org/en/welcome
 online-casino.example.com/free-spins
@@ -56,7 +56,7 @@ warez-crack.example.net/keygen.exe
 serial-keys.example.org/download/crack.zip
 free-movies-hd.example.com/stream/full-movie
 torrent-pirate.example.net/get/4411
-spam-farm.example.org/en/728
+spam-network.example.org/post/12
 link-farm.example.com/page/90210
 seo-links.example.org/buy-backlinks
 clickbait-ads.example.net/you-wont-believe
@@ -82,6 +82,38 @@ blog.example.com/porn-free-download
 example.net/payday-loan/apply-now
 news.example.org/click/ads/redirect?win-prize
 cdn.example.com/popup/casino-bonus.html
+casino-royale.example.net/en/jackpot
+live-casino.example.org/fr/bonus
+casino-slots.example.com/de/spielen
+best-poker.example.org/sign-up
+free-slots.example.net/en/12
+online-bets.example.com/en/tips
+bet-bonus.example.net/promo
+jackpot-winner.example.org/claim-now
+cheap-viagra.example.net/order
+online-pharmacy.example.com/pills
+generic-pills.example.org/cheap
+weight-loss-pills.example.net/order-now
+adult-dating.example.com/meet
+adult-cams.example.net/live-sex
+free-sex-videos.example.org/watch
+porn-pics.example.com/gallery
+xxx-movies.example.net/download
+cash-advance.example.com/payday
+instant-loan.example.net/apply-online
+no-credit-loan.example.org/quote
+earn-money-online.example.com/join
+free-crypto.example.org/airdrop
+bitcoin-investment.example.net/double
+replica-bags.example.com/sale
+cheap-rolex.example.org/order
+crack-download.example.com/keygen
+free-torrent.example.net/movie-download
+spam-mail.example.com/bulk-email
+cheap-seo.example.com/backlinks
+free-gift-card.example.net/survey
+winner-prize.example.com/claim
+account-update.example.org/secure-login
 """
 WANTED = """
 www.example.org/en/685
@@ -139,15 +171,40 @@ archive.example.org/letters/1911
 jobs.example.net/teacher/vacancies
 charity.example.com/volunteers
 parish.example.org/newsletter/june
-thther.example.org/en/676
-ththre.example.com/fr/825
-blog.theres.example.com/es/533/
-m.ththan.example.net/en/25
-www.ththhe.example.com/en/474.html
-ouanti.example.org/de/960
-stenter.example.net/fr/12/
 example.org/about/contact
 blog.example.org/posts/garden
+nature.example.org/en/12
+review.example.com/fr/340
+journal.example.net/de/77.html
+press.example.com/en/9012
+www.garden-club.example.org/en/5
+blog.travel-notes.example.net/es/48/
+m.city-news.example.com/en/2210
+letters.example.org/fr/16/
+geology.example.net/maps/fault-lines
+botany.example.com/herbarium/ferns
+ocean.example.org/tides/table
+energy.example.net/wind/turbines
+trees.example.com/oak/planting
+bridges.example.org/survey/1904
+weaving.example.net/patterns/twill
+pottery.example.com/glazes/celadon
+language.example.org/grammar/verbs
+translation.example.net/notes/homer
+philosophy.example.com/essays/kant
+election.example.org/results/2017
+budget.example.net/report/2022.html
+transport.example.com/buses/line-42
+harbour.example.org/ships/arrivals
+mountain.example.net/huts/booking
+winter.example.com/sports/skating
+printing.example.org/type/garamond
+children.example.net/stories/fox
+nursing.example.com/handbook
+pharmacology.example.org/textbook/dosage
+banking-history.example.net/crisis-1907
+gambling-research.example.org/studies
+security.example.com/advisories/2021
 """
 
 
