@@ -226,15 +226,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = linked(rest, "2")
     if not more.isEmpty():
         labels = merged(labels, more, scratch, "cc-2")
-    # what keys still hold of several components: first who has a possible partner at all, then on full sets
-    held = labelled(members.select("key", "node", "size"), labels, "node", "label")
+    # what keys still hold of several components, now that all were compared with the first: who has a possible
+    # partner at all, then these on full sets
+    held = labelled(members.where("node <> pivot").select("key", "node", "size"), labels, "node", "label")
     grid = _grid(_banded(held, percent), F.lit(0), scratch, "grid-1").join(maps.select("node", "bits"), "node")
-    some = scratch.write(grid.groupBy("key", "band", "x", "y").applyInPandas(_possible(percent), "node long").distinct(), "possible")
+    some = scratch.write(grid.groupBy("pack").applyInPandas(_possible(percent), "node long").distinct(), "possible")
     if not some.isEmpty():
         sets = scratch.write(sets_of(some), "sets-3")
         again = _banded(held.join(some, "node"), percent)
         grid = _grid(again, F.col("size") * 8, scratch, "grid-2").join(maps.select("node", "bits"), "node").join(sets, "node")
-        found = scratch.write(grid.groupBy("key", "band", "x", "y").applyInPandas(_forest(percent), "a long, b long").distinct(), "edges-3")
+        found = scratch.write(grid.groupBy("pack").applyInPandas(_forest(percent), "a long, b long").distinct(), "edges-3")
         if not found.isEmpty():
             labels = merged(labels, found, scratch, "cc-3")
 
@@ -280,69 +281,90 @@ def _banded(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _grid(rows: DataFrame, weight: Column, scratch: Scratch, tag: str) -> DataFrame:
-    """(key, band, x, y, side, node, label, size) of the bands that hold several components: blocks of all
+    """(pack, key, band, x, y, side, node, label, size) of the bands that hold several components: blocks of all
     rows (side 0) against blocks of those outside the most frequent component (side 1), each of a bounded
-    number of rows and weight."""
+    number of rows and weight.  Bands of the same members count once.  A pair of blocks is a pack of its own;
+    bands of one block share packs of about as many rows."""
     rows = rows.withColumn("weight", weight.cast("long"))
-    per = rows.groupBy("key", "band", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    per = per.groupBy("key", "band").agg(F.max_by(F.struct("label", "n", "w"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"))
-    per = scratch.write(per.where("labels > 1").drop("labels"), tag)
+    hashed, marks = F.xxhash64("node"), [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    per = rows.groupBy("key", "band", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), marks[0].alias("h1"), marks[1].alias("h2"))
+    per = per.groupBy("key", "band").agg(
+        F.max_by(F.struct("label", "n", "w"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"),
+        F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"),
+    ).where("labels > 1")
+    least = F.min(F.struct("key", "band", "main", "n", "w"))
+    per = scratch.write(per.groupBy("h1", "h2", F.col("n").alias("same")).agg(least.alias("p")).select("p.*"), tag)
     blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(float(BLOCK)), w / F.lit(float(BLOCK_BYTES)))).cast("int")
-    hashed, main = F.xxhash64("node"), F.col("main")
+    main, total = F.col("main"), per.agg(F.sum("n"), F.sum("w")).first()
+    packs = max(1, -(-(total[0] or 0) // BLOCK), -(-(total[1] or 0) // BLOCK_BYTES))
     mine = rows.drop("weight").join(per, ["key", "band"])
     mine = mine.withColumns({"blocks": blocks(F.col("n"), F.col("w")), "rests": blocks(F.col("n") - main["n"], F.col("w") - main["w"])})
     mine = mine.withColumns({"x": F.pmod(hashed, "blocks").cast("int"), "y": F.pmod(hashed, "rests").cast("int")})
-    own = ["key", "band", "x", "y", "side", "node", "label", "size"]
-    whole = mine.withColumns({"y": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "side": F.lit(0)}).select(own)
-    rest = mine.where(F.col("label") != main["label"]).withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)}).select(own)
-    return whole.unionByName(rest)
-
-
-def _halves(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
-    """Both sides, by size, with their bitmaps in words of one length."""
-    left, right = (part[part["side"] == s].sort_values(["size", "node"], ignore_index=True) for s in (0, 1))
-    least = int(part["bits"].map(len).min()) if len(part) else LEAST_BITS // 8
-    return left, right, folded(list(left["bits"]), least), folded(list(right["bits"]), least)
-
-
-def _partners(i: int, left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """Rows of the left, sorted by size, that right's row i may link with, in other components."""
-    size, label, words = left
-    n, own = int(right[0][i]), right[1][i]
-    lo, hi = np.searchsorted(size, [-(-percent * n // 100), 100 * n // percent + 1])
-    at = lo + np.flatnonzero(label[lo:hi] != own)
-    return at[np.bitwise_count(words[at] ^ right[2][i]).sum(1) <= most_apart(size[at] + n, percent)]
+    whole = mine.withColumns({"y": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "side": F.lit(0)})
+    rest = mine.where(F.col("label") != main["label"]).withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+    one = F.col("blocks") * F.col("rests") == 1
+    pack = F.when(one, F.pmod(F.xxhash64("key", "band"), F.lit(packs))).otherwise(F.xxhash64("key", "band", "x", "y"))
+    return whole.unionByName(rest).select(pack.alias("pack"), "key", "band", "x", "y", "side", "node", "label", "size")
+
+
+class _Side:
+    def __init__(self, part: pd.DataFrame, at: np.ndarray, least: int):
+        self.size, self.label, self.node = (part[c].to_numpy()[at] for c in ("size", "label", "node"))
+        self.words = folded([part["bits"].iat[i] for i in at], least)
+        self.at = at
+
+
+def _pairs_of_blocks(part: pd.DataFrame) -> Iterator[tuple[_Side, _Side]]:
+    """Both sides of each pair of blocks in a pack, by size, with their bitmaps in words of one length."""
+    if not len(part):
+        return
+    by = [part[c].to_numpy() for c in ("node", "size", "side", "y", "x", "band", "key")]
+    order = np.lexsort(by)
+    where = np.stack([c[order] for c in by[3:]])
+    starts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(0)))
+    length, side = part["bits"].map(len).to_numpy(), by[2]
+    for a, b in zip(starts, np.append(starts[1:], len(order))):
+        own = order[a:b]
+        split = int((side[own] == 0).sum())
+        if 0 < split < len(own):
+            least = int(length[own].min())
+            yield _Side(part, own[:split], least), _Side(part, own[split:], least)
+
+
+def _partners(left: _Side, right: _Side, i: int, percent: int) -> np.ndarray:
+    """Rows of the left that right's row i may link with, in other components."""
+    n = int(right.size[i])
+    lo, hi = np.searchsorted(left.size, [-(-percent * n // 100), 100 * n // percent + 1])
+    at = lo + np.flatnonzero(left.label[lo:hi] != right.label[i])
+    return at[np.bitwise_count(left.words[at] ^ right.words[i]).sum(1) <= most_apart(left.size[at] + n, percent)]
 
 
 def _possible(percent: int):
     def find(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, u, v = _halves(part)
-        sides = [(t["size"].to_numpy(), t["label"].to_numpy(), w) for t, w in ((left, u), (right, v))]
-        seen, out = np.zeros(len(left), bool), []
-        for i in range(len(right)):
-            at = _partners(i, *sides, percent)
-            if len(at):
-                seen[at] = True
-                out.append(right["node"].iat[i])
-        return pd.DataFrame({"node": np.unique(np.concatenate([left["node"].to_numpy()[seen], np.array(out, np.int64)]))})
+        out: set[int] = set()
+        for left, right in _pairs_of_blocks(part):
+            for i in range(len(right.node)):
+                at = _partners(left, right, i, percent)
+                if len(at):
+                    out.update(left.node[at].tolist())
+                    out.add(int(right.node[i]))
+        return pd.DataFrame({"node": np.array(sorted(out), np.int64)})
 
     return find
 
 
 def _forest(percent: int):
     def find(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, u, v = _halves(part)
-        size, label = left["size"].to_numpy(), left["label"].to_numpy().copy()
-        other, node, links = right["label"].to_numpy().copy(), left["node"].to_numpy(), []
-        sets = [np.frombuffer(s, np.uint64) for s in left["shingles"]]
-        for i in range(len(right)):
-            one = np.frombuffer(right["shingles"].iat[i], np.uint64)
-            for k in _partners(i, (size, label, u), (right["size"].to_numpy(), other, v), percent):
-                old, new = label[k], other[i]
-                if old != new and similar(sets[k], one, percent):
-                    links.append((max(node[k], right["node"].iat[i]), min(node[k], right["node"].iat[i])))
-                    label[label == old] = new
-                    other[other == old] = new
+        links, shingles = [], part["shingles"].to_numpy()
+        for left, right in _pairs_of_blocks(part):
+            for i in range(len(right.node)):
+                one = np.frombuffer(shingles[right.at[i]], np.uint64)
+                for k in _partners(left, right, i, percent):
+                    old, new = left.label[k], right.label[i]
+                    if old != new and similar(np.frombuffer(shingles[left.at[k]], np.uint64), one, percent):
+                        links.append((max(left.node[k], right.node[i]), min(left.node[k], right.node[i])))
+                        left.label[left.label == old] = new
+                        right.label[right.label == old] = new
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return find
