@@ -18,6 +18,7 @@ import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,11 @@ def places(words: list[bytes], phrase: tuple[bytes, ...], joined: bytes) -> list
     return out
 
 
+def _blanks(text: str) -> np.ndarray:
+    """Places of the blanks in a text, in order."""
+    return np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+
+
 def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Notice, ...] = NOTICES, base: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
     """One row a document: doc_id, n_words, base (array of label, word) and fuzzy (array of label,
     first_word, last_word, edits, start, end, score).
@@ -147,9 +153,12 @@ def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 joined = b" " + b" ".join(words) + b" "
                 hits = [{"label": label, "word": p} for phrase, label in phrases for p in places(words, phrase, joined)]
                 plain = joined[1:-1].decode("utf-8", "surrogatepass")
+                found = scanner.fuzzy(plain)
+                # a place's word number is the number of blanks before it
+                first, last = (np.searchsorted(_blanks(plain), at).tolist() if at else [] for at in ([a for _, a, _, _ in found], [max(a, b - 1) for _, a, b, _ in found]))
                 near = [
-                    {"label": label, "first_word": plain.count(" ", 0, a), "last_word": plain.count(" ", 0, max(a, b - 1)), "edits": e, "start": a, "end": b, "score": 1 - e / (allowed[label] + 1)}
-                    for label, a, b, e in scanner.fuzzy(plain)
+                    {"label": label, "first_word": u, "last_word": v, "edits": e, "start": a, "end": b, "score": 1 - e / (allowed[label] + 1)}
+                    for (label, a, b, e), u, v in zip(found, first, last)
                 ]
                 rows.append((doc_id, len(words), hits, near))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "base", "fuzzy"]).astype({"doc_id": "Int64"})

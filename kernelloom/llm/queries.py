@@ -98,7 +98,7 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back by the salvaging reader."""
-    back = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
+    back = warc.verified_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -165,8 +165,10 @@ d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE r END AS r,
         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x FROM h, range(2) c(i) WHERE code <> 0 AND (i = 0 OR code = 3)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(x)) AS n FROM d),
 f AS (SELECT *, left(r, 1) AS a, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS b,
-        CASE WHEN NOT regexp_matches(x, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY n) > 1 THEN 'duplicate'
-             WHEN NOT regexp_matches(x, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+        CASE WHEN NOT regexp_matches(x, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY n) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(x, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
         count(*) FILTER (b IS NOT NULL AND b || a NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM f GROUP BY conv_id),

@@ -291,7 +291,9 @@ class Encoder:
                 ids = np.array(self._ids(" ".join(part), self.words), "<u2")
                 edges, raw = [0, *(2 * np.flatnonzero(self.ends[ids]) + 2).tolist()], ids.tobytes()
                 if len(edges) != len(part) + 1:
-                    raise ValueError("a word without an end")
+                    # a word that the model doesn't end goes with the others
+                    rest += [p for w in part for p in letters[w]]
+                    continue
                 self.known.update((w, raw[a:b]) for p, a, b in zip(part, edges, edges[1:]) for w in letters[p])
         for i in range(0, len(rest), size):
             part = rest[i : i + size]
@@ -338,12 +340,15 @@ def encode_texts(texts: pa.Array, tokenizer_path: str, end_id: int) -> list[byte
     return _encoders[tokenizer_path].encode(texts, struct.pack("<H", end_id))
 
 
+#: Tasks that write or read shards at most; beyond that a task has several, one after another.
+MOST_TASKS = 10_000
+
 # -- files -----------------------------------------------------------------------------------------
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, scratch: Scratch, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 4_000_000) -> DataFrame:
     """Encode every text, write ``table.rans``, the shards and ``manifest`` (Parquet) to ``folder``; returns
-    the manifest (shard, file, docs, tokens), one row a shard.
+    the manifest (part, place, file, docs, tokens), one row a shard, in order of part and place.
 
     Null and empty texts have the end id only.  A null id comes first; rows with equal or null ids are in
     the order of a hash of their ids, then of the ids' bytes, and may be in several shards; repeated rows
@@ -378,22 +383,33 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabul
     freq, table_crc = read_table(table), zlib.crc32(table)
     shards = max(1, int(counts.sum() // shard_tokens))
 
-    def to_shard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, raw = [], []
+    def to_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's documents in order, in files of about ``shard_tokens`` ids."""
+        ids, raw, size, done, coder = [], [], 0, [], Coder(freq)
+
+        def flush() -> None:
+            nonlocal ids, raw, size
+            lengths, all_ids = np.array([len(x) // 2 for x in raw], np.int64), np.frombuffer(b"".join(raw), "<u2")
+            name = attempt_name("shard", "rans", len(done))
+            write_file(f"{folder}/{name}", shard_bytes(np.concatenate(ids), lengths, all_ids, coder, table_crc))
+            done.append((TaskContext.get().partitionId(), len(done), name, len(raw), len(all_ids)))
+            ids, raw, size = [], [], 0
+
         for part in parts:
+            if not len(part):
+                continue
             ids.append(part["doc_id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64))
             raw += part["ids"].tolist()
-        if not raw:
-            return
-        doc_ids, lengths = np.concatenate(ids), np.array([len(x) // 2 for x in raw], np.int64)
-        all_ids = np.frombuffer(b"".join(raw), "<u2")
-        name = attempt_name("shard", "rans")
-        write_file(f"{folder}/{name}", shard_bytes(doc_ids, lengths, all_ids, Coder(freq), table_crc))
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "file": [name], "docs": [len(doc_ids)], "tokens": [len(all_ids)]})
+            size += sum(map(len, part["ids"])) // 2
+            if size >= 2 * shard_tokens:
+                flush()
+        if raw:
+            flush()
+        yield pd.DataFrame(done, columns=["part", "place", "file", "docs", "tokens"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
-    ordered = tokens.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
-    ordered.mapInPandas(to_shard, "shard int, file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
+    ordered = tokens.repartitionByRange(min(MOST_TASKS, shards), *order[:2]).sortWithinPartitions(*order)
+    ordered.mapInPandas(to_shards, "part int, place int, file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
     scratch.drop("tokens")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -417,9 +433,15 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 })
 
     manifest = spark.read.parquet(f"{folder}/manifest")
-    # one row a shard
-    offsets = manifest.select("shard", "file", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("offset"))
-    dealt = offsets.repartitionByRange(max(1, manifest.count()), "shard")
+    # one number a writing task comes here; shards are numbered within their tasks
+    before, files, sums = 0, 0, []
+    for part, tokens, n in sorted(tuple(r) for r in manifest.groupBy("part").agg(F.sum("tokens"), F.count("*")).collect()):
+        sums.append((part, before, files))
+        before, files = before + tokens, files + n
+    own = Window.partitionBy("part").orderBy("place")
+    starts = F.broadcast(spark.createDataFrame(sums, "part int, before long, files long"))
+    offsets = manifest.join(starts, "part").select((F.col("files") + F.col("place")).cast("int").alias("shard"), "file", (F.col("before") + F.sum("tokens").over(own) - F.col("tokens")).alias("offset"))
+    dealt = offsets.repartitionByRange(min(MOST_TASKS, max(1, files)), "shard")
     return dealt.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 

@@ -66,12 +66,29 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
+class Finder:
+    """The next place of a byte string at or after a given one, in a search that goes forward only: what was
+    found is kept until it is passed, so all searches together read the data once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.kept = data, {}
+
+    def next(self, what: bytes, at: int) -> int:
+        """The length of the data where there is none."""
+        found = self.kept.get(what, -1)
+        if found < at:
+            found = self.data.find(what, at)
+            self.kept[what] = found = found if found >= 0 else len(self.data)
+        return found
+
+
+def parse_record(data: bytes, at: int = 0, finder: Finder | None = None) -> tuple[dict, int]:
     """(record, end) of the plain record that starts at ``at``; ValueError if it isn't whole and sound."""
     if not _VERSION_LINE.match(data, at):
         raise ValueError("no version line")
-    cut = data.find(b"\r\n\r\n", at)
-    if cut < 0:
+    finder = finder or Finder(data)
+    cut = finder.next(b"\r\n\r\n", at)
+    if cut == len(data) or finder.next(b"\nWARC/", at + 1) < cut:
         raise ValueError("no end of the header")
     fields: dict[str, str] = {}
     for line in data[at:cut].split(b"\r\n")[1:]:
@@ -98,42 +115,48 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, end + 4
 
 
-def _packed(data: bytes, at: int) -> tuple[dict, int]:
-    content, end = _member(data, at)
+def _packed(data: bytes, at: int, most: int) -> tuple[dict, int]:
+    content, end = _member(data, at, most)
     record, used = parse_record(content)
     if used != len(content):
         raise ValueError("more than a record in the member")
     return record, end
 
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
+#: A member that unpacks to more is taken for damaged.
+MOST_UNPACKED = 1 << 30
+
+
+def _member(data: bytes, at: int, most: int = MOST_UNPACKED, step: int = 1 << 16) -> tuple[bytes, int]:
     """(content, end) of the gzip member at ``at``; its own checksum and length are checked.  It is fed in
-    steps, so that the rest of the file isn't copied for each member."""
-    reader, parts, here = zlib.decompressobj(31), [], at
+    steps, so that the rest of the file isn't copied for each member, and may unpack to ``most`` bytes."""
+    reader, parts, here, size = zlib.decompressobj(31), [], at, 0
     try:
         while not reader.eof:
             if here >= len(data):
                 raise ValueError("the member has no end")
-            parts.append(reader.decompress(data[here : here + step]))
+            parts.append(reader.decompress(data[here : here + step], most - size + 1))
             here += step
+            size += len(parts[-1])
+            if size > most or reader.unconsumed_tail:
+                raise ValueError(f"the member unpacks to more than {most} bytes")
     except zlib.error as e:
         raise ValueError(str(e)) from None
     return b"".join(parts), min(here, len(data)) - len(reader.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
+def salvage(data: bytes, most: int = MOST_UNPACKED) -> Iterator[tuple[str, int, int, dict | str]]:
     """("record", start, end, record) and ("gap", start, end, reason) in order; together they cover
-    all bytes of the file."""
-    at, bad, reason = 0, None, ""
+    all bytes of the file.  Searches go forward only, so damage costs no more than sound bytes."""
+    at, bad, reason, finder = 0, None, "", Finder(data)
     while at < len(data):
         packed = data.startswith(GZIP, at)
         try:
-            record, end = _packed(data, at) if packed else parse_record(data, at)
+            record, end = _packed(data, at, most) if packed else parse_record(data, at, finder)
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
-            line, member = _VERSION_LINE.search(data, at + 1), data.find(GZIP, at + 1)
-            at = min(line.start() if line else len(data), member if member > 0 else len(data))
+            at = min(_next_line(data, at + 1, finder), finder.next(GZIP, at + 1))
             continue
         if bad is not None:
             yield "gap", bad, at, reason
@@ -144,6 +167,12 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         yield "gap", bad, len(data), reason
 
 
+def _next_line(data: bytes, at: int, finder: Finder) -> int:
+    while (at := finder.next(b"WARC/", at)) < len(data) and not _VERSION_LINE.match(data, at):
+        at += 1
+    return at
+
+
 # -- tables ----------------------------------------------------------------------------------------
 
 
@@ -214,6 +243,8 @@ def write_archives(records: DataFrame, folder: str, limit: int = 32 << 20) -> Da
     return spark.read.parquet(f"{folder}/manifest")
 
 
+#: Tasks that read files at most; beyond that a task reads several, one after another.
+MOST_TASKS = 10_000
 RECORDS = "kind string, file string, start long, end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -236,7 +267,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                         rows, size = [], 0
                 yield _frame(rows, names)
 
-    dealt = files.select("file").repartitionByRange(max(1, files.count()), "file")
+    dealt = files.select("file").repartitionByRange(min(MOST_TASKS, max(1, files.count())), "file")
     return dealt.mapInPandas(read, RECORDS)
 
 
@@ -254,3 +285,23 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.folder("archives")
     return read_archives(write_archives(plan_records(pages, scratch, id_col, url_col, html_col), folder), folder)
+
+
+def verified_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The records of ``archive_round_trip`` without payloads.  ValueError if the reader met a gap or the
+    records aren't as many as the writer's manifest says; what was read stays then in the shared folder as
+    a table, gaps with their files, places and reasons."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    folder = scratch.folder("archives")
+    files = write_archives(plan_records(pages, scratch, id_col, url_col, html_col), folder)
+    return whole(scratch.write(read_archives(files, folder).drop("payload"), "read"), files)
+
+
+def whole(read: DataFrame, files: DataFrame) -> DataFrame:
+    """The records among the rows ``read`` back from ``files``; ValueError unless there are no gaps and all records."""
+    written = files.agg(F.sum("records")).first()[0] or 0
+    found = {r.kind: r.n for r in read.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if found.get("gap") or found.get("record", 0) != written:
+        some = [f"{r.file} {r.start}-{r.end}: {r.reason}" for r in read.where("kind = 'gap'").limit(5).collect()]
+        raise ValueError(f"{written} records were written, {found.get('record', 0)} read, with {found.get('gap', 0)} gaps: {some}")
+    return read.where("kind = 'record'")
