@@ -15,6 +15,8 @@ words joined by single blanks.
 from __future__ import annotations
 
 import bisect
+import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,6 +82,7 @@ class Scanner:
 
         self.notices = notices
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}") for n in notices]
+        self.letters = [tuple(Counter(n.text).items()) for n in notices]
         self.seeds = ahocorasick.Automaton()
         parts: dict[str, list[tuple[int, int]]] = {}
         for k, notice in enumerate(notices):
@@ -88,6 +91,16 @@ class Scanner:
         for part, owners in parts.items():
             self.seeds.add_word(part, (len(part), owners))
         self.seeds.make_automaton()
+        # notices recur, and so do their windows
+        self.best = functools.lru_cache(1 << 14)(self._best)
+
+    def _best(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best match of notice k in a window.  Letters that the window lacks must be
+        edited, so a window that lacks too many needs no search."""
+        if sum(n - min(n, window.count(c)) for c, n in self.letters[k]) > self.notices[k].edits:
+            return None
+        m = self.patterns[k].search(window)
+        return m and (sum(m.fuzzy_counts), m.start(), m.end())
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of notices in a normal form, without overlaps within one notice."""
@@ -97,10 +110,10 @@ class Scanner:
                 windows.add((k, last + 1 - length - at - self.notices[k].edits))
         spans: dict[int, set[tuple[int, int, int]]] = {}
         for k, a in windows:
-            notice = self.notices[k]
-            m = self.patterns[k].search(text, max(0, a), min(len(text), a + len(notice.text) + 2 * notice.edits))
+            notice, at = self.notices[k], max(0, a)
+            m = self.best(k, text[at : a + len(notice.text) + 2 * notice.edits])
             if m:
-                spans.setdefault(k, set()).add((sum(m.fuzzy_counts), m.start(), m.end()))
+                spans.setdefault(k, set()).add((m[0], at + m[1], at + m[2]))
         found = set()
         for k, mine in spans.items():
             taken: list[tuple[int, int]] = []
