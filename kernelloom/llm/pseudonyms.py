@@ -10,6 +10,7 @@ values stay linked across documents under one key.
     iban     remainder 97                              the account's digits; both check digits are computed
     date     the calendar                              the day, within 400 years from 1800
     ip       four numbers to 255, no version's mark    32 bits
+    ipv6     eight groups, or fewer about ``::``       its digits and letters
     phone    area code from 2, not N11                 the ten national digits
     intl     8 to 15 digits behind +                   the digits behind the country code
     trunk    0, area code and number in two groups     the digits behind the first two
@@ -19,7 +20,8 @@ values stay linked across documents under one key.
     key      AKIA and 16 capitals or digits            the 16 characters
     hex      16 to 64 digits behind = " ' or :         all characters
 
-Letters and digits are permuted within their own kind, so a text's pattern of letters and digits stays.
+Letters and digits are permuted within their own kind, so a text's pattern of letters and digits stays; an
+e-mail name's letters beyond a-z stay as they are, as does its host.
 Where not every value of that many digits is valid, the permutation is applied again until a valid value
 comes (cycle walking), which permutes the valid values alone.  A date written day/month/year is read as
 month/day where that is a date; the others, with days above 12, are permuted among themselves, so no
@@ -28,6 +30,8 @@ output of one reading is one of the other.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,15 +48,16 @@ FIRST_DAY, DAYS = "1800-01-01", (27, 5411)
 #: Each format's pattern, in the order in which they are tried at a place: what must stand before it, its
 #: own, and what mustn't follow.  Unbounded loops are possessive, so the JVM's matcher doesn't recurse.
 PATTERNS = {
-    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ""),
-    "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+    "email": (r"(?<![\p{L}\p{N}._%+-])", r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++", ""),
+    "iban": (r"(?<![A-Za-z0-9])", r"(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)", r"(?![A-Za-z0-9])"),
     "key": (r"(?<![A-Za-z0-9])", r"AKIA[0-9A-Z]{16}", r"(?![A-Za-z0-9])"),
     "hex": (r"(?<=[=\"':])", r"(?=[0-9]{0,63}[a-f])[0-9a-f]{16,64}", r"(?![A-Za-z0-9])"),
-    "date": (r"(?<![0-9./-])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})", r"(?![0-9/-])"),
+    "date": (r"(?<![0-9./-])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})", r"(?![0-9/-])"),
     "ip": (r"(?<![0-9A-Za-z.])(?<![Vv]ersion |[Vv]ersion: |[Rr]elease )", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?![0-9]|\.[0-9])"),
+    "ipv6": (r"(?<![0-9A-Za-z:.])", r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})", r"(?![0-9A-Za-z:])"),
     "phone": (r"(?<![0-9A-Za-z+])", r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", r"(?![0-9])"),
     "intl": (r"(?<![0-9A-Za-z+])", r"\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}", r"(?![0-9])"),
-    "trunk": (r"(?<![0-9A-Za-z+])", r"0[1-9][0-9]{1,4}[ /-][0-9]{5,8}", r"(?![0-9])"),
+    "trunk": (r"(?<![0-9A-Za-z+])", r"(?:0[1-9][0-9]{1,4}[ /-][0-9]{5,8}|0[1-9](?:[ .-][0-9]{2}){4})", r"(?![0-9])"),
     "ssn": (r"(?<![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9-])"),
     "card": (r"(?<![0-9])", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![0-9])"),
 }
@@ -144,7 +149,7 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
+    plain = F.upper(F.replace(m, F.lit(" "), F.lit("")))
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
     valid = remainder97(F.concat(account, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1
     new = refill(account, permute_digits(_digits(account), key, "iban"))
@@ -168,9 +173,10 @@ def permute_day(n: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
-    """Years first; month or day first with ``/`` (month first if that is a date); or day first with ``.``."""
-    sep, iso = F.substr(m, F.lit(3), F.lit(1)), F.substr(m, F.lit(5), F.lit(1)) == "-"
-    forms = [(iso, "yyyy-MM-dd"), (sep == "/", "MM/dd/yyyy"), (sep == "/", "dd/MM/yyyy"), (sep == ".", "dd.MM.yyyy")]
+    """Years first, with ``-`` or ``/``; month or day first with ``/`` (month first if that is a date); or day first
+    with ``.``."""
+    sep, year = F.substr(m, F.lit(3), F.lit(1)), F.substr(m, F.lit(5), F.lit(1))
+    forms = [(year == "-", "yyyy-MM-dd"), (year == "/", "yyyy/MM/dd"), (sep == "/", "MM/dd/yyyy"), (sep == "/", "dd/MM/yyyy"), (sep == ".", "dd.MM.yyyy")]
     first = F.lit(FIRST_DAY).cast("date")
     new, valid = F.lit(None).cast("string"), F.lit(False)
     for fits, form in reversed(forms):
@@ -189,6 +195,10 @@ def _ip(m: Column, key: str) -> tuple[Column, Column]:
     return ~F.exists(part, lambda x: x > 255), new
 
 
+def _ipv6(m: Column, key: str) -> tuple[Column, Column]:
+    return F.lit(True), permute_text(m, key, "ipv6", 6)
+
+
 def _behind(m: Column, n: Column, new: Callable[[Column], Column]) -> Column:
     """``m`` with its first n digits as they are and ``new`` of the others."""
     digits = _digits(m)
@@ -209,7 +219,11 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
 def _intl(m: Column, key: str) -> tuple[Column, Column]:
     """The country code is what stands before the first blank or mark, if that is 1 to 3 digits, else two digits."""
     run = F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))
-    return F.lit(True), _behind(m, F.when(run <= 3, run).otherwise(2), lambda d: permute_digits(d, key, "intl"))
+    code = F.when(run <= 3, run).otherwise(2)
+    # no national number begins with 0 behind a country code; a 0 that stands there all the same stays
+    code = code + F.substr(_digits(m), code + 1, F.lit(1)).eqNullSafe("0").cast("int")
+    sound = lambda d: ~d.startswith("0")
+    return F.lit(True), _behind(m, code, lambda d: F.when(sound(d), walk(d, lambda v: permute_digits(v, key, "intl"), sound)).otherwise(permute_digits(d, key, "intl")))
 
 
 def _trunk(m: Column, key: str) -> tuple[Column, Column]:
@@ -265,14 +279,20 @@ def _hex(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), permute_text(m, key, "hex", 6)
 
 
-FORMATS = {"email": _email, "iban": _iban, "key": _key, "hex": _hex, "date": _date, "ip": _ip, "phone": _phone, "intl": _intl, "trunk": _trunk, "ssn": _ssn, "card": _card}
+FORMATS = {"email": _email, "iban": _iban, "key": _key, "hex": _hex, "date": _date, "ip": _ip, "ipv6": _ipv6, "phone": _phone, "intl": _intl, "trunk": _trunk, "ssn": _ssn, "card": _card}
+
+
+def subkeys(key: str) -> dict[str, str]:
+    """A key for each format, from which neither the master key nor another format's can be had.  Only these
+    stand in a plan; the master key doesn't."""
+    return {name: hmac.new(key.encode(), f"kernelloom {name}".encode(), hashlib.sha256).hexdigest()[:32] for name in FORMATS}
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, keys: dict[str, str]) -> Column:
     """A struct (kind, new) of a match; kind is null, and new the match itself, if it isn't valid."""
     kind, new = F.lit(None).cast("string"), m
     for name in reversed(FORMATS):
-        valid, made = FORMATS[name](m, key)
+        valid, made = FORMATS[name](m, keys[name])
         # the formats' first characters and lengths are cheap to tell apart by their own patterns
         hit = m.rlike(f"^(?:{PATTERNS[name][1]})$") & valid
         kind, new = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, made).otherwise(new)
@@ -285,7 +305,7 @@ SPAN_END = "^[A-Za-z0-9](?:[^A-Za-z0-9]|$)"
 CARD_WINDOW = 38
 
 
-def _shorter(m: Column, window: Column, key: str) -> Column:
+def _shorter(m: Column, window: Column, keys: dict[str, str]) -> Column:
     """A struct (kind, old, new) of the longest valid card or IBAN at the start of an invalid match, or null.
 
     ``window`` is the text from that start, of which ``m`` may hold less than a card.
@@ -296,19 +316,19 @@ def _shorter(m: Column, window: Column, key: str) -> Column:
 
     def longest(kind: str, head: Column) -> Column:
         fits = f"^(?:{PATTERNS[kind][1]})$"
-        span = let(head, lambda h: F.get(F.filter(spans(h), lambda s: s.rlike(fits) & FORMATS[kind](s, key)[0]), F.lit(0)))
-        return let(span, lambda s: F.when(s.isNotNull(), F.struct(F.lit(kind).alias("kind"), s.alias("old"), FORMATS[kind](s, key)[1].alias("new"))))
+        span = let(head, lambda h: F.get(F.filter(spans(h), lambda s: s.rlike(fits) & FORMATS[kind](s, keys[kind])[0]), F.lit(0)))
+        return let(span, lambda s: F.when(s.isNotNull(), F.struct(F.lit(kind).alias("kind"), s.alias("old"), FORMATS[kind](s, keys[kind])[1].alias("new"))))
 
     card = F.regexp_extract(window, f"^{PATTERNS['card'][1]}(?![0-9])", 0)
-    return F.when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), longest("iban", m)).when(m.rlike("^[0-9]"), longest("card", card))
+    return F.when(m.rlike("^(?:[A-Z]{2}[0-9]{2}[A-Z0-9 ]+|[a-z]{2}[0-9]{2}[a-z0-9 ]+)$"), longest("iban", m)).when(m.rlike("^[0-9]"), longest("card", card))
 
 
-def _found(text: Column, starts: Column, matches: Column, key: str) -> Column:
+def _found(text: Column, starts: Column, matches: Column, keys: dict[str, str]) -> Column:
     """The valid matches, an array of structs (kind, old, new, at, end): at each start the first format's
     longest span that is valid; starts in turn, without those inside a match already taken."""
     def judge(m: Column, at: Column) -> Column:
-        whole = let(pseudonym(m, key), lambda p: F.when(p["kind"].isNotNull(), F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
-        best = F.coalesce(whole, _shorter(m, F.substr(text, at, F.lit(CARD_WINDOW)), key))
+        whole = let(pseudonym(m, keys), lambda p: F.when(p["kind"].isNotNull(), F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
+        best = F.coalesce(whole, _shorter(m, F.substr(text, at, F.lit(CARD_WINDOW)), keys))
         return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["kind"].alias("kind"), b["old"].alias("old"), b["new"].alias("new"), at.alias("at"), (at + F.length(b["old"])).alias("end"))))
 
     valid = F.filter(F.zip_with(matches, starts, judge), lambda m: m.isNotNull())
@@ -334,7 +354,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn(starts, F.transform(F.split(whole, f"(?={ANY})", -1), lambda p: F.length(p)))
     rows = rows.withColumn(matches, F.regexp_extract_all(whole, F.lit(f"(?=({ANY}))"), F.lit(1)))
     sums = F.aggregate(F.slice(starts, 1, F.size(starts) - 1), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1)) + n)))
-    rows = rows.withColumn(starts, sums).withColumn(found, _found(F.col(whole), F.col(starts), F.col(matches), key))
+    rows = rows.withColumn(starts, sums).withColumn(found, _found(F.col(whole), F.col(starts), F.col(matches), subkeys(key)))
     before = lambda i: F.when(i > 0, F.get(made, i - 1)["end"]).otherwise(2)
     parts = F.transform(made, lambda m, i: F.concat(F.substr(F.col(whole), before(i), m["at"] - before(i)), m["new"]))
     joined = F.concat(F.array_join(parts, ""), F.substr(F.col(whole), F.try_element_at(made, F.lit(-1))["end"]))
