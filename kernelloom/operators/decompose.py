@@ -39,6 +39,26 @@ def scale_grid(n: int, n_scales: int, lo: float, hi: float | None, spacing: str
     return np.geomspace(lo, hi, n_scales) if spacing == "geom" else np.linspace(lo, hi, n_scales)
 
 
+#: Products above which a convolution goes through the frequencies.
+DIRECT = 1 << 16
+
+
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The full convolution: directly for short ones, else by overlap-add, block after block of the series
+    through the Fourier transform, each block about as long as the taps."""
+    if len(x) * len(taps) <= DIRECT:
+        return np.convolve(x, taps)
+    size = 1 << max(12, (2 * len(taps) - 1).bit_length())
+    step, real = size - len(taps) + 1, np.isrealobj(taps)
+    forward, back = (np.fft.rfft, np.fft.irfft) if real else (np.fft.fft, np.fft.ifft)
+    seen = forward(taps, size)
+    out = np.zeros(len(x) + len(taps) - 1, float if real else complex)
+    for i in range(0, len(x), step):
+        part = back(forward(x[i : i + step], size) * seen, size)[: min(size, len(out) - i)]
+        out[i : i + len(part)] += part
+    return out
+
+
 def cwt(x: np.ndarray, wavelet: str = "ricker", n_scales: int = 32, lo: float = 1.0, hi: float | None = None, spacing: str = "geom", top_k: int | None = None) -> Transform:
     """Real wavelet coefficients by scale, their energies, and modes that add up to the series.
 
@@ -51,7 +71,7 @@ def cwt(x: np.ndarray, wavelet: str = "ricker", n_scales: int = 32, lo: float =
     for s in scales:
         w = int(min(10 * s, n))
         taps = WAVELETS[wavelet](np.arange(-w, w + 1) / s) / np.sqrt(s)
-        out.append(np.real(np.convolve(x, taps)[w : w + n]))
+        out.append(np.real(convolved(x, taps)[w : w + n]))
     coeffs = np.array(out)
     energies = (coeffs**2).sum(1)
     if top_k is not None and top_k < len(scales):
@@ -61,18 +81,34 @@ def cwt(x: np.ndarray, wavelet: str = "ricker", n_scales: int = 32, lo: float =
     return Transform(scales, coeffs, energies, coeffs * (x / np.where(np.abs(whole) > 1e-12, whole, 1.0)))
 
 
+def tridiagonal(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The solution of a_i x_(i-1) + b_i x_i + c_i x_(i+1) = d_i, diagonally dominant, by cyclic reduction: each
+    step couples every row to rows twice as far away, until the coupling vanishes."""
+    a, b, c, d = (np.asarray(v, float).copy() for v in (a, b, c, d))
+    n, s = len(b), 1
+
+    def shifted(v: np.ndarray, by: int, fill: float) -> np.ndarray:
+        out = np.full(n, fill)
+        out[max(0, by) : n + min(0, by)] = v[max(0, -by) : n - max(0, by)]
+        return out
+
+    while s < n and max(np.abs(a / b).max(), np.abs(c / b).max()) > 1e-18:
+        up, down = -a / shifted(b, s, 1.0), -c / shifted(b, -s, 1.0)
+        b, d, a, c = (
+            b + up * shifted(c, s, 0.0) + down * shifted(a, -s, 0.0), d + up * shifted(d, s, 0.0) + down * shifted(d, -s, 0.0),
+            up * shifted(a, s, 0.0), down * shifted(c, -s, 0.0),
+        )
+        s *= 2
+    return d / b
+
+
 def _spline(at: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """A natural cubic spline through (at, y), evaluated at 0, ..., n - 1."""
     if len(at) < 3:
         return np.interp(np.arange(n), at, y)
     h = np.diff(at)
-    a = np.zeros((len(at), len(at)))
-    a[0, 0] = a[-1, -1] = 1.0
-    k = np.arange(1, len(at) - 1)
-    a[k, k - 1], a[k, k], a[k, k + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    rhs = np.zeros(len(at))
-    rhs[1:-1] = 6 * np.diff(np.diff(y) / h)
-    m = np.linalg.solve(a, rhs)
+    inner = tridiagonal(np.append(0.0, h[1:-1]), 2 * (h[:-1] + h[1:]), np.append(h[1:-1], 0.0), 6 * np.diff(np.diff(y) / h))
+    m = np.concatenate([[0.0], inner, [0.0]])
     t = np.arange(n)
     i = np.clip(np.searchsorted(at, t, side="right") - 1, 0, len(h) - 1)
     u, v = t - at[i], at[i + 1] - t

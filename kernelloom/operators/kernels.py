@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelloom.operators import decompose, pairwise
-from kernelloom.operators.pairwise import aligned_patches, masked_squared_distances, patches, squared_distances, stack
+from kernelloom.operators.pairwise import aligned_patches, by_place, masked_squared_distances, patches, squared_distances, stack
+from kernelloom.staging import cut
 
 
 def positive_median(d: np.ndarray) -> float:
@@ -45,8 +46,12 @@ class Kernel(ABC):
     def estimated(self, sample: pd.DataFrame) -> "Kernel":
         return self
 
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with what ``matrix`` needs of each series, made once however many tiles read it."""
+        return rows
+
     def gram(self, left: DataFrame, right: DataFrame | None = None, block: int = pairwise.BLOCK) -> DataFrame:
-        return pairwise.pair_values(left, right, self.matrix, block=block)
+        return pairwise.pair_values(self.staged(left), None if right is None else self.staged(right), self.matrix, block=block)
 
 
 def _known(value: float | None, name: str) -> float:
@@ -177,14 +182,42 @@ class Wavelet(Kernel):
     top_k: int | None = None
     points: int = 24
 
+    def _transformed(self, x) -> np.ndarray:
+        made = decompose.cwt(np.asarray(x, float), self.wavelet, self.n_scales, self.scale_min, self.scale_max, top_k=self.top_k)
+        return made.energies if self.mode == "energy" else made.coeffs
+
     def _features(self, t: pd.DataFrame) -> list[np.ndarray]:
-        made = [decompose.cwt(np.asarray(x, float), self.wavelet, self.n_scales, self.scale_min, self.scale_max, top_k=self.top_k) for x in t["x"]]
-        return [m.energies if self.mode == "energy" else m.coeffs for m in made]
+        """A row of energies, or coefficients by scale, for each series: stored ones, or made here."""
+        if "f" not in t:
+            return [self._transformed(x) for x in t["x"]]
+        scales = self.n_scales if self.top_k is None else min(self.top_k, self.n_scales)
+        return [np.asarray(f, float) if self.mode == "energy" else np.asarray(f, float).reshape(scales, -1) for f in t["f"]]
+
+    def staged(self, rows: DataFrame) -> DataFrame:
+        own = self._transformed
+
+        @F.pandas_udf("array<double>")
+        def made(x: pd.Series) -> pd.Series:
+            return pd.Series([own(v).ravel() for v in x])
+
+        return cut(rows.withColumn("f", made("x")))
 
     def _distances(self, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
         flat = lambda t: np.array([f.ravel() for f in self._features(t)])
         return np.sqrt(squared_distances(flat(u), flat(v)))
 
+    def _products(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Weighted inner products over the shared length: one product of matrices for each pair of lengths."""
+        w = np.ones(len(a[0])) if self.weights is None else np.asarray(self.weights)
+        out = np.empty((len(a), len(b)))
+        lengths = [np.array([f.shape[1] for f in fs]) for fs in (a, b)]
+        for n in np.unique(lengths[0]):
+            for m in np.unique(lengths[1]):
+                i, j = np.flatnonzero(lengths[0] == n), np.flatnonzero(lengths[1] == m)
+                p, q = (np.stack([fs[r][:, : min(n, m)] for r in own]) for fs, own in ((a, i), (b, j)))
+                out[np.ix_(i, j)] = (p * w[:, None]).reshape(len(i), -1) @ q.reshape(len(j), -1).T
+        return out
+
     def matrix(self, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
         if self.mode in ("energy", "coeffs"):
             return np.exp(-self._distances(u, v) ** 2 / (2 * _known(self.sigma, "sigma") ** 2))
@@ -192,9 +225,8 @@ class Wavelet(Kernel):
             raise ValueError(f"no mode named {self.mode!r}")
         a, b = self._features(u), self._features(v)
         w = np.ones(len(a[0])) if self.weights is None else np.asarray(self.weights)
-        product = lambda p, q: float((w[:, None] * p[:, : q.shape[1]] * q[:, : p.shape[1]]).sum())
-        own = lambda fs: np.array([np.sqrt(n) if (n := product(f, f)) > 1e-12 else 1.0 for f in fs])
-        return np.array([[product(p, q) for q in b] for p in a]) / own(a)[:, None] / own(b)[None]
+        own = lambda fs: np.array([np.sqrt(n) if (n := float((w[:, None] * f * f).sum())) > 1e-12 else 1.0 for f in fs])
+        return self._products(a, b) / own(a)[:, None] / own(b)[None]
 
     def estimated(self, sample: pd.DataFrame) -> "Wavelet":
         if self.sigma is not None or self.mode == "inner":
@@ -280,8 +312,7 @@ class PatchMachine(Kernel):
         return None if self.projection is None else np.array(self.projection)
 
     def matrix(self, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-        scale, right = _known(self.lengthscale, "lengthscale"), self._patches(v)
-        return np.array([[aligned_patches(p, q, self._m(), scale) for q in right] for p in self._patches(u)])
+        return aligned_patches(self._patches(u), self._patches(v), self._m(), _known(self.lengthscale, "lengthscale"))
 
     def estimated(self, sample: pd.DataFrame) -> "PatchMachine":
         own, m = self._patches(sample.iloc[: self.points]), self._m()
@@ -301,10 +332,10 @@ class PatchMachine(Kernel):
         m, left, right = self._m(), self._patches(u), self._patches(v)
         out = [np.zeros((len(p), self.q + 1)) for p in left]
         for at in range(max(map(len, left), default=0)):
-            i, j = ([r for r, p in enumerate(side) if len(p) > at] for side in (left, right))
-            if not i or not j:
+            (i, p), (j, q) = by_place(left, at), by_place(right, at)
+            if not len(i) or not len(j):
                 continue
-            p, q = (np.stack([side[r][at] for r in own]) @ m.T for side, own in ((left, i), (right, j)))
+            p, q = p @ m.T, q @ m.T
             w = np.exp(-squared_distances(p, q) / (2 * self.lengthscale**2)) * a[j][None]
             for r, row in zip(i, np.hstack([w @ q, w.sum(1)[:, None]])):
                 out[r][at] = row

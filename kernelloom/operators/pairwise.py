@@ -1,24 +1,44 @@
 """Pairwise operators in tiles: both sides are dealt into blocks, and each pair of blocks is one task's
 work, a dense matrix of bounded size.  A side is copied once for each block of the other side, so the
 shuffle grows with rows times blocks, and no side is broadcast.
+
+Where only sums over one side are wanted (``block_sums``), that side's blocks are as large as memory
+allows, a task adds up its own part, and one row of bytes a pair of blocks travels on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelloom.staging import bounded_batches
+
 BLOCK = 1024
+#: Bytes of series in a block that is summed over, about.
+DEEP_BYTES = 16 << 20
 Matrix = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
+class UnequalLengths(ValueError):
+    """Series that a kernel of flat series can't compare."""
+
+
 def stack(column: pd.Series) -> np.ndarray:
-    """Rows of equal length as a matrix."""
-    return np.array([np.asarray(v, float) for v in column], float)
+    """Rows of equal length as a matrix; rows of channels, one point after another."""
+    rows = [_flat(v) for v in column]
+    if len({len(r) for r in rows}) > 1:
+        raise UnequalLengths(f"series of {min(map(len, rows))} to {max(map(len, rows))} values")
+    return np.array(rows, float)
+
+
+def _flat(v) -> np.ndarray:
+    v = np.asarray(v)
+    return np.concatenate([np.asarray(p, float) for p in v]) if v.dtype == object and len(v) else v.astype(float).ravel()
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -26,11 +46,12 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).alias(c) for c in df.columns])
 
 
-def tiles(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "k", block: int = BLOCK, half: bool = False, rows: tuple[int, int] | None = None) -> DataFrame:
+def tiles(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "k", block: int = BLOCK, half: bool = False, rows: tuple[int, int] | None = None, deep: int | None = None) -> DataFrame:
     """``fn`` on every pair of blocks; with ``half`` only on pairs x <= y, for one frame with itself.
 
-    ``rows`` are the two sides' numbers of rows where the caller knows them, else they are counted."""
-    nl, nr = (max(1, -(-n // block)) for n in rows or (left.count(), right.count()))
+    ``rows`` are the two sides' numbers of rows where the caller knows them, else they are counted; ``deep``
+    is the right side's block, where that differs."""
+    nl, nr = (max(1, -(-n // b)) for n, b in zip(rows or (left.count(), right.count()), (block, deep or block)))
     n = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     upto = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
     a = left.withColumn("_x", n(nl)).withColumn("_y", F.explode(F.sequence("_x", F.lit(nr - 1)) if half else upto(nr)))
@@ -70,22 +91,41 @@ def masked_squared_distances(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: n
 
 def dtw(series: np.ndarray, others: list[np.ndarray], window: int | None = None) -> np.ndarray:
     """Dynamic-time-warping distances of one series (length, channels) to many; infinite where a band of
-    ``window`` leaves no path.  The recursion runs over cells and is vectorised over the others."""
-    lengths = np.array([len(o) for o in others])
+    ``window`` leaves no path.  Cells (i, j) of one sum i + j are independent: the sweep goes from one such
+    diagonal to the next, for all others at once, and holds three of them, no longer than the band."""
+    n, lengths = len(series), np.array([len(o) for o in others])
     top = int(lengths.max())
+    band = n + top if window is None else window
     padded = np.zeros((len(others), top, series.shape[1]))
     for r, o in enumerate(others):
         padded[r, : len(o)] = o
-    before = np.full((top + 1, len(others)), np.inf)
-    before[0] = 0.0
-    for i, point in enumerate(series):
-        cost = ((padded - point) ** 2).sum(-1).T
-        now = np.full_like(before, np.inf)
-        lo, hi = (0, top) if window is None else (max(0, i - window), min(top, i + window + 1))
-        for j in range(lo, hi):
-            now[j + 1] = cost[j] + np.minimum(np.minimum(before[j + 1], before[j]), now[j])
-        before = now
-    return np.sqrt(before[lengths, np.arange(len(others))])
+    out = np.full(len(others), np.inf)
+    # a diagonal: its first i and its cells; the path starts in front of both series
+    start = (-1, np.zeros((len(others), 1)))
+    before, last = start, (0, np.zeros((len(others), 0)))
+
+    def cells(diagonal: tuple[int, np.ndarray], a: int, b: int) -> np.ndarray:
+        """The cells of i from a to b, infinite outside the diagonal."""
+        first, have = diagonal
+        got = np.full((len(others), b - a + 1), np.inf)
+        lo, hi = max(a, first), min(b, first + have.shape[1] - 1)
+        if lo <= hi:
+            got[:, lo - a : hi - a + 1] = have[:, lo - first : hi - first + 1]
+        return got
+
+    for d in range(n + top - 1):
+        a, b = max(0, d - top + 1, -((band - d) // 2)), min(n - 1, d, (d + band) // 2)
+        if a > b:
+            before, last = last, (0, np.zeros((len(others), 0)))
+            continue
+        i = np.arange(a, b + 1)
+        cost = ((padded[:, d - i] - series[i]) ** 2).sum(-1)
+        now = (a, cost + np.minimum(np.minimum(cells(last, a - 1, b - 1), cells(last, a, b)), cells(before, a - 1, b - 1)))
+        ends = np.flatnonzero(lengths - 1 == d - (n - 1))
+        if len(ends) and b == n - 1:
+            out[ends] = now[1][ends, -1]
+        before, last = last, now
+    return np.sqrt(out)
 
 
 def dtw_matrix(window: int | None = None, col: str = "x") -> Matrix:
@@ -104,15 +144,144 @@ def patches(x: np.ndarray, width: int, stride: int = 1) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, width)[::stride]
 
 
-def aligned_patches(u: np.ndarray, v: np.ndarray, m: np.ndarray | None, sigma: float) -> float:
-    """Sum over aligned patches, as many as both have, of an RBF of their difference projected by m."""
-    n = min(len(u), len(v))
-    d = u[:n] - v[:n]
-    d = d if m is None else d @ m.T
-    return float(np.exp(-(d * d).sum(1) / (2 * sigma * sigma)).sum())
+def by_place(rows: list[np.ndarray], at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have a patch at a place, these patches)."""
+    own = np.array([r for r, p in enumerate(rows) if len(p) > at], np.int64)
+    return own, np.stack([rows[r][at] for r in own]) if len(own) else np.zeros((0, 0))
+
+
+def aligned_patches(u: list[np.ndarray], v: list[np.ndarray], m: np.ndarray | None, sigma: float) -> np.ndarray:
+    """Between all rows, the sum over aligned patches, as many as both have, of an RBF of their difference
+    projected by m: one product of matrices a place."""
+    out = np.zeros((len(u), len(v)))
+    for at in range(min(max(map(len, u), default=0), max(map(len, v), default=0))):
+        (i, p), (j, q) = by_place(u, at), by_place(v, at)
+        p, q = (p, q) if m is None else (p @ m.T, q @ m.T)
+        out[np.ix_(i, j)] += np.exp(-squared_distances(p, q) / (2 * sigma * sigma))
+    return out
+
+
+# -- sums over one side ----------------------------------------------------------------------------
+
+Part = Callable[[pd.DataFrame, pd.DataFrame], "np.ndarray | list[np.ndarray]"]
+
+
+def deep_block(right: DataFrame, block: int) -> int:
+    """How many rows of a side that is summed over make a block, by the size of its first row."""
+    first = right.limit(1).toPandas()
+    size = sum(np.size(_flat(v)) if isinstance(v, (list, np.ndarray)) else 1 for row in first.itertuples(index=False) for v in row)
+    return max(block, min(1 << 16, DEEP_BYTES // (8 * max(1, size))))
+
+
+def _summed(fn: Part, key: str, block: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One tile's part as one row: the left block, its keys in order, the rows' lengths and all values."""
+
+    def one(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        u, total, lengths = u.sort_values(key, ignore_index=True), 0.0, None
+        for i in range(0, len(v), block):
+            rows = fn(u, v.iloc[i : i + block])
+            lengths = [len(r) for r in rows]
+            total = total + np.concatenate([np.asarray(r, float) for r in rows])
+        return pd.DataFrame({"_x": [u["_x"].iloc[0]], "_keys": [u[key].tolist()], "_n": [lengths], "_m": [total.astype("<f8").tobytes()]})
+
+    return one
+
+
+def _added(tiled: DataFrame, key: str, kind: str, out: str, blocks: int) -> DataFrame:
+    """Tiles of one left block added up as a stream, then a row a key again."""
+
+    def rows(keys: list, lengths: list, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({key: keys, out: np.split(total, np.cumsum(lengths)[:-1])})
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+        for part in parts:
+            for x, keys, lengths, m in part.itertuples(index=False):
+                values = np.frombuffer(m, "<f8")
+                if now is not None and now[0] == x:
+                    now[3] += values
+                else:
+                    if now is not None:
+                        yield rows(*now[1:])
+                    now = [x, keys, lengths, values.copy()]
+        if now is not None:
+            yield rows(*now[1:])
+
+    dealt = tiled if blocks == 1 else tiled.repartition("_x").sortWithinPartitions("_x")
+    return dealt.mapInPandas(add, f"{key} {kind}, {out} array<double>")
+
+
+_TILE = "_x int, _keys array<{kind}>, _n array<int>, _m binary"
+
+
+def block_sums(left: DataFrame, right: DataFrame, fn: Part, out: str, key: str = "k", block: int = BLOCK, rows: tuple[int, int] | None = None, deep: int | None = None) -> DataFrame:
+    """(key, out): for each row of ``left`` the sum over all rows of ``right`` of fn's rows, arrays of any length.
+
+    Shuffled rows grow with pairs of blocks, whatever the arrays' lengths; keys of the left are distinct."""
+    bounded_batches(left.sparkSession)
+    rows = rows or (left.count(), right.count())
+    deep, kind = deep or deep_block(right, block), dict(left.dtypes)[key]
+    tiled = tiles(left, right, _summed(fn, key, block), _TILE.format(kind=kind), key, block, rows=rows, deep=deep)
+    return _added(tiled, key, kind, out, -(-rows[1] // deep))
+
+
+class Dealt:
+    """A frame dealt with itself into pairs of blocks once, and kept: afterwards only vectors travel."""
+
+    def __init__(self, rows: DataFrame, n: int, key: str = "k", block: int = BLOCK, deep: int | None = None):
+        bounded_batches(rows.sparkSession)
+        self.key, self.kind, self.block = key, dict(rows.dtypes)[key], block
+        deep = deep or deep_block(rows, block)
+        self.left, self.right = max(1, -(-n // block)), max(1, -(-n // deep))
+        sides = []
+        for side, (own, own_n, other, other_n) in enumerate((("_x", self.left, "_y", self.right), ("_y", self.right, "_x", self.left))):
+            placed = rows.withColumn(own, self._place(own_n)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+            sides.append(placed.withColumn("_side", F.lit(side)).select("_x", "_y", "_side", *rows.columns))
+        self.rows = sides[0].unionByName(sides[1]).repartition("_x", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _place(self, n: int):
+        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+
+    def sums(self, vectors: DataFrame, fn: Part, out: str) -> DataFrame:
+        """``block_sums`` of the frame with itself, where the right side also has the columns of ``vectors`` (key, ...)."""
+        placed = vectors.withColumn("_y", self._place(self.right)).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(self.left - 1))))
+        key, one = self.key, _summed(fn, self.key, self.block)
+
+        def tile(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            u = rows[rows["_side"] == 0]
+            v = rows[rows["_side"] == 1].merge(own.drop(columns=["_x", "_y"]), on=key)
+            return one(u, v) if len(u) and len(v) else pd.DataFrame(columns=["_x", "_keys", "_n", "_m"])
+
+        tiled = self.rows.groupBy("_x", "_y").cogroup(placed.groupBy("_x", "_y")).applyInPandas(tile, _TILE.format(kind=self.kind))
+        return _added(tiled, self.key, self.kind, out, self.right)
+
+    def drop(self) -> None:
+        self.rows.unpersist()
 
 
-def array_sums(partial: DataFrame, col: str, *keys: str) -> DataFrame:
-    """Element-wise sums of arrays by key."""
-    long = partial.select(*keys, F.posexplode(col).alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
-    return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s")).select(*keys, F.col("s.v").alias(col))
+def partial_sums(partials: DataFrame, ways: int = 32) -> list[tuple[int, np.ndarray]]:
+    """(g, sum) of rows (g, m: doubles as bytes), one row a task and g: added up in ``ways`` streams for each g,
+    then on the driver, which gets ways rows for each g at most, one at a time."""
+    bounded_batches(partials.sparkSession)
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, total = None, None
+        for part in parts:
+            for own, m in part[["g", "m"]].itertuples(index=False):
+                values = np.frombuffer(m, "<f8")
+                if own == g:
+                    total += values
+                else:
+                    if g is not None:
+                        yield pd.DataFrame({"g": [g], "m": [total.tobytes()]})
+                    g, total = own, values.copy()
+        if g is not None:
+            yield pd.DataFrame({"g": [g], "m": [total.tobytes()]})
+
+    way = F.pmod(F.spark_partition_id(), F.lit(ways))
+    some = partials.withColumn("_w", way).repartition(ways, "g", "_w").sortWithinPartitions("g").mapInPandas(add, "g long, m binary")
+    out: dict[int, np.ndarray] = {}
+    for row in some.toLocalIterator():
+        values = np.frombuffer(row.m, "<f8")
+        out[row.g] = out[row.g] + values if row.g in out else values.copy()
+    return sorted(out.items())

@@ -1,14 +1,17 @@
-"""Regularised kernel systems: dense solves in grouped tasks, conjugate gradients over tiles beyond."""
+"""Regularised kernel systems: dense solves in grouped tasks, preconditioned conjugate gradients over tiles beyond."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelloom.operators.kernels import Kernel
-from kernelloom.operators.pairwise import array_sums, stack, tiles
+from kernelloom.operators.kernels import Kernel, drawn
+from kernelloom.operators.pairwise import Dealt, block_sums, partial_sums, stack
 from kernelloom.staging import cut
 
 #: Rows of one dense system; a larger training set goes to ``conjugate_gradients``.
@@ -41,51 +44,108 @@ def fit_dense(train: DataFrame, kernel: Kernel, gamma: float, group: str | None
 
 def predict(model: DataFrame, query: DataFrame, kernel: Kernel, block: int = 1024) -> DataFrame:
     """k, yhat: cross-kernel times alpha in tiles, each tile's partial products summed."""
+    needed = [c for c in ("k", "x", "mask") if c in query.columns]
+    model = kernel.staged(model.select(*[c for c in ("k", "x", "mask") if c in model.columns], "alpha"))
+    return block_sums(kernel.staged(query.select(needed)), model, lambda u, v: kernel.matrix(u, v) @ stack(v["alpha"]), "yhat", block=block)
+
+
+def landmark_panel(rows: DataFrame, kernel: Kernel, sample: pd.DataFrame) -> tuple[DataFrame, int]:
+    """(k, b) of all rows and the length of b: kernel values with the sample, through the inverse root of the
+    sample's own Gram matrix, directions of no weight left out.  With B of these rows, B B' is the kernel's part
+    that the sample spans (Nyström), and B B' + gamma I the preconditioner."""
+    g = kernel.matrix(sample, sample)
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    keep = values > 1e-10 * values.max()
+    turn = vectors[:, keep] / np.sqrt(values[keep])
+
+    def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"k": part["k"], "b": list(kernel.matrix(part, sample) @ turn)})
+
+    return rows.mapInPandas(made, f"k {dict(rows.dtypes)['k']}, b array<double>"), int(keep.sum())
+
+
+def _sums(rows: DataFrame, parts: Callable[[pd.DataFrame], list[np.ndarray]]) -> list[np.ndarray]:
+    """Element-wise sums over all rows of what ``parts`` makes of each batch."""
 
-    def part(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": u["k"], "yhat": list(kernel.matrix(u, v) @ stack(v["alpha"]))})
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                made = parts(batch)
+                total = made if total is None else [a + b for a, b in zip(total, made)]
+        if total is not None:
+            yield pd.DataFrame({"g": range(len(total)), "m": [t.astype("<f8").tobytes() for t in total]})
 
-    kind = dict(query.dtypes)["k"]
-    return array_sums(tiles(query, model, part, f"k {kind}, yhat array<double>", block=block), "yhat", "k")
+    return [m for _, m in partial_sums(rows.mapInPandas(one, "g long, m binary"))]
 
 
-def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, tolerance: float = 1e-9, rounds: int = 200, block: int = 1024) -> DataFrame:
-    """``train`` (k, x, y) with alpha, without any task holding more than a tile of the system.
+def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, tolerance: float = 1e-9, rounds: int = 200, block: int = 1024, landmarks: int = 512, seed: int = 0) -> DataFrame:
+    """``train`` (k, x, y[, mask]) with alpha, without any task holding more than a tile of the system.
 
-    All right-hand sides advance together, each with its own step length; only those few numbers come to
-    the driver.  The state is cut each round, so a lost executor repeats one round at most.  A system that
+    All right-hand sides advance together, each with its own step length, in the form that needs both inner
+    products of a round at one time.  Series are dealt to tiles once and kept; only vectors travel.
+    At most ``landmarks`` rows, and no more than half, precondition the system; the driver holds their
+    Gram matrix.  Each round's vectors are cut, so a lost executor repeats one round at most.  A system that
     isn't solved to ``tolerance`` after ``rounds`` raises RuntimeError.
     """
     train = cut(train)
     n, size = train.agg(F.count("*"), F.max(F.size("y"))).first()
-    zip_ = lambda a, b, s: F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.array(*map(F.lit, s)).alias("s")), lambda e: e["a"] + e["s"] * e["b"])
-
-    def products(df: DataFrame, a: str, b: str) -> np.ndarray:
-        row = df.agg(*[F.sum(F.col(a)[i] * F.col(b)[i]) for i in range(size)]).first()
-        return np.array(row, float)
-
-    def apply(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": u["k"], "q": list(kernel.matrix(u, v) @ stack(v["p"]))})
-
-    kind = dict(train.dtypes)["k"]
-    state = cut(train.select("k", F.transform("y", lambda v: v * 0.0).alias("alpha"), F.col("y").alias("r"), F.col("y").alias("p")))
-    inputs = train.drop("y")
-    rr = products(state, "r", "r")
-    start = np.maximum(rr, 1e-300)
-    for _ in range(rounds):
-        if (rr <= tolerance**2 * start).all():
-            break
-        rows = inputs.join(state.select("k", "p"), "k")
-        q = array_sums(tiles(rows.drop("p"), rows, apply, f"k {kind}, q array<double>", block=block, rows=(n, n)), "q", "k")
-        both = cut(state.join(q, "k").withColumn("q", zip_("q", "p", [float(gamma)] * size)))
-        pq = products(both, "p", "q")
-        step = np.where(rr > tolerance**2 * start, rr / np.where(pq > 0, pq, 1.0), 0.0)
-        both = both.withColumns({"alpha": zip_("alpha", "p", step.tolist()), "r": zip_("r", "q", (-step).tolist())})
-        new = products(both, "r", "r")
-        beta = np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0)
-        state = cut(both.withColumn("p", zip_("r", "p", beta.tolist())).select("k", "alpha", "r", "p"))
-        rr = new
-    else:
-        if (rr > tolerance**2 * start).any():
-            raise RuntimeError(f"residuals of {np.sqrt((rr / start).max()):.1e} after {rounds} rounds")
-    return train.join(state.select("k", "alpha"), "k")
+    kind, series = dict(train.dtypes)["k"], kernel.staged(train.select(*[c for c in ("k", "x", "mask") if c in train.columns]))
+    panel, rank = landmark_panel(series, kernel, drawn(series, max(1, min(landmarks, n // 2)), seed))
+    panel = panel.repartition("k").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = Dealt(series, n, block=block)
+    names = ("alpha", "r", "p", "s", "u", "w")
+    schema = ", ".join([f"k {kind}", *[f"{c} array<double>" for c in names]])
+    both = panel.join(train.select("k", "y"), "k")
+
+    def projected(t: pd.DataFrame) -> list[np.ndarray]:
+        b = stack(t["b"])
+        return [b.T @ b, b.T @ stack(t["y"])]
+
+    def inner_products(t: pd.DataFrame) -> list[np.ndarray]:
+        r, u, w = (stack(t[c]) for c in "ruw")
+        return [(r * r).sum(0), (r * u).sum(0), (w * u).sum(0), stack(t["b"]).T @ w]
+
+    inner, tr = (m.reshape(rank, -1) for m in _sums(both, projected))
+    inner = inner + gamma * np.eye(rank)
+    ts, zero = np.zeros((rank, size)), F.transform("y", lambda v: v * 0.0)
+    state = both.select("k", "b", zero.alias("alpha"), F.col("y").alias("r"), zero.alias("p"), zero.alias("s"), zero.alias("u"), zero.alias("w"))
+    step, ratio, first, before = np.zeros(size), np.zeros(size), None, None
+    try:
+        for turn in range(rounds + 1):
+            # with the coefficients of B that the preconditioner takes away
+            rest, a, c = np.linalg.solve(inner, tr), step, ratio
+
+            def advance(parts: Iterator[pd.DataFrame], rest: np.ndarray = rest, a: np.ndarray = a, c: np.ndarray = c) -> Iterator[pd.DataFrame]:
+                for part in parts:
+                    if len(part):
+                        alpha, r, p, s, u, w = (stack(part[name]) for name in names)
+                        p, s = u + c * p, w + c * s
+                        alpha, r = alpha + a * p, r - a * s
+                        u = (r - stack(part["b"]) @ rest) / gamma
+                        yield pd.DataFrame({"k": part["k"], "alpha": list(alpha), "r": list(r), "p": list(p), "s": list(s), "u": list(u), "w": list(0 * u)})
+
+            moved = state.select("k", "b", *names).mapInPandas(advance, schema)
+            made = dealt.sums(moved.select("k", "u"), lambda x, y: kernel.matrix(x, y) @ stack(y["u"]), "q")
+            w = F.zip_with("q", "u", lambda q, u: q + float(gamma) * u)
+            moved = cut(moved.drop("w").join(made, "k").withColumn("w", w).select("k", *names))
+            state = panel.join(moved, "k")
+            rr, ru, wu, tw = _sums(state, inner_products)
+            first = np.maximum(rr, 1e-300) if first is None else first
+            open_ = rr > tolerance**2 * first
+            if not open_.any():
+                return train.join(moved.select("k", "alpha"), "k")
+            if turn == rounds:
+                raise RuntimeError(f"residuals of {np.sqrt((rr / first).max()):.1e} after {rounds} rounds")
+            ratio = np.zeros(size) if before is None else np.where(open_, ru / np.where(before[0] != 0, before[0], 1.0), 0.0)
+            bend = wu - (0.0 if before is None else np.where(before[1] != 0, ratio * ru / np.where(before[1] != 0, before[1], 1.0), 0.0))
+            step = np.where(open_ & (bend > 0), ru / np.where(bend > 0, bend, 1.0), 0.0)
+            before = ru, step
+            ts = tw.reshape(rank, size) + ratio * ts
+            tr = tr - step * ts
+    finally:
+        dealt.drop()
+        panel.unpersist()
+    raise RuntimeError("no round was made")

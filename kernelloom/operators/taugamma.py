@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from kernelloom.functions.arrays import finite, observed, tail
 from kernelloom.functions.series import impute, robust_stats_long, transform_with_stats
-from kernelloom.operators.pairwise import array_sums, stack, tiles
-from kernelloom.staging import cut
+from kernelloom.operators.pairwise import partial_sums, stack
 
 
 def common_context(bank: DataFrame, horizon: int = 0, requested: int | None = None, power_of_two: bool = False, col: str = "train") -> int:
@@ -67,14 +66,6 @@ def tau_array(length: Column, context: int, max_taus: int | None = None, include
     return F.when(n <= m, taus).otherwise(F.transform(places, lambda p: F.get(taus, p)))
 
 
-def tau_weights(tau: Column, most: Column, context: int, alpha: float = 1.0, omega: float = 1.0) -> Column:
-    """exp(-alpha omega^2 (c - clip(tau / most, 0, 1))^2) for c from 0 to 1 along the window."""
-    if context == 1:
-        return F.array(F.lit(1.0))
-    place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), tau / F.greatest(most, F.lit(1))))
-    return F.transform(F.sequence(F.lit(0), F.lit(context - 1)), lambda p: F.exp(-alpha * omega**2 * F.pow(p / F.lit(context - 1) - place, F.lit(2.0))))
-
-
 def _window_products(x: np.ndarray, taus: np.ndarray, context: int, alpha: float, omega: float, block: int = 1024) -> np.ndarray:
     """The mean over the look-backs of the outer product of the weighted windows, in blocks of windows."""
     start = len(x) - context - taus
@@ -146,39 +137,57 @@ def gamma_gram(left: DataFrame, right: DataFrame | None, time_kernel: np.ndarray
     return pair_values(left, right, lambda u, v: shown(u) @ inverse @ shown(v).T)
 
 
-def predict_gamma(support: DataFrame, queries: DataFrame, time_kernel: np.ndarray, lam: float, lam_gamma: float, fill: float = 0.0, max_support: int = 4096) -> DataFrame:
+def gamma_weights(support: DataFrame, time_kernel: np.ndarray, lam: float, lam_gamma: float, fill: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(context x steps, steps): forecasts are a query's context times the first, plus the second.
+
+    With A = (K + lam I)^-1, g (G + lam_gamma I)^-1 Y is q A (X'X A + lam_gamma I)^-1 X'Y, so the support
+    comes in by sums of outer products only, over the rows observed at a step: no task holds more than a
+    batch of it, and the driver gets a matrix of the context's size a step, or one in all where every target
+    is observed."""
+    n = len(time_kernel)
+    masked = "y_mask" in support.columns and not support.where(F.exists("y_mask", lambda m: m <= 0)).isEmpty()
+
+    def outer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        products, targets, seen = {}, 0.0, 0.0
+        for part in parts:
+            if not len(part):
+                continue
+            x, y = stack(part["x"]), stack(part["y"])
+            shown = stack(part["y_mask"]) > 0 if masked else np.ones((len(x), 1), bool)
+            # steps that the batch's rows observe alike share a product
+            patterns, which = np.unique(shown, axis=1, return_inverse=True)
+            made = [x[patterns[:, p]].T @ x[patterns[:, p]] for p in range(patterns.shape[1])]
+            for h, p in enumerate(which.ravel()):
+                products[h] = products.get(h, 0.0) + made[p]
+            targets, seen = targets + x.T @ np.where(shown, y, 0.0), seen + shown.sum(0)
+        if products:
+            rows = [*products.items(), (len(products), targets), (len(products) + 1, seen)]
+            yield pd.DataFrame({"g": [g for g, _ in rows], "m": [np.asarray(m, "<f8").tobytes() for _, m in rows]})
+
+    sums = [m for _, m in partial_sums(support.mapInPandas(outer, "g long, m binary"))]
+    if not sums:
+        raise ValueError("no support")
+    products, targets, seen = sums[:-2], sums[-2].reshape(n, -1), sums[-1]
+    root = np.linalg.cholesky(np.linalg.inv(time_kernel + lam * np.eye(n)))
+    out = np.zeros_like(targets)
+    for h in range(targets.shape[1]):
+        if h == 0 or len(products) > 1:
+            inner = root.T @ products[h].reshape(n, n) @ root + lam_gamma * np.eye(n)
+        out[:, h] = root @ np.linalg.solve(inner, root.T @ targets[:, h])
+    return out, np.where(np.broadcast_to(seen, targets.shape[1:]) > 0, 0.0, fill)
+
+
+def predict_gamma(support: DataFrame, queries: DataFrame, time_kernel: np.ndarray, lam: float, lam_gamma: float, fill: float = 0.0) -> DataFrame:
     """k, yhat of queries (k, x) from the support (k, x, y[, y_mask]): g (G + lam_gamma I)^-1 Y.
 
-    With ``y_mask``, each step is solved on the support rows observed there; steps with one pattern share
-    a solve; a step that no row observes gets ``fill``.  The support's dense system is one task's work and
-    its size is checked; queries go through tiles.
+    With ``y_mask``, each step is solved on the support rows observed there; a step that no row observes gets
+    ``fill``.  The support may have any number of rows, see ``gamma_weights``.
     """
-    n = support.count()
-    if n > max_support:
-        raise ValueError(f"{n} support rows in one dense system, at most {max_support}")
-    inverse = np.linalg.inv(time_kernel + lam * np.eye(len(time_kernel)))
-    kind = dict(support.dtypes)["k"]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k", ignore_index=True)
-        x, y = stack(part["x"]), stack(part["y"])
-        g = x @ inverse @ x.T
-        seen = stack(part["y_mask"]) > 0 if "y_mask" in part else np.ones(y.shape, bool)
-        out, bias = np.zeros(y.shape), np.where(seen.any(0), 0.0, fill)
-        patterns, which = np.unique(seen, axis=1, return_inverse=True)
-        for p in range(patterns.shape[1]):
-            rows, steps = np.flatnonzero(patterns[:, p]), np.flatnonzero(which.ravel() == p)
-            if len(rows):
-                own = g[np.ix_(rows, rows)] + lam_gamma * np.eye(len(rows))
-                out[np.ix_(rows, steps)] = np.linalg.solve(own, y[np.ix_(rows, steps)])
-        return pd.DataFrame({"k": part["k"], "x": part["x"], "alpha": list(out), "bias": [bias] * len(part)})
-
-    model = support.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, f"k {kind}, x array<double>, alpha array<double>, bias array<double>")
-    # tiles may read it several times
-    model = cut(model)
-
-    def part(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        made = stack(u["x"]) @ inverse @ stack(v["x"]).T @ stack(v["alpha"])
-        return pd.DataFrame({"k": u["k"], "yhat": list(made + stack(v["bias"])[0] * len(v) / n)})
-
-    return array_sums(tiles(queries, model, part, f"k {dict(queries.dtypes)['k']}, yhat array<double>", rows=(queries.count(), n)), "yhat", "k")
+    weights, bias = gamma_weights(support, time_kernel, lam, lam_gamma, fill)
+
+    def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"k": part["k"], "yhat": list(stack(part["x"]) @ weights + bias)})
+
+    return queries.select("k", "x").mapInPandas(made, f"k {dict(queries.dtypes)['k']}, yhat array<double>")

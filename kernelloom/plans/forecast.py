@@ -15,7 +15,7 @@ from kernelloom.functions.series import unscaled
 from kernelloom.operators.augment import prepare_examples, uniform_length
 from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine, drawn
 from kernelloom.operators.metrics import scored, summary
-from kernelloom.operators.pairwise import array_sums, fresh, stack, tiles
+from kernelloom.operators.pairwise import UnequalLengths, block_sums, fresh, partial_sums, stack
 from kernelloom.operators.solve import MAX_DENSE, conjugate_gradients, fit_dense, predict, ridge
 from kernelloom.staging import cut
 
@@ -34,33 +34,32 @@ class Result:
         return summary(self.predictions)
 
 
-def fit(train: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0) -> tuple[DataFrame, Kernel]:
-    """(train with alpha, the fitted kernel): dense up to ``MAX_DENSE`` rows, else conjugate gradients.
+def fit(train: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0, max_rows: int = MAX_DENSE) -> tuple[DataFrame, Kernel]:
+    """(train with alpha, the fitted kernel): dense up to ``max_rows`` rows, else conjugate gradients.
 
     The model is cut, so it is solved once however often it is read.
     """
     n = train.count()
-    kernel = learn(train, n, kernel, gamma, seed) if isinstance(kernel, LEARNT) else kernel.fitted(train, seed)
-    return solved(train, n, kernel, gamma), kernel
+    kernel = learn(train, n, kernel, gamma, seed, max_rows) if isinstance(kernel, LEARNT) else kernel.fitted(train, seed)
+    return solved(train, n, kernel, gamma, max_rows), kernel
 
 
-def solved(train: DataFrame, n: int, kernel: Kernel, gamma: float) -> DataFrame:
-    return cut((fit_dense if n <= MAX_DENSE else conjugate_gradients)(train, kernel, gamma))
+def solved(train: DataFrame, n: int, kernel: Kernel, gamma: float, max_rows: int = MAX_DENSE) -> DataFrame:
+    return cut((fit_dense if n <= max_rows else conjugate_gradients)(train, kernel, gamma))
 
 
-def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma: float, seed: int = 0) -> FeatureMachine | PatchMachine:
+def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma: float, seed: int = 0, max_rows: int = MAX_DENSE) -> FeatureMachine | PatchMachine:
     """A feature machine's projection from all training rows: each round's solve is a task's or goes by
     conjugate gradients, the gradients are summed over tiles, and only their outer products' sum, of the
     projection's size, comes to the driver.  Length scales are estimated on ``points`` rows, as by other kernels."""
-    kind = dict(train.dtypes)["k"]
     sample = drawn(train, kernel.points, seed)
     kernel = kernel.started(sample)
     for _ in range(kernel.rounds):
         kernel = kernel.estimated(sample)
-        model = solved(train, n, kernel, gamma)
+        model = solved(train, n, kernel, gamma, max_rows)
 
-        def parts(u: pd.DataFrame, v: pd.DataFrame, now: Kernel = kernel) -> pd.DataFrame:
-            return pd.DataFrame({"k": u["k"], "g": now.gradient_parts(u, v, stack(v["alpha"]).sum(1))})
+        def parts(u: pd.DataFrame, v: pd.DataFrame, now: Kernel = kernel) -> list[np.ndarray]:
+            return now.gradient_parts(u, v, stack(v["alpha"]).sum(1))
 
         def outer(batches: Iterator[pd.DataFrame], now: Kernel = kernel) -> Iterator[pd.DataFrame]:
             total, count = 0.0, 0
@@ -69,12 +68,12 @@ def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma
                     m, c = now.gradient_outer(list(batch["g"]), batch)
                     total, count = total + m, count + c
             if count:
-                yield pd.DataFrame({"one": [0], "m": [np.append(total.ravel(), count)]})
+                yield pd.DataFrame({"g": [0], "m": [np.append(total.ravel(), count).astype("<f8").tobytes()]})
 
-        sums = array_sums(tiles(train.select("k", "x"), model.select("k", "x", "alpha"), parts, f"k {kind}, g array<double>", rows=(n, n)), "g", "k")
-        made = array_sums(train.select("k", "x").join(sums, "k").mapInPandas(outer, "one int, m array<double>"), "m", "one").first()["m"]
+        sums = block_sums(train.select("k", "x"), model.select("k", "x", "alpha"), parts, "g", rows=(n, n))
+        made = partial_sums(train.select("k", "x").join(sums, "k").mapInPandas(outer, "g long, m binary"))[0][1]
         size = int(np.sqrt(len(made) - 1))
-        kernel = kernel.turned(np.array(made[:-1]).reshape(size, size), int(made[-1]))
+        kernel = kernel.turned(made[:-1].reshape(size, size), int(made[-1]))
     return kernel
 
 
@@ -136,45 +135,76 @@ def pretrain_eval(chunks: DataFrame, examples: DataFrame, kernel: Kernel, gamma:
     return train_eval(ready(chunks), ready(examples), kernel, gamma, seed)
 
 
-def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", max_rows: int = MAX_DENSE, length: int | None = None, future_len: int | None = None, seed: int = 0) -> DataFrame:
+@dataclass(frozen=True)
+class Sweep:
+    """Predictions of all domains that have a model, and (domain, reason) of the others."""
+
+    predictions: DataFrame
+    failed: DataFrame
+
+
+def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", **options) -> DataFrame:
+    """The predictions of ``sweep_domains``."""
+    return sweep_domains(train, test, kernel, gamma, domain, **options).predictions
+
+
+def sweep_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", max_rows: int = MAX_DENSE, length: int | None = None, future_len: int | None = None, seed: int = 0) -> Sweep:
     """Test rows with future_pred, scores, and their model's kernel, n_train, lengthscale and gamma: one
-    independent model a domain, all fitted in parallel.
+    independent model a domain, and the domains without one.
 
-    A domain without training or test rows, or whose system can't be solved, has no rows and leaves the others
-    alone.  Each domain estimates its own parameters on its ``points`` rows of the smallest hash, and
-    feature machines learn its projection.  Masks count as in ``masks_or_zeros``.  With ``length``,
-    prepared rows are cropped or padded to it first.  More than ``max_rows`` training rows in one domain
-    raise before any task gathers them.
+    Domains of up to ``max_rows`` training rows are a task's work each, all in parallel; a larger one is a
+    job of its own over tiles (``fit``), one after another.  Each domain estimates its own parameters on its
+    ``points`` rows of the smallest hash, and feature machines learn its projection.  Masks count as in
+    ``masks_or_zeros``.  With ``length``, prepared rows are cropped or padded to it first.
+
+    A domain without training or test rows, with series of unequal length or a singular system fails, with
+    that reason, and leaves the others alone; any other error is raised.
     """
     if length is not None:
         train, test = (prepare_examples(uniform_length(df, length, future_len, seed=seed)) for df in (train, test))
-    top = train.groupBy(domain).count().agg(F.max("count")).first()[0] or 0
-    if top > max_rows:
-        raise ValueError(f"{top} training rows in one domain, at most {max_rows}: fit that domain by train_eval")
+    train, test = cut(train), cut(test)
+    large = sorted(r[0] for r in train.groupBy(domain).count().where(F.col("count") > max_rows).collect() if r[0] is not None)
     kinds = dict(test.dtypes)
     masked = all("mask" in masks_or_zeros(df).columns for df in (train, test))
     extra = ["mask"] if masked else []
-    a = train.select(domain, "k", F.col("x_model").alias("x"), F.col("future_n").alias("y"), F.xxhash64("k", F.lit(seed)).alias("_h"), *extra)
-    b = test.select(domain, "k", F.col("x_model").alias("x"), *extra)
-    columns = [domain, "k", "yhat", "n_train", "lengthscale"]
-
-    def one(u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if len(u) and len(v):
+    small = lambda df: df.where(~F.coalesce(F.col(domain).isin(large), F.lit(False))) if large else df
+    a = small(train).select(domain, "k", F.col("x_model").alias("x"), F.col("future_n").alias("y"), F.xxhash64("k", F.lit(seed)).alias("_h"), *extra)
+    b = small(test).select(domain, "k", F.col("x_model").alias("x"), *extra)
+    columns = [domain, "k", "yhat", "n_train", "lengthscale", "reason"]
+
+    def one(key: tuple, u: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        reason = "no training rows" if not len(u) else "no test rows" if not len(v) else None
+        if reason is None:
             try:
                 # the rows that parameters are estimated on come first
                 u = u.sort_values(["_h", "k"], ignore_index=True)
                 first, y = u.iloc[: getattr(kernel, "points", 24)], stack(u["y"])
                 own = kernel.learnt(u, y, gamma) if isinstance(kernel, LEARNT) else kernel.estimated(first)
                 yhat = own.matrix(v, u) @ ridge(own.matrix(u, u), y, gamma)
-                size = next((float(s) for n in ("lengthscale", "sigma") if (s := getattr(own, n, None))), None)
-                return pd.DataFrame({domain: v[domain], "k": v["k"], "yhat": list(yhat), "n_train": len(u), "lengthscale": size})
-            except (np.linalg.LinAlgError, ValueError):
-                pass
-        return pd.DataFrame(columns=columns, dtype=object)
-
-    made = a.groupBy(domain).cogroup(fresh(b).groupBy(domain)).applyInPandas(one, f"{domain} {kinds[domain]}, k {kinds['k']}, yhat array<double>, n_train long, lengthscale double")
+                return pd.DataFrame({domain: v[domain], "k": v["k"], "yhat": list(yhat), "n_train": len(u), "lengthscale": own_scale(own), "reason": None})
+            except (np.linalg.LinAlgError, UnequalLengths) as e:
+                reason = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([[key[0], None, None, None, None, reason]], columns=columns, dtype=object)
+
+    schema = f"{domain} {kinds[domain]}, k {kinds['k']}, yhat array<double>, n_train long, lengthscale double, reason string"
+    made = cut(a.groupBy(domain).cogroup(fresh(b).groupBy(domain)).applyInPandas(one, schema))
+    failed, made = made.where("reason is not null").select(domain, "reason"), made.where("reason is null").drop("reason")
+    for name in large:
+        mine, theirs = (df.where(F.col(domain) == name).drop(*([] if masked else ["mask"])) for df in (train, test))
+        if theirs.isEmpty():
+            failed = failed.unionByName(mine.limit(1).select(domain, F.lit("no test rows").alias("reason")))
+            continue
+        n = mine.count()
+        model, own = fit(modelled(mine), kernel, gamma, seed, max_rows)
+        yhat = predict(model, modelled(theirs).drop("y"), own).join(theirs.select("k", domain), "k")
+        made = made.unionByName(yhat.withColumns({"n_train": F.lit(n).cast("long"), "lengthscale": F.lit(own_scale(own)).cast("double")}).select(columns[:-1]))
     rows = test.join(made, [domain, "k"]).withColumn("future_pred", unscaled(F.col("yhat"), F.col("mu"), F.col("sigma")))
-    return scored(rows).withColumns({"kernel": F.lit(type(kernel).__name__), "gamma": F.lit(float(gamma))})
+    return Sweep(scored(rows).withColumns({"kernel": F.lit(type(kernel).__name__), "gamma": F.lit(float(gamma))}), failed)
+
+
+def own_scale(kernel: Kernel) -> float | None:
+    """The kernel's length scale or width, if it has one."""
+    return next((float(s) for n in ("lengthscale", "sigma") if (s := getattr(kernel, n, None))), None)
 
 
 def study_sizes(most: int, sizes: list[int] | None = None, least: int = 5, count: int = 8, max_gram: int | None = 500_000) -> list[int]:

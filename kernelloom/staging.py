@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes as well as by rows: a row may hold a matrix."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def cut(df: DataFrame) -> DataFrame:
