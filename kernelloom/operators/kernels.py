@@ -9,9 +9,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernelloom.catalog import DEFAULTS
 from kernelloom.operators import decompose, pairwise
 from kernelloom.operators.pairwise import aligned_patches, by_place, masked_squared_distances, patches, squared_distances, stack
 from kernelloom.staging import cut
@@ -60,12 +61,32 @@ def _known(value: float | None, name: str) -> float:
     return value
 
 
+def own_scale(kernel: Kernel) -> float | None:
+    """The kernel's length scale or width, if it has one."""
+    return next((float(s) for n in ("lengthscale", "sigma") if (s := getattr(kernel, n, None)) is not None), None)
+
+
+def group_scales(rows: DataFrame, kernels: dict[str, Kernel], by: str, seed: int = 0) -> DataFrame:
+    """(by, kernel, scale): each group's estimates of each kernel, made in tasks on the group's ``points`` rows of
+    the smallest hash."""
+    most = max(getattr(k, "points", 24) for k in kernels.values())
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("k", F.lit(seed)), "k"))
+    some = rows.withColumn("_r", rank).where(F.col("_r") <= most)
+
+    def estimate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_r", ignore_index=True)
+        made = [own_scale(k.estimated(part.iloc[: getattr(k, "points", 24)])) for k in kernels.values()]
+        return pd.DataFrame({by: key[0], "kernel": list(kernels), "scale": made})
+
+    return some.groupBy(by).applyInPandas(estimate, f"{by} {dict(rows.dtypes)[by]}, kernel string, scale double")
+
+
 @dataclass(frozen=True)
 class RBF(Kernel):
     """exp(-d^2 / 2 l^2); l is the median of positive distances."""
 
     lengthscale: float | None = None
-    points: int = 24
+    points: int = DEFAULTS.pairwise_median_subset
 
     def matrix(self, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
         return np.exp(-squared_distances(stack(u["x"]), stack(v["x"])) / (2 * _known(self.lengthscale, "lengthscale") ** 2))
@@ -84,7 +105,7 @@ class MaskedRBF(Kernel):
 
     lengthscale: float | None = None
     lam: float = 0.01
-    points: int = 24
+    points: int = DEFAULTS.pairwise_median_subset
 
     @staticmethod
     def _parts(u: pd.DataFrame, v: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -154,7 +175,7 @@ class DTW(Kernel):
 
     sigma: float | None = None
     window: int | None = None
-    points: int = 24
+    points: int = DEFAULTS.pairwise_median_subset
 
     def distances(self, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
         return pairwise.dtw_matrix(self.window)(u, v)
@@ -180,7 +201,7 @@ class Wavelet(Kernel):
     wavelet: str = "ricker"
     weights: tuple[float, ...] | None = None
     top_k: int | None = None
-    points: int = 24
+    points: int = DEFAULTS.pairwise_median_subset
 
     def _transformed(self, x) -> np.ndarray:
         made = decompose.cwt(np.asarray(x, float), self.wavelet, self.n_scales, self.scale_min, self.scale_max, top_k=self.top_k)
@@ -260,7 +281,7 @@ class FeatureMachine(Kernel):
     lengthscale: float | None = None
     normalize: bool = True
     projection: tuple[tuple[float, ...], ...] | None = None
-    points: int = 24
+    points: int = DEFAULTS.pairwise_median_subset
 
     def _project(self, t: pd.DataFrame) -> np.ndarray:
         x = stack(t["x"])

@@ -8,6 +8,7 @@ allows, a task adds up its own part, and one row of bytes a pair of blocks trave
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -259,10 +260,12 @@ class Dealt:
         self.rows.unpersist()
 
 
-def partial_sums(partials: DataFrame, ways: int = 32) -> list[tuple[int, np.ndarray]]:
-    """(g, sum) of rows (g, m: doubles as bytes), one row a task and g: added up in ``ways`` streams for each g,
-    then on the driver, which gets ways rows for each g at most, one at a time."""
-    bounded_batches(partials.sparkSession)
+def partial_sums(partials: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """(g, sum) of rows (g, m: doubles as bytes), one row a task and g: added up in a few streams for each g, the
+    root of the number of tasks, then on the driver, one row at a time."""
+    spark = partials.sparkSession
+    bounded_batches(spark)
+    ways = math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, total = None, None

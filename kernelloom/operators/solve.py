@@ -86,14 +86,13 @@ def conjugate_gradients(train: DataFrame, kernel: Kernel, gamma: float, toleranc
 
     All right-hand sides advance together, each with its own step length, in the form that needs both inner
     products of a round at one time.  Series are dealt to tiles once and kept; only vectors travel.
-    At most ``landmarks`` rows, and no more than half, precondition the system; the driver holds their
-    Gram matrix.  Each round's vectors are cut, so a lost executor repeats one round at most.  A system that
+    At most ``landmarks`` rows precondition the system; the driver holds their Gram matrix.  Each round's vectors are cut, so a lost executor repeats one round at most.  A system that
     isn't solved to ``tolerance`` after ``rounds`` raises RuntimeError.
     """
     train = cut(train)
     n, size = train.agg(F.count("*"), F.max(F.size("y"))).first()
     kind, series = dict(train.dtypes)["k"], kernel.staged(train.select(*[c for c in ("k", "x", "mask") if c in train.columns]))
-    panel, rank = landmark_panel(series, kernel, drawn(series, max(1, min(landmarks, n // 2)), seed))
+    panel, rank = landmark_panel(series, kernel, drawn(series, landmarks, seed))
     panel = panel.repartition("k").persist(StorageLevel.MEMORY_AND_DISK)
     dealt = Dealt(series, n, block=block)
     names = ("alpha", "r", "p", "s", "u", "w")

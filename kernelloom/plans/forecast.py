@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelloom.catalog import DEFAULTS
 from kernelloom.functions.draws import drawn as draw
 from kernelloom.functions.series import unscaled
 from kernelloom.operators.augment import prepare_examples, uniform_length
-from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine, drawn
+from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine, drawn, own_scale
 from kernelloom.operators.metrics import scored, summary
 from kernelloom.operators.pairwise import UnequalLengths, block_sums, fresh, partial_sums, stack
 from kernelloom.operators.solve import MAX_DENSE, conjugate_gradients, fit_dense, predict, ridge
@@ -34,7 +35,7 @@ class Result:
         return summary(self.predictions)
 
 
-def fit(train: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0, max_rows: int = MAX_DENSE) -> tuple[DataFrame, Kernel]:
+def fit(train: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, seed: int = DEFAULTS.random_seed, max_rows: int = MAX_DENSE) -> tuple[DataFrame, Kernel]:
     """(train with alpha, the fitted kernel): dense up to ``max_rows`` rows, else conjugate gradients.
 
     The model is cut, so it is solved once however often it is read.
@@ -48,7 +49,7 @@ def solved(train: DataFrame, n: int, kernel: Kernel, gamma: float, max_rows: int
     return cut((fit_dense if n <= max_rows else conjugate_gradients)(train, kernel, gamma))
 
 
-def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma: float, seed: int = 0, max_rows: int = MAX_DENSE) -> FeatureMachine | PatchMachine:
+def learn(train: DataFrame, n: int, kernel: FeatureMachine | PatchMachine, gamma: float, seed: int = DEFAULTS.random_seed, max_rows: int = MAX_DENSE) -> FeatureMachine | PatchMachine:
     """A feature machine's projection from all training rows: each round's solve is a task's or goes by
     conjugate gradients, the gradients are summed over tiles, and only their outer products' sum, of the
     projection's size, comes to the driver.  Length scales are estimated on ``points`` rows, as by other kernels."""
@@ -97,7 +98,7 @@ def modelled(prepared: DataFrame, x: str = "x_model") -> DataFrame:
     return prepared.select("k", F.col(x).alias("x"), F.col("future_n").alias("y"), *extra)
 
 
-def train_eval(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, seed: int = 0) -> Result:
+def train_eval(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, seed: int = DEFAULTS.random_seed) -> Result:
     """Fit on ``train``, predict ``test`` in one cross-kernel, score on the original scale.  Both sides are
     read several times, so they are cut first."""
     train, test = cut(train), cut(test)
@@ -107,7 +108,7 @@ def train_eval(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float =
     return Result(kernel, gamma, model, scored(rows))
 
 
-def split_random(examples: DataFrame, n_test: int, seed: int = 0, key: str = "k") -> tuple[DataFrame, DataFrame]:
+def split_random(examples: DataFrame, n_test: int = DEFAULTS.n_test_samples, seed: int = DEFAULTS.random_seed, key: str = "k") -> tuple[DataFrame, DataFrame]:
     """(train, test): the ``n_test`` rows of the smallest draw by seed and key are the test set."""
     n = examples.count()
     if n <= n_test:
@@ -128,7 +129,7 @@ def split_by_keys(examples: DataFrame, test: DataFrame | None = None, train: Dat
     return rest(test) if train is None else pick(train), rest(train) if test is None else pick(test)
 
 
-def pretrain_eval(chunks: DataFrame, examples: DataFrame, kernel: Kernel, gamma: float = 1e-2, length: int = 512, future_len: int = 64, seed: int = 0) -> Result:
+def pretrain_eval(chunks: DataFrame, examples: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, length: int = 512, future_len: int = 64, seed: int = DEFAULTS.random_seed) -> Result:
     """A model trained on chunks of pretraining series (sample_idx, history, future) and scored on examples of
     another collection: both cropped or padded to one length, prepared alike, then ``train_eval``."""
     ready = lambda df: prepare_examples(uniform_length(df, length, future_len, seed=seed)).withColumn("k", F.col("sample_idx"))
@@ -143,12 +144,12 @@ class Sweep:
     failed: DataFrame
 
 
-def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", **options) -> DataFrame:
+def run_all_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, domain: str = "domain", **options) -> DataFrame:
     """The predictions of ``sweep_domains``."""
     return sweep_domains(train, test, kernel, gamma, domain, **options).predictions
 
 
-def sweep_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, domain: str = "domain", max_rows: int = MAX_DENSE, length: int | None = None, future_len: int | None = None, seed: int = 0) -> Sweep:
+def sweep_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, domain: str = "domain", max_rows: int = MAX_DENSE, length: int | None = None, future_len: int | None = None, seed: int = DEFAULTS.random_seed) -> Sweep:
     """Test rows with future_pred, scores, and their model's kernel, n_train, lengthscale and gamma: one
     independent model a domain, and the domains without one.
 
@@ -202,11 +203,6 @@ def sweep_domains(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: floa
     return Sweep(scored(rows).withColumns({"kernel": F.lit(type(kernel).__name__), "gamma": F.lit(float(gamma))}), failed)
 
 
-def own_scale(kernel: Kernel) -> float | None:
-    """The kernel's length scale or width, if it has one."""
-    return next((float(s) for n in ("lengthscale", "sigma") if (s := getattr(kernel, n, None))), None)
-
-
 def study_sizes(most: int, sizes: list[int] | None = None, least: int = 5, count: int = 8, max_gram: int | None = 500_000) -> list[int]:
     """Training sizes: given ones, else log-spaced from ``least``; clamped, distinct, ascending, and with
     the Gram matrix within ``max_gram`` elements."""
@@ -214,7 +210,7 @@ def study_sizes(most: int, sizes: list[int] | None = None, least: int = 5, count
     return sorted({s for s in (min(int(s), most) for s in found) if s > 0 and (max_gram is None or s * s <= max_gram)})
 
 
-def scaling_study(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = 1e-2, sizes: list[int] | None = None, seed: int | None = None) -> DataFrame:
+def scaling_study(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: float = DEFAULTS.gamma, sizes: list[int] | None = None, seed: int | None = None) -> DataFrame:
     """n_train, k, future_pred and scores: one model a size, all fitted in parallel on a fixed test set.
 
     The training sets are nested: the first rows by key, or by a hash of key and seed.

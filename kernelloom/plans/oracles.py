@@ -127,7 +127,7 @@ ORACLES["gram_wavelet_coeffs"] = _cwt(_GEOM, "hn") + f" SELECT CAST(a.k AS BIGIN
 ORACLES["gram_wavelet_inner"] = _cwt(_GEOM, "hn") + f""", ip AS (SELECT a.k AS i, b.k AS j, sum(a.c * b.c) AS p FROM co a JOIN co b ON a.s = b.s AND a.t = b.t GROUP BY 1, 2)
 SELECT CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j, {_r('p.p / sqrt(u.p) / sqrt(v.p)', 'value')} FROM ip p JOIN ip u ON u.i = p.i AND u.j = p.i JOIN ip v ON v.i = p.j AND v.j = p.j"""
 
-EM = """em AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), lm AS (SELECT arg_min(x, k) AS x, min(k) AS k FROM em GROUP BY label)"""
+EM = """em AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), lm AS (SELECT k, x FROM em WHERE k % 20 = 0)"""
 _PAIR = f"WITH {EM} SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, {{value}} FROM lm a, em b"
 ORACLES["sqdist_landmarks"] = _PAIR.format(value=_r("pow(list_distance(a.x, b.x), 2)", "value"))
 ORACLES["gram_rbf"] = _PAIR.format(value=_r("exp(-pow(list_distance(a.x, b.x), 2) / 1.28)", "value"))
@@ -301,3 +301,49 @@ SELECT k, label, t, part, {_r('v', 'v')} FROM (SELECT k, label, unnest(range(-24
 ORACLES["support_bank"] = f"""WITH {NL}, tl AS (SELECT k, name, domain, t, v, n - 12 AS n FROM nl WHERE t < n - 12), cn AS (SELECT CAST(pow(2, floor(log2(max(n) - 6))) AS BIGINT) AS c FROM tl), cx AS (SELECT k, v FROM tl, cn WHERE t >= n - c),
 lo AS {ROBUST.replace("{source}", "cx")}, nm AS (SELECT k, domain, row_number() OVER (PARTITION BY domain ORDER BY k) - 1 AS s FROM (SELECT DISTINCT k, domain FROM tl))
 SELECT domain || '#series' || s AS name, domain = 'ASIA' AND s = 0 AS unseen, c AS context, c AS context_length, CAST(6 AS BIGINT) AS horizon_length, {_r('loc', 'loc')}, {_r('scale', 'scale')} FROM nm JOIN lo USING (k), cn"""
+
+# -- whole tables: several blocks, bands and channels, solves and forecasts of any size -------------------
+
+ORACLES["gram_self"] = f"WITH {EM} SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, {_r('exp(-pow(list_distance(a.x, b.x), 2) / 1.28)', 'value')} FROM em a, em b"
+
+_CHANGES = "list_concat([0.0::DOUBLE], list_transform(range(2, len({0}) + 1), lambda i: {0}[i] - {0}[i - 1]))"
+ORACLES["gram_dtw_banded"] = f"""WITH RECURSIVE {NX}, pp AS (SELECT a.k AS i, b.k AS j, a.hn AS x, b.hn AS y, {_CHANGES.format("a.hn")} AS dx, {_CHANGES.format("b.hn")} AS dy FROM pr a, pr b),
+dt(i, j, x, y, dx, dy, s, prev) AS (SELECT i, j, x, y, dx, dy, 0, list_concat([0.0::DOUBLE], list_transform(y, lambda v: 'inf'::DOUBLE)) FROM pp
+  UNION ALL SELECT i, j, x, y, dx, dy, s + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [CASE WHEN abs(s + 1 - q) <= 6 THEN pow(x[s + 1] - y[q], 2) + pow(dx[s + 1] - dy[q], 2) ELSE 'inf'::DOUBLE END, least(prev[q], prev[q + 1])]),
+    lambda acc, e: list_append(acc, e[1] + least(e[2], acc[len(acc)])), ['inf'::DOUBLE]) FROM dt WHERE s < len(x))
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r("exp(-prev[len(prev)] / 200)", "value")} FROM dt WHERE s = len(x)"""
+
+ORACLES["kernel_scales"] = f"""WITH RECURSIVE {NX}, pp AS (SELECT a.domain, a.k AS i, b.k AS j, a.hn AS x, b.hn AS y FROM pr a JOIN pr b ON a.domain = b.domain AND a.k < b.k),
+dt(domain, x, y, s, prev) AS (SELECT domain, x, y, 0, list_concat([0.0::DOUBLE], list_transform(y, lambda v: 'inf'::DOUBLE)) FROM pp
+  UNION ALL SELECT domain, x, y, s + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [pow(x[s + 1] - y[q], 2), least(prev[q], prev[q + 1])]),
+    lambda acc, e: list_append(acc, e[1] + least(e[2], acc[len(acc)])), ['inf'::DOUBLE]) FROM dt WHERE s < len(x)),
+pd AS (SELECT domain, list_distance(x[u * 2 + 1:u * 2 + 8], y[u * 2 + 1:u * 2 + 8]) AS d FROM (SELECT *, unnest(range((len(x) - 8) // 2 + 1)) AS u FROM pp)),
+mk AS (SELECT domain, sqrt(list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN e[1] <> 0 AND e[2] <> 0 THEN pow(e[1] - e[2], 2) ELSE 0 END))
+  / greatest(list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN e[1] <> 0 AND e[2] <> 0 THEN 1.0::DOUBLE ELSE 0 END)), 1)) AS d FROM pp),
+al AS (SELECT domain, 'rbf' AS kernel, list_distance(x, y) AS d FROM pp UNION ALL SELECT domain, 'masked_rbf', d FROM mk
+  UNION ALL SELECT domain, 'dtw', sqrt(prev[len(prev)]) FROM dt WHERE s = len(x) UNION ALL SELECT domain, 'patches', d FROM pd)
+SELECT domain, kernel, {_r("median(d)", "scale")} FROM al WHERE d > 0 GROUP BY 1, 2"""
+
+# elimination row by row: a step's pivot row goes to all rows, and its column goes
+ORACLES["krr_embeddings"] = f"""WITH RECURSIVE en AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[])[1:48] AS x, CAST(embedding AS DOUBLE[])[49:64] AS y, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+g0 AS (SELECT a.i, list(exp(-pow(list_distance(a.x, b.x), 2) / 1.28) + CASE WHEN a.i = b.i THEN 0.1 ELSE 0 END ORDER BY b.i) AS r FROM en a, en b GROUP BY 1),
+el(s, i, r) AS (SELECT CAST(1 AS BIGINT), i, list_concat(r, y) FROM g0 JOIN en USING (i)
+  UNION ALL SELECT s + 1, i, CASE WHEN i = s THEN list_transform(p[2:], lambda v: v / p[1]) ELSE list_transform(list_zip(r[2:], p[2:]), lambda e: e[1] - r[1] * e[2] / p[1]) END
+  FROM (SELECT *, max(CASE WHEN i = s THEN r END) OVER () AS p FROM el) WHERE len(r) > 16)
+SELECT k, CAST(t - 1 AS BIGINT) AS t, {_r("r[t]", "v")} FROM (SELECT k, r, unnest(range(1, 17)) AS t FROM el JOIN en USING (i) WHERE len(r) = 16)"""
+
+_SUPPLIERS = SW.replace("coalesce(sc.v, 0.0) AS v", "sc.v") + ", nl AS (SELECT k, NULL AS name, NULL AS domain, CAST(t - lo AS BIGINT) AS t, CAST(hi - lo + 1 AS BIGINT) AS n, v FROM sl, sm)"
+ORACLES["gamma_suppliers"] = ORACLES["gamma_predict"].replace(NL, _SUPPLIERS)
+
+_SCORED_NAIVE = ORACLES["forecast_metrics"].rsplit(" SELECT k, ", 1)[0]
+_BINS = """SELECT '{0}' AS part, '' AS label, g.bin, round(lo + (hi - lo) / 40 * g.bin, 6) + 0.0 AS lo, round(lo + (hi - lo) / 40 * (g.bin + 1), 6) + 0.0 AS hi, count(v.v) AS n, NULL AS value
+  FROM (SELECT min(v) AS lo, max(v) AS hi FROM {1}) b, (SELECT unnest(range(40)) AS bin) g LEFT JOIN {1} v ON CAST(least(floor((v.v - lo) / ((hi - lo) / 40)), 39) AS BIGINT) = g.bin GROUP BY g.bin, lo, hi"""
+ORACLES["evaluation_report"] = f"""{_SCORED_NAIVE}, ts AS (SELECT * FROM sc WHERE k % 5 = 0),
+rs AS (SELECT v - y AS v FROM (SELECT y, unnest(f) AS v FROM ts)), rm AS (SELECT rmse AS v FROM ts),
+av AS (SELECT m, avg(v) AS a, median(v) AS d, count(*) AS n FROM (SELECT unnest(['rmse', 'relative_rmse', 'mase']) AS m, unnest([rmse, relative_rmse, mase]) AS v FROM ts) GROUP BY 1)
+SELECT 'summary' AS part, 'mean_' || m AS label, NULL::BIGINT AS bin, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, n, round(a, 6) + 0.0 AS value FROM av
+UNION ALL SELECT 'summary', 'median_' || m, NULL, NULL, NULL, n, round(d, 6) + 0.0 FROM av
+UNION ALL SELECT 'split', CASE WHEN n_nationkey % 5 = 0 THEN '0.0' ELSE '0.35' END, NULL, NULL, NULL, count(*), NULL FROM nation GROUP BY 2
+UNION ALL {_BINS.format('residuals', 'rs')} UNION ALL {_BINS.format('rmse', 'rm')}
+UNION ALL SELECT 'scores', CAST(k AS VARCHAR), NULL, round(rmse, 6) + 0.0, round(relative_rmse, 6) + 0.0, 1, round(mase, 6) + 0.0 FROM ts"""
+ORACLES["chunk_numbers"] = f"WITH {SW}, s AS (SELECT k, unnest(range(0, len(x) - 79, 60)) AS start FROM sx) SELECT k, start, row_number() OVER (ORDER BY k, start) - 1 AS sample_idx FROM s"

@@ -11,7 +11,7 @@ from kernelloom import catalog
 from kernelloom.functions import series as S
 from kernelloom.functions.arrays import tail
 from kernelloom.operators import augment, decompose, metrics, pairwise, report, slicing, taugamma
-from kernelloom.operators.kernels import DTW, NTK, RBF, FeatureMachine, Linear, MaskedRBF, PatchMachine, Wavelet
+from kernelloom.operators.kernels import DTW, NTK, RBF, FeatureMachine, Linear, MaskedRBF, PatchMachine, Wavelet, group_scales
 from kernelloom.operators.solve import conjugate_gradients
 from kernelloom.plans import forecast
 from kernelloom.sources import readers
@@ -227,9 +227,8 @@ def _nations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landmarks(rows: DataFrame) -> DataFrame:
-    """Each label's vector of the smallest id: a stated query set of as many rows as labels."""
-    first = rows.groupBy("domain").agg(F.min_by("x", "k").alias("x"), F.min("k").alias("k"))
-    return first.select("k", "x")
+    """The query set: rows whose id is divisible by 20, against all rows."""
+    return rows.where("k % 20 = 0").select("k", "x")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -260,6 +259,28 @@ def gram_ntk(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(NTK(2).gram(_landmarks(rows), rows.select("k", "x")))
 
 
+@query
+def gram_self(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings with each other, in several blocks: each pair of blocks is computed once and mirrored."""
+    return _pairs(RBF(0.8).gram(vectors(spark, sf).select("k", "x"), block=256))
+
+
+@query
+def gram_dtw_banded(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations warped within a band of six months, on two channels: the scaled value and its change."""
+    change = F.transform("history_n", lambda v, i: F.when(i > 0, v - F.get("history_n", i - 1)).otherwise(0.0))
+    both = F.zip_with("history_n", change, lambda v, d: F.array(v, d))
+    return _pairs(DTW(10.0, 6).gram(_prepared(spark, sf).select("k", both.alias("x"))))
+
+
+@query
+def kernel_scales(spark: SparkSession, sf: str) -> DataFrame:
+    """Each region's own length scales, for kernels whose parameters aren't set."""
+    kernels = {"rbf": RBF(), "masked_rbf": MaskedRBF(), "dtw": DTW(), "patches": PatchMachine(8, 2)}
+    rows = _prepared(spark, sf).select("domain", "k", F.col("history_n").alias("x"))
+    return _rounded(group_scales(rows, kernels, "domain"), "domain", "kernel")
+
+
 @query
 def gram_masked_rbf(spark: SparkSession, sf: str) -> DataFrame:
     """Nations by their observed months; a month without orders takes no part."""
@@ -311,6 +332,13 @@ def krr_conjugate_gradients(spark: SparkSession, sf: str) -> DataFrame:
     return _long(conjugate_gradients(forecast.modelled(train), RBF(10.0), GAMMA), "alpha")
 
 
+@query
+def krr_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings' last 16 dimensions from their first 48, solved over tiles."""
+    rows = vectors(spark, sf).select("k", F.slice("x", 1, 48).alias("x"), F.slice("x", 49, 16).alias("y"))
+    return _long(conjugate_gradients(rows, RBF(0.8), 0.1, rounds=20), "alpha")
+
+
 @query
 def krr_rbf_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(forecast.train_eval(*_split(_prepared(spark, sf)), RBF(10.0), GAMMA).predictions, "name", "domain")
@@ -376,6 +404,23 @@ def residual_steps(spark: SparkSession, sf: str) -> DataFrame:
     return report.residuals(_naive(spark, sf)).select("k", F.col("step").cast("long").alias("step"), _r("predicted").alias("predicted"), _r("residual").alias("residual"))
 
 
+@query
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All numbers of an evaluation in one table: summary, split, both histograms, scores."""
+    rows = _prepared(spark, sf)
+    train, _ = _split(rows)
+    made = report.report(_naive(spark, sf).where("k % 5 = 0"), rows, train)
+    return made.select("part", "label", F.col("bin").cast("long").alias("bin"), *[_r(c).alias(c) for c in ("lo", "hi")], "n", _r("value").alias("value"))
+
+
+@query
+def chunk_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A running number over all chunks of all suppliers."""
+    weeks = supplier_week(spark, sf).select("k", F.explode(slicing.fixed_slices(S.impute(F.col("x"), "zero"), 60, 20)).alias("c"))
+    made = slicing.numbered(weeks.select("k", F.col("c.start").cast("long").alias("start")), "k", "start")
+    return made.select("k", "start", "sample_idx")
+
+
 @query
 def split_complement(spark: SparkSession, sf: str) -> DataFrame:
     rows = _prepared(spark, sf)
@@ -578,6 +623,19 @@ def gamma_predict(spark: SparkSession, sf: str) -> DataFrame:
     return _long(back, "v")
 
 
+@query
+def gamma_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers whose key is divisible by five from all the others, by their weeks."""
+    x, n = F.col("x"), F.size("x")
+    rows = supplier_week(spark, sf).select("k", F.slice(x, F.lit(1), n - HORIZON).alias("train"), tail(x, HORIZON).alias("future"))
+    bank = cut(taugamma.prepare_bank(rows, CONTEXT))
+    k = taugamma.dense(taugamma.mean_time_kernel(taugamma.time_kernels(bank, CONTEXT)), CONTEXT)
+    rows = bank.select("k", F.col("context_filled").alias("x"), F.col("future_filled").alias("y"), F.transform("future_mask", lambda m: m.cast("double")).alias("y_mask"), "loc", "scale")
+    made = taugamma.predict_gamma(rows.where("k % 5 <> 0").drop("loc", "scale"), rows.where("k % 5 = 0").select("k", "x"), k, 0.1, 0.1)
+    back = made.join(rows.select("k", "loc", "scale"), "k").withColumn("v", S.inverse_transform_with_stats(F.col("yhat"), F.col("loc"), F.col("scale")))
+    return _long(back, "v")
+
+
 @query
 def context_energy(spark: SparkSession, sf: str) -> DataFrame:
     bank, own, k = _gamma(spark, sf)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,6 +40,10 @@ def load_rows(spark: SparkSession, path: str, split: str = "train", n_samples: i
 
 def history_future(df: DataFrame) -> tuple[Column, Column]:
     """(history, future) by format: both columns stored, or a whole ``target`` with an empty future."""
+    kinds = dict(df.dtypes)
+    for name in {"history_value", "future_value", "target"} & set(df.columns):
+        if kinds[name].startswith("array<array") or not kinds[name].startswith("array<"):
+            raise TypeError(f"{name} is {kinds[name]}: a series is an array of numbers")
     if {"history_value", "future_value"} <= set(df.columns):
         return F.col("history_value").cast("array<double>"), F.col("future_value").cast("array<double>")
     if "target" in df.columns:
@@ -109,42 +115,112 @@ def train_future(train: DataFrame, validation: DataFrame, keys: tuple[str, ...]
     return joined.select(*keys, "train", F.slice("_v", F.size("train") + 1, F.greatest(F.size("_v") - F.size("train"), F.lit(0))).alias("future"))
 
 
-class _ArrowFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class RangeCache:
+    """Ranges of stored rows that a session keeps: a second load of one reads no file.  At most ``most`` are
+    kept; the one that wasn't used for longest goes first."""
+
+    def __init__(self, most: int = 16):
+        self.most, self.kept = most, OrderedDict()
+
+    def load(self, spark: SparkSession, path: str, split: str = "train", n_samples: int | None = None, ordinal: str = "sample_idx") -> DataFrame:
+        """``load_rows``, kept in memory and on disk."""
+        key = (path, split, n_samples, ordinal)
+        if key in self.kept:
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        self.kept[key] = load_rows(spark, path, split, n_samples, ordinal).persist(StorageLevel.MEMORY_AND_DISK)
+        while len(self.kept) > self.most:
+            self.kept.popitem(last=False)[1].unpersist()
+        return self.kept[key]
+
+    def clear(self) -> None:
+        while self.kept:
+            self.kept.popitem()[1].unpersist()
+
+
+class _Batches(InputPartition):
+    """Some record batches of a file; ``None``: all, as a stream."""
+
+    def __init__(self, path: str, batches: tuple[int, int] | None):
+        self.path, self.batches = path, batches
 
 
 class ArrowStreamSource(DataSource):
-    """``spark.read.format("arrow_series").schema(...).option("paths", "a,b")``: Arrow IPC files, one
-    partition a file, opened through Arrow's file systems; columns outside the schema aren't read."""
+    """``spark.read.format("arrow_series").schema(...)``: Arrow IPC files, opened through Arrow's file systems;
+    columns outside the schema aren't read.
+
+    ``paths`` names the files, by commas.  A file with a footer is cut into partitions of ``batches`` record
+    batches each (16), one without is a stream and one partition.  ``start`` and ``stop`` are a range of row
+    numbers within each file; batches outside it aren't read.  If the schema has a string column ``_error``, a
+    file that can't be read to its end gives a row with the reason there, behind the rows that could be read,
+    instead of failing the job; ``_file`` is the file's path, ``_row`` the row's number in it.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "arrow_series"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _ArrowReader(schema, [p for p in self.options.get("paths", "").split(",") if p])
+        stop = self.options.get("stop")
+        return _ArrowReader(schema, [p for p in self.options.get("paths", "").split(",") if p], int(self.options.get("batches", 16)), int(self.options.get("start", 0)), None if stop is None else int(stop))
 
 
 class _ArrowReader(DataSourceReader):
-    def __init__(self, schema: StructType, paths: list[str]):
-        self.names, self.paths = schema.fieldNames(), paths
+    OWN = ("_file", "_row", "_error")
 
-    def partitions(self) -> list[_ArrowFile]:
-        return [_ArrowFile(p) for p in self.paths]
+    def __init__(self, schema: StructType, paths: list[str], step: int, start: int, stop: int | None):
+        self.names, self.paths, self.step, self.start, self.stop = schema.fieldNames(), paths, step, start, stop
 
-    def read(self, part: _ArrowFile) -> Iterator[tuple]:
-        import pyarrow as pa
+    @staticmethod
+    def _opened(path: str):
         from pyarrow import fs
 
-        store, at = fs.FileSystem.from_uri(part.path if "://" in part.path else "file://" + part.path)
-        with store.open_input_file(at) as source:
+        store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        return store.open_input_file(at)
+
+    def partitions(self) -> list[_Batches]:
+        """Footers only are read here."""
+        import pyarrow as pa
+
+        out = []
+        for path in self.paths:
             try:
-                reader = pa.ipc.open_file(source)
-                batches = (reader.get_batch(i) for i in range(reader.num_record_batches))
-            except pa.ArrowInvalid:
-                source.seek(0)
-                batches = iter(pa.ipc.open_stream(source))
-            for batch in batches:
-                columns = [batch.column(n).to_pylist() for n in self.names]
-                yield from zip(*columns)
+                with self._opened(path) as source:
+                    n = pa.ipc.open_file(source).num_record_batches
+                out += [_Batches(path, (i, min(n, i + self.step))) for i in range(0, n, self.step)]
+            except (pa.ArrowInvalid, OSError):
+                out.append(_Batches(path, None))
+        return out
+
+    def read(self, part: _Batches) -> Iterator[tuple]:
+        import pyarrow as pa
+
+        try:
+            with self._opened(part.path) as source:
+                yield from self._rows(part, source)
+        except (pa.ArrowInvalid, OSError, KeyError) as e:
+            if "_error" not in self.names:
+                raise
+            own = {"_file": part.path, "_error": f"{type(e).__name__}: {e}"}
+            yield tuple(own.get(n) for n in self.names)
+
+    def _rows(self, part: _Batches, source) -> Iterator[tuple]:
+        import pyarrow as pa
+
+        if part.batches is None:
+            # a file whose footer is gone is a stream behind its first eight bytes
+            source.seek(8 if source.read(6) == b"ARROW1" else 0)
+            batches, first = iter(pa.ipc.open_stream(source)), 0
+        else:
+            reader = pa.ipc.open_file(source)
+            batches = (reader.get_batch(i) for i in range(*part.batches))
+            first = sum(reader.get_batch(i).num_rows for i in range(part.batches[0])) if self.start or self.stop is not None or "_row" in self.names else 0
+        for batch in batches:
+            lo, hi = max(0, self.start - first), batch.num_rows if self.stop is None else min(batch.num_rows, self.stop - first)
+            if lo < hi:
+                some = batch.slice(lo, hi - lo)
+                own = {"_file": [part.path] * (hi - lo), "_row": range(first + lo, first + hi), "_error": [None] * (hi - lo)}
+                yield from zip(*[own[n] if n in self.OWN else some.column(n).to_pylist() for n in self.names])
+            first += batch.num_rows
+            if self.stop is not None and first >= self.stop:
+                break

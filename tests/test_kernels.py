@@ -54,6 +54,9 @@ def test_solvers_agree(rows):
     assert np.array([dense[i] for i in range(30)]) == pytest.approx(alpha)
     loose = {r.k: r.alpha for r in conjugate_gradients(rows, RBF(3.0), 1.0, 1e-6, block=16).collect()}
     assert np.array([loose[i] for i in range(30)]) == pytest.approx(np.linalg.solve(RBF(3.0).matrix(frame(), frame()) + np.eye(30), Y), abs=1e-4)
+    # few landmarks, several blocks of both sides: the iteration itself
+    some = {r.k: r.alpha for r in conjugate_gradients(rows, RBF(3.0), 0.1, 1e-9, block=7, landmarks=6).collect()}
+    assert np.array([some[i] for i in range(30)]) == pytest.approx(alpha, abs=1e-6)
     made = predict(fit_dense(rows, RBF(3.0), 0.1), rows.select("k", "x"), RBF(3.0), block=11)
     assert np.array([r.yhat for r in made.orderBy("k").collect()]) == pytest.approx(RBF(3.0).matrix(frame(), frame()) @ alpha)
     with pytest.raises(ValueError):
@@ -139,7 +142,136 @@ def test_domains_learn_and_mask(spark):
 
 def test_unsolved_gradients_raise(rows):
     with pytest.raises(RuntimeError):
-        conjugate_gradients(rows, RBF(3.0), 1e-6, 1e-12, rounds=1)
+        conjugate_gradients(rows, RBF(3.0), 1e-6, 1e-12, rounds=1, landmarks=5)
+
+
+def test_sums_over_blocks_of_both_sides(rows):
+    """Arrays of any length, in several blocks of either side, and of a dealt frame whose vectors come later."""
+    want = np.exp(-pairwise.squared_distances(X, X) / 18)
+    part = lambda u, v: RBF(3.0).matrix(u, v) @ pairwise.stack(v["y"])
+    for deep in (4, 100):
+        made = pairwise.block_sums(rows.select("k", "x"), rows, part, "s", block=7, deep=deep)
+        assert np.array([r.s for r in made.orderBy("k").collect()]) == pytest.approx(want @ Y)
+        dealt = pairwise.Dealt(rows.select("k", "x"), 30, block=7, deep=deep)
+        assert np.array([r.s for r in dealt.sums(rows.select("k", "y"), part, "s").orderBy("k").collect()]) == pytest.approx(want @ Y)
+        dealt.drop()
+    ragged = pairwise.block_sums(rows.select("k", "x"), rows, lambda u, v: [np.full(k % 3, len(v)) for k in u["k"]], "s", block=7, deep=4)
+    assert {r.k: list(r.s) for r in ragged.collect()} == {k: [30.0] * (k % 3) for k in range(30)}
+
+
+def test_gamma_weights_equal_the_dense_form(spark):
+    k, x = np.eye(24) + 0.1, X[:20]
+    df = spark.createDataFrame([(i, X[i].tolist(), Y[i].tolist()) for i in range(20)], "k int, x array<double>, y array<double>").repartition(5)
+    w, bias = taugamma.gamma_weights(df, k, 0.5, 0.1)
+    a = np.linalg.inv(k + 0.5 * np.eye(24))
+    dense = X @ a @ x.T @ np.linalg.solve(x @ a @ x.T + 0.1 * np.eye(20), Y[:20])
+    assert X @ w + bias == pytest.approx(dense, abs=1e-9)
+    with pytest.raises(ValueError):
+        taugamma.gamma_weights(df.limit(0), k, 0.5, 0.1)
+
+
+def test_large_domains_equal_dense_ones(spark):
+    from kernelloom.operators.augment import prepare_examples
+
+    data = [(i, "abc"[i % 3], X[i].tolist(), Y[i].tolist()) for i in range(30)]
+    made = prepare_examples(spark.createDataFrame(data, "k int, domain string, history array<double>, future array<double>"))
+    train, test = made.where("k < 24 and (domain <> 'c' or k < 9)"), made.where("k >= 24 and domain <> 'c'")
+    small = {r.k: r for r in forecast.run_all_domains(train, test, RBF(), 0.1).collect()}
+    sweep = forecast.sweep_domains(train, test, RBF(), 0.1, max_rows=5)
+    large = {r.k: r for r in sweep.predictions.collect()}
+    assert small.keys() == large.keys() and len(large) == 4
+    for k, r in large.items():
+        assert r.future_pred == pytest.approx(small[k].future_pred, abs=1e-6) and (r.n_train, r.lengthscale) == (small[k].n_train, pytest.approx(small[k].lengthscale))
+    assert [tuple(r) for r in sweep.failed.collect()] == [("c", "no test rows")]
+    odd = train.withColumn("x_model", F.when((F.col("domain") == "b") & (F.col("k") < 5), F.array(F.lit(1.0))).otherwise(F.col("x_model")))
+    assert "UnequalLengths" in {r.domain: r.reason for r in forecast.sweep_domains(odd, test, RBF(3.0), 0.1).failed.collect()}["b"]
+
+
+def test_kernels_of_channels(spark):
+    """Series of channels, time-major, are compared as what they hold; a fit on them equals plain numpy."""
+    deep = [[[float(a), float(b)] for a, b in zip(X[i, :12], X[i, 12:])] for i in range(12)]
+    df = spark.createDataFrame([(i, deep[i], Y[i].tolist()) for i in range(12)], "k int, x array<array<double>>, y array<double>")
+    flat = np.array(deep).reshape(12, -1)
+    g = np.exp(-pairwise.squared_distances(flat, flat) / 18)
+    model = fit_dense(df.where("k < 9"), RBF(3.0), 0.1)
+    want = g[9:, :9] @ np.linalg.solve(g[:9, :9] + 0.1 * np.eye(9), Y[:9])
+    got = predict(model, df.where("k >= 9").select("k", "x"), RBF(3.0)).orderBy("k").collect()
+    assert np.array([r.yhat for r in got]) == pytest.approx(want)
+    got = DTW(2.0, 3).gram(df.where("k < 4").select("k", "x")).toPandas().pivot(index="i", columns="j", values="value").to_numpy()
+    assert got == pytest.approx(got.T) and np.diag(got) == pytest.approx(1.0) and got[0, 1] < 1
+
+
+def test_banded_warping_against_the_plain_recursion():
+    rng = np.random.default_rng(1)
+    for n, m, w in ((1, 1, None), (5, 7, None), (7, 5, 2), (6, 6, 0), (9, 4, 3), (4, 9, 5)):
+        a, b = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
+        cost = np.full((n + 1, m + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(n):
+            for j in range(m):
+                if w is None or abs(i - j) <= w:
+                    cost[i + 1, j + 1] = ((a[i] - b[j]) ** 2).sum() + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+        assert pairwise.dtw(a, [b, b[:1]], w)[0] == pytest.approx(np.sqrt(cost[n, m]))
+
+
+def test_patches_and_wavelets_of_unequal_lengths():
+    u, v = [X[0], X[1][:15]], [X[2][:20], X[3], X[4][:9]]
+    t = lambda xs: pd.DataFrame({"x": xs})
+    got = PatchMachine(6, 2, lengthscale=2.0).matrix(t(u), t(v))
+    for i, p in enumerate(u):
+        for j, q in enumerate(v):
+            n = min((len(p) - 6) // 2, (len(q) - 6) // 2) + 1
+            assert got[i, j] == pytest.approx(sum(np.exp(-((p[2 * k : 2 * k + 6] - q[2 * k : 2 * k + 6]) ** 2).sum() / 8) for k in range(n)))
+    kernel = Wavelet("inner", n_scales=3, scale_max=2.0)
+    got = kernel.matrix(t(u), t(v))
+    a, b = kernel._features(t(u)), kernel._features(t(v))
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            n = min(p.shape[1], q.shape[1])
+            assert got[i, j] == pytest.approx((p[:, :n] * q[:, :n]).sum() / np.sqrt((p * p).sum() * (q * q).sum()))
+
+
+def test_splines_modes_and_convolutions():
+    from kernelloom.operators import decompose
+
+    rng = np.random.default_rng(2)
+    x, taps = rng.normal(size=4000), rng.normal(size=301)
+    assert decompose.convolved(x, taps) == pytest.approx(np.convolve(x, taps), abs=1e-9)
+    # an independent sifting step: dense spline through the extrema, mirrored once
+    y = np.sin(np.arange(300) / 5) + 0.3 * np.sin(np.arange(300)) + np.arange(300) / 100
+
+    def spline(at, v, n):
+        h, m = np.diff(at), np.zeros((len(at), len(at)))
+        m[0, 0] = m[-1, -1] = 1
+        rhs = np.zeros(len(at))
+        for i in range(1, len(at) - 1):
+            m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            rhs[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+        c, out = np.linalg.solve(m, rhs), np.empty(n)
+        for t in range(n):
+            i = min(max(int(np.searchsorted(at, t, side="right")) - 1, 0), len(h) - 1)
+            p, q = t - at[i], at[i + 1] - t
+            out[t] = (c[i] * q**3 + c[i + 1] * p**3) / (6 * h[i]) + (v[i] / h[i] - c[i] * h[i] / 6) * q + (v[i + 1] / h[i] - c[i + 1] * h[i] / 6) * p
+        return out
+
+    def envelope(s, at):
+        n = len(s)
+        where = {-at[1]: s[at[1]], -at[0]: s[at[0]]} | {a: s[a] for a in at} | {2 * (n - 1) - at[-2]: s[at[-2]], 2 * (n - 1) - at[-1]: s[at[-1]]}
+        keys = sorted(where)
+        return spline(np.array(keys, float), np.array([where[k] for k in keys]), n)
+
+    mode = y.copy()
+    for _ in range(50):
+        high = [i for i in range(1, 299) if mode[i - 1] < mode[i] >= mode[i + 1]]
+        low = [i for i in range(1, 299) if mode[i - 1] > mode[i] <= mode[i + 1]]
+        if len(high) < 2 or len(low) < 2:
+            break
+        centre = (envelope(mode, high) + envelope(mode, low)) / 2
+        change = (centre**2).sum() / (mode**2).sum()
+        mode = mode - centre
+        if change < 0.04:
+            break
+    assert decompose.emd(y)[0] == pytest.approx(mode, abs=1e-9)
 
 
 def test_time_kernels_with_own_lookbacks(spark):

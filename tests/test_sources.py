@@ -66,3 +66,79 @@ def test_noise_has_its_deviation(spark):
         d = np.array(r.y) - np.array(r.x)
         assert d.std() == pytest.approx(spread, rel=0.05) and abs(d.mean()) < 0.1 * spread
         assert abs(np.corrcoef(d[1:], d[:-1])[0, 1]) < 0.06 and abs((np.abs(d) < spread).mean() - 0.683) < 0.03
+
+
+def write_arrow(path, n, opened=pa.ipc.new_file, size=10):
+    table = pa.table({"k": list(range(n)), "x": [[float(i + j) for j in range(300)] for i in range(n)]})
+    with opened(str(path), table.schema) as out:
+        out.write_table(table, max_chunksize=size)
+
+
+def test_a_broken_file_is_a_row_with_its_reason(spark, tmp_path):
+    for name, n in (("whole", 45), ("cut", 45), ("stream", 25)):
+        write_arrow(tmp_path / name, n, pa.ipc.new_stream if name == "stream" else pa.ipc.new_file)
+    data = (tmp_path / "cut").read_bytes()
+    (tmp_path / "cut").write_bytes(data[: len(data) // 2])
+    (tmp_path / "nothing").write_bytes(b"no arrow at all")
+    spark.dataSource.register(readers.ArrowStreamSource)
+    paths = ",".join(str(tmp_path / n) for n in ("whole", "cut", "stream", "nothing", "absent"))
+    read = lambda schema, **o: spark.read.format("arrow_series").schema(schema).options(paths=paths, batches=2, **o).load()
+    rows = read("k int, x array<double>, _file string, _row long, _error string")
+    assert rows.rdd.getNumPartitions() == 3 + 4
+    good = rows.where("_error is null").groupBy("_file").count().collect()
+    found = {r._file.rsplit("/", 1)[1]: r["count"] for r in good}
+    # what stands before the cut can still be read
+    assert found["whole"] == 45 and found["stream"] == 25 and 10 <= found["cut"] < 45 and len(found) == 3
+    assert {r._row for r in rows.where("_error is null and _file like '%whole'").collect()} == set(range(45))
+    chunks, failed = slicing.slice_files(rows, slicing.Cut(20, 60, 120, 12, 40))
+    assert {r._file.rsplit("/", 1)[1] for r in failed.collect()} == {"cut", "nothing", "absent"} and all(r.reason for r in failed.collect())
+    assert {r.subset.rsplit("/", 1)[1] for r in chunks.select("subset").distinct().collect()} == set(found)
+    # a range of rows of each file
+    some = read("k int, _file string, _error string", start=7, stop=23).where("_error is null and _file like '%whole'")
+    assert sorted(r.k for r in some.collect()) == list(range(7, 23))
+    # without a place for the reason the job fails
+    with pytest.raises(Exception, match="absent|Arrow|No such"):
+        read("k int").collect()
+
+
+def test_ranges_are_kept_and_the_oldest_goes(spark, sf, tmp_path):
+    cache, path = readers.RangeCache(3), f"{sf}/customer.parquet"
+    first = cache.load(spark, path, "train[0:10]", ordinal="c_custkey")
+    assert cache.load(spark, path, "train[0:10]", ordinal="c_custkey") is first
+    stored = str(tmp_path / "rows.parquet")
+    spark.range(50).selectExpr("id AS sample_idx").write.parquet(stored)
+    kept = cache.load(spark, stored, "train[5:20]")
+    assert kept.count() == 15
+    for f in (tmp_path / "rows.parquet").glob("*.parquet"):
+        f.unlink()
+    # read again without its files
+    assert cache.load(spark, stored, "train[5:20]").count() == 15
+    for n in (1, 2):
+        cache.load(spark, path, "train", n, "c_custkey")
+    assert len(cache.kept) == 3 and not first.storageLevel.useMemory and kept.storageLevel.useMemory
+    cache.clear()
+    assert not kept.storageLevel.useMemory
+
+
+def test_nested_arrays_are_named(spark):
+    df = spark.createDataFrame([(0, [[1.0]])], "sample_idx int, target array<array<double>>")
+    with pytest.raises(TypeError, match="array of numbers"):
+        readers.build_examples(df)
+    with pytest.raises(KeyError):
+        readers.build_examples(df.select("sample_idx"))
+
+
+def test_frequencies_match(spark):
+    from kernelloom import catalog
+
+    configs = catalog.catalog(spark).where("source = 'eval'").withColumn("f", catalog.frequency())
+    assert configs.where("f is null or f <> freq").isEmpty()
+    train = spark.createDataFrame([("a", "H"), ("b", "D"), ("c", None)], "item string, freq string")
+    assert [r.item for r in catalog.same_frequency(train, spark.createDataFrame([("H",), (None,), ("H",)], "freq string")).collect()] == ["a"]
+
+
+def test_running_numbers(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(100)], "k int, start int").repartition(6)
+    got = slicing.numbered(df, "k", "start").orderBy("k", "start").collect()
+    assert [r.sample_idx for r in got] == list(range(100))
+    assert slicing.numbered(df.limit(0), "k", "start").count() == 0
