@@ -347,3 +347,19 @@ UNION ALL SELECT 'split', CASE WHEN n_nationkey % 5 = 0 THEN '0.0' ELSE '0.35' E
 UNION ALL {_BINS.format('residuals', 'rs')} UNION ALL {_BINS.format('rmse', 'rm')}
 UNION ALL SELECT 'scores', CAST(k AS VARCHAR), NULL, round(rmse, 6) + 0.0, round(relative_rmse, 6) + 0.0, 1, round(mase, 6) + 0.0 FROM ts"""
 ORACLES["chunk_numbers"] = f"WITH {SW}, s AS (SELECT k, unnest(range(0, len(x) - 79, 60)) AS start FROM sx) SELECT k, start, row_number() OVER (ORDER BY k, start) - 1 AS sample_idx FROM s"
+
+ORACLES["nth_series"] = "SELECT CAST(n_nationkey AS BIGINT) AS sample_idx, n_name AS name FROM nation WHERE n_nationkey = 7"
+_OWN_TAUS = BANK.replace("ta AS (SELECT DISTINCT", "t0 AS (SELECT DISTINCT") + ", ta AS (SELECT * FROM t0 WHERE k % 3 <> 0 UNION ALL SELECT k, k + 5, unnest([0, 3, k + 5]) FROM tx WHERE k % 3 = 0)" + BABY[len(BANK):]
+ORACLES["baby_kernel_own_taus"] = f"WITH {_OWN_TAUS} SELECT k, r, c, {_r('value', 'value')} FROM bb"
+
+_MODES = NX.replace("pr AS (SELECT *,", "p0 AS (SELECT *,") + _CWT.replace("{scales}", _LINEAR).replace("{x}", "hn").replace("{n}", "n").replace("FROM pr", "FROM p0").replace(", sc AS", ", sz AS").replace("FROM sc,", "FROM sz,") + """,
+wl AS (SELECT k, t, sum(c) AS w FROM co GROUP BY 1, 2),
+fe AS (SELECT k, list(v ORDER BY t, ch) AS z FROM (SELECT k, t, 0.0::DOUBLE AS ch, v FROM sg UNION ALL SELECT co.k, co.t, s, c * (sg.v / CASE WHEN abs(w) > 1e-12 THEN w ELSE 1 END)
+  FROM co JOIN wl ON wl.k = co.k AND wl.t = co.t JOIN sg ON sg.k = co.k AND sg.t = co.t) GROUP BY 1),
+pr AS (SELECT p0.* REPLACE (z AS hn) FROM p0 JOIN fe USING (k))"""
+ORACLES["modes_forecast"] = _scored(source=_MODES) + f" SELECT name, domain, {_S3} FROM sc"
+
+ORACLES["kernel_scales"] = ORACLES["kernel_scales"].replace(", pp AS (", _CWT.replace("{scales}", _GEOM).replace("{x}", "hn").replace("{n}", "n") + ", pp AS (", 1).replace(
+    "SELECT domain, kernel,", """, wv AS (SELECT p.domain, a.k, b.k AS j, sqrt(sum(pow(a.c - b.c, 2))) AS d FROM co a JOIN co b ON a.s = b.s AND a.t = b.t AND a.k < b.k JOIN pr p ON p.k = a.k JOIN pr q ON q.k = b.k AND q.domain = p.domain GROUP BY 1, 2, 3)
+SELECT domain, kernel,""").replace("FROM al WHERE", "FROM (SELECT * FROM al UNION ALL SELECT domain, 'wavelet', d FROM wv) WHERE")
+ORACLES["frequency_match"] = f"WITH {SW} SELECT k, 'M' AS freq, len(x) AS weeks FROM sx WHERE k % 3 = 0"

@@ -81,6 +81,11 @@ def build_examples_stride(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sample_idx", "name", F.size("history").cast("long").alias("history_len"), F.size("future").cast("long").alias("future_len"), _r(F.get("history", F.lit(0))).alias("first_value"), _r(F.get("future", F.lit(0))).alias("first_future"))
 
 
+@query
+def nth_series(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.nth_series(_samples(spark, sf), 7, "sample_idx").select("sample_idx", "name")
+
+
 @query
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(readers.dataset_summary(_samples(spark, sf)), "sample_idx", "history_len", "future_len", "history_nans", "future_nans")
@@ -276,7 +281,7 @@ def gram_dtw_banded(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def kernel_scales(spark: SparkSession, sf: str) -> DataFrame:
     """Each region's own length scales, for kernels whose parameters aren't set."""
-    kernels = {"rbf": RBF(), "masked_rbf": MaskedRBF(), "dtw": DTW(), "patches": PatchMachine(8, 2)}
+    kernels = {"rbf": RBF(), "masked_rbf": MaskedRBF(), "dtw": DTW(), "patches": PatchMachine(8, 2), "wavelet": Wavelet("coeffs", None, 4, 1.0, 3.0)}
     rows = _prepared(spark, sf).select("domain", "k", F.col("history_n").alias("x"))
     return _rounded(group_scales(rows, kernels, "domain"), "domain", "kernel")
 
@@ -378,6 +383,21 @@ def conv_rfm_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(forecast.train_eval(*_split(_prepared(spark, sf)), PatchMachine(8, 4, 2), GAMMA).predictions, "name")
 
 
+@query
+def rfm_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Learnt features of all suppliers' weeks, forecasts of every fifth."""
+    x, n = S.impute(F.col("x"), "zero"), F.size("x")
+    rows = supplier_week(spark, sf).select("k", F.slice(x, F.lit(1), n - HORIZON).alias("history"), tail(x, HORIZON).alias("future"))
+    return _scores(forecast.train_eval(*_split(augment.prepare_examples(rows)), FeatureMachine(1), GAMMA).predictions, "k")
+
+
+@query
+def modes_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """A fit on channels: each history beside its wavelet modes, time-major."""
+    modes = decompose.modes_column(F.col("history_n"), "cwt", include_original=True, wavelet="ricker", n_scales=4, lo=1.0, hi=3.0, spacing="linear")
+    return _scores(forecast.train_eval(*_split(_prepared(spark, sf).withColumn("x_model", modes)), RBF(10.0), GAMMA).predictions, "name", "domain")
+
+
 def _naive(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts that repeat the last value."""
     last = F.array_repeat(F.get("history", F.size("history") - 1), HORIZON)
@@ -451,6 +471,14 @@ def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.resolve(names)
 
 
+@query
+def frequency_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Of suppliers taken for monthly, weekly and undated series, those of the nations' frequency."""
+    freq = F.when(F.col("k") % 3 == 0, "M").when(F.col("k") % 3 == 1, "W")
+    nations = _samples(spark, sf).select(F.lit("M").alias("freq"))
+    return catalog.same_frequency(supplier_week(spark, sf).select("k", freq.alias("freq"), F.size("x").cast("long").alias("weeks")), nations)
+
+
 @query
 def load_range(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a split by their stored ordinal, the range pushed down to the scan."""
@@ -593,6 +621,15 @@ def baby_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("value").alias("value"))
 
 
+@query
+def baby_kernel_own_taus(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third nation with look-backs of its own."""
+    bank = cut(_bank(spark, sf))
+    own = bank.where("k % 3 = 0").select("k", F.array(F.lit(0), F.lit(3), (F.col("k") + 5).cast("int")).alias("taus"))
+    rows = taugamma.time_kernels(bank, CONTEXT, taus=own)
+    return rows.select("k", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r("value").alias("value"))
+
+
 @query
 def mama_kernel(spark: SparkSession, sf: str) -> DataFrame:
     rows = taugamma.mean_time_kernel(taugamma.time_kernels(_bank(spark, sf), CONTEXT))
