@@ -17,6 +17,7 @@ from kernelloom.operators.augment import prepare_examples, uniform_length
 from kernelloom.operators.kernels import FeatureMachine, Kernel, PatchMachine, drawn, own_scale
 from kernelloom.operators.metrics import scored, summary
 from kernelloom.operators.pairwise import UnequalLengths, block_sums, fresh, partial_sums, stack
+from kernelloom.operators.slicing import numbered
 from kernelloom.operators.solve import MAX_DENSE, conjugate_gradients, fit_dense, predict, ridge
 from kernelloom.staging import cut
 
@@ -216,15 +217,12 @@ def scaling_study(train: DataFrame, test: DataFrame, kernel: Kernel, gamma: floa
     The training sets are nested: the first rows by key, or by a hash of key and seed.
     """
     most = train.count()
-    order = F.struct("k") if seed is None else F.struct(F.xxhash64("k", F.lit(seed)), F.col("k"))
     wanted = study_sizes(most, sizes)
     if not wanted:
         raise ValueError("no training size is left")
-    # only the rows of the largest size take part, a bounded number
-    first = train.select("k").orderBy(order).limit(wanted[-1]).toPandas()
-    ranked = {k: i for i, k in enumerate(first["k"])}
-    rank = train.sparkSession.createDataFrame(list(ranked.items()), f"k {dict(train.dtypes)['k']}, _r int")
-    rows = train.join(F.broadcast(rank), "k").withColumn("n_train", F.explode(F.array(*map(F.lit, wanted)))).where("_r < n_train").drop("_r")
+    order = F.lit(0) if seed is None else F.xxhash64("k", F.lit(seed))
+    rank = numbered(train.select("k", order.alias("_o")), "_o", "k", name="_r").where(F.col("_r") < wanted[-1]).select("k", "_r")
+    rows = train.join(rank, "k").withColumn("n_train", F.explode(F.array(*map(F.lit, wanted)))).where("_r < n_train").drop("_r")
     tests = test.withColumn("n_train", F.explode(F.array(*map(F.lit, wanted))))
     rows, tests = (df.withColumnRenamed("n_train", "n_wanted") for df in (rows, tests))
     return run_all_domains(rows, tests, kernel, gamma, "n_wanted").drop("n_wanted")

@@ -32,6 +32,6 @@ def test_against_sql(spark, sf, name):
     got, want = (d[cols].sort_values(by, ignore_index=True) for d in (got, want))
     for c in cols:
         if got[c].dtype.kind == "f":
-            assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), abs=2e-6), c
+            assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), abs=2e-6, nan_ok=True), c
         else:
             assert got[c].tolist() == want[c].tolist(), c
