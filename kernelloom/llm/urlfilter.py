@@ -205,6 +205,138 @@ wiki.toolset.test/free-slots-bonus
 library.northend.test/cheap-cialis-buy
 churchband.test/xxx-cams-live
 student.union4.test/buy-essay-cheap
+royal-casino-club.test/vip/bonus
+slotsparadise.test/play/free-spins
+spin-and-win.test/wheel/claim
+roulette-system-win.test/buy
+texas-poker-bonus.test/play
+online-bingo-cash.test/signup-bonus
+betting-tips-sure.test/vip/join
+football-fixed-bets.test/buy-odds
+casino-bonuscodes.test/2020/free-chips
+livecasino-dealer.test/play-now
+jackpot-slots-free.test/download-app
+gamble-btc.test/dice/deposit
+bonus-sportsbook.test/bet/odds
+lottowin-cash.test/prize
+casinos-without-license.test/list/best
+cheap-pills-rx.test/order/viagra
+viagra-cialis-levitra.test/buy
+tramadol-overnight.test/no-prescription
+order-xanax.test/cheap
+discount-pharmacy24.test/buy-pills
+weightloss-pills-fast.test/free-trial
+bigger-longer.test/enlarge/pills
+testosterone-boost.test/order-now
+anabolic-steroids.test/cheap/buy
+cannabis-gummies-buy.test/order
+miracle-cream.test/free-trial/order
+rxmeds-cheap.test/pharmacy/discount
+hotporn-tube.test/xxx/videos
+free-sex-videos.test/watch/hd
+nudegirls-cam.test/live/free
+xxx-hd-tube.test/amateur
+adultsex-finder.test/join/local
+sexy-milfs.test/dating/tonight
+pornstars-hd.test/video/9921
+escort-girls-city.test/book/vip
+naked-teens-xxx.test/photos
+camsex-live.test/chat/girls
+eroticvideos.test/free/watch
+nakedcelebs-xxx.test/gallery
+localsluts.test/signup/free
+hardcore-porn.test/download
+fast-cash-loan.test/apply-now
+payday-loans-online.test/no-credit-check/apply
+cash-advance-today.test/approved
+loan-bad-credit-ok.test/apply
+instant-cash-now.test/offer
+cheap-car-insurance-quote.test/free-quote
+debt-relief-free.test/apply-now
+creditcard-approved.test/instant/offer
+make-money-fast.test/join/free
+easy-cash-system.test/secret/webinar
+earn-1000-daily.test/signup-now
+get-rich-crypto.test/profit
+bitcoin-profit-robot.test/join-now
+crypto-airdrop-free.test/claim-now
+btc-doubler-invest.test/deposit
+forex-signals-profit.test/vip/join
+free-bitcoin-generator.test/claim
+trading-robot-cash.test/free/signup
+invest-bonus-coin.test/presale/buy
+token-presale-now.test/buy
+rolex-replica-watches.test/cheap/sale
+replica-handbags-cheap.test/outlet
+outlet-nike-cheap.test/sale/discount
+cheap-jerseys-outlet.test/buy-now
+fake-designer-shoes.test/discount
+sunglasses-outlet90.test/sale-90-off
+cheap-iphone-deals.test/buy-now
+oem-software-cheap.test/download/key
+photoshop-crack-free.test/download
+windows-keygen.test/activator/free
+warez-downloads.test/full/crack
+crack-serial-keys.test/free-download
+apk-mod-cracked.test/unlimited/free
+free-movies-stream.test/watch/full-hd
+torrent-movies-hd.test/download/free
+watch-series-free.test/stream/online
+mp3-albums-free.test/download-zip
+iptv-free-stream.test/watch/live
+game-cheats-hack.test/unlimited/generator
+free-gems-hack.test/generator/claim
+coins-generator-free.test/hack
+free-voucher-codes.test/claim/survey
+win-a-giftcard.test/survey/claim
+winner-prize-claim.test/lucky
+you-won-iphone.test/claim-prize
+lucky-survey-cash.test/win/reward
+verify-account-login.test/confirm/secure
+secure-bank-verify.test/login
+login-update-billing.test/verify/account
+account-locked-alert.test/unlock/confirm
+paypal-secure-confirm.test/login/verify
+wallet-verify-now.test/connect/confirm
+parcel-pay-fee.test/confirm/payment
+update-your-payment.test/secure/login
+virus-scan-alert.test/download/cleaner.exe
+pc-speed-cleaner.test/free/setup.exe
+free-driver-update.test/download.exe
+infected-alert.test/call-now/support
+ads-click-track.test/redirect?c=7
+pop-ads-network.test/click/serve
+redirect-traffic.test/go/click?u=9
+cheap-seo-backlinks.test/buy/500
+buy-traffic-hits.test/cheap/order
+link-farm-seo.test/add/free
+rank-first-seo.test/buy-links
+buy-instagram-likes.test/cheap/followers
+followers-cheap-fast.test/buy/1000
+youtube-views-buy.test/cheap/order
+buy-fake-reviews.test/order-now
+cheap-essay-writers.test/order/now
+buy-essay-online.test/cheap-paper
+diploma-fake-buy.test/order
+buy-fake-id.test/passport/order
+free-psychic-love.test/call/now
+love-spells-fast.test/order
+shocking-celebs.test/you-wont-believe/click
+doctors-shocked.test/weird-trick
+10-secrets-shocking.test/viral/click
+one-weird-trick.test/belly-fat
+hot-deals-cheap.test/limited-offer/buy
+limited-offer-sale.test/buy-now/discount
+free-trial-offer.test/claim/now
+vip-bonus-signup.test/join-free
+forum.rowers.test/casino-free-spins
+blog.pastrychef.test/cheap-viagra-order
+www.villagehall.test/porn-free-xxx
+wiki.mathclub.test/payday-cash-loan
+news.harbourtown.test/replica-watches-cheap
+school.eastside.test/buy-essay-now
+choir.oldminster.test/slots-bonus-casino
+gallery.smallpots.test/xxx-sex-cams
 """
 WANTED = """
 meteo-atlas.test/forecast/week
@@ -397,6 +529,183 @@ probability-notes.test/dice/expectation
 card-games-rules.test/whist
 puzzle-club.test/crossword/monthly
 boardgame-reviews.test/strategy/go
+volcano-observatory.test/bulletins/etna
+rainfall-maps.test/monthly/april
+coral-reef-survey.test/transects/2015
+herbarium.westuni.test/specimens/mosses
+butterfly-atlas.test/families/blues
+geology-fieldtrips.test/limestone/caves
+soil-survey.test/profiles/peat
+marine-biology.test/notes/plankton
+forest-research.test/plots/beech
+museum-of-science.test/engines/steam
+town-archive.test/maps/1790
+record-office.test/wills/1742
+manuscripts.oldlibrary.test/psalter
+medieval-history.test/monasteries/charters
+archaeology-unit.test/digs/roman-villa
+oral-history.test/interviews/miners
+university-press.test/catalogue/history
+algebra-notes.test/groups/cosets
+geometry-course.test/circles/theorem
+calculus-lectures.test/week-4/limits
+physics-demos.test/pendulum
+organic-chemistry.test/reactions/esters
+biology-school.test/cells/mitosis
+linguistics-lab.test/phonetics/vowels
+philosophy-forum.test/ethics/duty
+economics-dept.test/seminars/spring
+thesis-repository.test/2011/geography
+journal-of-botany.test/volume/40/roots
+conference-proceedings.test/2018/session-3
+open-textbook.test/statistics/chapter-5
+manual.mailserver.test/configuration
+docs.plotlib.test/guide/axes
+reference.langspec.test/types/records
+developer.mapkit.test/tutorial/tiles
+source.tinykernel.test/tree/drivers
+issues.webserver.test/4471
+wiki.networking.test/dns/records
+mailing-list.compilers.test/2012/june
+blog.datamodel.test/posts/indexes
+notes.unixtools.test/awk/fields
+forum.woodturners.test/thread/lathe
+questions.gardeners.test/tomato/blight
+handbook.sysadmin.test/backups
+release-notes.sheetapp.test/2.4
+howto.electronics.test/resistors
+bread-baking.test/sourdough/starter
+family-recipes.test/stew/barley
+vegetarian-kitchen.test/beans/soup
+pasta-handbook.test/shapes/orecchiette
+coffee-roasters.test/guide/grinding
+wine-regions.test/loire/whites
+herb-garden.test/thyme/growing
+hedgerow-guide.test/hawthorn
+pond-life.test/newts
+apple-growers.test/pruning/winter
+hill-walks.test/routes/ridge
+mountain-rescue.test/reports/2016
+long-distance-paths.test/stage-9
+kayak-club.test/trips/estuary
+tram-history.test/lines/1920
+coach-timetables.test/route/31
+harbour-authority.test/notices/mariners
+travel-notes.test/kyoto/temples
+walking-holidays.test/islands/advice
+campsites-guide.test/lakes/map
+district-council.test/meetings/agenda
+county-planning.test/documents/2018
+parish-church.test/services/sunday
+community-centre.test/activities/week
+town-library.test/events/reading
+water-board.test/quality/report
+road-safety.test/schools/crossing
+appeal-court.test/judgments/2014
+land-law.test/leases/notes
+senate-records.test/1966/hearings
+village-school.test/uniform/policy
+college-music.test/ensembles/wind
+university-chess.test/league/results
+evening-classes.test/drawing/term-2
+physics-teachers.test/worksheets/heat
+childrens-hospital.test/wards/visiting
+physiotherapy-advice.test/knee/exercises
+first-aid-guide.test/burns
+eye-clinic.test/glaucoma/leaflet
+diabetes-society.test/diet/advice
+nursing-college.test/modules/ethics
+epidemiology-notes.test/cohort/bias
+food-standards.test/labelling/rules
+heart-research.test/trials/summary
+allergy-advice.test/pollen/calendar
+labour-statistics.test/wages/1960
+trade-figures.test/exports/quarter-2
+national-accounts.test/tables/annual
+revenue-service.test/forms/instructions
+household-budget.test/survey/results
+housing-association.test/tenants/handbook
+consumer-council.test/complaints/process
+evening-post.test/2017/harbour/strike
+county-times.test/news/flood-warning
+morning-radio.test/programmes/monday
+foreign-desk.test/reports/summit
+science-weekly.test/2013/comets
+local-history-news.test/winter/issue-8
+county-cricket.test/scorecards/1987
+fell-running.test/races/results
+gymnastics-club.test/timetable
+bowls-league.test/fixtures/division-2
+skating-club.test/lessons/children
+swim-coach.test/drills/backstroke
+sea-scouts.test/sailing/badges
+short-stories.test/authors/chekhov
+book-group.test/discussion/autumn
+playwrights.test/drafts/act-two
+amateur-theatre.test/rehearsals
+silent-films.test/directors/murnau
+folk-songs.test/ballads/sea
+organ-recitals.test/programme/bach
+brass-band.test/contests/2009
+guitar-makers.test/bracing/spruce
+life-drawing.test/charcoal/hands
+printmaking.test/etching/plates
+quilting-guild.test/patterns/stars
+stained-glass.test/restoration/windows
+church-architecture.test/naves/vaults
+calligraphy.test/italic/strokes
+planet-watch.test/jupiter/moons
+meteor-section.test/perseids/counts
+rocket-history.test/engines/1944
+hydro-power.test/turbines/maintenance
+bridge-engineers.test/journal/cables
+concrete-institute.test/testing/cores
+furniture-makers.test/chairs/windsor
+watch-collectors.test/movements/lever
+steam-railway.test/timetable/summer
+shortwave-radio.test/receivers/notes
+knitting-patterns.test/sleeves/cable
+ironmonger.test/hinges/brass
+bakery-lane.test/menu/saturday
+seaside-hotel.test/rooms/garden-view
+village-inn.test/history
+sheepdog-trials.test/rules
+bird-hospital.test/owls/release
+lifeboat-station.test/launches/2012
+blood-donors.test/sessions/venues
+youth-orchestra.test/auditions
+family-history.test/surnames/smith
+esperanto-lessons.test/unit-6
+latin-dictionary.test/verbs/ferre
+translators-guild.test/glossary/law
+job-centre.test/training/welding
+trade-marks.test/register/1925
+de.heimatverein.test/chronik/1880
+de.fahrradwege.test/elbe/etappe-2
+fr.jardins-publics.test/plantes/iris
+fr.bibliotheque-nord.test/catalogue/cartes
+es.senderos.test/sierra/ruta-3
+es.museo-tejidos.test/salas
+it.cucina-nonna.test/minestra
+it.archivio-storico.test/lettere/1790
+nl.stadsarchief.test/kaarten
+pt.receitas-da-serra.test/sopas
+pl.ogrod-botaniczny.test/kolekcje
+se.fjallvandring.test/leder
+stamps-society.test/penny/varieties
+windmill-trust.test/sails/repair
+canal-boats.test/restoration/diary
+banking-history.test/notes/1830
+cryptography-course.test/lectures/ciphers
+web-security-notes.test/login/sessions
+credit-unions-history.test/founders
+sex-education-school.test/lesson/biology
+gambling-research.test/papers/addiction
+pharmacy-history.test/jars/labels
+dice-probability.test/problems/sums
+free-software-notes.test/licences
+insurance-history.test/marine/ledgers
+insect-viruses.test/papers/baculovirus
 """
 
 

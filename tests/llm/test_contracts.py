@@ -459,7 +459,7 @@ def test_url_model_on_held_out_urls():
     assert len(rest) > 60 and min(truth.sum(), (~truth).sum()) > 25
     for label in (True, False):
         recall, precision = (said[truth == label] == label).mean(), (truth[said == label] == label).mean()
-        assert recall >= 0.75 and precision >= 0.75, (label, recall, precision)
+        assert recall >= 0.8 and precision >= 0.8, (label, recall, precision)
 
 
 def test_no_url_of_the_table_is_of_a_test_table(spark):
