@@ -5,7 +5,8 @@ other parameters has the same template.  Windows of ``width`` template tokens ar
 one alignment of a document with an item, each slot value of the item must always meet the same value
 in the document; windows by form that hold a value which meets several are coincidences, and go.
 
-An item is found by a share of its windows, or by a run of them whatever the item's length.
+An item is found by a share of its windows, or by a run of them whatever the item's length.  One of very
+few tokens is found only where it is a document's whole text: within others it would be a coincidence.
 
 A window in which more than ``width - literals`` tokens are placeholders says too little by its form;
 such a window is compared by its own tokens.  So is every window as well, without the marks of names:
@@ -97,6 +98,19 @@ def _longest(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add)["best"]
 
 
+def _whole_texts(docs: DataFrame, items: DataFrame, below: int) -> DataFrame:
+    """The pairs of a document and an item with the same tokens, at least one and fewer than ``below``; ``docs``
+    has doc_id and text, ``items`` item_id and _tok."""
+    plain = F.transform("_tok", lambda t: F.when(t.startswith(NAME), F.substr(t, F.lit(2))).otherwise(t))
+    items = items.select("item_id", plain.alias("_tok"))
+    # a text of more tokens is told by its first ones; lower case never has fewer
+    many = r"^[^\p{L}0-9]*+(?:(?:\p{L}++|[0-9]++(?:[.,][0-9]++)*+)[^\p{L}0-9]*+){%d}" % below
+    few = docs.where(~F.col("text").rlike(many)).select("doc_id", tokens(F.col("text")).alias("_tok")).select("doc_id", plain.alias("_tok"))
+    found = few.join(F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items, "_tok").select("doc_id", "item_id").distinct()
+    one = F.lit(1).cast("long")
+    return found.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("share"), F.lit(False).alias("reworded"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     width: int = 8, literals: int = 5, shortest: int = 5, share: float = 0.5, run: int = 13,
@@ -107,18 +121,28 @@ def contaminated(
     An item is found if at least ``share`` of its windows are matched consistently, or if consecutive
     ones along one alignment hold ``run`` equal tokens: all tokens of windows with equal text, those that
     aren't slots of windows by form.  An item of fewer
-    than ``width`` tokens is one window; one of fewer than ``shortest`` is no evidence and isn't
-    searched.  Null ids take no part; null and empty texts match nothing; rows with one id count as one
+    than ``width`` tokens is one window; one of fewer than ``shortest`` is found in the documents that
+    consist of its tokens and no others, whatever their case.  Null ids take no part; null and empty texts match nothing; rows with one id count as one
     document, items with one id as one item; repeated rows change nothing; other columns are ignored.
     Empty tables give an empty result.  Whole texts are searched, however long.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("_tok"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("_tok") >= shortest)).distinct()
+    items = items.where(F.col("item_id").isNotNull() & (F.size("_tok") > 0)).distinct()
     # at most ``width`` different numbers
-    widths = sorted(r[0] for r in items.select(F.least(F.size("_tok"), F.lit(width))).distinct().collect())
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, share double, reworded boolean")
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("_tok"), F.lit(width))).distinct().collect())
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, share double, reworded boolean")
+    if any(n < shortest for n in sizes):
+        found = _whole_texts(texts, items.where(F.size("_tok") < shortest), shortest)
+    widths = [n for n in sizes if n >= shortest]
     if not widths:
-        return empty
+        return found
+    by_windows = _by_windows(texts, items.where(F.size("_tok") >= shortest), widths, width, literals, share, run)
+    return by_windows.unionByName(found) if len(widths) < len(sizes) else by_windows
+
+
+def _by_windows(texts: DataFrame, items: DataFrame, widths: list[int], width: int, literals: int, share: float, run: int) -> DataFrame:
+    """The pairs that ``contaminated`` finds by windows."""
     own = F.col("w") == F.col("_w")
     bench = _windows(items.withColumn("_w", F.least(F.size("_tok"), F.lit(width))), widths, width, literals, counted=True).where(own)
     bench = bench.select("item_id", F.struct(F.col("p").alias("q"), F.coalesce("form", "own").alias("h")).alias("q"), "own", "form", F.col("slots").alias("item_slots"), "lo", "hi")
@@ -127,8 +151,7 @@ def contaminated(
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
 
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("_tok"))
-    rows = _windows(rows, widths, width, literals).select("doc_id", "p", F.col("slots").alias("doc_slots"), F.explode(_hashes()["h"]).alias("h"))
+    rows = _windows(texts.select("doc_id", tokens(F.col("text")).alias("_tok")), widths, width, literals).select("doc_id", "p", F.col("slots").alias("doc_slots"), F.explode(_hashes()["h"]).alias("h"))
     nothing = F.array().cast("array<string>")
     # equal text has equal values, also where the document's blanks or case hide a name
     values = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("doc_slots"))

@@ -221,6 +221,29 @@ def test_decontamination_of_odd_rows(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.decontaminate(df, bench.limit(0)).count() == len(rows)
 
 
+def test_items_of_few_tokens_are_found_as_whole_texts(spark):
+    rng = random.Random(4)
+    words = ["Yes", "no", "Oslo", "42", "1,000", "km", "the", "Été"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = {i: say(rng.choice([0, 1, 2, 3, 4, 4, 5, 6])) for i in range(60)}
+    docs = {i: say(rng.randint(0, 7)) for i in range(300)}
+    docs |= {300 + i: rng.choice(["  {}.", "\n{}\t!", "«{}»"]).format(rng.choice([t, t.upper(), t.lower(), t.replace(" ", "  ")])) for i, t in items.items()}
+    docs |= {400: "Yes " * 50_000, 401: "-" * 100_000 + " yes " + "!" * 100_000, 402: "1,000" * 1, 403: "1, 000", 404: "", 405: None}
+    items |= {60: "yes", 61: "1,000", 62: "?!", 63: None}
+    df, bench = frame(spark, list(docs.items()) * 2, "doc_id long, text string"), frame(spark, list(items.items()) + [(60, "yes"), (None, "yes")], "item_id long, text string")
+    found = decontam.contaminated(df, bench).collect()
+    low = lambda t: tuple(x.lstrip(decontam.NAME) for x in plain_tokens(t or ""))
+    want = {(d, i) for d, text in docs.items() for i, item in items.items() if 0 < len(low(item)) < 5 and low(text) == low(item)}
+    want_long = {(d, i) for d, text in docs.items() for i, item in items.items() if text and item and len(low(item)) >= 5 and brute_found(text, item)}
+    got = [(r.doc_id, r.item_id) for r in found]
+    assert len(got) == len(set(got)) and set(got) == want | want_long and len(want) > 60 and want_long
+    assert (401, 60) in want and (402, 61) in want and not any(d in (400, 403, 404, 405) for d, _ in want)
+    short = bench.where("item_id in (60, 61)")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, short).collect()} == {p for p in want if p[1] in (60, 61)}
+    left = {r.doc_id for r in decontam.decontaminate(df, short).collect()}
+    assert left == set(docs) - {d for d, i in want if i in (60, 61)}
+
+
 # -- op5 ----------------------------------------------------------------------------------------------
 
 
