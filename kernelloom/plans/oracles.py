@@ -4,8 +4,15 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+#: Orders of each market segment, under the name and configuration that its data set is taken for.
+_NAMED = """named AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Traffic' WHEN 'BUILDING' THEN 'Energy' WHEN 'FURNITURE' THEN 'hospital_M_short' WHEN 'HOUSEHOLD' THEN 'Solar' WHEN 'MACHINERY' THEN 'Cloud' END AS name,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'loop_seattle_H_long' WHEN 'BUILDING' THEN 'electricity_H_long' WHEN 'FURNITURE' THEN 'hospital_M_short' WHEN 'HOUSEHOLD' THEN 'solar_H_long' WHEN 'MACHINERY' THEN 'bitbrains_fast_storage_5T_long' END AS config,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Transport' WHEN 'FURNITURE' THEN 'Healthcare' WHEN 'MACHINERY' THEN 'Web/CloudOps' ELSE 'Energy' END AS domain,
+  CASE c_mktsegment WHEN 'FURNITURE' THEN 'M' WHEN 'MACHINERY' THEN '5T' ELSE 'H' END AS freq,
+  count(*) AS n_orders, round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 1e6, 6) AS spend FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)"""
 #: How many configurations each domain and frequency has, and the first and last of them.
-ORACLES["catalog_by_domain"] = """SELECT * FROM (VALUES
+ORACLES["catalog_by_domain"] = f"""WITH {_NAMED}, stored AS (SELECT 'eval' AS source, domain, sum(n_orders)::BIGINT AS n_orders, round(sum(spend), 6) AS spend FROM named GROUP BY domain)
+SELECT source, domain, n, first_config, last_config, coalesce(n_orders, 0)::BIGINT AS n_orders, coalesce(spend, 0.0)::DOUBLE AS spend FROM (VALUES
   ('eval', 'Econ/Finance', 10::BIGINT, 'm4_daily_D_short', 'm_dense_H_short'),
   ('eval', 'Energy', 32, 'electricity_15T_long', 'solar_W_short'),
   ('eval', 'Healthcare', 2, 'covid_deaths_D_short', 'hospital_M_short'),
@@ -24,10 +31,10 @@ ORACLES["catalog_by_domain"] = """SELECT * FROM (VALUES
   ('pretrain', 'Sales', 4, 'cockatoo', 'm5'),
   ('pretrain', 'Transport', 18, 'BEIJING_SUBWAY_30MIN', 'vehicle_trips_with_missing'),
   ('pretrain', 'Web/CloudOps', 7, 'alibaba_cluster_trace_2018', 'wiki-rolling_nips')
-) AS c(source, domain, n, first_config, last_config)"""
-ORACLES["catalog_by_freq"] = """SELECT * FROM (VALUES ('10S', 6::BIGINT), ('10T', 6), ('15T', 12), ('5T', 12), ('A', 1), ('D', 15), ('H', 31), ('M', 5), ('Q', 1), ('W', 8)) AS c(freq, n)"""
-ORACLES["resolve_names"] = """SELECT * FROM (VALUES ('Energy', 'electricity_H_long'), ('Solar', 'solar_H_long'), ('Cloud', 'bitbrains_fast_storage_5T_long'), ('Traffic', 'loop_seattle_H_long'),
-  ('hospital_M_short', 'hospital_M_short'), ('', '')) AS c(name, config)"""
+) AS c(source, domain, n, first_config, last_config) LEFT JOIN stored USING (source, domain)"""
+ORACLES["catalog_by_freq"] = f"""WITH {_NAMED}, stored AS (SELECT freq, sum(n_orders)::BIGINT AS n_orders, round(sum(spend), 6) AS spend FROM named GROUP BY freq)
+SELECT freq, n, coalesce(n_orders, 0)::BIGINT AS n_orders, coalesce(spend, 0.0)::DOUBLE AS spend FROM (VALUES ('10S', 6::BIGINT), ('10T', 6), ('15T', 12), ('5T', 12), ('A', 1), ('D', 15), ('H', 31), ('M', 5), ('Q', 1), ('W', 8)) AS c(freq, n) LEFT JOIN stored USING (freq)"""
+ORACLES["resolve_names"] = f"""WITH {_NAMED} SELECT name, config, n_orders, spend FROM named"""
 
 
 def _cleaned(source: str, out: str, rest: str = "") -> str:

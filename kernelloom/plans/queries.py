@@ -15,7 +15,7 @@ from kernelloom.operators.kernels import DTW, NTK, RBF, FeatureMachine, Linear,
 from kernelloom.operators.solve import conjugate_gradients
 from kernelloom.plans import forecast
 from kernelloom.sources import readers
-from kernelloom.sources.tables import HORIZON, nation_month, supplier_week, user_events, vectors
+from kernelloom.sources.tables import HORIZON, money, nation_month, supplier_week, table, user_events, vectors
 from kernelloom.staging import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,14 +65,38 @@ def _scores(df: DataFrame, *keep: str) -> DataFrame:
 # -- catalog, scans --------------------------------------------------------------------------------
 
 
+#: The data set that each market segment's orders are taken for: aliases, and one plain name.
+SEGMENT_DATA = {"AUTOMOBILE": "Traffic", "BUILDING": "Energy", "FURNITURE": "hospital_M_short", "HOUSEHOLD": "Solar", "MACHINERY": "Cloud"}
+
+
+def _named_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """name, config, n_orders, spend: the orders of each data set's market segment, its name resolved."""
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    names = F.create_map(*[F.lit(x) for kv in SEGMENT_DATA.items() for x in kv])
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(F.try_element_at(names, F.col("c_mktsegment")).alias("name"))
+    return catalog.resolve(rows.agg(F.count("*").alias("n_orders"), _r(money(F.col("o_totalprice"), 1e6)).alias("spend")))
+
+
+def _catalog_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog, with the orders stored for each configuration; 0 where there are none."""
+    stored = _named_orders(spark, sf).groupBy("config").agg(F.sum("n_orders").alias("n_orders"), F.sum("spend").alias("spend"))
+    return catalog.catalog(spark).join(stored, "config", "left").fillna({"n_orders": 0, "spend": 0.0})
+
+
 @query
 def catalog_by_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.by_domain(catalog.catalog(spark))
+    """Domains of the catalog and what is stored for them."""
+    rows = _catalog_orders(spark, sf)
+    stored = rows.groupBy("source", "domain").agg(F.sum("n_orders").alias("n_orders"), _r(F.sum("spend")).alias("spend"))
+    return catalog.by_domain(rows).join(stored, ["source", "domain"])
 
 
 @query
 def catalog_by_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.by_freq(catalog.catalog(spark))
+    """Frequencies of the evaluation configurations and what is stored for them."""
+    rows = _catalog_orders(spark, sf)
+    stored = rows.where("source = 'eval'").groupBy(catalog.frequency().alias("freq")).agg(F.sum("n_orders").alias("n_orders"), _r(F.sum("spend")).alias("spend"))
+    return catalog.by_freq(rows).join(stored, "freq")
 
 
 @query
@@ -466,9 +490,8 @@ def series_plot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def resolve_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Aliases and plain names of data sets."""
-    names = spark.createDataFrame([("Energy",), ("Solar",), ("Cloud",), ("Traffic",), ("hospital_M_short",), ("",)], "name string")
-    return catalog.resolve(names)
+    """The stored data sets' names, aliases or plain, with their configurations and orders."""
+    return _named_orders(spark, sf)
 
 
 @query

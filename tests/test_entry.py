@@ -9,7 +9,8 @@ from kernelloom.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FEW = ("dataset_summary", "clean_interpolate", "robust_scale", "augment_grid", "cwt_energy", "gram_ntk", "gram_dtw", "krr_rbf_forecast", "run_all_domains", "gamma_predict", "histogram_50",
-       "nth_series", "chunk_numbers", "slice_subsets", "gram_rbf", "gram_patches", "gram_wavelet_inner", "gram_dtw_banded", "kernel_scales", "gamma_suppliers", "krr_conjugate_gradients", "evaluation_report", "modes_forecast", "baby_kernel_own_taus", "series_plot", "load_range")
+       "nth_series", "chunk_numbers", "slice_subsets", "gram_rbf", "gram_patches", "gram_wavelet_inner", "gram_dtw_banded", "kernel_scales", "gamma_suppliers", "krr_conjugate_gradients", "evaluation_report", "modes_forecast", "baby_kernel_own_taus", "series_plot", "load_range",
+       "catalog_by_domain", "catalog_by_freq", "resolve_names")
 
 
 def test_names():
