@@ -595,3 +595,17 @@ def test_shards_of_one_task(spark, monkeypatch):
     assert manifest.count() > 4 and manifest.select("part").distinct().count() == 2
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in back] == want
     assert [r.shard for r in back] == sorted(r.shard for r in back)
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, "w " * (1 + i % 9), "one") for i in range(200)],
+    [(i, "w " * (1 + i % 9), None) for i in range(50)],
+    [(1, "", "a"), (2, None, "b"), (3, " \t", None), (4, "", "a")],
+])
+def test_mixes_of_one_source_or_without_words(spark, rows):
+    got = mixing.mix_plan(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    assert {r["id"]: r["size"] for r in got} == size and sum(r["n"] for r in got) == len(rows)
+    copies = [(r["n"] * r["copies"] + r["more"], r["n"], r["size"]) for r in got]
+    assert all(0 <= c <= 3 * n and (c == 0 or z) for c, n, z in copies)
+    assert abs(sum(c * z for c, _, z in copies) - sum(size.values())) <= max(size.values())
