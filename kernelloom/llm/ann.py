@@ -5,9 +5,10 @@ codebooks and codes minimise ``h * |r_par|^2 + |r_orth|^2`` of the residual r: a
 the vector changes the largest inner products most, so it weighs ``h > 1`` times as much.
 
 The codebooks are fitted on a bounded sample (``sample`` vectors, those of the smallest hash).  Every row
-is coded once, and only its codes, a sixteenth of its bytes at 64 floats, travel to the scans: blocks of queries meet
-blocks of codes, and queries scan them through tables of their own.  The best of each block go on; of
-these the best of all blocks are joined to their vectors and scored again exactly.
+is coded once, with the angle between it and its code; blocks of queries meet blocks of rows, and queries
+scan the codes through tables of their own.  By the triangle inequality of angles a code bounds its row's
+cosine, so each block scores exactly every row that may be among its best, however badly the codebooks fit,
+and only the ``k`` best of each block go on.
 """
 
 from __future__ import annotations
@@ -94,13 +95,37 @@ def _usable(vec: Column, dim: int) -> Column:
     return (F.size(vec) == dim) & ~F.exists(vec, bad) & F.exists(vec, lambda v: v != 0)
 
 
-def code_bytes(unit: np.ndarray, books: np.ndarray, h: float) -> np.ndarray:
-    """Codes of unit vectors (n, dim), two of four bits to a byte."""
+def code_bytes(unit: np.ndarray, books: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of unit vectors (n, dim), two of four bits to a byte, and (n, 2): how much of what a code stands for
+    lies along its vector, and how much across."""
     subs, _, width = books.shape
     parts = unit.reshape(len(unit), subs, width)
     codes = np.concatenate([encode(parts[i : i + 2048], books, h) for i in range(0, len(parts), 2048)])
+    coded = books[np.arange(subs)[None], codes].reshape(len(unit), -1)
+    along = (coded * unit).sum(1)
+    across = np.sqrt(((coded - along[:, None] * unit) ** 2).sum(1))
     codes = np.pad(codes, ((0, 0), (0, subs % 2)))
-    return codes[:, 0::2] * CENTRES + codes[:, 1::2]
+    return codes[:, 0::2] * CENTRES + codes[:, 1::2], np.stack([along, across], 1)
+
+
+#: More than rounding can add to an inner product read from the tables.
+SLACK = 1e-5
+
+
+class Bounds:
+    """Upper bounds of the cosines of rows, from their codes' inner products with a unit query: with A the angle
+    between query and code and D that between row and code, the row is no nearer than A - D."""
+
+    def __init__(self, along: np.ndarray, across: np.ndarray):
+        square = along.astype(np.float64) ** 2 + across.astype(np.float64) ** 2
+        safe = np.maximum(square, 1e-12)
+        self.square, self.inside = square.astype(np.float32), (along - SLACK).astype(np.float32)
+        self.by_cos, self.by_sin = (along / safe).astype(np.float32), (across / safe).astype(np.float32)
+
+    def __call__(self, near: np.ndarray) -> np.ndarray:
+        most = near * self.by_cos + self.by_sin * np.sqrt(np.maximum(self.square - near * near, 0) + np.float32(SLACK)) + np.float32(SLACK)
+        most[near >= self.inside] = 2.0
+        return most
 
 
 def query_tables(unit: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -111,8 +136,24 @@ def query_tables(unit: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (each[:, 0::2, :, None] + each[:, 1::2, None, :]).reshape(len(unit), -1, CENTRES * CENTRES)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, which no cosine shows, so that no square leaves the range of doubles."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, float) for v in column], float)
+    return _scaled(np.array([np.asarray(v, float) for v in column], float))
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
+
+def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k ids of the highest scores, highest first, ties to smaller ids; an id counts by its best."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
 def nearest_neighbours(
@@ -124,8 +165,8 @@ def nearest_neighbours(
     threshold: float = 0.2,
     sample: int = 8192,
     rerank: int = 128,
-    query_block: int = 2048,
-    code_block: int = 1 << 18,
+    query_block: int = 1 << 15,
+    code_block: int = 1 << 16,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest by cosine, ties to smaller ids.
 
@@ -136,8 +177,8 @@ def nearest_neighbours(
     give fewer rows; a table without usable rows gives none.  Columns but the two named and those that
     ``is_query`` reads are ignored, whatever their names.
 
-    Of each block of codes the ``rerank`` best by the tables go on, and whatever ties with the last of them;
-    of all blocks' the ``rerank`` best, by the tables and then by id, are scored exactly.
+    In each block the ``rerank`` best by the tables are scored exactly first; then whatever row's bound reaches
+    the k-th of these, so that no nearer row is missed.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -157,58 +198,70 @@ def nearest_neighbours(
     # equal vectors meet after a local cut to k + 1 a partition, so a hot vector isn't gathered
     ranked = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     cands = rows.select("id", "v", F.xxhash64("v").alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    cands = scratch.write(ranked(ranked(cands, "h", "v", "salt").drop("salt"), "h", "v").select("id", "v"), "candidates")
+    cands = ranked(ranked(cands, "h", "v", "salt").drop("salt"), "h", "v").select("id", "v")
     queries = scratch.write(rows.where("q").select("id", "v").distinct(), "queries")
+    # vectors travel in as many bytes as the table gives them
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
 
     def code(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
                 v = _matrix(part["v"])
-                made = code_bytes(v / np.sqrt((v * v).sum(1))[:, None], books, h)
-                yield pd.DataFrame({"id": part["id"], "code": [c.tobytes() for c in made]})
-
-    codes = scratch.write(cands.mapInPandas(code, "id long, code binary"), "codes")
-    nq, nc = max(1, -(-queries.count() // query_block)), max(1, -(-codes.count() // code_block))
-    # enough blocks of queries to keep the cores of a small cluster busy
-    nq = max(nq, min(64, -(-spark.sparkContext.defaultParallelism // nc)))
+                made, share = code_bytes(v / np.sqrt((v * v).sum(1))[:, None], books, h)
+                raw = [np.asarray(own, kind).tobytes() for own in part["v"]]
+                yield pd.DataFrame({"id": part["id"], "code": [c.tobytes() for c in made], "along": share[:, 0], "across": share[:, 1], "raw": raw})
+
+    codes = scratch.write(cands.mapInPandas(code, "id long, code binary, along double, across double, raw binary"), "codes")
+    n = codes.count()
+    nq, nc = max(1, -(-queries.count() // query_block)), max(1, -(-n // code_block))
+    # enough blocks of rows to keep the cores of a small cluster busy
+    nc = max(nc, min(spark.sparkContext.defaultParallelism, -(-n // 4096)))
     cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "v", cell(nq).alias("x"), every(nc).alias("y"))
-    right = codes.select("id", "code", cell(nc).alias("y"), every(nq).alias("x"))
+    right = codes.select("id", "code", "along", "across", "raw", cell(nc).alias("y"), every(nq).alias("x"))
 
     def scan(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "near": []}
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(qs) and len(cs):
             cid = cs["id"].to_numpy()
             table = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1).T.copy()
-            most = min(len(cid), rerank + 1)
+            full = _scaled(np.frombuffer(b"".join(cs["raw"]), kind).reshape(len(cs), -1).astype(float))
+            length = np.sqrt((full * full).sum(1))
+            along = cs["along"].to_numpy()
+            bounds, turn = Bounds(along, cs["across"].to_numpy()), (1 / np.maximum(along, 1e-3)).astype(np.float32)
+            # so many rows hold k ids at least
+            need = k * int(np.unique(cid, return_counts=True)[1].max())
+
+            def exact(v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                some = full @ v if 2 * len(rows) > len(full) else None
+                return (full[rows] @ v if some is None else some[rows]) / length[rows]
+
             for i in range(0, len(qs), 64):
                 v = _matrix(qs["v"].iloc[i : i + 64])
-                tables = query_tables(v / np.sqrt((v * v).sum(1))[:, None], books)
-                for own, qid in zip(tables, qs["id"].iloc[i : i + 64]):
+                unit = v / np.sqrt((v * v).sum(1))[:, None]
+                for own, u, q, qid in zip(query_tables(unit, books), unit, v, qs["id"].iloc[i : i + 64]):
                     near = own[0][table[0]]
                     for s in range(1, len(table)):
                         near += own[s][table[s]]
-                    best = np.flatnonzero(near >= -np.partition(-near, most - 1)[most - 1])
-                    best = best[cid[best] != qid]
+                    most, least, others = bounds(near), -np.inf, cid != qid
+                    first = np.argpartition(-near * turn, rerank)[:rerank] if len(cid) > rerank else np.arange(len(cid))
+                    first = first[others[first]]
+                    if len(first) >= need:
+                        least = np.partition(exact(u, first), -need)[-need] - SLACK
+                    rows = np.flatnonzero((most >= least) & others)
+                    near = exact(u, rows)
+                    if len(rows) > need:
+                        rows = rows[near >= np.partition(near, -need)[-need] - 1e-12]
+                    score = cosines(np.broadcast_to(q, (len(rows), len(q))), full[rows])
+                    best = best_rows(cid[rows], score, k)
                     found["query_id"].append(np.full(len(best), qid))
-                    found["vec_id"].append(cid[best])
-                    found["near"].append(near[best].astype(np.float64))
-        return pd.DataFrame({n: np.concatenate(p) if p else np.zeros(0, np.float64 if n == "near" else np.int64) for n, p in found.items()})
-
-    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(scan, "query_id long, vec_id long, near double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    met = met.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vec_id")
-    met = met.join(cands.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id").join(queries.select(F.col("id").alias("query_id"), "v"), "query_id")
-
-    def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                a, b = _matrix(part["v"]), _matrix(part["c"])
-                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "score": score})
+                    found["vec_id"].append(cid[rows[best]])
+                    found["score"].append(score[best])
+        return pd.DataFrame({n: np.concatenate(p) if p else np.zeros(0, np.float64 if n == "score" else np.int64) for n, p in found.items()})
 
+    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(scan, "query_id long, vec_id long, score double")
     # an id with several vectors, as a query or as a candidate, counts by its best
-    scored = met.mapInPandas(exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    scored = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -79,6 +79,24 @@ def test_nearest_neighbours(spark, sf):
     assert ann.nearest_neighbours(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_whatever_the_codebooks_miss(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(4, 16))
+    tight = centre[rng.integers(0, 4, 3000)] + 0.001 * rng.normal(size=(3000, 16))
+    wide = np.concatenate([3 + 0.1 * rng.normal(size=(3000, 16)), 1e200 * tight[:500]])
+    for v in (tight, wide):
+        df = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+        got = ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0, code_block=1024).orderBy("query_id", "rank").collect()
+        u = v / np.abs(v).max(1)[:, None]
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        want = []
+        for q in range(0, len(v), 100):
+            s = u @ u[q]
+            s[q] = -9
+            want += np.sort(s)[:-6:-1].tolist()
+        assert [r.score for r in got] == pytest.approx(want, abs=1e-12)
+
+
 def test_mixing(spark, sf):
     docs = table(spark, sf, "documents")
     got = QUERIES["op3_entropy_mixing"](spark, sf).toPandas()
