@@ -284,3 +284,15 @@ def test_time_kernels_with_own_lookbacks(spark):
         w = x[45 - tau : 50 - tau] * np.exp(-((np.linspace(0, 1, 5) - min(1, tau / 99)) ** 2))
         want += np.outer(w, w) / 2
     assert got == pytest.approx(want) and taugamma.time_kernels(bank, 5).where("k = 2").count() == 0
+
+
+def test_pair_values_shuffle_rows_not_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "k long, x array<double>").repartition(5)
+    monkeypatch.setattr(pairwise, "PACKED_ROWS", 16)
+    fn = lambda u, v: pairwise.stack(u["x"]) @ pairwise.stack(v["x"]).T
+    for right in (None, rows.where("k < 50")):
+        made = pairwise.pair_values(rows, right, fn, block=4)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "BroadcastNestedLoop" not in plan
+        want = [(i, j, i * j + 1.0) for i in range(60) for j in range(60 if right is None else 50)]
+        assert sorted(map(tuple, made.collect())) == want
