@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kernelloom.operators import pairwise, taugamma
+from kernelloom.operators import pairwise, solve, taugamma
 from kernelloom.operators.kernels import DTW, NTK, RBF, FeatureMachine, Linear, MaskedRBF, PatchMachine, Wavelet
 from kernelloom.operators.solve import conjugate_gradients, fit_dense, predict
 from kernelloom.plans import forecast
@@ -145,6 +145,28 @@ def test_unsolved_gradients_raise(rows):
         conjugate_gradients(rows, RBF(3.0), 1e-6, 1e-12, rounds=1, landmarks=5)
 
 
+@pytest.fixture
+def sizes(monkeypatch):
+    """The planner's sizes of the frames that a solver cuts."""
+    own, found = solve.cut, []
+
+    def cut(df):
+        made = own(df)
+        found.append(made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return made
+
+    monkeypatch.setattr(solve, "cut", cut)
+    return found
+
+
+def test_rounds_do_not_square_the_planned_size(rows, sizes):
+    """The estimate of a round had twice the last one's digits, on the driver."""
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    conjugate_gradients(rows, RBF(3.0), 0.02, 1e-9, block=16, landmarks=2)
+    assert len(sizes) > 8 and max(sizes) < 1 << 200
+    assert rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == parts
+
+
 def test_sums_over_blocks_of_both_sides(rows):
     """Arrays of any length, in several blocks of either side, and of a dealt frame whose vectors come later."""
     want = np.exp(-pairwise.squared_distances(X, X) / 18)
