@@ -167,6 +167,14 @@ def test_rounds_do_not_square_the_planned_size(rows, sizes):
     assert rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == parts
 
 
+def test_learning_by_rounds_equals_dense_solves(rows, sizes, monkeypatch):
+    want = forecast.learn(rows, 30, FeatureMachine(1), 0.1)
+    monkeypatch.setattr(forecast, "conjugate_gradients", lambda *a: conjugate_gradients(*a, landmarks=2))
+    made = forecast.learn(rows, 30, FeatureMachine(1), 0.1, max_rows=5)
+    assert np.array(made.projection) == pytest.approx(np.array(want.projection), abs=1e-6)
+    assert len(sizes) > 8 and max(sizes) < 1 << 200
+
+
 def test_sums_over_blocks_of_both_sides(rows):
     """Arrays of any length, in several blocks of either side, and of a dealt frame whose vectors come later."""
     want = np.exp(-pairwise.squared_distances(X, X) / 18)
