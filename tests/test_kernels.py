@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kernelloom.operators import pairwise, solve, taugamma
@@ -167,6 +168,22 @@ def test_rounds_do_not_square_the_planned_size(rows, sizes):
     assert rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == parts
 
 
+def test_a_round_is_two_jobs(rows, sizes):
+    """A round was six jobs, each planned anew on the driver."""
+    spark = rows.sparkSession
+    adaptive, broadcast = (spark.conf.get(f"spark.sql.{c}") for c in ("adaptive.enabled", "autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a broadcast is a job
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        conjugate_gradients(rows, RBF(3.0), 0.02, 1e-9, block=16, landmarks=2)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(sizes) > 8 and jobs < 3 * len(sizes) + 12
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+
+
 def test_learning_by_rounds_equals_dense_solves(rows, sizes, monkeypatch):
     want = forecast.learn(rows, 30, FeatureMachine(1), 0.1)
     monkeypatch.setattr(forecast, "conjugate_gradients", lambda *a: conjugate_gradients(*a, landmarks=2))
@@ -175,6 +192,28 @@ def test_learning_by_rounds_equals_dense_solves(rows, sizes, monkeypatch):
     assert len(sizes) > 8 and max(sizes) < 1 << 200
 
 
+def test_rounds_ship_no_projection(rows, monkeypatch):
+    """Each round of a solve left a copy of the learnt matrix with the driver."""
+    own, shipped = solve.Dealt.sums, []
+
+    def sums(self, vectors, fn, out):
+        shipped.append(len(cloudpickle.dumps(fn)))
+        return own(self, vectors, fn, out)
+
+    monkeypatch.setattr(solve.Dealt, "sums", sums)
+    kernel = FeatureMachine(1).learnt(frame(), Y, 0.1)
+    made = conjugate_gradients(rows, kernel, 0.1, landmarks=6).cache()
+    assert len(shipped) > 2 and max(shipped) < 24 * 24 * 8 / 2
+    g = kernel.matrix(frame(), frame())
+    alpha = {r.k: r.alpha for r in made.collect()}
+    assert np.array([alpha[i] for i in range(30)]) == pytest.approx(np.linalg.solve(g + 0.1 * np.eye(30), Y), abs=1e-6)
+    assert np.array([x for x in made.orderBy("k").toPandas()["x"]]) == pytest.approx(X)
+    got = {r.k: r.yhat for r in predict(made, rows.select("k", "x"), kernel, block=11).collect()}
+    assert np.array([got[i] for i in range(30)]) == pytest.approx(g @ np.linalg.solve(g + 0.1 * np.eye(30), Y), abs=1e-6)
+    values = {(r.i, r.j): r.value for r in kernel.gram(rows.select("k", "x"), block=8).collect()}
+    assert np.array([[values[i, j] for j in range(30)] for i in range(30)]) == pytest.approx(g)
+
+
 def test_sums_over_blocks_of_both_sides(rows):
     """Arrays of any length, in several blocks of either side, and of a dealt frame whose vectors come later."""
     want = np.exp(-pairwise.squared_distances(X, X) / 18)
