@@ -228,6 +228,35 @@ def test_sums_over_blocks_of_both_sides(rows):
     assert {r.k: list(r.s) for r in ragged.collect()} == {k: [30.0] * (k % 3) for k in range(30)}
 
 
+def test_dealt_vectors_are_not_copied_for_each_block(rows):
+    """A round's vectors, and all series once, were copied for each of the other side's blocks; each pair was made twice."""
+    want = RBF(3.0).matrix(frame(), frame()) @ Y
+    dealt = pairwise.Dealt(rows.select("k", "x"), 30, block=7, mirrored=True)
+    assert dealt.blocks == 5 and dealt.rows.count() == 5
+    assert max(len(p) for p in dealt.rows.select("_b").rdd.glom().collect()) == 1
+    for single in (False, True):
+        made = dealt.sums(rows.select("k", "y"), lambda u, v, single=single: RBF(3.0).products(u, v, "y", single, 4), "s")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+        assert np.array([r.s for r in made.orderBy("k").collect()]) == pytest.approx(want, abs=1e-5 if single else 1e-12)
+    dealt.drop()
+
+
+def test_single_precision_is_near_wherever_series_lie():
+    for far in (X * 0, X * 0 + 3e3, np.arange(30)[:, None] % 2 * 1e4 + X * 0):
+        t = pd.DataFrame({"x": list(X + far), "y": list(Y)})
+        for u in (t, t.iloc[:11]):
+            for got, want in zip(RBF(3.0).products(u, t, "y", True, 4), RBF(3.0).products(u, t, "y", False, 4)):
+                assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_rounds_in_single_precision_solve_in_double(rows, monkeypatch):
+    monkeypatch.setattr(solve, "SINGLE_ROWS", 10)
+    made = conjugate_gradients(rows, RBF(3.0), 0.1, 1e-9, block=7, landmarks=6)
+    alpha = np.linalg.solve(RBF(3.0).matrix(frame(), frame()) + 0.1 * np.eye(30), Y)
+    assert np.array([r.alpha for r in made.orderBy("k").collect()]) == pytest.approx(alpha, abs=1e-7)
+
+
 def test_gamma_weights_equal_the_dense_form(spark):
     k, x = np.eye(24) + 0.1, X[:20]
     df = spark.createDataFrame([(i, X[i].tolist(), Y[i].tolist()) for i in range(20)], "k int, x array<double>, y array<double>").repartition(5)
